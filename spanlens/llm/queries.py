@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, secrets, token_counts
+from . import ann, bpe, decontam, secret_scan, token_counts
 from .common import read
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,19 +16,19 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("secrets", lambda s: s["rank"] < len(secrets.BASE))
+    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["rank"] < len(secret_scan.BASE))
 
     def number(kind: str):
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
 
 
 def _secret_oracle() -> str:
     """Matches by regexp_extract_all, their places by the lengths of what lies between."""
     each = []
-    for rank, r in enumerate(secrets.BASE + secrets.MORE):
+    for rank, r in enumerate(secret_scan.BASE + secret_scan.MORE):
         p = r.regex.replace("'", "''")
         value = f"length(regexp_extract(m[i], '{p}', {r.group})) >= {r.least}"
         each.append(
@@ -38,11 +38,11 @@ def _secret_oracle() -> str:
             f"FROM (SELECT id, doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS b FROM d)"
         )
     one = "string_agg(kind || ':' || CAST(q.s AS BIGINT) || ':' || CAST(q.s + q.n AS BIGINT), ',' ORDER BY q.s, rank)"
-    base = f"rank < {len(secrets.BASE)}"
+    base = f"rank < {len(secret_scan.BASE)}"
     return (
         "WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents), "
         "f AS (" + " UNION ALL ".join(each) + "), "
-        "g AS (SELECT id, " + ", ".join(f"count(*) FILTER (kind = '{k.kind}') AS n_{k.kind}" for k in secrets.BASE) + f", {one} FILTER ({base}) AS base, {one} AS spans FROM f GROUP BY id) "
+        "g AS (SELECT id, " + ", ".join(f"count(*) FILTER (kind = '{k.kind}') AS n_{k.kind}" for k in secret_scan.BASE) + f", {one} FILTER ({base}) AS base, {one} AS spans FROM f GROUP BY id) "
         "SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (id)"
     )
 
@@ -68,10 +68,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op10_nearest": op10_nearest,
 }
 ORACLES: dict[str, str] = {"op1_secret_scan": _secret_oracle()}
