@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,97 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship, text_or_empty
+from .words import Among, Words, chunks, raw_texts
 
 WINDOW = 13
 #: Words of a shingle (all words of a shorter window).
 SHINGLE = 4
 #: Windows that one pass carries to the tasks: about 30 MB there.
 BLOCK = 100_000
-#: Bytes of text cut and compared at once.
-CHUNK = 2_000_000
-
-_BYTE = np.zeros(256, np.uint8)
-_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
-_BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
-_rng = np.random.default_rng(20240607)
-_VALUE = _rng.integers(1, 2**64, 256, np.uint64)
-_VALUE[0] = 0
-_BASE, _STEP = (np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, 2, np.uint64))
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-
-
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for x in (_BASE, _BASE_INVERSE):
-        p = np.full(n, x, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-class Words:
-    """The words of some texts: hash, first byte and one past the last byte of each; text k has words bounds[k] to bounds[k+1]."""
-
-    def __init__(self, texts: list[bytes]):
-        joined = b" ".join(texts) + b" "
-        self.low = _BYTE[np.frombuffer(joined, np.uint8)]
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        ends_of_texts = np.cumsum(sizes)
-        is_word = self.low != 0
-        edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
-        if is_word[0]:
-            edge = np.concatenate([[0], edge])
-        self.start, self.end = edge[0::2], edge[1::2]
-        self.bounds = np.concatenate([[0], np.searchsorted(self.start, ends_of_texts)])
-        if len(self.start):
-            n = len(self.low)
-            power, inverse = _powers(max(CHUNK * 2, 1 << (n - 1).bit_length()))
-            sums = np.add.reduceat(_VALUE[self.low] * power[:n], self.start)
-            self.hash = _mix(sums * inverse[self.start] + (self.end - self.start).astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
-
-    def shingles(self, k: int) -> np.ndarray:
-        """Hash of the k words from each word on; those that leave their text are to be masked by the caller."""
-        n = len(self.hash) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        out = np.zeros(n, np.uint64)
-        for j in range(k):
-            out = out * _STEP + self.hash[j : j + n]
-        return _mix(out + np.uint64(k))
-
-    def word(self, i: int) -> bytes:
-        return self.low[self.start[i] : self.end[i]].tobytes()
-
-    def words(self, lo: int, hi: int) -> bytes:
-        return b" ".join(self.word(i) for i in range(lo, hi))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-class Among:
-    """Membership in a set of hashes: a bitmap first, then a search."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = np.unique(hashes)
-        self.bits = np.uint64(64 - max(16, int(len(self.sorted) * 16).bit_length()))
-        self.bitmap = np.zeros(1 << int(64 - self.bits), bool)
-        self.bitmap[(self.sorted >> self.bits).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in `hashes` of members, and the members' places in `sorted`."""
-        if not len(self.sorted) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        some = np.flatnonzero(self.bitmap[(hashes >> self.bits).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.sorted, hashes[some]), len(self.sorted) - 1)
-        same = self.sorted[at] == hashes[some]
-        return some[same], at[same]
-
 
 class Block:
     """Windows of a part of the benchmark, with their shingles."""
@@ -181,24 +96,9 @@ class Block:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
-
-
-def _chunks(texts: list[bytes]) -> Iterator[slice]:
-    lo = held = 0
-    for i, t in enumerate(texts):
-        held += len(t) + 1
-        if held >= CHUNK:
-            yield slice(lo, i + 1)
-            lo, held = i + 1, 0
-    if lo < len(texts):
-        yield slice(lo, len(texts))
-
-
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for item, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
+        for item, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
             w = Words([text])
             n = len(w.hash)
             for lo in range(0, max(1, n - WINDOW + 1) if n else 0, 10_000):
@@ -211,8 +111,8 @@ def _count_shingles(block):
         sets = block.value.shingle_sets()
         totals: dict[int, np.ndarray] = {k: np.zeros(len(a.sorted), np.int64) for k, a in sets.items()}
         for batch in batches:
-            texts = _texts(batch.column(0))
-            for part in _chunks(texts):
+            texts = raw_texts(batch.column(0))
+            for part in chunks(texts):
                 w = Words(texts[part])
                 for k, among in sets.items():
                     at, member = among.find(w.shingles(k))
@@ -240,9 +140,9 @@ def _hits(block, names: list[str], later: bool):
         b: Block = block.value
         for batch in batches:
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
-            texts = _texts(column["__text"])
+            texts = raw_texts(column["__text"])
             n_words, spans, items = [], [], []
-            for part in _chunks(texts):
+            for part in chunks(texts):
                 w = Words(texts[part])
                 n_words += np.diff(w.bounds).tolist()
                 start, which = b.occurrences(w)
