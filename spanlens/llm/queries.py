@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, lm_scoring, ngram_join, quality, secret_scan, token_counts, toxicity
+from . import ann, bpe, chat, decontam, lm_scoring, ngram_join, quality, secret_scan, token_counts, toxicity
 from .common import read
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,6 +61,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.turns(read(spark, sf_dir, "conversations"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs, quality.train(docs)).select("doc_id", "weak_label", "score", "good")
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_chat_turns": op5_chat_turns,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
