@@ -1 +1,101 @@
-"""spanlens.sources"""
+"""Readers and writers of record files, and views of the driver's tables as contracts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Names of the wrapper field that a JSON file may have.
+WRAPPERS = ("records", "rows", "items", "data", "prompts")
+TRACE = "id string, prompt string, trace string, raw_trace string, reasoning string, final string, parse_status string"
+JUDGEMENT = "id string, refusal_judge boolean, rationale string, raw string, error string, attempts int"
+
+
+def read_rows(spark: SparkSession, path: str, schema: str | None = None, tolerant: bool = False) -> DataFrame:
+    """Rows of .jsonl, .json (an array or a wrapped one), .csv, .parquet or .orc; another ending is an error. Without a schema JSON is inferred."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    reader = spark.read.option("mode", "DROPMALFORMED" if tolerant else "FAILFAST")
+    if kind == "jsonl":
+        return (reader.schema(schema) if schema else reader).json(path)
+    if kind == "json":
+        df = reader.option("multiLine", True).json(path)
+        for w in WRAPPERS:
+            if w in df.columns and df.schema[w].dataType.typeName() == "array":
+                head = [c for c in df.columns if c != w]
+                rows = df.select(*head, F.explode(w).alias("__r"))
+                inner = rows.schema["__r"].dataType.fieldNames()
+                return rows.select("__r.*", *(c for c in head if c not in inner))
+        return df
+    if kind == "csv":
+        return reader.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    if kind == "orc":
+        return spark.read.orc(path)
+    raise ValueError(f"unknown kind of file: {path}")
+
+
+def traces(rows: DataFrame, text: str = "trace") -> DataFrame:
+    """id, text; a null text is empty."""
+    return rows.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def judgements(rows: DataFrame, field: str = "refusal_judge", null_policy: str = "drop", errors: bool = False) -> DataFrame:
+    """id, label; null labels dropped or made false; with `errors`, rows with an error dropped too."""
+    label = F.col(field).cast("boolean")
+    out = rows
+    if errors and "error" in rows.columns:
+        out = out.filter(F.col("error").isNull() | (F.col("error") == ""))
+    if null_policy == "drop":
+        out = out.filter(label.isNotNull())
+    elif null_policy != "zero":
+        raise ValueError(f"null_policy is drop or zero, not {null_policy}")
+    return out.select(F.col("id").cast("string").alias("id"), F.coalesce(label, F.lit(False)).alias("label"))
+
+
+def prompts(rows: DataFrame) -> DataFrame:
+    """id, prompt, answer (of the two names it may have)."""
+    has = rows.columns
+    answer = F.coalesce(*(F.col(c) for c in ("answer", "gold_answer") if c in has), F.lit(None).cast("string"))
+    return rows.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col("prompt"), F.lit("")).alias("prompt"), answer.alias("answer"))
+
+
+def first_groups(df: DataFrame, group: str, position: str, most: int) -> DataFrame:
+    """Rows of the first `most` groups in order of their least position."""
+    firsts = df.groupBy(group).agg(F.min(position).alias("__p")).orderBy("__p").limit(most)
+    return df.join(F.broadcast(firsts.select(group)), group, "left_semi")  # at most `most` rows
+
+
+def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows that a hash picks, the same in every run."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def write_rows(df: DataFrame, path: str, kind: str, fields: list[str] | None = None) -> None:
+    """CSV (fields in order, nulls blank), JSON lines or Parquet through Spark's commit protocol: all or nothing."""
+    out = df.select(*fields) if fields else df
+    if kind == "csv":
+        out.na.fill("").write.mode("overwrite").option("header", True).csv(path)
+    elif kind == "json":
+        out.write.mode("overwrite").json(path)
+    elif kind == "parquet":
+        out.write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"unknown kind {kind}")
+
+
+def report(df: DataFrame) -> DataFrame:
+    """One row of JSON for each row."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("report"))
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A table of a report's rows, numbers with three decimals, nulls as a dash."""
+    show = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    rows = df.limit(most).collect()
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
