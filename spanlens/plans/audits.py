@@ -417,3 +417,50 @@ def judge_validation(spark: SparkSession, d: str) -> DataFrame:
     c = agree.confusion(p, "y", "z_ext", ["lang"]).join(agree.kappa(p, "z_ext", "y", ["lang"], least=5).select("lang", "n", "kappa"), "lang")
     grade = vd.judge_grade(F.col("accuracy"), F.col("kappa"), F.col("accuracy"), F.col("fpr"), F.col("fnr"))
     return c.select("lang", "n", r9(F.col("accuracy")).alias("accuracy"), F.when(grade == "below_required", grade).otherwise("required or better").alias("grade"))
+
+
+_FROZEN = """CASE WHEN n_y < 10 OR n - n_y < 10 THEN 'UNDECIDABLE (power)' WHEN empty_share > 0.15 THEN 'UNDECIDABLE (complement)' WHEN modal_share > 0.5 THEN 'UNDECIDABLE (resolution)'
+    WHEN {t} AND abs(auc_z_comp - 0.5) >= 0.1 THEN 'SCORE FAILURE' WHEN {t} AND d_auc >= 0.15 THEN 'CONTAINMENT' WHEN {t} THEN 'UNDECIDABLE (no signal)' WHEN lo_y <= 0.5 AND hi_y >= 0.5 THEN 'UNDECIDABLE (equivalence)'
+    WHEN NOT (d_dis > 0) AND d_auc >= 0.15 THEN 'CONTAINMENT' WHEN NOT (d_dis > 0) THEN 'ALIGNED' WHEN d_dis >= 0.15 THEN 'MISMATCH' WHEN d_dis >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END""".format(t="(lo_y >= 0.45 AND hi_y <= 0.55)")
+_BASE = f"CASE WHEN {_BLOCKED} THEN 'UNDECIDABLE' WHEN lo_y <= 0.5 AND hi_y >= 0.5 THEN 'UNDECIDABLE' WHEN auc_y <= 0.5 THEN 'MISMATCH' WHEN kappa_zc_y <= 0.2 THEN 'CAUTION' ELSE 'ALIGNED' END"
+_ENC = f"CASE WHEN {_BLOCKED} THEN 'UNDECIDABLE' WHEN lo_y >= 0.45 AND hi_y <= 0.55 AND abs(auc_z_comp - 0.5) > 0.05 THEN 'SCORE FAILURE' WHEN lo_y <= 0.5 AND hi_y >= 0.5 THEN 'UNDECIDABLE' WHEN coalesce(kappa_zc_y >= 0.4, false) THEN 'ALIGNED' WHEN NOT (d_dis > 0) THEN 'ALIGNED' WHEN d_dis >= 0.15 THEN 'MISMATCH' WHEN d_dis >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END || CASE WHEN hi_y < 0.5 THEN ' (turned)' ELSE '' END"
+_EXT = f"CASE WHEN {_BLOCKED} THEN 'UNDECIDABLE' WHEN lo_y > 0.5 AND d_dis >= 0.15 THEN 'MISMATCH' WHEN lo_y > 0.5 AND d_dis >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END"
+
+
+@query(_arms_sql() + f" SELECT {_FROZEN} AS frozen, {_BASE} AS baseline, {_ENC} AS encoder, {_EXT} AS external FROM arms")
+def verdict_family(spark: SparkSession, d: str) -> DataFrame:
+    """The other rules on the same contract row."""
+    c = F.col
+    a = _arms(spark, d)
+    gates = vd.underpowered(c("n_y"), c("n")), vd.degenerate_complement(c("empty_share"))
+    blocked = gates[0] | gates[1] | vd.coarse(c("modal_share"))
+    tost, null = vd.equivalent(c("lo_y"), c("hi_y")), c("d_dis") > 0
+    return a.select(
+        vd.frozen_rule(*gates, c("modal_share"), tost, c("auc_z_comp"), c("lo_y"), c("hi_y"), null, c("d_dis"), c("d_auc")).alias("frozen"),
+        vd.baseline(blocked, c("auc_y"), c("lo_y"), c("hi_y"), c("kappa_zc_y")).alias("baseline"),
+        vd.encoder_rule(blocked, c("lo_y"), c("hi_y"), c("auc_z_comp"), c("kappa_zc_y"), null, c("d_dis")).alias("encoder"),
+        vd.external(blocked, vd.survives(~gates[0], ~vd.coarse(c("modal_share")), ~gates[1], c("lo_y") - 0.5), c("d_dis")).alias("external"),
+    )
+
+
+_CELLS = [(z, k) for z in ("z", "z_comp", "z_ext") for k in ("s", "len")]
+
+
+@query(
+    P + " " + " UNION ALL ".join(
+        f"SELECT '{z}' AS proxy, '{s}' AS score, round(a.auc, 9) AS auc_proxy, CASE WHEN a.n_pos < 10 OR a.n - a.n_pos < 10 THEN 'UNDERPOWERED' WHEN coalesce(a.auc - b.auc >= 0.15 AND k.k <= 0.2, false) THEN 'MISMATCH_CANDIDATE' WHEN coalesce(a.auc - b.auc >= 0.1, false) THEN 'CAUTION' ELSE 'ALIGNED' END AS status "
+        f"FROM {auc_sql('pair', s, z)} a, {auc_sql('pair', s, 'y')} b, (SELECT {kappa_sql(z, 'y')} AS k FROM pair) k"
+        for z, s in _CELLS
+    )
+)
+def screening_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every proxy against every score, scores as keys of one pass."""
+    p = pairs(spark, d)
+    both = p.withColumn("x", F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("v")) for s in ("s", "len"))))).select("*", "x.*")
+    a = rank.auc(both, "v", ["z", "z_comp", "z_ext", "y"], ["score"])
+    kap = p.agg(*(c.alias(f"{z}_{n}") for z in ("z", "z_comp", "z_ext") for n, c in agree.cells(z, "y").items()))
+    rows = []
+    for z in ("z", "z_comp", "z_ext"):
+        k = stats.kappa(*(F.col(f"{z}_{n}") for n in ("n11", "n10", "n01", "n00")))
+        rows.append(F.struct(F.lit(z).alias("proxy"), r9(F.col(f"auc_{z}")).alias("auc_proxy"), vd.screening(F.col(f"n_{z}"), F.col("n"), F.col(f"auc_{z}") - F.col("auc_y"), k).alias("status")))
+    return a.crossJoin(F.broadcast(kap)).select("score", F.explode(F.array(*rows)).alias("r")).select("r.proxy", "score", "r.auc_proxy", "r.status")

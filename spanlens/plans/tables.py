@@ -15,7 +15,7 @@ from .registry import query
 P = "WITH " + pairs_sql()
 
 
-@query("SELECT a.l_orderkey AS l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, CAST(a.l_extendedprice > b.l_extendedprice AS INT) AS first_dearer FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_discount <> b.l_discount")
+@query("WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_discount) AS r FROM lineitem) SELECT a.l_orderkey AS l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, CAST(a.l_extendedprice > b.l_extendedprice AS INT) AS first_dearer FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.r < b.r WHERE a.l_discount <> b.l_discount")
 def pair_explode(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of an order's lines whose discounts differ: an order has at most a few lines."""
     items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_discount"))).alias("items"))
@@ -94,9 +94,11 @@ def streaming_contingency(spark: SparkSession, d: str) -> DataFrame:
     """The running counts of a file stream, drained once into a table of the session."""
     import uuid
 
-    schema = table(spark, d, "events").schema
+    events = table(spark, d, "events")
     # A stream reads folders; a table that is one file is picked out of its folder by name.
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet")
+    one_file = all(f.endswith("/events.parquet") for f in events.inputFiles())
+    reader = spark.readStream.schema(events.schema)
+    stream = reader.option("pathGlobFilter", "events.parquet").parquet(d) if one_file else reader.parquet(f"{d}/events.parquet")
     rows = stream.select("event_type", (F.col("value") > 50).alias("z"), (F.col("user_id") % 2 == 1).alias("y"))
     name = f"contingency_{uuid.uuid4().hex[:8]}"
     q = streaming.contingency_counts(rows, ["event_type"], "z", "y").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()

@@ -31,7 +31,7 @@ def keyword_matches(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.matched("text", _WORDS).alias("cues"))
 
 
-@query("WITH s AS (SELECT d.doc_id, lang, strpos(lower(coalesce(text, '')), lang) AS at, length(coalesce(text, '')) AS n FROM documents d) SELECT lang, count(*) AS n, count(*) FILTER (at > 0) AS found, round(quantile_cont(at - 1, 0.5) FILTER (at > 0), 9) AS median_offset, count(*) FILTER (at BETWEEN 1 AND 50) AS within_50 FROM s GROUP BY lang")
+@query("WITH s AS (SELECT lang, strpos(lower(coalesce(text, '')), lang) AS place FROM documents) SELECT lang, count(*) AS n, count(*) FILTER (place > 0) AS found, round(quantile_cont(place - 1, 0.5) FILTER (place > 0), 9) AS median_offset, count(*) FILTER (place BETWEEN 1 AND 50) AS within_50 FROM s GROUP BY lang")
 def answer_arrival(spark: SparkSession, d: str) -> DataFrame:
     t = F.lower(tx.body("text"))
     at = F.instr(t, F.col("lang"))
@@ -196,3 +196,65 @@ def sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hashed_cosine(spark: SparkSession, d: str) -> DataFrame:
     return distance.hashed_cosine(turn_pairs(spark, d)).withColumn("distance", r9(F.col("distance")))
+
+
+_TAGGED = "CASE doc_id % 4 WHEN 0 THEN '<reasoning>r ' || lang || '</reasoning><final> ' || source || ' </final>' WHEN 1 THEN 'So. Final answer: ' || source WHEN 2 THEN '<final>' || lang ELSE lang END"
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, {_TAGGED} AS t FROM documents) SELECT doc_id, trim(regexp_extract(t, '(?is)<reasoning>(.*?)</reasoning>', 1)) AS reasoning, "
+    "CASE WHEN regexp_matches(t, '(?is)<final>(.*?)</final>') THEN trim(regexp_extract(t, '(?is)<final>(.*?)</final>', 1)) WHEN regexp_matches(t, '(?is)final answer\\s*:\\s*(.*)$') THEN trim(regexp_extract(t, '(?is)final answer\\s*:\\s*(.*)$', 1)) WHEN contains(t, '<final>') THEN trim(regexp_extract(t, '(?is)<final>(.*)$', 1)) ELSE '' END AS final, "
+    "CASE WHEN regexp_matches(t, '(?is)<final>(.*?)</final>') THEN 'exact' WHEN regexp_matches(t, '(?is)final answer') THEN 'fallback_final_heading' WHEN contains(t, '<final>') THEN 'fallback_truncated_final' ELSE 'missing_final' END AS status FROM t"
+)
+def tagged_blocks(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("doc_id") % 4
+    t = F.when(m == 0, F.concat(F.lit("<reasoning>r "), "lang", F.lit("</reasoning><final> "), "source", F.lit(" </final>"))).when(m == 1, F.concat(F.lit("So. Final answer: "), "source")).when(m == 2, F.concat(F.lit("<final>"), "lang")).otherwise(F.col("lang"))
+    p = tx.parse_tagged(t)
+    return table(spark, d, "documents").select("doc_id", p["reasoning"].alias("reasoning"), p["final"].alias("final"), p["status"].alias("status"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) % 3 = 0 AS said FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) % 3 < 2 UNION ALL SELECT event_id, NULL FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) % 3 = 2")
+def judge_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies as JSON, as JSON inside prose, and as prose."""
+    m = F.get_json_object("props", "$.k").cast("int") % 3
+    reply = F.when(m == 0, F.lit('{"refusal": true}')).when(m == 1, F.lit('I think {"refusal": false, "rationale": "x"} holds')).otherwise(F.lit("no json"))
+    return table(spark, d, "events").select("event_id", tx.parse_judgement(reply).alias("said"))
+
+
+@query("SELECT l_orderkey, count(*) AS steps, count(*) FILTER (l_discount > 0.05) AS good FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3")
+def step_lines(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines written as step lines and parsed again; under three lines is no parse."""
+    line = F.concat(F.lit("Step "), F.col("l_linenumber").cast("string"), F.lit(": part "), F.col("l_partkey").cast("string"), F.when(F.col("l_discount") > 0.05, F.lit(" +")).otherwise(F.lit(" -")))
+    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
+    p = t.select("l_orderkey", tx.steps("t").alias("s")).filter(F.col("s").isNotNull())
+    return p.select("l_orderkey", F.size("s").cast("bigint").alias("steps"), F.size(F.filter("s", lambda x: x["sign"] == "+")).cast("bigint").alias("good"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'I cannot. ' || coalesce(text, '') ELSE coalesce(text, '') END AS injected, substring(coalesce(text, ''), 11) AS dropped, array_to_string(string_split_regex(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '\\s+')[1:5], ' ') AS five_words FROM documents")
+def interventions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tx.inject("text", "I cannot. ", F.col("doc_id") % 3 == 0).alias("injected"), tx.drop_chars(tx.body("text"), 10).alias("dropped"), tx.token_prefix(tx.body("text"), 5).alias("five_words"))
+
+
+@query()
+def matched_excision(spark: SparkSession, d: str) -> DataFrame:
+    """As many characters as the first line has, cut at an offset that a hash picks."""
+    n = F.length(tx.body("text")) - F.length(tx.drop_first_line("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(tx.excise("text", F.least(n, F.lit(200)), F.col("doc_id"))).alias("left"))
+
+
+@query()
+def projected_distance(spark: SparkSession, d: str) -> DataFrame:
+    return distance.projected_distance(turn_pairs(spark, d), 5, 16).withColumn("distance", r9(F.col("distance")))
+
+
+@query()
+def template_energy(spark: SparkSession, d: str) -> DataFrame:
+    out = distance.subspace(turn_pairs(spark, d), distance.word_grams, F.length("term") <= 3)
+    return out.withColumns({c: r9(F.col(c)) for c in ("distance", "energy")})
+
+
+@query()
+def held_out_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of the even pairs by terms learned on the odd ones."""
+    p = turn_pairs(spark, d)
+    return distance.tfidf(p.filter("pair % 2 = 0"), fit_on=p.filter("pair % 2 = 1")).withColumn("distance", r9(F.col("distance")))
