@@ -75,6 +75,11 @@ def cohens_d(df: DataFrame, s: str, y: str, keys: Sequence[str] = ()) -> DataFra
     return t.select(*keys, "n1", "n0", stats.cohens_d(F.col("m1"), F.col("v1"), F.col("n1"), F.col("m0"), F.col("v0"), F.col("n0")).alias("d"))
 
 
+def separation(df: DataFrame, similarity: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Cohen's d of a similarity, the alike pairs (y = 0) minus the differing ones."""
+    return cohens_d(df, similarity, y, keys).withColumn("d", -F.col("d"))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, rho: correlation of the mid-ranks, each from the table of distinct values."""
     from .rank import running
