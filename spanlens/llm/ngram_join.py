@@ -49,6 +49,8 @@ VALUES = ROW * BANDS
 TOLERANCE, STEP = 1e-7, 28
 #: Most texts of a block, and texts of small components in a task.
 BLOCK, TASK = 1024, 1024
+#: Shingles of partners that are looked up together.
+SHINGLES_AT_ONCE = 500_000
 
 _rng = np.random.default_rng(99)
 _FACTOR = _rng.integers(1, 2**63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,12 +146,13 @@ def similar_pairs(sig: np.ndarray, value: np.ndarray, bounds: np.ndarray, left:
     for a, b in zip([0, *cuts], [*cuts, len(i)], strict=True):
         own = compact[bounds[i[a]] : bounds[i[a] + 1]]
         mark[own] = True
-        for lo in range(a, b, 512):
-            js = j[lo : min(b, lo + 512)]
+        at_once = np.cumsum(size[j[a:b]]) // SHINGLES_AT_ONCE
+        for lo, hi in zip(a + np.flatnonzero(np.diff(at_once, prepend=-1)), a + np.append(np.flatnonzero(np.diff(at_once)) + 1, b - a), strict=True):
+            js = j[lo:hi]
             lengths = size[js]
             at = np.repeat(bounds[js] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             common = np.add.reduceat(mark[compact[at]].astype(np.int64), np.cumsum(lengths) - lengths)
-            keep[lo : lo + len(js)] = common * SIMILAR[1] >= (len(own) + lengths - common) * SIMILAR[0]
+            keep[lo:hi] = common * SIMILAR[1] >= (len(own) + lengths - common) * SIMILAR[0]
         mark[own] = False
     return i[keep], j[keep]
 
@@ -247,9 +250,10 @@ def text_links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
     keyed = docs.select(text_key(text_or_empty(text)).alias("key"), text_or_empty(text).alias("text"))
     signed = keyed.mapInArrow(_sign, "key binary, sig binary").groupBy("key").agg(F.max("sig").alias("sig"))
     signed = materialise(signed, "signatures")
-    postings = signed.select("key", F.explode(_bands()).alias("band"))
-    lists = materialise(postings.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "least"), "band-lists")
-    edges = postings.join(lists, "band").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    # Candidates are named by 64 bits of their key: two texts with one name would only be compared in vain.
+    postings = signed.select(F.xxhash64("key").alias("name"), F.explode(_bands()).alias("band"))
+    lists = materialise(postings.groupBy("band").agg(F.min("name").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "least"), "band-lists")
+    edges = postings.join(lists, "band").select(F.col("name").alias("a"), F.col("least").alias("b"))
     grouped = components(edges, "candidates")
     sizes = grouped.groupBy("root").agg(F.count("*").alias("size"))
     tasks = materialise(sizes.filter(F.col("size") <= BLOCK).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")), "task-count").first().n // TASK + 1
@@ -262,10 +266,11 @@ def text_links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
     first, second = F.least("own", "other"), F.greatest("own", "other")
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", first, second))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    placed = materialise(placed.select(F.col("node").alias("key"), F.col("root").alias("component"), (F.col("blocks") > 1).alias("large"), task.alias("task"), side.alias("side")), "tasks")
-    wanted = placed.select("key").distinct()
-    texts = keyed.mapInArrow(_first_of_task, keyed.schema).join(wanted, "key").join(signed, "key")
-    rows = texts.join(placed, "key")
+    placed = materialise(placed.select(F.col("node").alias("name"), F.col("root").alias("component"), (F.col("blocks") > 1).alias("large"), task.alias("task"), side.alias("side")), "tasks")
+    wanted = signed.join(placed.select("name").distinct(), F.xxhash64("key") == F.col("name")).select("key", "name", "sig")
+    # Merged whatever the size: the texts' side is large, and the candidates grow with it.
+    texts = keyed.mapInArrow(_first_of_task, keyed.schema).join(wanted.hint("merge"), "key")
+    rows = texts.join(placed, "name")
     linked = materialise(rows.groupBy("large", "task").applyInArrow(_link, "a binary, b binary, n bigint"), "links")
     counts = linked.filter(F.col("b").isNull()).groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     return counts, components(linked.filter(F.col("b").isNotNull()), "classes")
