@@ -17,7 +17,8 @@ Results: one row for each parsed turn of each row (part 1, 2, ...), with its
 text without marker and its canonical rendering; rows without text give one
 empty turn. Null turns come before turn 0; rows of one turn number are ordered
 by role and text; fully repeated rows are read once; rows with a null conv_id
-are conversations of their own. Other columns are ignored.
+are conversations of their own. Of paths that score alike one is taken, the
+same in each run. Other columns are ignored.
 """
 
 from __future__ import annotations
