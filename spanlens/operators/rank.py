@@ -141,3 +141,56 @@ def best_of_group(df: DataFrame, s: str, tie: str, group: str) -> DataFrame:
     """The row of largest score of each group, the first by `tie` of equals: an aggregate, so a hot group is one row a map task."""
     order = F.struct(F.negate(F.col(s)).alias("s"), F.col(tie).alias("tie"))
     return df.filter(usable(s)).groupBy(group).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+
+
+def budget_sweep(df: DataFrame, s: str, label: str, tie: str, sizes: Sequence[int]) -> DataFrame:
+    """budget, routed, hits, precision, recall of the first rows."""
+    total = df.filter(usable(s)).agg(F.sum(F.col(label).cast("long")).alias("__p"))
+    c = composition(df, s, tie, [label], sizes).crossJoin(F.broadcast(total))  # one row
+    return c.select("budget", "routed", F.col(f"n_{label}").alias("hits"), (F.col(f"n_{label}") / F.col("routed")).alias("precision"), F.when(F.col("__p") > 0, F.col(f"n_{label}") / F.col("__p")).alias("recall"))
+
+
+def tie_exposure(df: DataFrame, s: str, label: str, size: int) -> DataFrame:
+    """At the cut of the first `size` rows: cut score, rows surely in, rows tied at the cut, places left for them, positives in and tied, and the expected positives if ties fall at random (hypergeometric mean)."""
+    t = running(score_table(df, s, [label]), s, ["n", f"p_{label}"], descending=True)
+    at = t.filter((F.col("before_n") < size) & (F.col("before_n") + F.col("n") >= size))
+    left = size - F.col("before_n")
+    return at.select(F.col(s).alias("cut"), F.col("before_n").alias("surely"), F.col("n").alias("tied"), left.alias("places"), F.col(f"before_p_{label}").alias("pos_in"), F.col(f"p_{label}").alias("pos_tied"), (F.col(f"before_p_{label}") + left * F.col(f"p_{label}") / F.col("n")).alias("expected"))
+
+
+def side_summary(df: DataFrame, side: str, text: str, status: str, error: str) -> DataFrame:
+    """side, status, n, empty, errors."""
+    blank = F.coalesce(F.trim(F.col(text)), F.lit("")) == ""
+    return df.groupBy(side, status).agg(F.count("*").alias("n"), F.count_if(blank).alias("empty"), F.count_if(F.col(error).isNotNull() & (F.col(error) != "")).alias("errors"))
+
+
+def error_model(df: DataFrame, truth: str, said: str, side: str) -> DataFrame:
+    """side, n, p_false_pos, p_false_neg: how often the judge leaves the truth, by the truth."""
+    t, j = F.col(truth).cast("int"), F.col(said).cast("int")
+    wrong = (t != j).cast("double")
+    return df.groupBy(side).agg(F.count("*").alias("n"), F.avg(F.when(t == 0, wrong)).alias("p_false_pos"), F.avg(F.when(t == 1, wrong)).alias("p_false_neg"))
+
+
+def aggregator_check(df: DataFrame, values: str, released: str) -> DataFrame:
+    """how, n, corr, max_gap of each way to sum up step values against a released score."""
+    from ..functions.rules import prefix_score
+
+    ways = ("product", "min", "mean", "last")
+    v = F.col(values)
+    wide = df.select(F.col(released).alias("r"), *(prefix_score(v, F.size(v), w).alias(w) for w in ways))
+    sums = wide.agg(F.count("r").alias("n"), *(F.corr(w, "r").alias(f"c_{w}") for w in ways), *(F.max(F.abs(F.col(w) - F.col("r"))).alias(f"g_{w}") for w in ways))
+    rows = F.array(*(F.struct(F.lit(w).alias("how"), F.col("n").alias("n"), F.col(f"c_{w}").alias("corr"), F.col(f"g_{w}").alias("max_gap")) for w in ways))
+    return sums.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def zero_crossing(df: DataFrame, at: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, crossing: where the value, linear between neighbours, first falls from above zero to zero or below; null if it never does. A table of spans: small."""
+    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(at)
+    steps = df.withColumn("__a", F.lag(at).over(w)).withColumn("__v", F.lag(value).over(w))
+    cross = F.when((F.col("__v") > 0) & (F.col(value) <= 0), F.col("__a") + (F.col(at) - F.col("__a")) * F.col("__v") / (F.col("__v") - F.col(value)))
+    return steps.groupBy(*keys).agg(F.min(cross).alias("crossing"))
+
+
+def first_clear(df: DataFrame, at: str, lo: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, first_clear: the first span from which on the interval's lower end isn't above zero."""
+    return df.groupBy(*keys).agg(F.min(F.when(F.col(lo) <= 0, F.col(at))).alias("first_clear"))

@@ -154,3 +154,40 @@ def best_of_n(df: DataFrame, key: str, group: str, s: str, y: str, n: int, n_dra
     some = spread.withColumn("o", F.row_number().over(W.partitionBy("draw", group).orderBy(draw_hash(seed, F.col("draw"), F.col(key)), key))).filter(F.col("o") <= n)
     per = some.groupBy("draw", group).agg(F.min_by(F.col(y).cast("int"), F.struct(F.negate(F.col(s)), F.col(key))).alias("picked"), F.avg(F.col(y).cast("double")).alias("base"))
     return per.groupBy("draw").agg(F.count("*").alias("groups"), F.avg("picked").alias("picked_rate"), F.avg("base").alias("base_rate"))
+
+
+def label_shuffle(df: DataFrame, key: str, s: str, y: str, n_draws: int, seed: int | str) -> DataFrame:
+    """(draw, auc): labels permuted over all rows; the stratified null of one stratum."""
+    one = df.withColumn("__one", F.lit(0))
+    return stratified_null(one, key, s, y, "__one", n_draws, seed)
+
+
+def queue_difference(df: DataFrame, key: str, a: str, b: str, y: str, size: int, n_draws: int, seed: int | str) -> DataFrame:
+    """(draw, diff): positives among the first `size` by a minus those by b, with y permuted and scores fixed."""
+    rows = df.select(F.col(key).alias("k"), F.col(y).cast("int").alias("y"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(a), key)).alias("ra"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(b), key)).alias("rb"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)).alias("slot"))
+    spread = rows.crossJoin(F.broadcast(draws(df.sparkSession, n_draws)))
+    there = spread.select("draw", "y", F.row_number().over(W.partitionBy("draw").orderBy(draw_hash(seed, F.col("draw"), F.col("k")), "k")).alias("slot"))
+    mixed = spread.select("draw", "slot", "ra", "rb").join(there, ["draw", "slot"])
+    count = lambda r: F.sum(F.when(F.col(r) <= size, F.col("y")).otherwise(0))
+    return mixed.groupBy("draw").agg((count("ra") - count("rb")).alias("diff"))
+
+
+def paired_change(df: DataFrame, key: str, before: str, after: str, y: str, n_draws: int, seed: int | str) -> DataFrame:
+    """(draw, auc_before, auc_after, change): the same weights for the score before and after an intervention."""
+    rows = numbered(df.filter(F.col(before).isNotNull() & F.col(after).isNotNull()), key)
+    drawn = weights(rows, n_draws, seed).join(rows.select("i", before, after, y), "i")
+    a = weighted_auc(drawn, before, y, "w", ["draw"]).select("draw", F.col("auc").alias("auc_before"))
+    b = weighted_auc(drawn, after, y, "w", ["draw"]).select("draw", F.col("auc").alias("auc_after"))
+    return a.join(b, "draw").withColumn("change", F.col("auc_after") - F.col("auc_before"))
+
+
+def verdict_shares(draw_verdicts: DataFrame) -> DataFrame:
+    """verdict, share of draws: how stable a verdict is under resampling."""
+    n = draw_verdicts.agg(F.count("*").alias("__n"))
+    return draw_verdicts.groupBy("verdict").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).select("verdict", (F.col("c") / F.col("__n")).alias("share"))
+
+
+def bar_comparison(boot: DataFrame, null: DataFrame, value: str) -> DataFrame:
+    """bootstrap_lo, null_p95: the two bars that a gap can be held against."""
+    a = boot.agg(F.percentile(value, F.lit(0.025)).alias("bootstrap_lo"))
+    return a.crossJoin(null.agg(F.percentile(value, F.lit(0.95)).alias("null_p95")))  # single rows

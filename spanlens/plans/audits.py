@@ -464,3 +464,47 @@ def screening_grid(spark: SparkSession, d: str) -> DataFrame:
         k = stats.kappa(*(F.col(f"{z}_{n}") for n in ("n11", "n10", "n01", "n00")))
         rows.append(F.struct(F.lit(z).alias("proxy"), r9(F.col(f"auc_{z}")).alias("auc_proxy"), vd.screening(F.col(f"n_{z}"), F.col("n"), F.col(f"auc_{z}") - F.col("auc_y"), k).alias("status")))
     return a.crossJoin(F.broadcast(kap)).select("score", F.explode(F.array(*rows)).alias("r")).select("r.proxy", "score", "r.auc_proxy", "r.status")
+
+
+@query(f"{P}, {_TOP} SELECT b AS budget, count(*) AS routed, CAST(sum(y) AS BIGINT) AS hits, round(avg(CAST(y AS DOUBLE)), 9) AS precision, round(sum(y) / CAST((SELECT sum(y) FROM pair) AS DOUBLE), 9) AS recall FROM r, (VALUES (10), (40), (160)) AS v(b) WHERE rk <= b GROUP BY b")
+def budget_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return rank.budget_sweep(pairs(spark, d), "s", "y", "id", [10, 40, 160]).withColumns({c: r9(F.col(c)) for c in ("precision", "recall")})
+
+
+@query(
+    f"{P}, t AS (SELECT s, count(*) AS n, sum(y) AS p FROM pair GROUP BY s), c AS (SELECT s, n, p, coalesce(sum(n) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bn, coalesce(sum(p) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bp FROM t) "
+    "SELECT s AS cut, CAST(bn AS BIGINT) AS surely, n AS tied, CAST(40 - bn AS BIGINT) AS places, CAST(bp AS BIGINT) AS pos_in, CAST(p AS BIGINT) AS pos_tied, round(bp + (40 - bn) * p / CAST(n AS DOUBLE), 9) AS expected FROM c WHERE bn < 40 AND bn + n >= 40"
+)
+def tie_exposure(spark: SparkSession, d: str) -> DataFrame:
+    return rank.tie_exposure(pairs(spark, d), "s", "y", 40).withColumn("expected", r9(F.col("expected")))
+
+
+@query(f"{P} SELECT lang, count(*) AS n, round(avg(CASE WHEN y = 0 THEN CASE WHEN z_ext = 1 THEN 1.0 ELSE 0.0 END END), 9) AS p_false_pos, round(avg(CASE WHEN y = 1 THEN CASE WHEN z_ext = 0 THEN 1.0 ELSE 0.0 END END), 9) AS p_false_neg FROM pair GROUP BY lang")
+def error_model(spark: SparkSession, d: str) -> DataFrame:
+    return rank.error_model(pairs(spark, d), "y", "z_ext", "lang").withColumns({c: r9(F.col(c)) for c in ("p_false_pos", "p_false_neg")})
+
+
+@query(
+    "WITH o AS (SELECT l_orderkey, list(1 - l_discount ORDER BY l_linenumber, l_discount) AS v, sum(1 - l_discount) / count(*) AS r FROM lineitem GROUP BY l_orderkey), w AS (SELECT r, list_product(v) AS p, list_min(v) AS mn, list_avg(v) AS m, v[-1] AS l FROM o) "
+    "SELECT 'product' AS how, count(*) AS n, round(corr(p, r), 6) AS corr, round(max(abs(p - r)), 6) AS max_gap FROM w UNION ALL SELECT 'min', count(*), round(corr(mn, r), 6), round(max(abs(mn - r)), 6) FROM w UNION ALL SELECT 'mean', count(*), round(corr(m, r), 6), round(max(abs(m - r)), 6) FROM w UNION ALL SELECT 'last', count(*), round(corr(l, r), 6), round(max(abs(l - r)), 6) FROM w"
+)
+def aggregator_check(spark: SparkSession, d: str) -> DataFrame:
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount"))), lambda x: 1 - x["l_discount"])
+    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(steps.alias("v"), (F.sum(1 - F.col("l_discount")) / F.count("*")).alias("r"))
+    return rank.aggregator_check(t, "v", "r").withColumns({c: F.round(c, 6) for c in ("corr", "max_gap")})
+
+
+@query(f"{P} SELECT id, CAST(z_ext <> y AS INT) AS differs, CAST(greatest(z_ext, y, q) <> least(z_ext, y, q) AS INT) AS any_differs, z_ext = 1 AND y = 1 AS both, z_ext = 0 AND y = 0 AS neither FROM pair")
+def disagreement_labels(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import rules
+
+    p = pairs(spark, d)
+    joint = rules.joint_states(F.col("z_ext"), F.col("y"))
+    return p.select("id", rules.disagree(F.col("z_ext"), F.col("y")).alias("differs"), rules.any_disagree([F.col(c) for c in ("z_ext", "y", "q")]).alias("any_differs"), joint["both"].alias("both"), joint["neither"].alias("neither"))
+
+
+@query("WITH m AS (SELECT lang, quantile_cont(n_chars, 0.5) AS m FROM documents GROUP BY lang) SELECT doc_id, CAST(n_chars > m AS INT) AS above FROM documents JOIN m USING (lang)")
+def above_median(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import rules
+
+    return rules.above_median(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "n_chars", ["lang"]).select("doc_id", "above")

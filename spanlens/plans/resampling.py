@@ -132,3 +132,18 @@ def pair_kappa_sim(spark: SparkSession, d: str) -> DataFrame:
     t = simulate.pair_kappa(spark, 5000, [0.02, 0.05, 0.1, 0.2])
     side = agree.kappa(t, "a", "ja", ["error"]).select("error", F.col("kappa").alias("side_kappa"))
     return side.join(agree.kappa(t, "pair", "judged_pair", ["error"]).select("error", F.col("kappa").alias("pair_kappa")), "error").select("error", r9(F.col("side_kappa")).alias("side_kappa"), r9(F.col("pair_kappa")).alias("pair_kappa"))
+
+
+@query(
+    f"{P}, dr AS (SELECT unnest(range(0, 20)) AS draw), r AS (SELECT id, y, row_number() OVER (ORDER BY s DESC, id) AS ra, row_number() OVER (ORDER BY len DESC, id) AS rb, row_number() OVER (ORDER BY id) AS slot FROM pair), "
+    f"t AS (SELECT draw, y, row_number() OVER (PARTITION BY draw ORDER BY {_hash(chr(39) + 'q' + chr(39), 'draw', 'id')}, id) AS slot FROM r, dr), m AS (SELECT t.draw AS draw, t.y AS y, r.ra AS ra, r.rb AS rb FROM t JOIN r USING (slot)) "
+    "SELECT draw, CAST(sum(CASE WHEN ra <= 50 THEN y ELSE 0 END) - sum(CASE WHEN rb <= 50 THEN y ELSE 0 END) AS BIGINT) AS diff FROM m GROUP BY draw"
+)
+def queue_difference(spark: SparkSession, d: str) -> DataFrame:
+    return resample.queue_difference(pairs(spark, d), "id", "s", "len", "y", 50, 20, "q")
+
+
+@query(f"{P}, {_DRAWN.replace('n.z_comp FROM', 'n.z_comp, n.len FROM')} SELECT draw, round(a.auc, 9) AS auc_before, round(b.auc, 9) AS auc_after, round(b.auc - a.auc, 9) AS change FROM {_weighted('x', 's', 'y')} a JOIN {_weighted('x', 'len', 'y')} b USING (draw)")
+def paired_change(spark: SparkSession, d: str) -> DataFrame:
+    out = resample.paired_change(pairs(spark, d), "id", "s", "len", "y", DRAWS, "s")
+    return out.select("draw", *(r9(F.col(c)).alias(c) for c in ("auc_before", "auc_after", "change")))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import mathtext
+from ..functions import mathtext, rules
 from ..functions import text as tx
 from ..functions.vocabulary import CUES
 from ..operators import distance
+from ..shipping import ship
 from ..sources import table
 from .contracts import TURNS_SQL, r9, turn_pairs
 from .registry import query
@@ -177,12 +178,14 @@ def surface_rules(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def math_equal(spark: SparkSession, d: str) -> DataFrame:
     """Prices of an order's lines as fractions against decimals."""
+    ship(spark)
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("\\boxed{\\frac{"), F.col("l_quantity").cast("int").cast("string"), F.lit("}{4}}")).alias("a"), (F.col("l_quantity") / 4).cast("string").alias("b"))
     return t.select("l_orderkey", "l_linenumber", mathtext.math_equal(F.col("a"), F.col("b")).alias("equal"))
 
 
 @query()
 def arithmetic_claims(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
     claim = F.format_string("%d + %d = %d", F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_linenumber") + F.col("l_quantity").cast("int") + F.when(F.col("l_linenumber") == 7, 1).otherwise(0))
     t = table(spark, d, "lineitem").select("l_linenumber", mathtext.arithmetic_claim_false(claim).alias("f"))
     return t.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.count_if("f").alias("false_claims"))
@@ -258,3 +261,17 @@ def held_out_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Distances of the even pairs by terms learned on the odd ones."""
     p = turn_pairs(spark, d)
     return distance.tfidf(p.filter("pair % 2 = 0"), fit_on=p.filter("pair % 2 = 1")).withColumn("distance", r9(F.col("distance")))
+
+
+@query("SELECT doc_id, round(CASE WHEN length(coalesce(text, '')) > 0 THEN length(regexp_replace(text, '[^0-9+\\-*/=^]', '', 'g')) / CAST(length(text) AS DOUBLE) ELSE 0 END, 9) AS density, CASE WHEN lang <> 'en' THEN 'not english' WHEN n_chars < 100 THEN 'short' WHEN contains(coalesce(text, ''), '|') THEN 'table' ELSE 'included' END AS reason FROM documents")
+def screening_reasons(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents")
+    reason = rules.screen_reason((F.col("lang") != "en", "not english"), (F.col("n_chars") < 100, "short"), (F.contains(tx.body("text"), F.lit("|")), "table"))
+    return t.select("doc_id", r9(rules.arithmetic_density("text")).alias("density"), reason.alias("reason"))
+
+
+@query()
+def gold_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where a document's language code stands as a word, and whether its length in characters is named; look-behind has no SQL form here."""
+    t = table(spark, d, "documents")
+    return t.select("doc_id", rules.gold_offset("text", F.col("lang")).alias("offset"), rules.has_number("text", F.col("n_chars").cast("string")).alias("names_length"), rules.opening_family("text").alias("family"))
