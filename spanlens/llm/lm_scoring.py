@@ -63,6 +63,33 @@ def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1))
 
 
+def pack(grams: np.ndarray) -> bytes:
+    """Sorted hashes as their first and six-byte differences, which hold for all but very few hashes; else as they are."""
+    if not len(grams):
+        return b""
+    grams = grams.astype("<u8")
+    gaps = np.diff(grams)
+    if len(gaps) and int(gaps.max()) >= 1 << 48:
+        return b"\x08" + grams.tobytes()
+    return b"\x06" + grams[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, "<u8")
+    if packed[0] == 8:
+        return np.frombuffer(packed, "<u8", offset=1)
+    gaps = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, 6)
+    wide = np.zeros((len(gaps), 8), np.uint8)
+    wide[:, :6] = gaps
+    return np.cumsum(np.concatenate([np.frombuffer(packed, "<u8", 1, 1), wide.view("<u8").ravel()]), dtype="<u8")
+
+
+def _counts(values: np.ndarray) -> bytes:
+    """Four bytes each if that is enough for all, else eight."""
+    return values.astype("<u4" if not len(values) or int(values.max()) < 1 << 32 else "<u8").tobytes()
+
+
 def _request(parts: int):
     def run(table: pa.Table) -> pa.Table:
         g = Grams(raw_texts(table.column("text").combine_chunks()))
@@ -73,7 +100,7 @@ def _request(parts: int):
             bounds = _parts(grams, parts)
             for p in range(parts):
                 a, b = bounds[p], bounds[p + 1]
-                row = (split, n, p, grams[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes(), len(g.word))
+                row = (split, n, p, pack(grams[a:b]), counts[a:b].astype("<u4").tobytes(), len(g.word))
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
         return pa.table(out, schema=_REQUEST)
@@ -86,7 +113,7 @@ _REQUEST = pa.schema([("split", pa.int32()), ("n", pa.int32()), ("part", pa.int3
 
 def _totals(table: pa.Table) -> pa.Table:
     """One part: for each split's row, the corpus-wide count of each of its n-grams."""
-    grams = [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
+    grams = [unpack(x) for x in table.column("grams").to_pylist()]
     counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
     _, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts)).astype("<u8") if len(at) else np.zeros(0, "<u8")
@@ -97,7 +124,8 @@ def _totals(table: pa.Table) -> pa.Table:
             "split": table.column("split"),
             "n": table.column("n"),
             "part": table.column("part"),
-            "totals": pa.array([x.tobytes() for x in back], pa.binary()),
+            "totals": pa.array([_counts(x) for x in back], pa.binary()),
+            "size": pa.array([len(x) for x in back], pa.int64()),
             "words": pa.array([words] * len(grams), pa.int64()),
         }
     )
@@ -117,8 +145,8 @@ def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
     rest, own = {}, {}
     totals = totals.sort_by([("n", "ascending"), ("part", "ascending")])
     for n, occurrence, text in ((1, g.word, g.text), (2, g.pair, g.text[g.second])):
-        packed = b"".join(x for x, k in zip(totals.column("totals").to_pylist(), totals.column("n").to_pylist(), strict=True) if k == n)
-        total = np.frombuffer(packed, "<u8").astype(np.int64)
+        parts = [np.frombuffer(x, "<u4" if len(x) == 4 * size else "<u8") for x, size, k in zip(*(totals.column(c).to_pylist() for c in ("totals", "size", "n")), strict=True) if k == n]
+        total = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
         at = np.searchsorted(g.distinct(n)[0], occurrence)
         own[n] = _own(text, at)
         rest[n] = total[at] - own[n] if len(at) else np.zeros(0, np.int64)
@@ -154,5 +182,5 @@ def score(docs: DataFrame, text: str = "text", split: int = SPLIT) -> DataFrame:
     dealt = docs.select("doc_id", text_or_empty(text).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(splits)).cast("int").alias("split")).repartition(splits, "split")
     kind = dealt.schema["doc_id"].dataType.simpleString()
     requests = dealt.groupBy("split").applyInArrow(_request(splits), "split int, n int, part int, grams binary, counts binary, words bigint")
-    totals = requests.groupBy("n", "part").applyInArrow(_totals, "split int, n int, part int, totals binary, words bigint")
+    totals = requests.groupBy("n", "part").applyInArrow(_totals, "split int, n int, part int, totals binary, size bigint, words bigint")
     return dealt.groupBy("split").cogroup(totals.groupBy("split")).applyInArrow(_score, f"doc_id {kind}, n_words bigint, log_score double, n_backoff bigint")

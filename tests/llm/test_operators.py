@@ -395,3 +395,13 @@ def test_nearest_odd_rows(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 2, 0.5)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_packed_ngrams():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 1000):
+        for top in (2**64 - 1, 2**56):
+            grams = np.unique(rng.integers(0, top, n, np.uint64, endpoint=True))
+            assert (lm_scoring.unpack(lm_scoring.pack(grams)) == grams).all()
+    dense = np.arange(2**63, 2**63 + 50, dtype=np.uint64)
+    assert (lm_scoring.unpack(lm_scoring.pack(dense)) == dense).all() and len(lm_scoring.pack(dense)) == 9 + 6 * 49
