@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401  the operators take it from here
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
@@ -20,25 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of every executor, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        with tempfile.TemporaryDirectory() as at:
-            shutil.copytree(package, f"{at}/zip/{os.path.basename(package)}", ignore=shutil.ignore_patterns("__pycache__"))
-            # Stays until the process ends: executors that start later fetch it too.
-            file = shutil.make_archive(f"{tempfile.mkdtemp()}/{os.path.basename(package)}", "zip", f"{at}/zip")
-        sc.addPyFile(file)
-        _shipped.add(sc.applicationId)
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/spanlens/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's part of the shared folder, which may go when its results have been read."""
+    return f"{shared_dir(spark)}/spanlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
