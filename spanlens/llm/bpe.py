@@ -35,7 +35,7 @@ from .common import ship, text_or_empty
 #: Pre-tokens a worker remembers before it starts anew.
 CACHE = 400_000
 #: Characters of text whose unknown pre-tokens are encoded together.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Byte length from which a pre-token gets a tree of its own.
 LONG = 512
 _NONE = np.int64(1) << 62

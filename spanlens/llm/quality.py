@@ -152,17 +152,17 @@ class Scorer:
 
 def fit(x: np.ndarray, target: np.ndarray) -> Scorer:
     """Logistic regression on soft targets, all rows in each step."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b = np.zeros(x.shape[1], np.float32), 0.0  # the rows' own type: a product with another would copy them
     if not len(x):
         return Scorer(w, 40.0)
     moments = np.zeros((2, len(w) + 1))
     for t in range(1, STEPS + 1):
-        error = (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - target) / len(x)
+        error = ((1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - target) / len(x)).astype(np.float32)
         grad = np.append(error @ x + DECAY * w, error.sum())
         moments = moments * [[0.9], [0.99]] + np.stack([0.1 * grad, 0.01 * grad**2])
         step = RATE * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return Scorer(w.astype(np.float32), float(b))
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
+    return Scorer(w, float(b))
 
 
 def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +202,12 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Scorer, dict[int, float]
     some = keyed.filter(F.pmod(F.col("key"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else keyed
     features = some.mapInArrow(_sample_rows, "key bigint, pattern int, features binary").groupBy("key").agg(F.min("pattern").alias("pattern"), F.min("features").alias("features"))
     sample = materialise(features, "quality-sample").orderBy("key").limit(SAMPLE + SAMPLE // 4).collect()
-    x = np.stack([np.frombuffer(bytes(r.features), "<f2") for r in sample]).astype(np.float32) if sample else np.zeros((0, BUCKETS), np.float32)
-    return fit(x, np.array([belief[r.pattern] for r in sample])), belief
+    x = np.zeros((len(sample), BUCKETS), np.float32)
+    target = np.array([belief[r.pattern] for r in sample])
+    for k in range(len(sample)):
+        x[k] = np.frombuffer(bytes(sample[k].features), "<f2")
+        sample[k] = None
+    return fit(x, target), belief
 
 
 def score(docs: DataFrame, model: tuple[Scorer, dict[int, float]], text: str = "text") -> DataFrame:

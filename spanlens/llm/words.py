@@ -6,13 +6,12 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z, which
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text cut at once.
-CHUNK = 2_000_000
+#: Bytes of text cut at once: a worker's arrays take some 60 times that.
+CHUNK = 1_000_000
 
 BYTE = np.zeros(256, np.uint8)
 BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
@@ -24,14 +23,17 @@ _BASE, _STEP = (np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, 2, np.uin
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for x in (_BASE, _BASE_INVERSE):
-        p = np.full(n, x, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_known = np.ones((2, 1), np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of the base and of its inverse; the most that were asked for are kept."""
+    global _known
+    if _known.shape[1] < n:
+        p = np.empty((2, 1 << (n - 1).bit_length()), np.uint64)
+        p[0], p[1], p[:, 0] = _BASE, _BASE_INVERSE, 1
+        _known = np.multiply.accumulate(p, axis=1)
+    return _known
 
 
 class Words:
@@ -50,7 +52,7 @@ class Words:
         self.bounds = np.concatenate([[0], np.searchsorted(self.start, ends_of_texts)])
         if len(self.start):
             n = len(self.low)
-            power, inverse = _powers(max(CHUNK * 2, 1 << (n - 1).bit_length()))
+            power, inverse = _powers(n)
             sums = np.add.reduceat(_VALUE[self.low] * power[:n], self.start)
             self.hash = mix(sums * inverse[self.start] + (self.end - self.start).astype(np.uint64))
         else:
