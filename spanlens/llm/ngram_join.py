@@ -48,7 +48,7 @@ VALUES = ROW * BANDS
 #: Posterior probability of similarity below which a pair is dropped; values compared at a time.
 TOLERANCE, STEP = 1e-7, 28
 #: Most texts of a block, and texts of small components in a task.
-BLOCK, TASK = 1024, 1024
+BLOCK, TASK = 1024, 512
 #: Shingles of partners that are looked up together.
 SHINGLES_AT_ONCE = 500_000
 
@@ -83,6 +83,16 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
+def all_shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any number of texts, cut a chunk at a time."""
+    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in chunks(texts):
+        value, bounds = shingle_sets(texts[part])
+        values.append(value)
+        sizes.append(np.diff(bounds))
+    return np.concatenate(values), np.cumsum(np.concatenate(sizes))
+
+
 def signatures(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """texts x VALUES; of texts without shingles all ones."""
     out = np.full((len(bounds) - 1, VALUES), 0xFFFFFFFF, np.uint32)
@@ -106,17 +116,19 @@ def least_matches(tolerance: float = TOLERANCE) -> dict[int, int]:
     return out
 
 
-def similar_pairs(sig: np.ndarray, value: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The linked pairs between rows `left` and rows `right`; if both are the same, each pair once."""
-    least = least_matches()
+def similar_pairs(sig: np.ndarray, compact: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, least: dict[int, int], mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs between rows `left` and rows `right`; if both are the same, each pair once. `compact`: the rows' shingles as small numbers; `mark`: a false for each of those."""
     same = left is right
     size = np.diff(bounds)
     i_all, j_all = [], []
     for lo in range(0, len(left), 256):
         rows = left[lo : lo + 256]
-        match = np.zeros((len(rows), len(right)), np.int16)
-        for k in range(STEP):
-            match += sig[rows, k][:, None] == sig[right, k][None, :]
+        if len(rows) * len(right) <= 4096:
+            match = (sig[rows, None, :STEP] == sig[None, right, :STEP]).sum(2)
+        else:
+            match = np.zeros((len(rows), len(right)), np.int16)
+            for k in range(STEP):
+                match += sig[rows, k][:, None] == sig[right, k][None, :]
         i, j = np.nonzero(match >= least[STEP])
         m = match[i, j].astype(np.int64)
         i, j = i + lo, j
@@ -137,8 +149,6 @@ def similar_pairs(sig: np.ndarray, value: np.ndarray, bounds: np.ndarray, left:
     i, j = np.concatenate(i_all), np.concatenate(j_all)
     if not len(i):
         return i, j
-    _, compact = np.unique(value, return_inverse=True)
-    mark = np.zeros(compact.max() + 1, bool)
     order = np.argsort(i, kind="stable")
     i, j = i[order], j[order]
     keep = np.zeros(len(i), bool)
@@ -203,16 +213,20 @@ def _link(table: pa.Table) -> pa.Table:
     rows = table.select(["key", "component", "side", "sig", "text"]).to_pandas()
     rows = rows.drop_duplicates(["key"]).reset_index(drop=True)  # copies that came from several map tasks
     keys = rows["key"].tolist()
-    value, bounds = shingle_sets([t.encode() for t in rows["text"]])
+    value, bounds = all_shingle_sets([t.encode() for t in rows.pop("text")])
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, VALUES)
+    names, compact = np.unique(value, return_inverse=True)
+    del value
+    shared = compact, bounds
+    least, mark = least_matches(), np.zeros(len(names), bool)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for places in rows.groupby("component", sort=False).indices.values():
         side = rows["side"].to_numpy()[places]
         if (side == 0).any():
             own = places[side == 0]
-            found.append(similar_pairs(sig, value, bounds, own, own))
+            found.append(similar_pairs(sig, *shared, own, own, least, mark))
         elif len(np.unique(side)) == 2:
-            found.append(similar_pairs(sig, value, bounds, places[side == 1], places[side == 2]))
+            found.append(similar_pairs(sig, *shared, places[side == 1], places[side == 2], least, mark))
     i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     n = np.bincount(i, minlength=len(keys)) + np.bincount(j, minlength=len(keys))
     some = np.flatnonzero(n)
