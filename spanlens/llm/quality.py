@@ -5,7 +5,8 @@ whole text. Vote patterns are counted over all texts, and expectation-
 maximisation on those counts (a table of at most 3^labellers rows, whatever the
 input) estimates each labeller's accuracies and the posterior of every pattern.
 The posteriors train a linear scorer over hashed features of a bounded sample
-(at most SAMPLE distinct texts, by a hash of the text): the relative
+(about SAMPLE of the distinct texts, by a hash of the text; all of them if
+there are no more, and copies never lower the number): the relative
 frequencies of character-class trigrams and binned statistics. It scores every
 whole text; rows under a half are rejected.
 
@@ -175,8 +176,15 @@ def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base = 3 ** np.arange(len(LABELLERS))
+    """One row a text, whatever its copies in this task; the bar bounds the keys held."""
+    base, met = 3 ** np.arange(len(LABELLERS)), set()
     for batch in batches:
+        keys, new = batch.column(0).to_pylist(), []
+        for k, key in enumerate(keys):
+            if key not in met:
+                met.add(key)
+                new.append(k)
+        batch = batch.take(pa.array(new, pa.int64()))
         texts = raw_texts(batch.column(1))
         for part in chunks(texts):
             s = Statistics(texts[part])
@@ -195,13 +203,15 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Scorer, dict[int, float]
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
     good, _, _ = posteriors(patterns, np.array([n[c] for c in codes.tolist()], float))
     belief = dict(zip(codes.tolist(), good.tolist(), strict=True))
-    rows = max(sum(n.values()), 1)
     keyed = body.select(F.xxhash64("text").alias("key"), "text")
-    # Texts below a bar on their hash: about SAMPLE of them; copies are one.
-    share = min(1.0, SAMPLE / rows)
+    # Texts below a bar on their hash: about SAMPLE of the distinct ones; copies are one.
+    distinct = keyed.select("key").distinct().count()
+    share = min(1.0, SAMPLE / max(distinct, 1))
     some = keyed.filter(F.pmod(F.col("key"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else keyed
     features = some.mapInArrow(_sample_rows, "key bigint, pattern int, features binary").groupBy("key").agg(F.min("pattern").alias("pattern"), F.min("features").alias("features"))
     sample = materialise(features, "quality-sample").orderBy("key").limit(SAMPLE + SAMPLE // 4).collect()
+    if n and not sample:
+        raise ValueError("the fit's sample is empty although the table has rows")
     x = np.zeros((len(sample), BUCKETS), np.float32)
     target = np.array([belief[r.pattern] for r in sample])
     for k in range(len(sample)):

@@ -225,6 +225,24 @@ def test_quality_odd_rows(spark):
     assert quality.good(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("sample", "distinct", "copies", "low", "high"), [(50, 20, 100, 20, 20), (400, 3000, 1, 340, 460)])
+def test_quality_sample_counts_distinct_texts(spark, monkeypatch, sample, distinct, copies, low, high):
+    """20 texts of 100 copies each; 3,000 texts and half as many copies of one."""
+    docs = spark.range(distinct * copies + (distinct // 2 if copies == 1 else 0)).selectExpr("id", f"concat('plain words of text number ', if(id < {distinct * copies}, id % {distinct}, 0)) AS text")
+    fitted, fit = [], quality.fit
+    monkeypatch.setattr(quality, "SAMPLE", sample)
+    monkeypatch.setattr(quality, "fit", lambda x, target: fitted.append(len(x)) or fit(x, target))
+    quality.train(docs)
+    assert low <= fitted[0] <= high
+
+
+def test_quality_without_a_sample_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(quality, "materialise", lambda df, name: df.limit(0))
+    with pytest.raises(ValueError, match="sample is empty"):
+        quality.train(odd_docs(spark))
+    assert quality.good(odd_docs(spark).limit(0)).count() == 0
+
+
 # 7
 
 
