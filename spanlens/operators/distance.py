@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -90,6 +91,28 @@ def tfidf(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams, most
     return cosine(pairs, counts.join(vocab, "term").select("pair", weight("ta").alias("wa"), weight("tb").alias("wb")))
 
 
+def held_out_tfidf(pairs: DataFrame, fold: Column, folds: int, grams: Callable[[Column], Column] = word_grams, most: int = 10_000, min_df: int = 1) -> DataFrame:
+    """pair, distance of every pair, by terms and idf of the pairs in other folds; 1 where these have none of its terms. `fold`: 0 to `folds` - 1, from `pair`."""
+    counts = term_counts(pairs, grams).withColumn("fold", fold.cast("int"))
+    own = counts.groupBy("term", "fold").agg(F.sum(F.col("ta") + F.col("tb")).alias("tf"), F.sum((F.col("ta") > 0).cast("int") + (F.col("tb") > 0).cast("int")).alias("df"))
+    # A row a term, which all folds read: its totals, and of these the share of each fold.
+    terms = own.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("tf", "df")))).alias("own"))
+    parts = []
+    for k in range(folds):
+        here = F.col("own")[F.lit(k)]
+        others = terms.select("term", (F.col("tf") - F.coalesce(here["tf"], F.lit(0))).alias("tf"), (F.col("df") - F.coalesce(here["df"], F.lit(0))).alias("df"))
+        parts.append(others.filter(F.col("df") >= max(min_df, 1)).orderBy(F.desc("tf"), "term").limit(most).select(F.lit(k).alias("fold"), "term", "df"))
+    sizes = pairs.agg(*((F.count_if(fold != k) * 2).alias(f"n{k}") for k in range(folds)))  # one row
+    docs = F.element_at(F.array(*(f"n{k}" for k in range(folds))), F.col("fold") + 1)
+    vocab = reduce(DataFrame.unionAll, parts).crossJoin(F.broadcast(sizes))
+    vocab = F.broadcast(vocab.select("fold", "term", (F.log((1 + docs) / (1 + F.col("df")).cast("double")) + 1).alias("idf")))  # at most `most` rows a fold
+
+    def weight(t: str) -> Column:
+        return F.when(F.col(t) > 0, (1 + F.log(F.col(t).cast("double"))) * F.col("idf")).otherwise(F.lit(0.0))
+
+    return cosine(pairs, counts.join(vocab, ["fold", "term"]).select("pair", weight("ta").alias("wa"), weight("tb").alias("wb")))
+
+
 def count_cosine(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams) -> DataFrame:
     return cosine(pairs, term_counts(pairs, grams).select("pair", F.col("ta").cast("double").alias("wa"), F.col("tb").cast("double").alias("wb")))
 

@@ -14,6 +14,7 @@ from ..sources import table
 from .contracts import TURNS_SQL, r9, turn_pairs
 from .registry import query
 
+FOLDS = 5
 _WORDS = ("sed", "the", "von", "que", "idiot")
 
 
@@ -277,9 +278,9 @@ def template_energy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def held_out_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of the even pairs by terms learned on the odd ones."""
-    p = turn_pairs(spark, d)
-    return distance.tfidf(p.filter("pair % 2 = 0"), fit_on=p.filter("pair % 2 = 1")).withColumn("distance", r9(F.col("distance")))
+    """Distances of all pairs by terms learned on the conversations of other folds: one of five by a hash of conv_id."""
+    fold = F.pmod(F.xxhash64(F.floor(F.col("pair") / 1000)), F.lit(FOLDS))
+    return distance.held_out_tfidf(turn_pairs(spark, d), fold, FOLDS).withColumn("distance", r9(F.col("distance")))
 
 
 @query("SELECT doc_id, round(CASE WHEN length(coalesce(text, '')) > 0 THEN length(regexp_replace(text, '[^0-9+\\-*/=^]', '', 'g')) / CAST(length(text) AS DOUBLE) ELSE 0 END, 9) AS density, CASE WHEN lang <> 'en' THEN 'not english' WHEN n_chars < 100 THEN 'short' WHEN contains(coalesce(text, ''), '|') THEN 'table' ELSE 'included' END AS reason FROM documents")

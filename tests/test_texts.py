@@ -4,8 +4,10 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from spanlens.plans import registry
+from spanlens.operators import distance
+from spanlens.plans import registry, texts
 from spanlens.plans.contracts import turn_pairs
 
 D = "/root/testdata/sf0.001"
@@ -41,3 +43,26 @@ def tfidf(rows, most, min_df, sublinear):
 def test_char_tfidf_is_the_reference_form(spark, name, most, min_df, sublinear):
     got = {r.pair: r.distance for r in registry.QUERIES[name](spark, D).collect()}
     assert got == pytest.approx(tfidf(turn_pairs(spark, D).collect(), most, min_df, sublinear), abs=1e-8)
+
+
+def test_held_out_vocabulary_scores_every_pair_by_other_folds(spark):
+    p = turn_pairs(spark, D)
+    got = {r.pair: r.distance for r in registry.QUERIES["held_out_vocabulary"](spark, D).collect()}
+    assert set(got) == {r.pair for r in p.collect()}
+    fold = F.pmod(F.xxhash64(F.floor(F.col("pair") / 1000)), F.lit(texts.FOLDS))
+    expected = {}
+    for k in range(texts.FOLDS):
+        expected |= {r.pair: r.distance for r in distance.tfidf(p.filter(fold == k), fit_on=p.filter(fold != k)).collect()}
+    assert got == pytest.approx(expected, abs=1e-8)
+
+
+def test_held_out_cut_and_folds(spark):
+    """The cut of terms counts other folds only, and pairs of even numbers alone have a vocabulary."""
+    p = spark.createDataFrame([(0, "xx yy yy yy", "xx yy"), (2, "xx xx zz", "xx zz"), (4, "zz xx", "zz")], "pair long, a string, b string")
+    fold = F.col("pair") / 2
+    for most in (1, 2, 10_000):
+        got = {r.pair: r.distance for r in distance.held_out_tfidf(p, fold, 3, most=most).collect()}
+        expected = {}
+        for k in range(3):
+            expected |= {r.pair: r.distance for r in distance.tfidf(p.filter(fold == k), fit_on=p.filter(fold != k), most=most).collect()}
+        assert got == pytest.approx(expected) and len(got) == 3
