@@ -16,7 +16,8 @@ copies are never paired. The steps:
 4. A task returns link counts by text and a spanning forest of its links, so
    results stay linear in texts. Components of the forests are the classes.
 
-Chance of missing a link of similarity exactly 0.8: about 2e-6 by the bands and
+Chance of missing a link of similarity exactly 0.8: about 2e-5 by the bands (both
+arrangements regroup the same values, so their misses go together) and
 about TOLERANCE for each of 7 comparisons by the pruning; it falls fast above 0.8.
 
 Texts of fewer than 5 words have one shingle, all their words; null texts count
