@@ -267,6 +267,7 @@ def matched_excision(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def projected_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Counts at 16 coordinates with signs of +-1: departs from the reference's TF-IDF at 384 with normal ones, and is noisier."""
     return distance.projected_distance(turn_pairs(spark, d), 5, 16).withColumn("distance", r9(F.col("distance")))
 
 
