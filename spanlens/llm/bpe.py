@@ -9,8 +9,8 @@ one); each change walks up one path of the tree.
 
 Distinct pre-tokens of a batch are encoded together: many trees of one size are
 rows of one array and take a merge each in lockstep. Long pre-tokens have a tree
-of their own, so their cost is n log n. A worker keeps the ids of the pre-tokens
-it has met, up to CACHE entries.
+of their own, so their cost is n log n. A task keeps the ids of the pre-tokens
+it has met, up to CACHE bytes, and lets them go when it ends.
 
 Null texts count as empty; empty texts have no ids. Rows are independent: there
 is no shuffle, repeated rows give repeated results, other columns are ignored.
@@ -30,12 +30,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_or_empty
+from .common import ship, text_or_empty, tidy_batches
+from .words import batch_parts
 
-#: Pre-tokens a worker remembers before it starts anew.
-CACHE = 400_000
-#: Characters of text whose unknown pre-tokens are encoded together.
-CHUNK = 2_000_000
+#: Bytes of pre-tokens that a task remembers before it starts anew, counted with what Python adds to each.
+CACHE, ENTRY = 30_000_000, 200
 #: Byte length from which a pre-token gets a tree of its own.
 LONG = 512
 _NONE = np.int64(1) << 62
@@ -45,7 +44,9 @@ class BytePairs:
     """Ranks as tables: bytes of each id, and the id that a pair of ids merges to."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.vocab: dict[int, bytes] = {i: b for b, i in ranks.items()}
+        self.vocab = [b"" for _ in range(max(ranks.values()) + 1)]
+        for b, i in ranks.items():
+            self.vocab[i] = b
         self.whole = ranks
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -54,9 +55,9 @@ class BytePairs:
                 left, right = ranks.get(b[:cut]), ranks.get(b[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.to = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where the pair merges to nothing."""
@@ -66,7 +67,14 @@ class BytePairs:
 
     def encode_long(self, piece: bytes) -> list[int]:
         """One piece with its own tree."""
-        n, get, none = len(piece), self.pairs.get, int(_NONE)
+        n, none = len(piece), int(_NONE)
+        known: dict[int, int] = {}  # of the pairs met in this piece
+
+        def get(pair: int) -> int:
+            if pair not in known:
+                known[pair] = int(self.rank(np.int64(pair >> 32), np.int64(pair & 0xFFFFFFFF)))
+            return known[pair]
+
         bits = max(1, (n - 1).bit_length())
         size, mask = 1 << bits, (1 << bits) - 1
         ids = [int(self.byte_id[b]) for b in piece]
@@ -76,7 +84,7 @@ class BytePairs:
             if i < 0 or after[i] >= n:
                 return none
             rank = get(ids[i] << 32 | ids[after[i]])
-            return none if rank is None else rank << bits | i
+            return none if rank < 0 else rank << bits | i
 
         tree = [none] * (2 * size)
         tree[size : size + n] = [leaf(i) for i in range(n)]
@@ -238,15 +246,21 @@ class Encoder:
     """Texts to ids, with the pre-tokens met so far."""
 
     def __init__(self, path: str, pattern: str):
-        self.pairs, self.split, self.known = tables(path), splitter(pattern), {}
+        self.pairs, self.split, self.known, self.held = tables(path), splitter(pattern), {}, 0
+
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [self.split(t) for t in texts]
         new = set().union(*words).difference(self.known) if words else set()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+        size = sum(map(len, new)) + ENTRY * len(new)
+        if self.held + size > CACHE:
+            self.forget()
             new = set().union(*words)
+            size = sum(map(len, new)) + ENTRY * len(new)
         if new:
+            self.held += size
             raw = {w: w.encode() for w in new}
             ids = self.pairs.encode_pieces(raw.values())
             self.known.update((w, ids[b]) for w, b in raw.items())
@@ -259,18 +273,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def in_chunks(texts: list[str], most: int) -> Iterator[slice]:
-    """Slices of about `most` characters."""
-    lo = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= most:
-            yield slice(lo, i + 1)
-            lo, held = i + 1, 0
-    if lo < len(texts):
-        yield slice(lo, len(texts))
-
-
 def encode(df: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_ids: bool = True) -> DataFrame:
     """`keep` columns, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) for each row."""
     ship(df.sparkSession)
@@ -279,10 +281,9 @@ def encode(df: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for part in in_chunks(texts, CHUNK):
-                ids = coder.encode(texts[part])
-                fields = [c.slice(part.start, part.stop - part.start) for c in batch.columns[:-1]]
+            for part in batch_parts(batch, batch.num_columns - 1):
+                ids = coder.encode(part.column(part.num_columns - 1).to_pylist())
+                fields = part.columns[:-1]
                 fields.append(pa.array([len(x) // 4 for x in ids], pa.int64()))
                 fields.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids]))
                 fields.append(pa.array([hashlib.sha256(coder.pairs.decode(x)).hexdigest() for x in ids]))
@@ -290,9 +291,10 @@ def encode(df: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                     fields.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))).cast(ids_type))
                 yield pa.RecordBatch.from_arrays(fields, names)
+        coder.forget()
 
     inner = df.select(*(F.col(f"`{c}`") for c in keep), text_or_empty(text).alias("__text"))
     out = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-    return inner.mapInArrow(run, f"{schema}, {out}" if schema else out)
+    return inner.mapInArrow(tidy_batches(run), f"{schema}, {out}" if schema else out)

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, text_or_empty
-from .words import Among, Words, chunks, raw_texts
+from .common import materialise, ship, text_or_empty, tidy_batches
+from .words import Among, Words, batch_parts, raw_texts
 
 WINDOW = 13
 #: Words of a shingle (all words of a shorter window).
@@ -111,9 +111,8 @@ def _count_shingles(block):
         sets = block.value.shingle_sets()
         totals: dict[int, np.ndarray] = {k: np.zeros(len(a.sorted), np.int64) for k, a in sets.items()}
         for batch in batches:
-            texts = raw_texts(batch.column(0))
-            for part in chunks(texts):
-                w = Words(texts[part])
+            for part in batch_parts(batch, 0):
+                w = Words(raw_texts(part.column(0)))
                 for k, among in sets.items():
                     at, member = among.find(w.shingles(k))
                     text = np.searchsorted(w.bounds, at, "right") - 1
@@ -123,7 +122,7 @@ def _count_shingles(block):
             seen = np.flatnonzero(totals[k])
             yield pa.RecordBatch.from_arrays([pa.array(among.sorted[seen].view(np.int64)), pa.array(totals[k][seen])], ["shingle", "n"])
 
-    return run
+    return tidy_batches(run)
 
 
 def _hits(block, names: list[str], later: bool):
@@ -138,21 +137,17 @@ def _hits(block, names: list[str], later: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Block = block.value
-        for batch in batches:
-            column = dict(zip(batch.schema.names, batch.columns, strict=True))
-            texts = raw_texts(column["__text"])
-            n_words, spans, items = [], [], []
-            for part in chunks(texts):
-                w = Words(texts[part])
-                n_words += np.diff(w.bounds).tolist()
-                start, which = b.occurrences(w)
-                text = np.searchsorted(w.bounds, start, "right") - 1
-                of: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
-                for t, s, x in zip(text.tolist(), (start - w.bounds[text]).tolist(), which.tolist(), strict=True):
-                    of[t].append((s, s + int(b.size[x]), b.items[x]))
-                for t in range(part.stop - part.start):
-                    spans.append(merged([x[:2] for x in of.get(t, ())]))
-                    items.append(sorted({x[2] for x in of.get(t, ())}))
+        for part in (p for batch in batches for p in batch_parts(batch, batch.schema.get_field_index("__text"))):
+            column = dict(zip(part.schema.names, part.columns, strict=True))
+            w = Words(raw_texts(column["__text"]))
+            n_words = np.diff(w.bounds).tolist()
+            start, which = b.occurrences(w)
+            text = np.searchsorted(w.bounds, start, "right") - 1
+            of: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
+            for t, s, x in zip(text.tolist(), (start - w.bounds[text]).tolist(), which.tolist(), strict=True):
+                of[t].append((s, s + int(b.size[x]), b.items[x]))
+            spans = [merged([x[:2] for x in of.get(t, ())]) for t in range(part.num_rows)]
+            items = [sorted({x[2] for x in of.get(t, ())}) for t in range(part.num_rows)]
             if later:
                 was_spans, was_items = column["__spans"].to_pylist(), column["__items"].to_pylist()
                 spans = [merged([*zip(a[::2], a[1::2], strict=True), *zip(c[::2], c[1::2], strict=True)]) for a, c in zip(spans, was_spans, strict=True)]
@@ -162,11 +157,11 @@ def _hits(block, names: list[str], later: bool):
             arrays += [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "__n_words", "__n_hit", "__spans", "__items"])
 
-    return run
+    return tidy_batches(run)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """All columns of `docs`, and n_words, n_hit, hit_spans (word offsets from, to, from, to, ...), items (sorted ids as strings)."""
+    """All columns of `docs`, and n_words, n_hit, hit_spans (word offsets from, to, from, to, ...), items (sorted ids as strings), which replace columns of the same names."""
     spark = docs.sparkSession
     ship(spark)
     windows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_or_empty().alias("text"))
@@ -189,7 +184,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int =
         if k:
             df = materialise(df, "hits")
         df = df.mapInArrow(_hits(shared, [*names, "__text"], k > 0), f"{fields}, {new}")
-    own = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+    own = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in ("n_words", "n_hit", "hit_spans", "items")]
     return df.select(*own, F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__spans").alias("hit_spans"), F.col("__items").alias("items"))
 
 

@@ -7,8 +7,13 @@ copies are never paired. The steps:
 1. MinHash signatures of the distinct texts, and bands of them. Texts that share
    a band key are candidates; a list of n texts gives n - 1 edges to its least.
 2. Components of those edges hold every candidate pair. Their texts are dealt
-   to tasks: small components together, larger ones by pairs of blocks of at
-   most BLOCK texts, so a task holds two blocks at most and no pair is a row.
+   to tasks: small components together, larger ones by pairs of blocks of about
+   BLOCK texts or WEIGHT shingles, so a task holds two blocks at most and no pair
+   is a row. A component of more than WIDE blocks (texts that a chain of chance
+   meetings joins) is not compared as a whole: each band list in it is a group
+   of its own, cut in blocks likewise, and a pair is compared in the first list
+   that it shares. So a text is copied at most once for each of its band lists,
+   however large its component is.
 3. In a task, MinHash values are compared ROW at a time over all pairs still
    open. With a uniform prior the posterior of similarity s after m of n matches
    is Beta(m + 1, n - m + 1); a pair is dropped as soon as P(s >= 0.8) falls
@@ -36,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, text_or_empty
+from .common import materialise, ship, text_or_empty, tidy, tidy_batches
 from .components import components
-from .words import Words, chunks, raw_texts
+from .words import Words, batch_parts, raw_texts
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -48,8 +53,8 @@ ROW, BANDS, ARRANGEMENTS = 7, 28, 2
 VALUES = ROW * BANDS
 #: Posterior probability of similarity below which a pair is dropped; values compared at a time.
 TOLERANCE, STEP = 1e-7, 28
-#: Most texts of a block, and texts of small components in a task.
-BLOCK, TASK = 1024, 512
+#: Texts and shingles of a block, blocks from which a component is compared by band lists, and blocks' worth of small components in a task.
+BLOCK, WEIGHT, WIDE, TASK = 1024, 600_000, 48, 0.5
 #: Shingles of partners that are looked up together.
 SHINGLES_AT_ONCE = 500_000
 
@@ -84,11 +89,11 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
-def all_shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def all_shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The same for any number of texts, cut a chunk at a time."""
     values, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-    for part in chunks(texts):
-        value, bounds = shingle_sets(texts[part])
+    for part in batch_parts(pa.RecordBatch.from_arrays([texts], ["text"]), 0):
+        value, bounds = shingle_sets(raw_texts(part.column(0)))
         values.append(value)
         sizes.append(np.diff(bounds))
     return np.concatenate(values), np.cumsum(np.concatenate(sizes))
@@ -168,6 +173,16 @@ def similar_pairs(sig: np.ndarray, compact: np.ndarray, bounds: np.ndarray, left
     return i[keep], j[keep]
 
 
+def first_common_band(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of the first band that is the same in both rows of each pair; the number of bands if none is."""
+    out = np.full(len(i), ARRANGEMENTS * BANDS)
+    for lo in range(0, len(i), 1 << 14):
+        same = sig[i[lo : lo + (1 << 14)]] == sig[j[lo : lo + (1 << 14)]]
+        for n in reversed(range(ARRANGEMENTS * BANDS)):
+            out[lo : lo + (1 << 14)][same[:, ARRANGED[n // BANDS][n % BANDS]].all(1)] = n
+    return out
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     parent = list(range(n))
 
@@ -200,34 +215,53 @@ def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _first_of_task(batches):
-        texts = raw_texts(batch.column(1))
-        for part in chunks(texts):
-            value, bounds = shingle_sets(texts[part])
+        for part in batch_parts(batch, 1):
+            value, bounds = shingle_sets(raw_texts(part.column(1)))
             sig = signatures(value, bounds)
-            some = np.flatnonzero(np.diff(bounds))
-            keys = batch.column(0).slice(part.start, part.stop - part.start).take(pa.array(some))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([sig[s].tobytes() for s in some], pa.binary())], ["key", "sig"])
+            size = np.diff(bounds)
+            some = np.flatnonzero(size)
+            keys = part.column(0).take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([sig[s].tobytes() for s in some], pa.binary()), pa.array(size[some], pa.int64())], ["key", "sig", "size"])
 
 
 def _link(table: pa.Table) -> pa.Table:
-    """One task: its texts, by component and side (0: pairs within, 1 and 2: pairs across)."""
-    rows = table.select(["key", "component", "side", "sig", "text"]).to_pandas()
-    rows = rows.drop_duplicates(["key"]).reset_index(drop=True)  # copies that came from several map tasks
-    keys = rows["key"].tolist()
-    value, bounds = all_shingle_sets([t.encode() for t in rows.pop("text")])
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, VALUES)
+    """One task: its texts, by group (a component or a band list) and side (0: pairs within, 1 and 2: pairs across)."""
+    table = table.select(["key", "group", "side", "band", "sig", "text"]).combine_chunks()
+    group, side, band = (table.column(c).to_numpy() for c in ("group", "side", "band"))
+    # A text may stand in several band lists of a task, and copies of it come from several map tasks.
+    keys, places = [], np.zeros(table.num_rows, np.int64)
+    first: dict[bytes, int] = {}
+    for n, key in enumerate(table.column("key").to_pylist()):
+        if key not in first:
+            first[key] = len(keys)
+            keys.append(n)
+        places[n] = first[key]
+    once = table.take(pa.array(keys, pa.int64()))
+    del table
+    keys = list(first)
+    sig = np.frombuffer(b"".join(once.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
+    texts = once.column("text").cast(pa.binary()).combine_chunks()
+    del once, first
+    value, bounds = all_shingle_sets(texts)
+    del texts
     names, compact = np.unique(value, return_inverse=True)
     del value
     shared = compact, bounds
     least, mark = least_matches(), np.zeros(len(names), bool)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for places in rows.groupby("component", sort=False).indices.values():
-        side = rows["side"].to_numpy()[places]
-        if (side == 0).any():
-            own = places[side == 0]
-            found.append(similar_pairs(sig, *shared, own, own, least, mark))
-        elif len(np.unique(side)) == 2:
-            found.append(similar_pairs(sig, *shared, places[side == 1], places[side == 2], least, mark))
+    order = np.lexsort((side, group))
+    cuts = np.flatnonzero(np.diff(group[order], prepend=group[order[0]] - 1, append=group[order[-1]] + 1)) if len(order) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = order[lo:hi]
+        sides = [np.unique(places[rows[side[rows] == k]]) for k in (0, 1, 2)]
+        left, right = (sides[0], sides[0]) if len(sides[0]) else sides[1:]
+        if not len(left) or not len(right):
+            continue
+        pair = similar_pairs(sig, *shared, left, right, least, mark)
+        if band[rows[0]] >= 0:
+            own = first_common_band(sig, *pair) == band[rows[0]]
+            pair = pair[0][own], pair[1][own]
+        found.append(pair)
     i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     n = np.bincount(i, minlength=len(keys)) + np.bincount(j, minlength=len(keys))
     some = np.flatnonzero(n)
@@ -259,34 +293,50 @@ def _bands(sig: str = "sig") -> Column:
     return F.array(*out)
 
 
+def _dealt(members: DataFrame, tasks: int) -> DataFrame:
+    """Rows (name, group, load in blocks, band) with their task and side: small groups together in `tasks` tasks, larger ones by pairs of blocks."""
+    blocks = F.when(F.col("load") <= 1, 1).otherwise(F.ceil(F.col("load") * 4 / 3)).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    # A text meets its own block (side 0) and each other block (sides 1 and 2) once.
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first, second = F.least("own", "other"), F.greatest("own", "other")
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks))).otherwise(F.xxhash64("group", first, second))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return placed.select("name", "group", "band", (F.col("blocks") > 1).alias("large"), task.alias("task"), side.alias("side"))
+
+
 def text_links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, n_links) of the texts that have links, and (node, root) of their classes; both by the text's key."""
     ship(docs.sparkSession)
     keyed = docs.select(text_key(text_or_empty(text)).alias("key"), text_or_empty(text).alias("text"))
-    signed = keyed.mapInArrow(_sign, "key binary, sig binary").groupBy("key").agg(F.max("sig").alias("sig"))
+    signed = keyed.mapInArrow(tidy_batches(_sign), "key binary, sig binary, size bigint").groupBy("key").agg(F.max("sig").alias("sig"), F.max("size").alias("size"))
     signed = materialise(signed, "signatures")
     # Candidates are named by 64 bits of their key: two texts with one name would only be compared in vain.
-    postings = signed.select(F.xxhash64("key").alias("name"), F.explode(_bands()).alias("band"))
+    named = signed.select(F.xxhash64("key").alias("name"), "size", F.posexplode(_bands()).alias("place", "band"))
+    postings = named.select("name", "band")
     lists = materialise(postings.groupBy("band").agg(F.min("name").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "least"), "band-lists")
     edges = postings.join(lists, "band").select(F.col("name").alias("a"), F.col("least").alias("b"))
     grouped = components(edges, "candidates")
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("size"))
-    tasks = materialise(sizes.filter(F.col("size") <= BLOCK).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")), "task-count").first().n // TASK + 1
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK * 3 // 4)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = grouped.join(sizes, "root").withColumn("blocks", F.when(F.col("size") <= BLOCK, 1).otherwise(blocks)).withColumn("own", own)
-    # A text meets its own block (side 0) and each other block (sides 1 and 2) once.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("node", "root", "blocks", "own", other.alias("other"))
-    first, second = F.least("own", "other"), F.greatest("own", "other")
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", first, second))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    placed = materialise(placed.select(F.col("node").alias("name"), F.col("root").alias("component"), (F.col("blocks") > 1).alias("large"), task.alias("task"), side.alias("side")), "tasks")
+    sized = grouped.join(signed.select(F.xxhash64("key").alias("node"), "size"), "node")
+    # A group's blocks, by texts or by shingles, whichever needs more.
+    load = F.greatest(F.count("*") / BLOCK, F.sum("size") / WEIGHT)
+    sizes = materialise(sized.groupBy("root").agg(load.alias("load")), "component-sizes")
+    totals = sizes.agg(F.coalesce(F.sum(F.when(F.col("load") <= 1, F.col("load"))), F.lit(0.0)).alias("small"), F.coalesce(F.max("load"), F.lit(0.0)).alias("most")).first()
+    tasks = int(totals.small / TASK) + 1
+    placed = _dealt(grouped.join(sizes.filter(F.col("load") <= WIDE), "root").select(F.col("node").alias("name"), F.col("root").alias("group"), "load", F.lit(-1).alias("band")), tasks)
+    if totals.most > WIDE:
+        wide = grouped.join(sizes.filter(F.col("load") > WIDE).select("root"), "root").select(F.col("node").alias("name"))
+        entries = named.join(wide, "name").join(lists.select("band"), "band").select("name", F.col("band").alias("group"), "size", F.col("place").alias("band"))
+        entries = materialise(entries, "wide-lists")
+        of_list = materialise(entries.groupBy("group", "band").agg(load.alias("load")), "wide-list-sizes")
+        many = of_list.agg(F.sum(F.when(F.col("load") <= 1, F.col("load")))).first()[0] or 0.0
+        placed = placed.union(_dealt(entries.join(of_list, ["group", "band"]).select("name", "group", "load", "band"), int(many / TASK) + 1))
+    placed = materialise(placed, "tasks")
     wanted = signed.join(placed.select("name").distinct(), F.xxhash64("key") == F.col("name")).select("key", "name", "sig")
     # Merged whatever the size: the texts' side is large, and the candidates grow with it.
-    texts = keyed.mapInArrow(_first_of_task, keyed.schema).join(wanted.hint("merge"), "key")
+    texts = keyed.mapInArrow(tidy_batches(_first_of_task), keyed.schema).join(wanted.hint("merge"), "key")
     rows = texts.join(placed, "name")
-    linked = materialise(rows.groupBy("large", "task").applyInArrow(_link, "a binary, b binary, n bigint"), "links")
+    linked = materialise(rows.groupBy("large", "task").applyInArrow(tidy(_link), "a binary, b binary, n bigint"), "links")
     counts = linked.filter(F.col("b").isNull()).groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     return counts, components(linked.filter(F.col("b").isNotNull()), "classes")
 

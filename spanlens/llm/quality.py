@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, text_or_empty
-from .words import Words, chunks, raw_texts
+from .common import materialise, ship, text_or_empty, tidy_batches
+from .words import SEGMENT, Words, batch_parts, raw_texts
 
 #: Distinct texts that the scorer is fitted on, hash buckets of its features.
 SAMPLE, BUCKETS = 8_000, 1024
@@ -43,6 +43,11 @@ _CLASS[[0x20, 0x09]] = 4
 _CLASS[[0x0A, 0x0D]] = 5
 _PROSE = np.zeros(256, bool)  # what prose is made of besides letters and digits
 _PROSE[[*b" \t\n\r.,;:?'\"()-"]] = True
+_BYTES = np.arange(256)
+_UPPER = (_BYTES >= 0x41) & (_BYTES <= 0x5A)
+_LETTER = _UPPER | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
+_BEYOND = ~(_LETTER | ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | _PROSE)
+_BAR, _EXCLAMATION = _BYTES == 0x7C, _BYTES == 0x21
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,7 +55,7 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Statistics:
-    """Statistics of each text, and votes and features from them."""
+    """Statistics of each text, and votes and features from them. Bytes are looked at SEGMENT at a time, so a long text needs no long arrays."""
 
     def __init__(self, texts: list[bytes]):
         w = Words(texts)
@@ -61,26 +66,30 @@ class Statistics:
         mixed = np.sort((w.hash >> np.uint64(20)) | (text.astype(np.uint64) << np.uint64(44)))
         new = np.ones(len(text), bool)
         new[1:] = mixed[1:] != mixed[:-1]
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        size = np.array([len(t) for t in texts], np.int64)
-        of = np.repeat(np.arange(many), size)
-        count = lambda mask: np.bincount(of[mask], minlength=many)
-        upper = (raw >= 0x41) & (raw <= 0x5A)
-        digit = (raw >= 0x30) & (raw <= 0x39)
-        letter = upper | ((raw >= 0x61) & (raw <= 0x7A)) | (raw >= 0x80)
-        beyond = ~(letter | digit | _PROSE[raw])
+        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(self.size)
+        by_byte = np.zeros((many, 256), np.int64)
+        for raw, of in self.segments():
+            by_byte += np.bincount(of * 256 + raw, minlength=many * 256).reshape(many, 256)
+        count = lambda mask: by_byte[:, mask].sum(1)
         # A run of three like words begins where two words on end repeat their predecessor.
         thrice = same[1:][(np.diff(same) == 1) & (text[same[1:] + 1] == text[same[:-1]])]
-        self.letters = count(letter)
+        self.letters = count(_LETTER)
         self.repeats = _ratio(np.bincount(text[same + 1], minlength=many), n)
         self.variety = _ratio(np.bincount((mixed[new] >> np.uint64(44)).astype(np.int64), minlength=many), n)
         self.runs = _ratio(np.bincount(text[thrice], minlength=many), n)
-        self.symbols = _ratio(count(beyond & (raw != 0x7C) & (raw != 0x21)), n)
-        self.bars = _ratio(count(raw == 0x7C), n)
-        self.capitals = _ratio(count(upper), self.letters)
-        self.exclamations = _ratio(count(raw == 0x21), n)
-        self.beyond_prose = _ratio(count(beyond), size)
-        self.raw, self.of, self.size = raw, of, size
+        self.symbols = _ratio(count(_BEYOND & ~_BAR & ~_EXCLAMATION), n)
+        self.bars = _ratio(count(_BAR), n)
+        self.capitals = _ratio(count(_UPPER), self.letters)
+        self.exclamations = _ratio(count(_EXCLAMATION), n)
+        self.beyond_prose = _ratio(count(_BEYOND), self.size)
+
+    def segments(self, more: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Bytes and the text of each, in pieces that overlap by `more` bytes."""
+        for lo in range(0, len(self.raw), SEGMENT):
+            at = np.arange(lo, min(lo + SEGMENT + more, len(self.raw)))
+            yield self.raw[lo : lo + len(at)], np.searchsorted(self.ends, at, "right")
 
     def votes(self) -> np.ndarray:
         """labellers x texts."""
@@ -103,16 +112,16 @@ class Statistics:
         )
 
     def features(self) -> np.ndarray:
-        """texts x BUCKETS."""
+        """texts x BUCKETS: as many rows as a chunk has (at most ROWS)."""
         many = len(self.size)
-        out = np.zeros((many, BUCKETS), np.float32)
-        c = _CLASS[self.raw]
-        if len(c) >= 3:
+        flat = np.zeros(many * BUCKETS, np.int32)
+        for raw, of in self.segments(2):
+            c = _CLASS[raw]
             code = (c[:-2] * 128 + c[1:-1]) * 128 + c[2:]
-            inside = self.of[:-2] == self.of[2:]
+            inside = of[:-2] == of[2:]
             bucket = (code * 2654435761 >> 7) % BUCKETS
-            flat = np.bincount(self.of[:-2][inside] * BUCKETS + bucket[inside], minlength=many * BUCKETS)
-            out += np.sqrt(flat.reshape(many, BUCKETS) / np.maximum(self.size[:, None] - 2, 1))
+            flat += np.bincount(of[:-2][inside] * BUCKETS + bucket[inside], minlength=many * BUCKETS).astype(np.int32)
+        out = np.sqrt(flat.reshape(many, BUCKETS) / np.maximum(self.size[:, None] - 2, 1)).astype(np.float32)
         for k, name in enumerate(LABELLERS):
             value = np.log1p(getattr(self, name) * 20)
             slot = (k * 97 + np.minimum(value * 4, 30).astype(np.int64)) * 2654435761 % BUCKETS
@@ -169,9 +178,8 @@ def fit(x: np.ndarray, target: np.ndarray) -> Scorer:
 def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base = 3 ** np.arange(len(LABELLERS))
     for batch in batches:
-        texts = raw_texts(batch.column(0))
-        for part in chunks(texts):
-            code, n = np.unique(((Statistics(texts[part]).votes() + 1) * base[:, None]).sum(0), return_counts=True)
+        for part in batch_parts(batch, 0):
+            code, n = np.unique(((Statistics(raw_texts(part.column(0))).votes() + 1) * base[:, None]).sum(0), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(n, pa.int64())], ["pattern", "n"])
 
 
@@ -184,20 +192,18 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key not in met:
                 met.add(key)
                 new.append(k)
-        batch = batch.take(pa.array(new, pa.int64()))
-        texts = raw_texts(batch.column(1))
-        for part in chunks(texts):
-            s = Statistics(texts[part])
+        for part in batch_parts(batch.take(pa.array(new, pa.int64())), 1):
+            s = Statistics(raw_texts(part.column(1)))
             code = ((s.votes() + 1) * base[:, None]).sum(0)
             rows = [r.tobytes() for r in s.features().astype("<f2")]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array(code, pa.int32()), pa.array(rows, pa.binary())], ["key", "pattern", "features"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(code, pa.int32()), pa.array(rows, pa.binary())], ["key", "pattern", "features"])
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[Scorer, dict[int, float]]:
     """The scorer, and P(good) of each vote pattern."""
     ship(docs.sparkSession)
     body = docs.select(text_or_empty(text).alias("text"))
-    counts = body.mapInArrow(_pattern_counts, "pattern int, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    counts = body.mapInArrow(tidy_batches(_pattern_counts), "pattern int, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     codes = np.array(sorted(r.pattern for r in counts), np.int64)
     n = {r.pattern: r.n for r in counts}
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
@@ -208,7 +214,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Scorer, dict[int, float]
     distinct = keyed.select("key").distinct().count()
     share = min(1.0, SAMPLE / max(distinct, 1))
     some = keyed.filter(F.pmod(F.col("key"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else keyed
-    features = some.mapInArrow(_sample_rows, "key bigint, pattern int, features binary").groupBy("key").agg(F.min("pattern").alias("pattern"), F.min("features").alias("features"))
+    features = some.mapInArrow(tidy_batches(_sample_rows), "key bigint, pattern int, features binary").groupBy("key").agg(F.min("pattern").alias("pattern"), F.min("features").alias("features"))
     sample = materialise(features, "quality-sample").orderBy("key").limit(SAMPLE + SAMPLE // 4).collect()
     if n and not sample:
         raise ValueError("the fit's sample is empty although the table has rows")
@@ -221,7 +227,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Scorer, dict[int, float]
 
 
 def score(docs: DataFrame, model: tuple[Scorer, dict[int, float]], text: str = "text") -> DataFrame:
-    """All columns of `docs`, and weak_label (posterior of the votes), score, good (score >= 0.5)."""
+    """All columns of `docs`, and weak_label (posterior of the votes), score, good (score >= 0.5), which replace columns of the same names."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, a number for each pattern met
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -230,18 +236,17 @@ def score(docs: DataFrame, model: tuple[Scorer, dict[int, float]], text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, belief = shared.value
         for batch in batches:
-            texts, weak, scores = raw_texts(batch.column(batch.num_columns - 1)), [], []
-            for part in chunks(texts):
-                s = Statistics(texts[part])
-                weak += [belief.get(c, 0.5) for c in ((s.votes() + 1) * base[:, None]).sum(0).tolist()]
-                scores += scorer.score(s.features()).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weak, pa.float64()), pa.array(scores, pa.float64())], [*names, "weak_label", "score"])
+            for part in batch_parts(batch, batch.num_columns - 1):
+                s = Statistics(raw_texts(part.column(part.num_columns - 1)))
+                weak = [belief.get(c, 0.5) for c in ((s.votes() + 1) * base[:, None]).sum(0).tolist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(weak, pa.float64()), pa.array(scorer.score(s.features()), pa.float64())], [*names, "weak_label", "score"])
 
     inner = docs.toDF(*names)
     inner = inner.withColumn("__text", text_or_empty(names[docs.columns.index(text)]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    scored = inner.mapInArrow(run, f"{fields}, weak_label double, score double")
-    return scored.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), "weak_label", "score", (F.col("score") >= 0.5).alias("good"))
+    scored = inner.mapInArrow(tidy_batches(run), f"{fields}, weak_label double, score double")
+    new = ("weak_label", "score", "good")
+    return scored.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in new), "weak_label", "score", (F.col("score") >= 0.5).alias("good"))
 
 
 def good(docs: DataFrame) -> DataFrame:

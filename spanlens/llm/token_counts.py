@@ -26,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import in_chunks
-from .common import fresh_path, ship, text_or_empty
+from .common import fresh_path, ship, text_or_empty, tidy_batches
+from .words import batch_parts
 
 CACHE_SCHEMA = "text_digest binary, tokenizer_digest string, n_tokens bigint"
-#: Characters encoded by one call.
-CHUNK = 1_000_000
 
 
 @lru_cache(2)
@@ -72,13 +70,11 @@ def _encode(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in _first_of_task(batches):
-            digests, texts = batch.column(0), batch.column(1).to_pylist()
-            counts: list[int] = []
-            for part in in_chunks(texts, CHUNK):
-                counts += count(texts[part])
-            yield pa.RecordBatch.from_arrays([digests, pa.array([version] * len(texts)), pa.array(counts, pa.int64())], ["text_digest", "tokenizer_digest", "n_tokens"])
+            for part in batch_parts(batch, 1):
+                counts = count(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], ["text_digest", "tokenizer_digest", "n_tokens"])
 
-    return run
+    return tidy_batches(run)
 
 
 def add_missing(docs: DataFrame, cache_path: str, tokenizer_path: str, text: str = "text") -> DataFrame:

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, text_or_empty
-from .words import Words, chunks, raw_texts
+from .common import materialise, ship, text_or_empty, tidy_batches
+from .words import Words, batch_parts, raw_texts
 
 #: Rows and feature entries that a fit may use.
 SAMPLE, FEATURES = 20_000, 12_000_000
@@ -114,13 +114,12 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, seed: int = 11) -> Model:
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, out = raw_texts(batch.column(2)), []
-        for part in chunks(texts):
-            text, bucket = buckets(Words(texts[part]))
-            cuts = np.searchsorted(text, np.arange(part.stop - part.start + 1))
+        for part in batch_parts(batch, 2):
+            text, bucket = buckets(Words(raw_texts(part.column(2))))
+            cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
             packed = bucket.astype("<i4")
-            out += [packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "buckets"])
+            out = [packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "buckets"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -131,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(place, "doc_id").limit(SAMPLE)
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    features = texts.mapInArrow(_sample_features, f"doc_id {kind}, toxic int, buckets binary")
+    features = texts.mapInArrow(tidy_batches(_sample_features), f"doc_id {kind}, toxic int, buckets binary")
     # An id's rows with several texts count once, by the least features.
     one = materialise(features.groupBy("doc_id").agg(F.min(F.struct("toxic", "buckets")).alias("x")).select(place.alias("place"), "x.*"), "toxicity-sample")
     size, last = 0, None
@@ -152,10 +151,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = raw_texts(batch.column(batch.num_columns - 1))
-            scores = np.concatenate([np.zeros(0), *(shared.value.score(Words(texts[part])) for part in chunks(texts))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*keep, "score"])
+            for part in batch_parts(batch, batch.num_columns - 1):
+                scores = shared.value.score(Words(raw_texts(part.column(part.num_columns - 1))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], [*keep, "score"])
 
     inner = docs.select(*(F.col(f"`{c}`") for c in keep), text_or_empty(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    return inner.mapInArrow(run, f"{fields}, score double")
+    return inner.mapInArrow(tidy_batches(run), f"{fields}, score double")

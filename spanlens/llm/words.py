@@ -5,13 +5,14 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z, which
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Bytes of text cut at once: a worker's arrays take some 60 times that.
-CHUNK = 1_000_000
+#: Bytes and texts cut at once: a worker's arrays take some 60 times the bytes. A longer text is a chunk of its own, hashed in segments of SEGMENT bytes.
+CHUNK, ROWS, SEGMENT = 1_000_000, 512, 1 << 20
 
 BYTE = np.zeros(256, np.uint8)
 BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
@@ -23,17 +24,13 @@ _BASE, _STEP = (np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, 2, np.uin
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
-_known = np.ones((2, 1), np.uint64)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
 
 
-def _powers(n: int) -> np.ndarray:
-    """The first n powers of the base and of its inverse; the most that were asked for are kept."""
-    global _known
-    if _known.shape[1] < n:
-        p = np.empty((2, 1 << (n - 1).bit_length()), np.uint64)
-        p[0], p[1], p[:, 0] = _BASE, _BASE_INVERSE, 1
-        _known = np.multiply.accumulate(p, axis=1)
-    return _known
+_POWER, _INVERSE = _powers(_BASE, SEGMENT), _powers(_BASE_INVERSE, SEGMENT)
 
 
 class Words:
@@ -50,13 +47,25 @@ class Words:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
         self.bounds = np.concatenate([[0], np.searchsorted(self.start, ends_of_texts)])
-        if len(self.start):
-            n = len(self.low)
-            power, inverse = _powers(n)
-            sums = np.add.reduceat(_VALUE[self.low] * power[:n], self.start)
-            self.hash = mix(sums * inverse[self.start] + (self.end - self.start).astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """A word's hash is the sum of its bytes' values times powers of the base, counted from its start; modulo 2^64, so segments of the text add up."""
+        sums = np.zeros(len(self.start), np.uint64)
+        back = np.ones(len(self.start), np.uint64)
+        for lo in range(0, len(self.low), SEGMENT):
+            part = self.low[lo : lo + SEGMENT]
+            a, b = np.searchsorted(self.end, lo, "right"), np.searchsorted(self.start, lo + len(part))
+            if a == b:
+                continue
+            segment = lo // SEGMENT
+            shift, unshift = (np.uint64(pow(int(x), lo, 2**64)) for x in (_BASE, _BASE_INVERSE))
+            first = np.maximum(self.start[a:b] - lo, 0)
+            # Between words all values are 0.
+            sums[a:b] += np.add.reduceat(_VALUE[part] * _POWER[: len(part)], first) * shift
+            own = np.flatnonzero(self.start[a:b] >= segment * SEGMENT) + a
+            back[own] = _INVERSE[self.start[own] - lo] * unshift
+        return mix(sums * back + (self.end - self.start).astype(np.uint64))
 
     def shingles(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; those that leave their text are to be masked by the caller."""
@@ -103,12 +112,18 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def chunks(texts: list[bytes]) -> Iterator[slice]:
-    lo = held = 0
-    for i, t in enumerate(texts):
-        held += len(t) + 1
-        if held >= CHUNK:
-            yield slice(lo, i + 1)
-            lo, held = i + 1, 0
-    if lo < len(texts):
-        yield slice(lo, len(texts))
+def batch_parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about CHUNK bytes of its text column and at most ROWS rows, so that no more of it is ever unpacked at once."""
+    for s in _slices(pc.binary_length(batch.column(text)).to_pylist()):
+        yield batch.slice(s.start, s.stop - s.start)
+
+
+def _slices(sizes: Iterable[int]) -> Iterator[slice]:
+    lo = held = i = 0
+    for i, n in enumerate(sizes, 1):
+        held += n + 1
+        if held >= CHUNK or i - lo >= ROWS:
+            yield slice(lo, i)
+            lo, held = i, 0
+    if lo < i:
+        yield slice(lo, i)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanlens.llm import ann, bpe, chat, decontam, lm_scoring, ngram_join, quality, secret_scan, token_counts, toxicity
 from spanlens.llm import queries as Q
+from spanlens.llm import words as words_of
 from spanlens.llm.components import components
 from tests import oracle
 
@@ -38,6 +39,25 @@ def small_docs(spark):
     return spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
 
 
+def test_word_hashes_do_not_depend_on_segments(monkeypatch):
+    texts = [b"Some words, w1 " * 40, b"", b"x" * 700, b"a b " + "é".encode() * 300 + b" tail"]
+    whole = words_of.Words(texts)
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(words_of, "SEGMENT", size)
+        cut = words_of.Words(texts)
+        assert (cut.hash == whole.hash).all() and (cut.bounds == whole.bounds).all()
+    assert whole.hash[0] == whole.hash[3] and whole.hash[0] != whole.hash[1]
+
+
+def test_quality_statistics_do_not_depend_on_segments(monkeypatch):
+    texts = [b"Some words! | and (more) 12 " * 30, b"", b"AB", "ééé ~~~".encode() * 50]
+    whole = quality.Statistics(texts)
+    expected = whole.votes(), whole.features()
+    monkeypatch.setattr(quality, "SEGMENT", 50)
+    cut = quality.Statistics(texts)
+    assert (cut.votes() == expected[0]).all() and np.allclose(cut.features(), expected[1])
+
+
 # 1
 
 
@@ -275,7 +295,7 @@ def test_contamination_by_hand(spark, block):
     rows = [(int(i) if i else None, t) for i, t in items]
     bench = spark.createDataFrame(rows, "item_id long, text string")
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, items string")
-    got = {r[0]: r for r in decontam.hits(df.withColumnRenamed("items", "n_words_"), bench, block=block).collect()}
+    got = {r[0]: r for r in decontam.hits(df, bench, block=block).collect()}
     for i, (n, hit, met) in enumerate(contamination(texts, items)):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (n, hit, met), texts[i]
     assert decontam.clean(df, bench).columns == df.columns
@@ -344,9 +364,11 @@ def expected_classes(rows):
     return {i: (least[find(k)], n[k], len(by[t]) - 1) for k, t in enumerate(texts) for i in by[t]}
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_near_duplicates_by_hand(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "wide"), [(1024, 48), (16, 48), (16, 1), (4, 0)])
+def test_near_duplicates_by_hand(spark, monkeypatch, block, wide):
+    """Whole components, cut ones, and ones that are compared by band lists."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
     random.seed(9)
     base = [[f"b{k}x{i}" for i in range(random.choice([8, 60, 150]))] for k in range(6)]
     rows = [(i, t) for i, t in enumerate(ODD)]
