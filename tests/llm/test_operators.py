@@ -396,10 +396,13 @@ def test_pruning_keeps_what_it_must():
     assert all(0 <= m < 0.8 * n for n, m in least.items()) and least[196] > 100
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (5, 5), (None, 1)]
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr("spanlens.llm.components.HUB", hub)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (5, 5), (None, 1)] + [(200 + i, 200) for i in range(1, 30)] + [(229, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100} | {i: 200 for i in [*range(200, 230), 300]}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # 10
@@ -429,6 +432,44 @@ def test_nearest_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+def spread_vectors(kind, n=1200, dim=32):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(n, dim))
+    if kind == "norms":
+        return v * rng.lognormal(0, 1, n)[:, None]
+    if kind == "clusters":
+        return 3 * v[np.arange(n) // 60] + 0.01 * rng.normal(size=(n, dim))
+    if kind == "shifted":
+        return v + 3
+    if kind == "large":
+        return v / np.abs(v).max() * 3.4e38
+    return v
+
+
+@pytest.mark.parametrize("kind", ["plain", "norms", "clusters", "shifted", "large"])
+def test_nearest_recall_whatever_the_norms(spark, kind):
+    """At default parameters but for the shards, of which there are three."""
+    e = spread_vectors(kind).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, shard=400).collect():
+        got[r.query_id].append(r.vec_id)
+    e, recall = e.astype(float), []
+    for q in range(0, len(e), 20):
+        s = (e * e[q]).sum(1)
+        s[q] = -np.inf
+        assert len(set(got[q])) == 20
+        recall.append(len(set(got[q]) & set(np.lexsort((np.arange(len(e)), -s))[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.97 and min(recall) >= 0.7
+
+
+def test_nearest_of_repeated_ids(spark):
+    """Rows of one id with different vectors: the greatest score of any pair."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [0.0, 5.0]), (2, [3.0, 3.0]), (2, [3.0, 3.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 5.0), (2, 2, 3.0)]
+
+
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (40, [1.0]), (8, [float("inf"), 0.0]), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
