@@ -1,14 +1,15 @@
 """Deterministic resampling: draws come from MD5 of (seed, draw, slot), so that no partitioning changes them.
 
 A bootstrap is a weight for each (draw, row); statistics of a draw come from
-weights by distinct score. Rows are numbered once, scores are ranked once, and
-only weights or permuted labels differ between draws. Draws are explored
-relationally: draws x rows flows through the shuffle, never to the driver.
+weights by distinct score. Rows are numbered by ranges of a hash, so no task
+holds a contract; a permutation orders only the rows of one range of it. Draws
+are explored relationally, never on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,11 +22,24 @@ def draw_hash(seed: int | str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+#: Ranges of a 32-bit hash by which rows are numbered and permutations are cut: a task sorts one range, not a contract.
+RANGES = 1024
+
+
+def _range(h: str) -> Column:
+    return F.shiftright(h, 22).cast("int")
+
+
 def numbered(df: DataFrame, key: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds i = 0, 1, ... by `key` and size: a contract's rows as slots. Contracts are at most of a task's size here."""
-    w = W.partitionBy(*keys).orderBy(key) if keys else W.partitionBy(F.lit(0)).orderBy(key)
-    n = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    return df.withColumn("i", (F.row_number().over(w) - 1).cast("long")).withColumn("size", F.count("*").over(n))
+    """Adds i = 0, 1, ... in the order of a hash of `key` (equal ones by `key`), and size: a contract's rows as slots, by two-level prefix sums over the hash's ranges."""
+    rows = df.withColumn("__h", draw_hash("slot", F.col(key))).withColumn("__b", _range("__h"))
+    by = [F.col(k) for k in keys] or [F.lit(0)]
+    counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))  # at most RANGES rows a contract
+    before = F.sum("__n").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(*keys, "__b", F.coalesce(before, F.lit(0)).alias("__o"), F.sum("__n").over(W.partitionBy(*by)).alias("size"))
+    joined = rows.join(offsets if keys else F.broadcast(offsets), [*keys, "__b"])
+    place = F.row_number().over(W.partitionBy(*keys, "__b").orderBy("__h", key))
+    return joined.withColumn("i", (F.col("__o") + place - 1).cast("long")).drop("__h", "__b", "__o")
 
 
 def draws(spark: SparkSession, n: int) -> DataFrame:
@@ -48,30 +62,78 @@ def poisson_weights(rows: DataFrame, n_draws: int, seed: int | str) -> DataFrame
     return rows.select("i").crossJoin(F.broadcast(draws(rows.sparkSession, n_draws))).select("draw", "i", w.alias("w")).filter("w > 0")
 
 
-def weighted_auc(df: DataFrame, s: str, y: str, w: str, keys: Sequence[str]) -> DataFrame:
-    """keys, n_pos, n_neg, auc with row weights."""
-    one = F.col(y).cast("int")
-    t = df.groupBy(*keys, s).agg(F.sum(F.col(w) * one).alias("p"), F.sum(F.col(w) * (1 - one)).alias("q"))
+def permuted(rows: DataFrame, key: str, z: str, n_draws: int, seed: int | str, strata: Sequence[str] = ()) -> DataFrame:
+    """draw, the rows' columns, zp: 0/1 labels permuted within strata, for each draw.
+
+    A stratum's k ones go to the rows of its k least hashes. Counts by ranges of
+    the hash tell in which range the k-th falls; only the rows of that range are
+    ordered, all others know their label from their own hash.
+    """
+    spread = rows.crossJoin(F.broadcast(draws(rows.sparkSession, n_draws))).withColumn("__h", draw_hash(seed, F.col("draw"), F.col(key))).withColumn("__b", _range("__h"))
+    ones = rows.withColumn("__all", F.lit(0)).groupBy("__all", *strata).agg(F.sum(F.col(z).cast("long")).alias("__k"))
+    counts = spread.groupBy("draw", *strata, "__b").agg(F.count("*").alias("__n")).withColumn("__all", F.lit(0))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("draw", *strata).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = counts.withColumn("__o", before).join(ones, ["__all", *strata]).filter((F.col("__o") < F.col("__k")) & (F.col("__o") + F.col("__n") >= F.col("__k")))
+    cut = at.select("draw", *strata, F.col("__b").alias("__cut"), (F.col("__k") - F.col("__o")).alias("__left"))
+    marked = spread.join(cut, ["draw", *strata], "left")
+    edge = F.coalesce(F.col("__b") == F.col("__cut"), F.lit(False))
+    sure = marked.filter(~edge).withColumn("zp", F.coalesce(F.col("__b") < F.col("__cut"), F.lit(False)).cast("int"))
+    place = F.row_number().over(W.partitionBy("draw", *strata).orderBy("__h", key))
+    return sure.union(marked.filter(edge).withColumn("zp", (place <= F.col("__left")).cast("int"))).drop("__h", "__b", "__cut", "__left")
+
+
+def weighted_aucs(df: DataFrame, s: str, labels: Sequence[str], w: str, keys: Sequence[str]) -> DataFrame:
+    """keys, and for each label auc_<label> with row weights, null without both classes: one pass for all labels."""
+    aggs = []
+    for y in labels:
+        one = F.col(y).cast("int")
+        aggs += [F.sum(F.col(w) * one).alias(f"p_{y}"), F.sum(F.col(w) * (1 - one)).alias(f"q_{y}")]
+    t = df.groupBy(*keys, s).agg(*aggs)
     over = W.partitionBy(*keys).orderBy(s).rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("below", F.coalesce(F.sum("q").over(over), F.lit(0)))
-    p, q = F.sum("p"), F.sum("q")
-    return t.groupBy(*keys).agg(p.alias("n_pos"), q.alias("n_neg"), F.when((p > 0) & (q > 0), F.sum(F.col("p") * (F.col("below") + F.col("q") / F.lit(2.0))) / (p.cast("double") * q)).alias("auc"))
+    t = t.withColumns({f"b_{y}": F.coalesce(F.sum(f"q_{y}").over(over), F.lit(0)) for y in labels})
+    out = []
+    for y in labels:
+        p, q = F.sum(f"p_{y}"), F.sum(f"q_{y}")
+        won = F.sum(F.col(f"p_{y}") * (F.col(f"b_{y}") + F.col(f"q_{y}") / F.lit(2.0)))
+        out.append(F.when((p > 0) & (q > 0), won / (p.cast("double") * q)).alias(f"auc_{y}"))
+    return t.groupBy(*keys).agg(*out)
+
+
+def weighted_auc(df: DataFrame, s: str, y: str, w: str, keys: Sequence[str]) -> DataFrame:
+    """keys, auc with row weights."""
+    return weighted_aucs(df, s, [y], w, keys).withColumnRenamed(f"auc_{y}", "auc")
 
 
 def bootstrap_auc(df: DataFrame, key: str, s: str, y: str, n_draws: int, seed: int | str) -> DataFrame:
     """(draw, auc): one-class draws are null."""
     rows = numbered(df.filter(F.col(s).isNotNull() & F.col(y).isNotNull()), key)
     drawn = weights(rows, n_draws, seed).join(rows.select("i", s, y), "i")
-    return weighted_auc(drawn, s, y, "w", ["draw"]).select("draw", "auc")
+    return weighted_auc(drawn, s, y, "w", ["draw"])
 
 
 def paired_gap(df: DataFrame, key: str, s: str, z: str, y: str, n_draws: int, seed: int | str) -> DataFrame:
     """(draw, auc_z, auc_y, gap, robust_gap): the same weights for both labels."""
-    rows = numbered(df.filter(F.col(s).isNotNull()), key)
-    drawn = weights(rows, n_draws, seed).join(rows.select("i", s, z, y), "i")
-    a = weighted_auc(drawn, s, z, "w", ["draw"]).select("draw", F.col("auc").alias("auc_z"))
-    b = weighted_auc(drawn, s, y, "w", ["draw"]).select("draw", F.col("auc").alias("auc_y"))
-    return a.join(b, "draw").withColumn("gap", F.col("auc_z") - F.col("auc_y")).withColumn("robust_gap", F.abs(F.col("auc_z") - 0.5) - F.abs(F.col("auc_y") - 0.5))
+    rows = numbered(df.filter(F.col(s).isNotNull()).select(key, F.col(s).alias("s"), F.col(z).alias("z"), F.col(y).alias("y")), key)
+    drawn = weights(rows, n_draws, seed).join(rows.select("i", "s", "z", "y"), "i")
+    both = weighted_aucs(drawn, "s", ["z", "y"], "w", ["draw"])
+    return both.withColumn("gap", F.col("auc_z") - F.col("auc_y")).withColumn("robust_gap", F.abs(F.col("auc_z") - 0.5) - F.abs(F.col("auc_y") - 0.5))
+
+
+def group_gap(df: DataFrame, key: str, a: str, b: str, n_draws: int, seed: int | str) -> DataFrame:
+    """(draw, gap, robust_gap) of two values of groups: each value's groups resampled on their own, at their own number (nulls take no part)."""
+    long = df.select(key, F.explode(F.array(F.struct(F.lit("a").alias("label"), F.col(a).alias("v")), F.struct(F.lit("b").alias("label"), F.col(b).alias("v")))).alias("x")).select(key, "x.*").filter("v IS NOT NULL")
+    rows = numbered(long, key, ["label"])
+    slots = rows.select("label", F.col("i").alias("slot"), "size").crossJoin(F.broadcast(draws(df.sparkSession, n_draws)))
+    picked = slots.select("draw", "label", F.pmod(draw_hash(seed, F.col("label"), F.col("draw"), F.col("slot")), F.col("size")).alias("i"))
+    means = picked.join(rows.select("label", "i", "v"), ["label", "i"]).groupBy("draw").agg(*(F.avg(F.when(F.col("label") == x, F.col("v"))).alias(x) for x in "ab"))
+    return means.select("draw", (F.col("a") - F.col("b")).alias("gap"), (F.abs(F.col("a") - 0.5) - F.abs(F.col("b") - 0.5)).alias("robust_gap"))
+
+
+def one_sided(df: DataFrame, value: str, n_draws: int) -> DataFrame:
+    """draws (valid ones), lo, hi, p = (1 + draws at or below zero) / (draws + 1); all null under a quarter of `n_draws` valid draws."""
+    n = F.count(value)
+    stats_ = {"lo": F.percentile(value, F.lit(0.025)), "hi": F.percentile(value, F.lit(0.975)), "p": (F.count_if(F.col(value) <= 0) + 1) / (n + 1)}
+    return df.agg(n.alias("draws"), *(F.when(n >= n_draws / 4, v).alias(k) for k, v in stats_.items()))
 
 
 def interval(df: DataFrame, value: str, lo: float = 0.025, hi: float = 0.975, keys: Sequence[str] = ()) -> DataFrame:
@@ -95,12 +157,16 @@ def cluster_weights(df: DataFrame, cluster: str, n_draws: int, seed: int | str)
 
 def stratified_null(df: DataFrame, key: str, s: str, z: str, y: str, n_draws: int, seed: int | str) -> DataFrame:
     """(draw, auc): AUC(s, z) with z permuted within the strata of y; scores keep their rows."""
-    rows = df.filter(F.col(s).isNotNull() & F.col(z).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(s).alias("s"), F.col(z).alias("z"), F.col(y).alias("y"))
-    spread = rows.crossJoin(F.broadcast(draws(df.sparkSession, n_draws)))
-    here = spread.withColumn("slot", F.row_number().over(W.partitionBy("draw", "y").orderBy("k")))
-    there = spread.withColumn("slot", F.row_number().over(W.partitionBy("draw", "y").orderBy(draw_hash(seed, F.col("draw"), F.col("k")), "k")))
-    mixed = here.select("draw", "y", "slot", "s").join(there.select("draw", "y", "slot", "z"), ["draw", "y", "slot"]).withColumn("w", F.lit(1))
-    return weighted_auc(mixed, "s", "z", "w", ["draw"]).select("draw", "auc")
+    rows = df.filter(F.col(s).isNotNull() & F.col(z).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(s).alias("s"), F.col(z).cast("int").alias("z"), F.col(y).alias("y"))
+    mixed = permuted(rows, "k", "z", n_draws, seed, ["y"]).withColumn("w", F.lit(1))
+    return weighted_auc(mixed, "s", "zp", "w", ["draw"])
+
+
+def within_null(df: DataFrame, key: str, s: str, y: str, group: str, n_draws: int, seed: int | str) -> DataFrame:
+    """(draw, auc): the pooled AUC with y permuted within groups; its mean over all permutations is `rank.exact_within_null`."""
+    rows = df.filter(F.col(s).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(s).alias("s"), F.col(y).cast("int").alias("z"), F.col(group).alias("g"))
+    mixed = permuted(rows, "k", "z", n_draws, seed, ["g"]).withColumn("w", F.lit(1))
+    return weighted_auc(mixed, "s", "zp", "w", ["draw"])
 
 
 def label_swap(df: DataFrame, key: str, s: str, z: str, y: str, n_draws: int, seed: int | str) -> DataFrame:
@@ -108,9 +174,7 @@ def label_swap(df: DataFrame, key: str, s: str, z: str, y: str, n_draws: int, se
     spread = df.select(F.col(key).alias("k"), F.col(s).alias("s"), F.col(z).cast("int").alias("z"), F.col(y).cast("int").alias("y")).crossJoin(F.broadcast(draws(df.sparkSession, n_draws)))
     swap = draw_hash(seed, F.col("draw"), F.col("k")) % 2 == 1
     mixed = spread.select("draw", "s", F.when(swap, F.col("y")).otherwise(F.col("z")).alias("z"), F.when(swap, F.col("z")).otherwise(F.col("y")).alias("y"), F.lit(1).alias("w"))
-    a = weighted_auc(mixed, "s", "z", "w", ["draw"]).select("draw", F.col("auc").alias("a"))
-    b = weighted_auc(mixed, "s", "y", "w", ["draw"]).select("draw", F.col("auc").alias("b"))
-    return a.join(b, "draw").select("draw", (F.col("a") - F.col("b")).alias("gap"))
+    return weighted_aucs(mixed, "s", ["z", "y"], "w", ["draw"]).select("draw", (F.col("auc_z") - F.col("auc_y")).alias("gap"))
 
 
 def tail_p(df: DataFrame, value: str, observed: float | Column, plus_one: bool = True) -> DataFrame:
@@ -127,6 +191,13 @@ def downsample(df: DataFrame, key: str, s: str, y: str, keep: int, how: str, see
     return df.filter(F.col(y).cast("int") == 0).unionByName(kept)
 
 
+def at_rate(df: DataFrame, key: str, s: str, y: str, rate: float, how: str = "random", seed: int | str = 0, least: int = 5) -> DataFrame | None:
+    """Rows whose positives are thinned to a share of `rate` (half-even); None if fewer than `least` would stay. One number is read ahead."""
+    n = df.agg(F.count_if(F.col(y).cast("int") == 0).alias("zero"), F.count_if(F.col(y).cast("int") == 1).alias("one")).first()
+    keep = min(round(rate * n.zero / max(1 - rate, 1e-6)), n.one)
+    return downsample(df, key, s, y, keep, how, seed) if keep >= least else None
+
+
 def adversarial_swap(df: DataFrame, key: str, s: str, y: str, steps: Sequence[int]) -> DataFrame:
     """(t, auc): labels of the t lowest positives and the t highest negatives exchanged."""
     one = F.col(y).cast("int")
@@ -164,21 +235,60 @@ def label_shuffle(df: DataFrame, key: str, s: str, y: str, n_draws: int, seed: i
 
 def queue_difference(df: DataFrame, key: str, a: str, b: str, y: str, size: int, n_draws: int, seed: int | str) -> DataFrame:
     """(draw, diff): positives among the first `size` by a minus those by b, with y permuted and scores fixed."""
-    rows = df.select(F.col(key).alias("k"), F.col(y).cast("int").alias("y"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(a), key)).alias("ra"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(b), key)).alias("rb"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)).alias("slot"))
-    spread = rows.crossJoin(F.broadcast(draws(df.sparkSession, n_draws)))
-    there = spread.select("draw", "y", F.row_number().over(W.partitionBy("draw").orderBy(draw_hash(seed, F.col("draw"), F.col("k")), "k")).alias("slot"))
-    mixed = spread.select("draw", "slot", "ra", "rb").join(there, ["draw", "slot"])
-    count = lambda r: F.sum(F.when(F.col(r) <= size, F.col("y")).otherwise(0))
-    return mixed.groupBy("draw").agg((count("ra") - count("rb")).alias("diff"))
-
-
-def paired_change(df: DataFrame, key: str, before: str, after: str, y: str, n_draws: int, seed: int | str) -> DataFrame:
-    """(draw, auc_before, auc_after, change): the same weights for the score before and after an intervention."""
-    rows = numbered(df.filter(F.col(before).isNotNull() & F.col(after).isNotNull()), key)
-    drawn = weights(rows, n_draws, seed).join(rows.select("i", before, after, y), "i")
-    a = weighted_auc(drawn, before, y, "w", ["draw"]).select("draw", F.col("auc").alias("auc_before"))
-    b = weighted_auc(drawn, after, y, "w", ["draw"]).select("draw", F.col("auc").alias("auc_after"))
-    return a.join(b, "draw").withColumn("change", F.col("auc_after") - F.col("auc_before"))
+    from .rank import ranked
+
+    rows = df.select(F.col(key).alias("k"), F.col(y).cast("int").alias("y"))
+    # At most 2 * size rows stand in a queue.
+    queues = ranked(df, a, key, most=size).select(F.col(key).alias("k"), F.lit(1).alias("side")).union(ranked(df, b, key, most=size).select(F.col(key).alias("k"), F.lit(-1).alias("side")))
+    queued = queues.groupBy("k").agg(F.sum("side").alias("side"))
+    mixed = permuted(rows, "k", "y", n_draws, seed).join(F.broadcast(queued), "k")
+    return mixed.groupBy("draw").agg(F.sum(F.col("side") * F.col("zp")).alias("diff"))
+
+
+def queue_bootstrap(df: DataFrame, key: str, a: str, b: str, y: str, size: int, n_draws: int, seed: int | str) -> DataFrame:
+    """(draw, diff): positives among the first `size` of a resample by a minus those by b; copies of a row stand together, ties by key.
+
+    Only the first 4 * size + 64 rows of an order can matter; a draw in which
+    these weigh less than `size` (all but impossible) gives null.
+    """
+    from .rank import ranked
+
+    rows = numbered(df.select(key, F.col(a).alias("sa"), F.col(b).alias("sb"), F.col(y).cast("int").alias("y")), key)
+    drawn = weights(rows, n_draws, seed)
+    n = df.count()
+    parts = []
+    for s, sign in (("sa", 1), ("sb", -1)):
+        top = ranked(rows, s, key, most=4 * size + 64).select("i", "rk", "y")
+        in_ = drawn.join(F.broadcast(top), "i")
+        order = W.partitionBy("draw").orderBy("rk").rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("w").over(order), F.lit(0))
+        taken = in_.withColumn("t", F.greatest(F.least(F.col("w"), size - before), F.lit(0)))
+        parts.append(taken.groupBy("draw").agg(F.sum("t").alias("t"), (sign * F.sum(F.col("t") * F.col("y"))).alias("hits")))
+    both = parts[0].union(parts[1]).groupBy("draw").agg(F.min("t").alias("least"), F.sum("hits").alias("hits"))
+    return both.select("draw", F.when(F.col("least") >= min(size, n), F.col("hits")).alias("diff"))
+
+
+def tie_draws(df: DataFrame, key: str, s: str, y: str, size: int, n_draws: int, seed: int | str) -> DataFrame:
+    """(draw, hits): positives among the first `size` rows when ties fall by the draw's hash. Only rows that tie at the cut are ordered anew."""
+    from .rank import tie_exposure
+
+    cut = F.broadcast(tie_exposure(df, s, y, size).select("cut", "places", F.col("pos_in")))  # one row
+    tied = df.select(F.col(key).alias("k"), F.col(s).alias("s"), F.col(y).cast("int").alias("y")).join(cut, F.col("s") == F.col("cut"))
+    spread = tied.crossJoin(F.broadcast(draws(df.sparkSession, n_draws)))
+    place = F.row_number().over(W.partitionBy("draw").orderBy(draw_hash(seed, F.col("draw"), F.col("k")), "k"))
+    return spread.withColumn("o", place).groupBy("draw").agg((F.max("pos_in") + F.sum(F.when(F.col("o") <= F.col("places"), F.col("y")).otherwise(0))).alias("hits"))
+
+
+def paired_change(df: DataFrame, key: str, before: str, after: str | Sequence[str], y: str, n_draws: int, seed: int | str) -> DataFrame:
+    """(draw, auc_before, auc_after, change): the same weights for the score before and after an intervention. With several `after` (a control's seeds) the mean of their AUCs."""
+    scores = [before, *([after] if isinstance(after, str) else after)]
+    usable = [F.col(c).isNotNull() for c in scores]
+    rows = numbered(df.filter(reduce(lambda p, q: p & q, usable)).select(key, F.col(y).alias("y"), *(F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(scores))), key)
+    drawn = weights(rows, n_draws, seed).join(rows, "i")
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("n"), F.col(f"s{i}").alias("s")) for i in range(len(scores)))))
+    a = weighted_auc(drawn.select("draw", "w", "y", each.alias("x")).select("draw", "w", "y", "x.*"), "s", "y", "w", ["draw", "n"])
+    out = a.groupBy("draw").agg(F.max(F.when(F.col("n") == 0, F.col("auc"))).alias("auc_before"), F.avg(F.when(F.col("n") > 0, F.col("auc"))).alias("auc_after"))
+    return out.withColumn("change", F.col("auc_after") - F.col("auc_before"))
 
 
 def verdict_shares(draw_verdicts: DataFrame) -> DataFrame:

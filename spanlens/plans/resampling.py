@@ -9,7 +9,8 @@ from ..operators import agree, learned, rank, resample, simulate
 from .contracts import auc_sql, kappa_sql, pairs, pairs_sql, r9
 from .registry import query
 
-DRAWS = 50
+#: Draws of queries that list them, and of those that take an interval.
+DRAWS, MANY = 50, 200
 P = "WITH " + pairs_sql()
 _HASH = "CAST(('0x' || substring(md5({t}), 1, 8)) AS BIGINT)"
 
@@ -18,7 +19,8 @@ def _hash(*parts: str) -> str:
     return _HASH.format(t=" || '-' || ".join(f"CAST({p} AS VARCHAR)" for p in parts))
 
 
-_ROWS = "n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS size FROM pair), dr AS (SELECT unnest(range(0, {k})) AS draw)"
+_SLOT = f"{_hash(chr(39) + 'slot' + chr(39), 'id')}, id"
+_ROWS = f"n AS (SELECT *, row_number() OVER (ORDER BY {_SLOT}) - 1 AS i, count(*) OVER () AS size FROM pair), " + "dr AS (SELECT unnest(range(0, {k})) AS draw)"
 _WEIGHTS = f"w AS (SELECT draw, {_hash(chr(39) + 's' + chr(39), 'draw', 'i')} % size AS i, count(*) AS w FROM n, dr GROUP BY ALL)"
 
 
@@ -29,6 +31,7 @@ def _weighted(src: str, s: str, y: str) -> str:
 
 
 _DRAWN = f"{_ROWS.format(k=DRAWS)}, {_WEIGHTS}, x AS (SELECT w.draw, w.w, n.s, n.y, n.z_comp FROM w JOIN n USING (i))"
+_INTERVAL = _DRAWN.replace(f"range(0, {DRAWS})", f"range(0, {MANY})")
 
 
 @query(f"{P}, {_DRAWN} SELECT draw, round(auc, 9) AS auc FROM {_weighted('x', 's', 'y')}")
@@ -37,19 +40,21 @@ def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"{P}, {_DRAWN}, g AS (SELECT draw, abs(a.auc - 0.5) - abs(b.auc - 0.5) AS g FROM {_weighted('x', 's', 'z_comp')} a JOIN {_weighted('x', 's', 'y')} b USING (draw)) "
+    f"{P}, {_INTERVAL}, g AS (SELECT draw, abs(a.auc - 0.5) - abs(b.auc - 0.5) AS g FROM {_weighted('x', 's', 'z_comp')} a JOIN {_weighted('x', 's', 'y')} b USING (draw)) "
     "SELECT count(g) AS draws, round(avg(g), 9) AS mean, round(stddev_samp(g), 9) AS sd, round(quantile_cont(g, 0.025), 9) AS lo, round(quantile_cont(g, 0.975), 9) AS hi FROM g"
 )
 def paired_gap_interval(spark: SparkSession, d: str) -> DataFrame:
-    g = resample.paired_gap(pairs(spark, d), "id", "s", "z_comp", "y", DRAWS, "s")
+    g = resample.paired_gap(pairs(spark, d), "id", "s", "z_comp", "y", MANY, "s")
     return resample.interval(g, "robust_gap").select("draws", *(r9(F.col(c)).alias(c) for c in ("mean", "sd", "lo", "hi")))
 
 
-@query(
-    f"{P}, dr AS (SELECT unnest(range(0, {DRAWS})) AS draw), a AS (SELECT draw, y, s, row_number() OVER (PARTITION BY draw, y ORDER BY id) AS slot FROM pair, dr), "
-    f"b AS (SELECT draw, y, z_comp AS z, row_number() OVER (PARTITION BY draw, y ORDER BY {_hash(chr(39) + 'n' + chr(39), 'draw', 'id')}, id) AS slot FROM pair, dr), x AS (SELECT a.draw AS draw, a.s AS s, b.z AS z, 1 AS w FROM a JOIN b ON a.draw = b.draw AND a.y = b.y AND a.slot = b.slot) "
-    f"SELECT draw, round(auc, 9) AS auc FROM {_weighted('x', 's', 'z')}"
-)
+def _permuted(z: str, seed: str, strata: str, k: int = DRAWS) -> str:
+    """dr, pm: each draw's rows with zp, the permuted z: 1 for the least hashes of a stratum."""
+    by = f"PARTITION BY draw{strata}"
+    return f"dr AS (SELECT unnest(range(0, {k})) AS draw), pm AS (SELECT *, CAST(row_number() OVER ({by} ORDER BY {_hash(chr(39) + seed + chr(39), 'draw', 'id')}, id) <= sum({z}) OVER ({by}) AS INT) AS zp, 1 AS w FROM pair, dr)"
+
+
+@query(f"{P}, {_permuted('z_comp', 'n', ', y')} SELECT draw, round(auc, 9) AS auc FROM {_weighted('pm', 's', 'zp')}")
 def stratified_null(spark: SparkSession, d: str) -> DataFrame:
     return resample.stratified_null(pairs(spark, d), "id", "s", "z_comp", "y", DRAWS, "n").select("draw", r9(F.col("auc")).alias("auc"))
 
@@ -63,7 +68,7 @@ def label_swap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"{P}, c AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS size FROM (SELECT DISTINCT source FROM pair)), dr AS (SELECT unnest(range(0, {DRAWS})) AS draw), "
+    f"{P}, c AS (SELECT source, row_number() OVER (ORDER BY {_hash(chr(39) + 'slot' + chr(39), 'source')}, source) - 1 AS i, count(*) OVER () AS size FROM (SELECT DISTINCT source FROM pair)), dr AS (SELECT unnest(range(0, {DRAWS})) AS draw), "
     f"w AS (SELECT draw, {_hash(chr(39) + 'c' + chr(39), 'draw', 'i')} % size AS i, count(*) AS w FROM c, dr GROUP BY ALL), x AS (SELECT draw, w, s, y FROM w JOIN c USING (i) JOIN pair USING (source)) SELECT draw, round(auc, 9) AS auc FROM {_weighted('x', 's', 'y')}"
 )
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -135,12 +140,11 @@ def pair_kappa_sim(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"{P}, dr AS (SELECT unnest(range(0, 20)) AS draw), r AS (SELECT id, y, row_number() OVER (ORDER BY s DESC, id) AS ra, row_number() OVER (ORDER BY len DESC, id) AS rb, row_number() OVER (ORDER BY id) AS slot FROM pair), "
-    f"t AS (SELECT draw, y, row_number() OVER (PARTITION BY draw ORDER BY {_hash(chr(39) + 'q' + chr(39), 'draw', 'id')}, id) AS slot FROM r, dr), m AS (SELECT t.draw AS draw, t.y AS y, r.ra AS ra, r.rb AS rb FROM t JOIN r USING (slot)) "
-    "SELECT draw, CAST(sum(CASE WHEN ra <= 50 THEN y ELSE 0 END) - sum(CASE WHEN rb <= 50 THEN y ELSE 0 END) AS BIGINT) AS diff FROM m GROUP BY draw"
+    f"{P}, {_permuted('y', 'q', '', 200)}, r AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS ra, row_number() OVER (ORDER BY len DESC, id) AS rb FROM pair) "
+    "SELECT draw, CAST(sum(CASE WHEN ra <= 50 THEN zp ELSE 0 END) - sum(CASE WHEN rb <= 50 THEN zp ELSE 0 END) AS BIGINT) AS diff FROM pm JOIN r USING (id) WHERE ra <= 50 OR rb <= 50 GROUP BY draw"
 )
 def queue_difference(spark: SparkSession, d: str) -> DataFrame:
-    return resample.queue_difference(pairs(spark, d), "id", "s", "len", "y", 50, 20, "q")
+    return resample.queue_difference(pairs(spark, d), "id", "s", "len", "y", 50, 200, "q")
 
 
 @query(f"{P}, {_DRAWN.replace('n.z_comp FROM', 'n.z_comp, n.len FROM')} SELECT draw, round(a.auc, 9) AS auc_before, round(b.auc, 9) AS auc_after, round(b.auc - a.auc, 9) AS change FROM {_weighted('x', 's', 'y')} a JOIN {_weighted('x', 'len', 'y')} b USING (draw)")
