@@ -71,6 +71,23 @@ def opening_family(text: Column | str) -> Column:
     return F.when(starts(THINKING_OPENINGS), "thinking").when(starts(REFUSAL_OPENINGS), "direct_refusal").otherwise("other")
 
 
+# Fixed value: words of a change of mind, case ignored.
+BACKTRACK = r"(?i)\b(wait|hmm|actually|oops|let me try|on second thought|that'?s not right|i made a mistake|scratch that)\b"
+
+
+def backtracks(text: Column | str) -> Column:
+    return F.regexp_like(body(text), F.lit(BACKTRACK))
+
+
+def has_box(text: Column | str) -> Column:
+    return F.regexp_like(body(text), F.lit(r"\\boxed\s*\{"))
+
+
+def comparable(prompt_a: Column, prompt_b: Column, final_a: Column, final_b: Column) -> Column:
+    """Equal prompts, and neither final answer blank."""
+    return F.coalesce(prompt_a == prompt_b, F.lit(False)) & (strip(body(final_a)) != "") & (strip(body(final_b)) != "")
+
+
 def arithmetic_density(text: Column | str) -> Column:
     """Share of digits and operators among the characters; 0 for an empty text."""
     t = body(text)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vocabulary import CUES
+from .vocabulary import ANSWER_MARKER, CUES, OPENINGS, PASSAGE, UNCERTAINTY
+
 
 def _s(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -54,9 +55,10 @@ def step_prefix(steps: Column, share: float, ceiling: bool = False) -> Column:
     return F.slice(steps, F.lit(1), F.greatest(F.lit(1), k.cast("int")))
 
 
-def any_of(c: Column | str, cues: Sequence[str] = CUES, stripped: bool = True) -> Column:
-    """The lower-cased text has one of the cues."""
+def any_of(c: Column | str, cues: Sequence[str] = CUES, stripped: bool = True, span: int | None = None) -> Column:
+    """The lower-cased text has one of the cues, in its first `span` characters after stripping if that is given."""
     t = F.lower(strip(body(c)) if stripped else body(c))
+    t = t if span is None else prefix(t, span)
     return reduce(lambda a, b: a | b, (F.contains(t, F.lit(x)) for x in cues))
 
 
@@ -90,25 +92,29 @@ def signature(c: Column | str) -> Column:
     return F.struct(F.regexp_like(t, F.lit(r"(?m)^\s*([-*]|[0-9]+\.)\s")).alias("has_list"), F.contains(t, F.lit("```")).alias("has_code"), (F.size(F.split(strip(t), r"\s+")) > 40).alias("long"))
 
 
-def strip_openings(c: Column | str, patterns: Sequence[str], passes: int = 5) -> tuple[Column, Column]:
-    """Take off leading openings, the first that matches in each pass; the rest and how many went."""
-    t, n = body(c), F.lit(0)
-    for _ in range(passes):
-        hit, rest = F.lit(False), t
-        for p in reversed(patterns):
-            m = F.regexp_like(t, F.lit(rf"(?i)^\s*(?:{p})"))
-            rest = F.when(m, F.regexp_replace(t, rf"(?i)^\s*(?:{p})\s*", "")).otherwise(rest)
-            hit = hit | m
-        t, n = rest, n + hit.cast("int")
-    return t, n
+def _either(patterns: Sequence[str]) -> str:
+    """One pattern for all: alternatives are tried in their order, so the first that matches is taken."""
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def strip_openings(c: Column | str, patterns: Sequence[str] = OPENINGS, passes: int = 5) -> tuple[Column, Column]:
+    """Take off leading openings and the white space after them, the first that matches in each pass; the rest and how many went.
+
+    A pass is one regex; the passes fold over a sequence, so the plan does not grow with either number.
+    """
+    opening = rf"(?i)^(?:{_either(patterns)})\s*"
+
+    def step(acc: Column, _: Column) -> Column:
+        rest = F.regexp_replace(acc["t"], opening, "")
+        return F.struct(rest.alias("t"), (acc["n"] + (F.length(rest) < F.length(acc["t"])).cast("int")).alias("n"))
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.struct(body(c).alias("t"), F.lit(0).alias("n")), step)
+    return out["t"], out["n"]
 
 
 def strip_once(c: Column | str, patterns: Sequence[str]) -> Column:
-    """Take off the first opening that matches."""
-    t = out = body(c)
-    for p in reversed(patterns):
-        out = F.when(F.regexp_like(t, F.lit(f"(?i)^(?:{p})")), F.regexp_replace(t, f"(?i)^(?:{p})", "")).otherwise(out)
-    return out
+    """Take off the first opening that matches, and nothing else."""
+    return F.regexp_replace(body(c), rf"(?i)^(?:{_either(patterns)})", "")
 
 
 def drop_chars(c: Column | str, k: int) -> Column:
@@ -141,24 +147,59 @@ def drop_sentences(c: Column | str, cues: Sequence[str] = CUES) -> Column:
     return F.array_join(F.filter(sentences(c), lambda x: ~F.exists(F.array(*map(F.lit, cues)), lambda k: F.contains(lower(x), k))), " ")
 
 
+def hashed(*parts: Column | str) -> Column:
+    """32 bits of MD5 of the parts joined by a dash, as a bigint: any engine gives the same."""
+    joined = F.concat_ws("-", *(_s(p).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def excise(c: Column | str, n: Column, key: Column) -> Column:
-    """Without n characters from an offset of 1 or more that the key's hash picks."""
+    """Without n characters from an offset of 1 or more that the key's hash picks; a text of n characters or fewer stays as it is."""
     t = body(c)
-    room = F.greatest(F.length(t) - n - 1, F.lit(0))
-    at = 1 + F.pmod(F.xxhash64(key), F.greatest(room, F.lit(1))).cast("int")
-    return F.when(F.length(t) <= n + 1, F.substring(t, 1, 1)).otherwise(F.concat(F.substring(t, F.lit(1), at), F.substring(t, at + n + 1, F.length(t))))
+    at = 1 + F.pmod(hashed(key), F.greatest(F.length(t) - n, F.lit(1))).cast("int")
+    return F.when((n <= 0) | (F.length(t) <= n), t).otherwise(F.concat(F.substring(t, F.lit(1), at), F.substring(t, at + n + 1, F.length(t))))
+
+
+def drop_random_sentences(c: Column | str, share: Column | float, key: Column) -> Column:
+    """Sentences in an order that the key's hash picks go until their characters reach the share of all; the rest stays in order."""
+    parts = F.filter(sentences(c), lambda x: F.trim(x) != "")
+    order = F.array_sort(F.transform(parts, lambda x, i: F.struct(hashed(key, i).alias("h"), i.alias("i"), F.length(x).alias("n"), x.alias("s"))))
+    total = F.aggregate(order, F.lit(0), lambda acc, x: acc + x["n"])
+    budget = ((share if isinstance(share, Column) else F.lit(share)) * total).cast("double")
+
+    def spend(acc: Column, x: Column) -> Column:
+        more = acc["spent"] < acc["budget"]
+        return F.struct((acc["spent"] + F.when(more, x["n"]).otherwise(0)).alias("spent"), acc["budget"].alias("budget"), (acc["gone"] + more.cast("int")).alias("gone"))
+
+    gone = F.aggregate(order, F.struct(F.lit(0).alias("spent"), budget.alias("budget"), F.lit(0).alias("gone")), spend)["gone"]
+    left = F.array_sort(F.transform(F.slice(order, gone + 1, F.greatest(F.size(order), F.lit(1))), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+    return F.array_join(F.transform(left, lambda x: x["s"]), " ")
+
+
+def inject(c: Column | str, opening: str, chosen: Column, span: int = 0, suffix: str = "") -> Column:
+    """Where chosen: the opening in place of the first `span` characters, and a suffix after the text."""
+    return F.when(chosen, F.concat(F.lit(opening), complement(c, span) if span else body(c), F.lit(suffix))).otherwise(body(c))
 
 
-def inject(c: Column | str, opening: str, chosen: Column) -> Column:
-    return F.when(chosen, F.concat(F.lit(opening), body(c))).otherwise(body(c))
+def content_word(w: Column) -> Column:
+    """A token's letters in lower case; null unless it has three or more and nothing else but punctuation."""
+    bare = F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
+    return F.when((F.length(bare) > 2) & F.regexp_like(bare, F.lit(r"^\p{L}+$")), bare)
 
 
-def mask_words(c: Column | str, question: Column, keep: Column, span: int = 400, filler: str = "x") -> Column:
-    """In the first `span` characters, the question's words of four letters or more become fillers of their length, unless the kept answer has them."""
+def content_words(c: Column | str, stop: Sequence[str] = ()) -> Column:
+    found = F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(body(c), F.lit(r"\S+"), F.lit(0)), content_word)))
+    return F.array_except(found, F.array(*map(F.lit, stop))) if stop else found
+
+
+def mask_words(c: Column | str, question: Column, keep: Column, span: int = 400, filler: str = "x", stop: Sequence[str] = ()) -> Column:
+    """In the first `span` characters, tokens whose content word the question has and the kept answer lacks become fillers of their length."""
     t = body(c)
-    asked = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(body(question)), F.lit("[a-z]{4,}"), F.lit(0))), lambda w: ~F.contains(F.lower(body(keep)), w))
-    head = F.aggregate(asked, prefix(t, span), lambda acc, w: F.regexp_replace(acc, F.concat(F.lit(r"(?i)\b"), w, F.lit(r"\b")), F.repeat(F.lit(filler), F.length(w))))
-    return F.concat(head, complement(t, span))
+    asked = F.array_except(content_words(question, stop), content_words(keep))
+    # At most `span` tokens, so the fold's text stays short.
+    tokens_ = F.regexp_extract_all(prefix(t, span), F.lit(r"\S+|\s+"), F.lit(0))
+    step = lambda acc, w: F.struct(acc["asked"].alias("asked"), F.concat(acc["out"], F.when(F.coalesce(F.array_contains(acc["asked"], content_word(w)), F.lit(False)), F.repeat(F.lit(filler), F.length(w))).otherwise(w)).alias("out"))
+    return F.concat(F.aggregate(tokens_, F.struct(asked.alias("asked"), F.lit("").alias("out")), step)["out"], complement(t, span))
 
 
 def parse_tagged(c: Column | str) -> Column:
@@ -197,6 +238,15 @@ def html_to_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def list_items(c: Column | str) -> Column:
+    """Items of a list literal of quoted strings or bare words, `['a', "b", 3]`; any other text is its own only item."""
+    t = strip(body(c))
+    item = r"'(?:[^'\\\\]|\\\\.)*'|\"(?:[^\"\\\\]|\\\\.)*\"|[^,'\"\[\]\s][^,'\"\[\]]*"
+    whole = rf"^\[\s*(?:(?:{item})\s*(?:,\s*(?:{item})\s*)*,?)?\s*\]$"
+    items = F.transform(F.regexp_extract_all(F.regexp_extract(t, r"(?s)^\[(.*)\]$", 1), F.lit(f"({item})"), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"^(['\"])(.*)\1$", "$2"))
+    return F.when(F.regexp_like(t, F.lit(whole)), items).otherwise(F.array(body(c)))
+
+
 def passages(c: Column | str, pattern: str, most: int = 6) -> Column:
     """Distinct matches in order, the first `most`."""
     return F.slice(F.array_distinct(F.regexp_extract_all(body(c), F.lit(pattern), F.lit(0))), 1, most)
@@ -228,34 +278,51 @@ def steps(c: Column | str) -> Column:
     return F.when(F.forall(lines, lambda x: F.regexp_like(x, F.lit(p))) & (F.size(lines) >= 3), parsed)
 
 
-def surface(c: Column | str) -> dict[str, Column]:
-    """Surface features of a text."""
-    t = body(c)
-    words = F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    n, chars = F.size(words), F.length(t)
+#: Surface features in the order in which `surface` gives them.
+SURFACE = ("chars", "words", "mean_word", "distinct_share", "sentences", "mean_sentence", "list_marks", "digit_share", "upper_share", "ends_closed", "pair_repeats")
+
+
+def surface(df: DataFrame, c: str, keep: Sequence[str]) -> DataFrame:
+    """`keep` columns and the surface features of a text. Words are cut in a projection of their own, which the features share."""
+    t = F.col("__t")
+    cut = df.select(*keep, body(c).alias("__t")).select(*keep, "__t", F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("__w"))
+    words, n, chars = F.col("__w"), F.size("__w"), F.length(t)
+    follow = F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(1)))
+    pairs = F.zip_with(words, follow, lambda a, b: F.concat(a, F.lit(" "), b))  # the last word has no follower and gives a null
+    cut = cut.select(*keep, "__t", "__w", F.size(F.array_distinct(words)).alias("__d"), F.size(F.array_distinct(F.array_compact(pairs))).alias("__p"), F.size(F.filter(F.split(t, "[.!?]+"), lambda x: F.trim(x) != "")).alias("__s"))
     share = lambda p: F.when(chars > 0, (chars - F.length(F.regexp_replace(t, p, ""))) / chars).otherwise(F.lit(0.0))
-    parts = F.filter(F.split(t, "[.!?]+"), lambda x: F.trim(x) != "")
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    pairs = F.when(n > 1, pairs).otherwise(F.array().cast("array<string>"))
-    return {
-        "chars": chars,
-        "words": n,
-        "mean_word": F.when(n > 0, F.length(F.array_join(words, "")) / n).otherwise(F.lit(0.0)),
-        "distinct_share": F.when(n > 0, F.size(F.array_distinct(words)) / n).otherwise(F.lit(0.0)),
-        "sentences": F.size(parts),
-        "mean_sentence": n / F.greatest(F.size(parts), F.lit(1)),
-        "list_marks": F.size(F.regexp_extract_all(t, F.lit(r"(?m)^\s*([-*]|[0-9]+\.)\s"), F.lit(0))),
-        "digit_share": share("[0-9]"),
-        "upper_share": share(r"\p{Lu}"),
-        "ends_closed": F.regexp_like(t, F.lit(r"[.!?]\s*$")).cast("int"),
-        "pair_repeats": F.when(n > 1, 1 - F.size(F.array_distinct(pairs)) / F.size(pairs)).otherwise(F.lit(0.0)),
-    }
+    return cut.select(
+        *keep,
+        chars.alias("chars"),
+        n.alias("words"),
+        F.when(n > 0, F.length(F.array_join(words, "")) / n).otherwise(F.lit(0.0)).alias("mean_word"),
+        F.when(n > 0, F.col("__d") / n).otherwise(F.lit(0.0)).alias("distinct_share"),
+        F.col("__s").alias("sentences"),
+        (n / F.greatest("__s", F.lit(1))).alias("mean_sentence"),
+        F.size(F.regexp_extract_all(t, F.lit(r"(?m)^\s*([-*]|[0-9]+\.)\s"), F.lit(0))).alias("list_marks"),
+        share("[0-9]").alias("digit_share"),
+        share(r"\p{Lu}").alias("upper_share"),
+        F.regexp_like(t, F.lit(r"[.!?]\s*$")).cast("int").alias("ends_closed"),
+        F.when(n > 1, 1 - F.col("__p") / (n - 1)).otherwise(F.lit(0.0)).alias("pair_repeats"),
+    )
 
 
 def tokens(c: Column | str, pattern: str = r"[\p{L}\p{N}_]{2,}") -> Column:
     return F.regexp_extract_all(F.lower(body(c)), F.lit(pattern), F.lit(0))
 
 
+def markers(c: Column | str) -> dict[str, Column]:
+    """Whether the text has an answer marker, a word of doubt, a cited passage."""
+    t = body(c)
+    return {"answer": F.regexp_like(t, F.lit(ANSWER_MARKER)), "uncertain": F.regexp_like(t, F.lit(UNCERTAINTY)), "passage": F.regexp_like(t, F.lit(PASSAGE))}
+
+
+def marker_set(c: Column | str) -> Column:
+    """Names of the markers that hold, `incomplete` among them."""
+    flags = markers(c) | {"incomplete": incomplete(c)}
+    return F.array_compact(F.array(*(F.when(f, F.lit(n)) for n, f in flags.items())))
+
+
 def jaccard_distance(a: Column, b: Column) -> Column:
     """Of token sets; 0 if both are empty."""
     a, b = F.array_distinct(a), F.array_distinct(b)

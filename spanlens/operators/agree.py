@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -112,7 +113,27 @@ def moving_queue(df: DataFrame, a: str, b: str, tie: str, size: int) -> DataFram
     return one.join(two, tie).agg(F.count("*").alias("both")).select("both", (F.col("both") / F.lit(float(size))).alias("overlap"))
 
 
+def union_ids(tables: Sequence[DataFrame]) -> DataFrame:
+    """Rows of any of the tables, each once."""
+    return reduce(DataFrame.union, tables).distinct()
+
+
+def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, only_in: keys of the first that the second lacks, and the other way round, from one shuffle."""
+    both = a.select(key, F.lit(1).alias("s")).union(b.select(key, F.lit(2).alias("s"))).groupBy(key).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    return both.filter(F.col("lo") == F.col("hi")).select(key, F.when(F.col("lo") == 1, "first").otherwise("second").alias("only_in"))
+
+
 def rank_moves(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
-    """rows, moved: how many stand at another rank by `b` than by `a`."""
-    both = df.withColumn("ra", F.row_number().over(W.orderBy(F.desc(a), tie))).withColumn("rb", F.row_number().over(W.orderBy(F.desc(b), tie)))
-    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("ra") != F.col("rb")).alias("moved"))
+    """rows, moved: how many stand at another rank by `b` than by `a` (ties by `tie`).
+
+    Ranks come from the distinct scores' running counts, and only rows of one
+    score are ordered among themselves, so no task holds the table.
+    """
+    from .rank import running
+
+    rows = df.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(tie).alias("k"))
+    for c in ("a", "b"):
+        t = running(rows.groupBy(c).agg(F.count("*").alias("n")), c, ["n"], descending=True).select(c, F.col("before_n").alias(f"o_{c}"))
+        rows = rows.join(t, c).withColumn(f"r_{c}", F.col(f"o_{c}") + F.row_number().over(W.partitionBy(c).orderBy("k")))
+    return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("r_a") != F.col("r_b")).alias("moved"))

@@ -57,6 +57,25 @@ def outer_coalesce(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.select(key, *(F.coalesce(c, f"__b_{c}").alias(c) if c in both else F.col(c) for c in a.columns if c != key), *(c for c in b.columns if c not in both and c != key))
 
 
+def lookup(df: DataFrame, found: DataFrame, key: str, fallback: dict[str, object]) -> DataFrame:
+    """Left join; what isn't found is the fallback's value."""
+    return df.join(found, key, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fallback.items()})
+
+
+def join_on(a: DataFrame, b: DataFrame, left: Column, right: Column) -> DataFrame:
+    """Inner join on an expression of either side, such as a text without its marks or white space; empty keys meet nothing."""
+    x, y = a.withColumn("__k", left), b.withColumn("__k", right)
+    return x.filter(F.col("__k") != "").join(y.filter(F.col("__k") != ""), "__k").drop("__k")
+
+
+def join_with_reasons(df: DataFrame, other: DataFrame, keys: Sequence[str], reasons: Sequence[tuple[Column, str]], kept: str = "kept") -> DataFrame:
+    """Left join on a composite key with status: the first reason that holds, else `kept`; so skipped rows can be counted in the same pass."""
+    status = F.lit(kept)
+    for when, why in reversed(reasons):
+        status = F.when(F.coalesce(when, F.lit(False)), why).otherwise(status)
+    return df.join(other, list(keys), "left").withColumn("status", status)
+
+
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is not done yet."""
     return todo.join(done.select(key).distinct(), key, "left_anti")

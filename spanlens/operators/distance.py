@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import body, tokens
+from ..functions.text import body, hashed, tokens
 
 
 def word_grams(text: Column, two: bool = True) -> Column:
@@ -73,8 +73,8 @@ def vocabulary(counts: DataFrame, most: int | None = 10_000, min_df: int = 1) ->
     return t.orderBy(F.desc("tf"), "term").limit(most) if most else t
 
 
-def tfidf(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams, most: int | None = 10_000, min_df: int = 1, sublinear: bool = True, fit_on: DataFrame | None = None) -> DataFrame:
-    """pair, distance by idf = ln((1 + N) / (1 + df)) + 1 and, if sublinear, 1 + ln(tf). `fit_on`: other pairs to learn terms from."""
+def tfidf_weights(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams, most: int | None = 10_000, min_df: int = 1, sublinear: bool = True, fit_on: DataFrame | None = None) -> DataFrame:
+    """pair, term, wa, wb by idf = ln((1 + N) / (1 + df)) + 1 and, if sublinear, 1 + ln(tf). `fit_on`: other pairs to learn terms from."""
     counts = term_counts(pairs, grams)
     fitted = counts if fit_on is None else term_counts(fit_on, grams)
     n = (pairs if fit_on is None else fit_on).agg((F.count("*") * 2).alias("docs"))
@@ -88,7 +88,12 @@ def tfidf(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams, most
         tf = 1 + F.log(F.col(t).cast("double")) if sublinear else F.col(t).cast("double")
         return F.when(F.col(t) > 0, tf * F.col("idf")).otherwise(F.lit(0.0))
 
-    return cosine(pairs, counts.join(vocab, "term").select("pair", weight("ta").alias("wa"), weight("tb").alias("wb")))
+    return counts.join(vocab, "term").select("pair", "term", weight("ta").alias("wa"), weight("tb").alias("wb"))
+
+
+def tfidf(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams, most: int | None = 10_000, min_df: int = 1, sublinear: bool = True, fit_on: DataFrame | None = None) -> DataFrame:
+    """pair, distance of the TF-IDF weights."""
+    return cosine(pairs, tfidf_weights(pairs, grams, most, min_df, sublinear, fit_on))
 
 
 def held_out_tfidf(pairs: DataFrame, fold: Column, folds: int, grams: Callable[[Column], Column] = word_grams, most: int = 10_000, min_df: int = 1) -> DataFrame:
@@ -118,8 +123,8 @@ def count_cosine(pairs: DataFrame, grams: Callable[[Column], Column] = word_gram
 
 
 def hashed_cosine(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams, features: int = 1 << 16) -> DataFrame:
-    """Counts in hash buckets, without signs."""
-    t = term_counts(pairs, grams).groupBy("pair", F.pmod(F.xxhash64("term"), F.lit(features)).alias("slot")).agg(F.sum("ta").cast("double").alias("wa"), F.sum("tb").cast("double").alias("wb"))
+    """Counts in buckets of an MD5 hash, without signs."""
+    t = term_counts(pairs, grams).groupBy("pair", F.pmod(hashed("term"), F.lit(features)).alias("slot")).agg(F.sum("ta").cast("double").alias("wa"), F.sum("tb").cast("double").alias("wb"))
     return cosine(pairs, t)
 
 
@@ -138,21 +143,35 @@ def embedding_distance(a: Column, b: Column) -> Column:
     return 1 - F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, p: acc + p)
 
 
-def projected_distance(pairs: DataFrame, seed: int, width: int = 64, grams: Callable[[Column], Column] = word_grams) -> DataFrame:
-    """Cosine distance after a random +-1 projection of the counts: signs are bits of a hash of (term, coordinate)."""
-    t = term_counts(pairs, grams)
-    coordinates = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("slot")
-    spread = t.select("pair", "term", "ta", "tb", coordinates)
-    sign = F.when(F.xxhash64("term", "slot", F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
-    low = spread.groupBy("pair", "slot").agg(F.sum(sign * F.col("ta")).alias("wa"), F.sum(sign * F.col("tb")).alias("wb"))
+def projected_distance(pairs: DataFrame, seed: int | str, width: int = 384, grams: Callable[[Column], Column] = word_grams, most: int | None = 10_000) -> DataFrame:
+    """Cosine distance after a random projection of the TF-IDF weights to `width` coordinates by normal deviates, which come from a hash of (term, coordinate).
+
+    The deviates of the vocabulary (at most `most` terms) are made once and
+    summed by pair and coordinate before anything is shuffled.
+    """
+    weighted = tfidf_weights(pairs, grams, most)
+    deviates = weighted.select("term").distinct().select("term", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("slot")).withColumn("r", normal_deviate(seed, F.col("term"), F.col("slot")))
+    spread = weighted.join(deviates, "term").select("pair", "slot", "wa", "wb", "r")
+    low = spread.groupBy("pair", "slot").agg(F.sum(F.col("r") * F.col("wa")).alias("wa"), F.sum(F.col("r") * F.col("wb")).alias("wb"))
     return cosine(pairs, low)
 
 
+def normal_deviate(seed: int | str, *parts: Column) -> Column:
+    """Box-Muller from two hashes."""
+    u = lambda name: (hashed(F.lit(f"{seed}{name}"), *parts) + 0.5) / F.lit(4294967296.0)
+    return F.sqrt(-2 * F.log(u("u"))) * F.cos(F.lit(6.283185307179586) * u("v"))
+
+
 def composite(z: Column, marker: Column, share: float) -> Column:
     """share * z + (1 - share) * marker."""
     return share * z + (1 - share) * marker.cast("double")
 
 
+def entailment_gap(a: Column, b: Column) -> Column:
+    """|a - b| of two entailment scores that a model gave before; null with a null."""
+    return F.abs(a - b)
+
+
 def sequence_distance(a: Column, b: Column) -> Column:
     """1 - ratio of matching blocks; both empty: 0. Row logic that no built-in has, in Arrow batches."""
 

@@ -10,16 +10,15 @@ from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.feature import PCA, CountVectorizer, IDF, NGram, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .resample import draw_hash
+from .resample import numbered
 
 
 def folds(df: DataFrame, key: str, y: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """Adds fold: stratified by the label, dealt round by a hash order in each class."""
-    order = W.partitionBy(y).orderBy(draw_hash(seed, F.col(key)), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)))
+    """Adds fold: stratified by the label, dealt round by a hash order in each class, range of the hash by range."""
+    placed = numbered(df.withColumn("__k", F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), "__k", [y])
+    return placed.withColumn("fold", F.pmod("i", F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
 def _balanced(df: DataFrame, y: str) -> DataFrame:
@@ -57,6 +56,18 @@ def oof_logistic(df: DataFrame, key: str, features: Sequence[str], y: str, k: in
     return reduce(DataFrame.union, parts)
 
 
+def oof_targets(df: DataFrame, key: str, features: Sequence[str], targets: Sequence[str], k: int = 5, seed: int = 0) -> DataFrame:
+    """target, n, n_pos, auc of out-of-fold scores for several targets, all on the folds of the first."""
+    from .rank import auc
+
+    rows = folds(df.select(key, *targets, *features), key, targets[0], k, seed).persist()
+    parts = []
+    for t in targets:
+        scored = [predict(fit_logistic(rows.filter(F.col("fold") != f), features, t), rows.filter(F.col("fold") == f), features).select(F.col(t).alias("y"), F.col("__p").alias("s")) for f in range(k)]
+        parts.append(auc(reduce(DataFrame.union, scored), "s", ["y"]).select(F.lit(t).alias("target"), "n", F.col("n_y").alias("n_pos"), F.round("auc_y", 3).alias("auc")))
+    return reduce(DataFrame.union, parts)
+
+
 def oof_text(df: DataFrame, key: str, text: str, y: str, k: int = 5, vocabulary: int = 10_000, seed: int = 0) -> DataFrame:
     """key, y, fold, score of TF-IDF unigrams and bigrams into a logistic regression, out of fold."""
     rows = folds(df.select(key, y, F.coalesce(text, F.lit("")).alias("text")), key, y, k, seed).withColumn("__y", F.col(y).cast("double")).persist()

@@ -96,6 +96,27 @@ def budgets(spec: str, n: int, n_pos: int) -> list[int]:
     return sorted({min(max(1, b), n) for b in out}) if n else []
 
 
+def budget_of(share: Column, n: Column, how: str = "half_even") -> Column:
+    """A share of n rows as a count: rounded half-even and one at least, or down."""
+    if how == "floor":
+        return F.floor(share * n).cast("int")
+    return F.greatest(F.lit(1), F.bround(share * n, 0).cast("int"))
+
+
+def summary(df: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
+    """name, settings, mean_<value> over rows in which no value is null."""
+    return df.dropna(subset=list(values)).groupBy(name).agg(F.count("*").alias("settings"), *(F.avg(v).alias(f"mean_{v}") for v in values))
+
+
+def cases(df: DataFrame, s: str, tie: str, most: int | None = None) -> DataFrame:
+    """Adds rk = 1, 2, ... by falling score: ranges of scores are ordered apart, or only the first `most` rows kept."""
+    if most is not None:
+        return ranked(df, s, tie, most=most)
+    t = running(df.filter(usable(s)).groupBy(s).agg(F.count("*").alias("n")), s, ["n"], descending=True)
+    joined = df.join(t.select(s, "before_n"), s)
+    return joined.withColumn("rk", (F.col("before_n") + F.row_number().over(W.partitionBy(s).orderBy(tie))).cast("int")).drop("before_n").select("rk", *df.columns)
+
+
 def composition(df: DataFrame, s: str, tie: str, states: Sequence[str], sizes: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """keys, budget, routed, n_<state> of the first `budget` rows, and their mean score."""
     top = ranked(df, s, tie, keys, max(sizes))

@@ -198,6 +198,16 @@ def at_rate(df: DataFrame, key: str, s: str, y: str, rate: float, how: str = "ra
     return downsample(df, key, s, y, keep, how, seed) if keep >= least else None
 
 
+def inject_at_rate(df: DataFrame, key: str, pool: Column, rate: float, seed: int | str) -> DataFrame:
+    """Adds injected: true for a share `rate` of all rows (half-even), drawn by a hash from those of `pool`, or for all of these if they are fewer."""
+    marked = df.withColumn("__in", F.coalesce(pool, F.lit(False))).withColumn("__h", draw_hash(seed, F.col(key))).withColumn("__b", _range("__h"))
+    counts = marked.groupBy("__b").agg(F.count("*").alias("__n"), F.count_if("__in").alias("__p"))  # at most RANGES rows
+    order = W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    cut = counts.select("__b", (F.bround(F.sum("__n").over(W.partitionBy(F.lit(0))) * rate, 0) - F.coalesce(F.sum("__p").over(order), F.lit(0))).alias("__left"))
+    place = F.row_number().over(W.partitionBy("__b", "__in").orderBy("__h", key))
+    return marked.join(F.broadcast(cut), "__b").withColumn("injected", F.col("__in") & (place <= F.col("__left"))).drop("__in", "__h", "__b", "__left")
+
+
 def adversarial_swap(df: DataFrame, key: str, s: str, y: str, steps: Sequence[int]) -> DataFrame:
     """(t, auc): labels of the t lowest positives and the t highest negatives exchanged."""
     one = F.col(y).cast("int")

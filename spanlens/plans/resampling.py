@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import agree, learned, rank, resample, simulate
+from ..operators import agree, learned, rank, resample
 from .contracts import auc_sql, kappa_sql, pairs, pairs_sql, r9
 from .registry import query
 
@@ -125,20 +125,6 @@ def oof_logistic(spark: SparkSession, d: str) -> DataFrame:
     return learned.oof_logistic(p, "id", ["s", "z_ext", "len", "q"], "y").select("id", "y", "fold", F.round("score", 6).alias("score"))
 
 
-@query()
-def synthetic_grid(spark: SparkSession, d: str) -> DataFrame:
-    t = simulate.latent_contracts(spark, 2000, [0.0, 0.3, 0.6, 0.9])
-    a = rank.auc(t, "s", ["z", "z_comp", "y"], ["alpha"])
-    return a.select("alpha", "n", *(r9(F.col(f"auc_{c}")).alias(f"auc_{c}") for c in ("z", "z_comp", "y")), r9(F.abs(F.col("auc_z_comp") - 0.5) - F.abs(F.col("auc_y") - 0.5)).alias("d_dis"))
-
-
-@query()
-def pair_kappa_sim(spark: SparkSession, d: str) -> DataFrame:
-    t = simulate.pair_kappa(spark, 5000, [0.02, 0.05, 0.1, 0.2])
-    side = agree.kappa(t, "a", "ja", ["error"]).select("error", F.col("kappa").alias("side_kappa"))
-    return side.join(agree.kappa(t, "pair", "judged_pair", ["error"]).select("error", F.col("kappa").alias("pair_kappa")), "error").select("error", r9(F.col("side_kappa")).alias("side_kappa"), r9(F.col("pair_kappa")).alias("pair_kappa"))
-
-
 @query(
     f"{P}, {_permuted('y', 'q', '', 200)}, r AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS ra, row_number() OVER (ORDER BY len DESC, id) AS rb FROM pair) "
     "SELECT draw, CAST(sum(CASE WHEN ra <= 50 THEN zp ELSE 0 END) - sum(CASE WHEN rb <= 50 THEN zp ELSE 0 END) AS BIGINT) AS diff FROM pm JOIN r USING (id) WHERE ra <= 50 OR rb <= 50 GROUP BY draw"

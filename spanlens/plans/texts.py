@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mathtext, rules
 from ..functions import text as tx
-from ..functions.vocabulary import CUES
+from ..functions.vocabulary import CUES, CUES_11, OPENINGS, WIDE_CUES
 from ..operators import distance
 from ..shipping import ship
 from ..sources import table
@@ -42,24 +42,51 @@ def answer_arrival(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(found).alias("found"), r9(F.percentile(F.when(found, F.col("at") - 1), F.lit(0.5))).alias("median_offset"), F.count_if(F.col("at").between(1, 50)).alias("within_50"))
 
 
-_OPEN = (r"the\s+", r"of\s+", r"in\s+", r"de\s+", r"und\s+", r"is\s+")
+def _strip_sql(text: str, passes: int, keep: str, source: str) -> str:
+    """Each pass finds its own first pattern by a list search and takes that off, where the column expression has one regex."""
+    quoted = ", ".join("'" + p.replace("'", "''") + "'" for p in OPENINGS)
+    sql = f"SELECT {keep}, {text} AS t, 0 AS n FROM {source}"
+    for _ in range(passes):
+        found = f"SELECT *, list_filter([{quoted}], lambda p: regexp_matches(t, '(?i)^(?:' || p || ')'))[1] AS p FROM ({sql})"
+        sql = f"SELECT {keep}, CASE WHEN p IS NULL THEN t ELSE regexp_replace(regexp_replace(t, '(?i)^(?:' || p || ')', ''), '^\\s+', '') END AS t, n + CAST(p IS NOT NULL AS INT) AS n FROM ({found})"
+    return f"SELECT {keep}, t AS text, n AS stripped FROM ({sql})"
 
 
-def _strip_sql(passes: int = 3) -> str:
-    sql = "SELECT doc_id, coalesce(text, '') AS t, 0 AS n FROM documents"
-    for _ in range(passes):
-        case = " ".join(f"WHEN regexp_matches(t, '(?i)^\\s*(?:{p})') THEN regexp_replace(t, '(?i)^\\s*(?:{p})\\s*', '')" for p in _OPEN)
-        any_ = " OR ".join(f"regexp_matches(t, '(?i)^\\s*(?:{p})')" for p in _OPEN)
-        sql = f"SELECT doc_id, CASE {case} ELSE t END AS t, n + CASE WHEN {any_} THEN 1 ELSE 0 END AS n FROM ({sql})"
-    return f"SELECT doc_id, t AS text, n AS stripped FROM ({sql})"
+_SAID = ("Thinking Process: ", "Okay, let's see what this is\n\nThe user is asking for it.\n", "I cannot help with X. Sorry, but no. ", "I'm sorry, but I cannot do that. Thought\n\n1. **Analyze the Request:** ", "", "let me think\n" * 4 + "I cannot fulfill this request. I am sorry. ", "<think> <think>\n<think>I cannot answer. I cannot provide advice on it. Okay, let's go\nSorry, no. I'm sorry. ")
+_SAID_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(_SAID)) + " END || coalesce(text, '')"
+
 
+def _said() -> Column:
+    out = F.lit("")
+    for i, x in enumerate(_SAID):
+        out = F.when(F.col("doc_id") % 7 == i, F.lit(x)).otherwise(out)
+    return F.concat(out, tx.body("text"))
 
-@query(_strip_sql())
+
+@query(_strip_sql(_SAID_SQL, 5, "doc_id", "documents"))
 def opening_strip(spark: SparkSession, d: str) -> DataFrame:
-    rest, n = tx.strip_openings("text", _OPEN, 3)
+    """All the reference's openings, five passes, on texts with none to many openings before them."""
+    rest, n = tx.strip_openings(_said())
     return table(spark, d, "documents").select("doc_id", rest.alias("text"), n.alias("stripped"))
 
 
+@query(_strip_sql(_SAID_SQL, 8, "doc_id", "documents"))
+def opening_strip_eight(spark: SparkSession, d: str) -> DataFrame:
+    """The router's variant: eight passes."""
+    rest, n = tx.strip_openings(_said(), passes=8)
+    return table(spark, d, "documents").select("doc_id", rest.alias("text"), n.alias("stripped"))
+
+
+_FIRST = (r"based on the (provided )?passages( provided)?,?\s*", r"the provided passages\s+(do not|does not)?\s*", r"idiot\s", r"[a-z]+\s")
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '(?i)^(?:{p})') THEN regexp_replace(t, '(?i)^(?:{p})', '')" for p in _FIRST) + " ELSE t END AS text FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Based on the passages, the provided passages do not ' ELSE '' END || coalesce(text, '') AS t FROM documents)")
+def opening_strip_once(spark: SparkSession, d: str) -> DataFrame:
+    """A single pass: of two openings on end the first goes."""
+    said = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("Based on the passages, the provided passages do not ")).otherwise(F.lit("")), tx.body("text"))
+    return table(spark, d, "documents").select("doc_id", tx.strip_once(said, _FIRST).alias("text"))
+
+
 @query("SELECT doc_id, CASE WHEN strpos(coalesce(text, ''), chr(10)) > 0 THEN substring(text, strpos(text, chr(10)) + 1) ELSE '' END AS text FROM documents")
 def drop_first_line(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.drop_first_line("text").alias("text"))
@@ -158,13 +185,13 @@ _SHARE = "CASE WHEN length(t) > 0 THEN (length(t) - length(regexp_replace(t, '{p
     "SELECT doc_id, length(t) AS chars, CAST(len(w) AS INT) AS words, round(CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / CAST(len(w) AS DOUBLE) ELSE 0 END, 9) AS mean_word, "
     "round(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / CAST(len(w) AS DOUBLE) ELSE 0 END, 9) AS distinct_share, "
     "CAST(len(list_filter(string_split_regex(t, '[.!?]+'), lambda x: trim(x) <> '')) AS INT) AS sentences, "
+    "round(len(w) / CAST(greatest(len(list_filter(string_split_regex(t, '[.!?]+'), lambda x: trim(x) <> '')), 1) AS DOUBLE), 9) AS mean_sentence, CAST(len(regexp_extract_all(t, '(?m)^\\s*([-*]|[0-9]+\\.)\\s')) AS INT) AS list_marks, "
     f"round({_SHARE.format(p='[0-9]')}, 9) AS digit_share, round({_SHARE.format(p=chr(92) + 'p{Lu}')}, 9) AS upper_share, CAST(regexp_matches(t, '[.!?]\\s*$') AS INT) AS ends_closed, "
     "round(CASE WHEN len(w) > 1 THEN 1 - len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) / CAST(len(w) - 1 AS DOUBLE) ELSE 0 END, 9) AS pair_repeats FROM d"
 )
 def surface_features(spark: SparkSession, d: str) -> DataFrame:
-    f = tx.surface("text")
-    whole = ("chars", "words", "sentences", "ends_closed")
-    return table(spark, d, "documents").select("doc_id", *(f[c].alias(c) for c in whole), *(r9(f[c]).alias(c) for c in ("mean_word", "distinct_share", "digit_share", "upper_share", "pair_repeats")))
+    out = tx.surface(table(spark, d, "documents"), "text", ["doc_id"])
+    return out.withColumns({c: r9(F.col(c)) for c in ("mean_word", "distinct_share", "mean_sentence", "digit_share", "upper_share", "pair_repeats")})
 
 
 _HTML = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
@@ -216,7 +243,10 @@ def sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", r9(distance.sequence_distance(F.col("p_name"), F.col("p_type"))).alias("distance"))
 
 
-@query()
+_SLOTS = "CAST(('0x' || substring(md5(term), 1, 8)) AS BIGINT) % 65536"
+
+
+@query(f"WITH {TURNS_SQL}, {_GRAMS}, w AS (SELECT pair, {_SLOTS} AS slot, CAST(sum(ta) AS DOUBLE) AS wa, CAST(sum(tb) AS DOUBLE) AS wb FROM tc GROUP BY ALL), {_COS}")
 def hashed_cosine(spark: SparkSession, d: str) -> DataFrame:
     return distance.hashed_cosine(turn_pairs(spark, d)).withColumn("distance", r9(F.col("distance")))
 
@@ -258,29 +288,50 @@ def interventions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.inject("text", "I cannot. ", F.col("doc_id") % 3 == 0).alias("injected"), tx.drop_chars(tx.body("text"), 10).alias("dropped"), tx.token_prefix(tx.body("text"), 5).alias("five_words"))
 
 
-@query()
+_LINE = "length(t) - length(CASE WHEN strpos(t, chr(10)) > 0 THEN substring(t, strpos(t, chr(10)) + 1) ELSE '' END)"
+_MD5 = "CAST(('0x' || substring(md5({t}), 1, 8)) AS BIGINT)"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT *, {_LINE} AS n FROM d), a AS (SELECT *, 1 + {_MD5.format(t='CAST(doc_id AS VARCHAR)')} % greatest(length(t) - n, 1) AS o FROM n) "
+    "SELECT doc_id, CASE WHEN n <= 0 OR length(t) <= n THEN t ELSE substring(t, 1, o) || substring(t, o + n + 1) END AS text FROM a"
+)
 def matched_excision(spark: SparkSession, d: str) -> DataFrame:
     """As many characters as the first line has, cut at an offset that a hash picks."""
     n = F.length(tx.body("text")) - F.length(tx.drop_first_line("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(tx.excise("text", F.least(n, F.lit(200)), F.col("doc_id"))).alias("left"))
+    return table(spark, d, "documents").select("doc_id", tx.excise("text", n, F.col("doc_id")).alias("text"))
 
 
-@query()
+_DEVIATE = "sqrt(-2 * ln((CAST(('0x' || substring(md5('5u-' || term || '-' || CAST(slot AS VARCHAR)), 1, 8)) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE))) * cos(CAST(6.283185307179586 AS DOUBLE) * ((CAST(('0x' || substring(md5('5v-' || term || '-' || CAST(slot AS VARCHAR)), 1, 8)) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))"
+
+
+@query(
+    f"WITH {TURNS_SQL}, {_GRAMS}, {_VOC.format(having='', most=10000)}, x AS (SELECT pair, term, CASE WHEN ta > 0 THEN (1 + ln(ta)) * idf ELSE 0 END AS xa, CASE WHEN tb > 0 THEN (1 + ln(tb)) * idf ELSE 0 END AS xb FROM tc JOIN i USING (term)), "
+    f"r AS (SELECT term, slot, {_DEVIATE} AS r FROM i, (SELECT unnest(range(0, 384)) AS slot)), w AS (SELECT pair, slot, sum(r * xa) AS wa, sum(r * xb) AS wb FROM x JOIN r USING (term) GROUP BY pair, slot), {_COS}"
+)
 def projected_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Counts at 16 coordinates with signs of +-1: departs from the reference's TF-IDF at 384 with normal ones, and is noisier."""
-    return distance.projected_distance(turn_pairs(spark, d), 5, 16).withColumn("distance", r9(F.col("distance")))
+    """TF-IDF weights at 384 coordinates."""
+    return distance.projected_distance(turn_pairs(spark, d), 5).withColumn("distance", r9(F.col("distance")))
 
 
-@query()
+@query(f"WITH {TURNS_SQL}, {_GRAMS}, w AS (SELECT pair, CAST(ta AS DOUBLE) AS wa, CAST(tb AS DOUBLE) AS wb FROM tc WHERE length(term) <= 3), e AS (SELECT pair, round(sum(CASE WHEN length(term) <= 3 THEN ta * ta + tb * tb ELSE 0 END) / CAST(sum(ta * ta + tb * tb) AS DOUBLE), 9) AS energy FROM tc GROUP BY pair), {_COS.replace("s AS (", "s AS (", 1).replace(" SELECT tp.pair", ", q AS (SELECT tp.pair", 1)}) SELECT q.pair AS pair, distance, energy FROM q LEFT JOIN e ON e.pair = q.pair")
 def template_energy(spark: SparkSession, d: str) -> DataFrame:
     out = distance.subspace(turn_pairs(spark, d), distance.word_grams, F.length("term") <= 3)
     return out.withColumns({c: r9(F.col(c)) for c in ("distance", "energy")})
 
 
-@query()
+_FOLD = "CAST(('0x' || substring(md5(CAST(pair // 1000 AS VARCHAR)), 1, 8)) AS BIGINT) % 5"
+
+
+@query(
+    f"WITH {TURNS_SQL}, {_GRAMS}, f AS (SELECT *, {_FOLD} AS fold FROM tc), k AS (SELECT unnest(range(0, 5)) AS k), n AS (SELECT k, 2 * count(*) FILTER ({_FOLD} <> k) AS docs FROM tp, k GROUP BY k), "
+    "v AS (SELECT k, term, sum(CASE WHEN ta > 0 THEN 1 ELSE 0 END + CASE WHEN tb > 0 THEN 1 ELSE 0 END) AS df, row_number() OVER (PARTITION BY k ORDER BY sum(ta + tb) DESC, term) AS r FROM f, k WHERE fold <> k GROUP BY k, term), "
+    "i AS (SELECT v.k AS fold, term, ln((1 + docs) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM v JOIN n USING (k) WHERE r <= 10000), "
+    f"w AS (SELECT pair, CASE WHEN ta > 0 THEN (1 + ln(ta)) * idf ELSE 0 END AS wa, CASE WHEN tb > 0 THEN (1 + ln(tb)) * idf ELSE 0 END AS wb FROM f JOIN i USING (fold, term)), {_COS}"
+)
 def held_out_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Distances of all pairs by terms learned on the conversations of other folds: one of five by a hash of conv_id."""
-    fold = F.pmod(F.xxhash64(F.floor(F.col("pair") / 1000)), F.lit(FOLDS))
+    fold = F.pmod(tx.hashed(F.floor(F.col("pair") / 1000)), F.lit(FOLDS))
     return distance.held_out_tfidf(turn_pairs(spark, d), fold, FOLDS).withColumn("distance", r9(F.col("distance")))
 
 
@@ -289,10 +340,3 @@ def screening_reasons(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
     reason = rules.screen_reason((F.col("lang") != "en", "not english"), (F.col("n_chars") < 100, "short"), (F.contains(tx.body("text"), F.lit("|")), "table"))
     return t.select("doc_id", r9(rules.arithmetic_density("text")).alias("density"), reason.alias("reason"))
-
-
-@query()
-def gold_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Where a document's language code stands as a word, and whether its length in characters is named; look-behind has no SQL form here."""
-    t = table(spark, d, "documents")
-    return t.select("doc_id", rules.gold_offset("text", F.col("lang")).alias("offset"), rules.has_number("text", F.col("n_chars").cast("string")).alias("names_length"), rules.opening_family("text").alias("family"))

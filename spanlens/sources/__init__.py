@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import hashed
+
 #: Names of the wrapper field that a JSON file may have.
 WRAPPERS = ("records", "rows", "items", "data", "prompts")
 TRACE = "id string, prompt string, trace string, raw_trace string, reasoning string, final string, parse_status string"
@@ -68,14 +74,85 @@ def first_groups(df: DataFrame, group: str, position: str, most: int) -> DataFra
 
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows that a hash picks, the same in every run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(hashed(F.lit(seed), key), key).limit(n)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines reach: below spark.checkpoint.dir, or in local mode a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spanlens-")
+    return f"{at.rstrip('/')}/spanlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def dataset(spark: SparkSession, root: str, split: str | None = None, column: str = "split") -> DataFrame:
+    """A dataset folder partitioned by split; one split reads its own files only."""
+    df = spark.read.parquet(root)
+    return df if split is None else df.filter(F.col(column) == split)
+
+
+def cached(df: DataFrame, path: str, least: int = 1) -> DataFrame:
+    """The table at `path` if it is there with `least` rows or more; else `df`, written there."""
+    spark = df.sparkSession
+    try:
+        kept = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept = None
+    if kept is None or kept.limit(least).count() < least:
+        df.write.mode("overwrite").parquet(path)
+        kept = spark.read.parquet(path)
+    return kept
+
+
+def pickled(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of pickled pandas frames, a file a task; write them to Parquet once. Unpickling can run code: only for files of one's own."""
+    import pickle
+
+    def frames(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                yield pickle.loads(content)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(frames, schema)
+
+
+def write_wrapped(df: DataFrame, path: str, name: str, head: dict[str, str] | None = None) -> None:
+    """One JSON document {head, name: [rows]}: for reports and small record files, since its rows meet in one task."""
+    rows = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+    out = rows.select(*(F.lit(v).alias(k) for k, v in (head or {}).items()), name)
+    out.select(F.to_json(F.struct(*out.columns), {"pretty": "true"}).alias("value")).coalesce(1).write.text(path)
+
+
+def write_report(df: DataFrame, path: str, head: dict[str, str] | None = None) -> None:
+    """The rows of a report as one indented JSON document."""
+    write_wrapped(df, path, "rows", head)
+
+
+def shown(c: Column | str) -> Column:
+    """Three decimals for a number with a fraction, a dash for null."""
+    text = F.col(c).cast("string") if isinstance(c, str) else F.when(c.isNotNull(), F.format_string("%.3f", c))
+    return F.coalesce(text, F.lit("-"))
+
+
+def markdown_row(*cells: Column | str) -> Column:
+    """A line of a Markdown table: names as text, expressions as numbers of three decimals."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *map(shown, cells)), F.lit(" |"))
+
+
+def latex_row(*cells: Column | str) -> Column:
+    """A line of a LaTeX table."""
+    return F.concat(F.concat_ws(" & ", *map(shown, cells)), F.lit(" \\\\"))
 
 
 def write_rows(df: DataFrame, path: str, kind: str, fields: list[str] | None = None) -> None:
     """CSV (fields in order, nulls blank), JSON lines or Parquet through Spark's commit protocol: all or nothing."""
     out = df.select(*fields) if fields else df
     if kind == "csv":
-        out.na.fill("").write.mode("overwrite").option("header", True).csv(path)
+        out.na.fill("").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     elif kind == "json":
         out.write.mode("overwrite").json(path)
     elif kind == "parquet":
