@@ -1,11 +1,14 @@
 """Mathematical answers and arithmetic claims: row logic without built-in equivalents, in Arrow batches.
 
 Expressions are read by a small recursive parser of numbers, + - * / ^, brackets,
-fractions and percents; nothing is ever evaluated as code.
+fractions, percents, roots, pi and single-letter symbols; nothing is ever
+evaluated as code. Expressions with symbols are equal if they have the same
+value at several points.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from fractions import Fraction
 
@@ -15,14 +18,20 @@ from pyspark.sql import functions as F
 
 #: Longest expression that is parsed, largest exponent.
 LONGEST, LARGEST_POWER = 200, 64
+#: Values that a symbol takes, shifted by its place in the alphabet, when expressions with symbols are compared.
+POINTS = (Fraction(7, 5), Fraction(-23, 9), Fraction(41, 3), Fraction(3, 17))
 
 
 def boxed(text: str | None) -> str | None:
-    """The content of the last \\boxed{...} with balanced braces."""
-    at = (text or "").rfind("\\boxed{")
+    """The content of the last \\boxed{...} with balanced braces, or what follows a \\boxed without braces up to a blank or a dollar sign."""
+    at = (text or "").rfind("\\boxed")
     if at < 0:
         return None
-    depth, start = 0, at + 7
+    brace = re.compile(r"\\boxed\s*\{").match(text, at)
+    if not brace:
+        bare = re.compile(r"\\boxed\s+([^\s$]+)").match(text, at)
+        return bare[1] if bare else None
+    depth, start = 0, brace.end()
     for i in range(start - 1, len(text)):
         depth += (text[i] == "{") - (text[i] == "}")
         if depth == 0:
@@ -37,6 +46,9 @@ def normalise(answer: str | None) -> str:
     t = re.sub(r"\\[dt]?frac\s*(\d)\s*(\d)", r"((\1)/(\2))", t)
     while (new := re.sub(r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", r"((\1)/(\2))", t)) != t:
         t = new
+    while (new := re.sub(r"\\sqrt(?:\[(\d+)\])?\{([^{}]*)\}", lambda m: f"(({m[2]})^(1/{m[1] or 2}))", t)) != t:
+        t = new
+    t = re.sub(r"\\sqrt\s*(\d)", r"((\1)^(1/2))", t).replace("\\pi", "pi")
     t = t.replace("\\cdot", "*").replace("\\times", "*").replace("\\div", "/").replace("\\%", "%").replace("^\\circ", "").replace("\\$", "")
     t = re.sub(r"(?<=\d),(?=\d{3}\b)", "", t)
     return re.sub(r"\s+", "", t.replace("{", "(").replace("}", ")"))
@@ -45,9 +57,9 @@ def normalise(answer: str | None) -> str:
 class Reader:
     """Value of an expression; ValueError if it is none."""
 
-    def __init__(self, text: str, in_order: bool = False):
-        self.tokens = re.findall(r"\d+\.?\d*|\.\d+|[-+*/^()%]|\S", text)
-        self.at, self.in_order = 0, in_order
+    def __init__(self, text: str, in_order: bool = False, point: Fraction | None = None):
+        self.tokens = re.findall(r"\d+\.?\d*|\.\d+|pi|[-+*/^()%]|\S", text)
+        self.at, self.in_order, self.point = 0, in_order, point
 
     def value(self) -> Fraction:
         if len(self.tokens) > LONGEST:
@@ -79,10 +91,14 @@ class Reader:
 
     def product(self) -> Fraction:
         v = self.power()
-        while self.peek() and self.peek() in "*/":
-            v = self.apply(self.take(), v, self.power())
+        while (t := self.peek()) and (t in "*/" or self.begins(t)):
+            v = self.apply(self.take() if t in "*/" else "*", v, self.power())
         return v
 
+    def begins(self, t: str) -> bool:
+        """A factor without a sign before it: 2pi, 3(4), 2x."""
+        return t == "pi" or t == "(" or (len(t) == 1 and t.isascii() and t.isalpha() and self.point is not None)
+
     @staticmethod
     def apply(op: str, a: Fraction, b: Fraction) -> Fraction:
         if op == "/" and b == 0:
@@ -94,9 +110,13 @@ class Reader:
         if self.peek() == "^":
             self.take()
             e = self.power()
-            if e.denominator != 1 or abs(e) > LARGEST_POWER or (v == 0 and e < 0):
+            if abs(e) > LARGEST_POWER or (v == 0 and e < 0) or (e.denominator != 1 and v < 0):
                 raise ValueError("power")
-            v = v ** int(e)
+            if e.denominator == 1:
+                v = v ** int(e)
+            else:
+                root = Fraction(math.isqrt(v.numerator), math.isqrt(v.denominator)) if e.denominator == 2 else Fraction(0)
+                v = root ** e.numerator if e.denominator == 2 and root * root == v else Fraction(float(v) ** float(e))
         return v
 
     def atom(self) -> Fraction:
@@ -114,6 +134,10 @@ class Reader:
             self.take()
         elif t[0].isdigit() or t[0] == "." and len(t) > 1:
             v = Fraction(t)
+        elif t == "pi":
+            v = Fraction(math.pi)
+        elif self.point is not None and len(t) == 1 and t.isascii() and t.isalpha():
+            v = self.point + ord(t)
         else:
             raise ValueError(t)
         while self.peek() == "%":
@@ -122,20 +146,31 @@ class Reader:
         return v
 
 
-def number(text: str, in_order: bool = False) -> Fraction | None:
+def number(text: str, in_order: bool = False, point: Fraction | None = None) -> Fraction | None:
     try:
-        return Reader(text, in_order).value()
-    except (ValueError, ZeroDivisionError, RecursionError):
+        return Reader(text, in_order, point).value()
+    except (ValueError, ZeroDivisionError, RecursionError, OverflowError):
         return None
 
 
+def symbols(text: str) -> set[str]:
+    """Single letters that stand for numbers; none where letters make words."""
+    bare = text.replace("pi", "")
+    return set() if re.search(r"[A-Za-z]{2}", bare) else set(re.findall(r"[A-Za-z]", bare))
+
+
+def close_numbers(u: Fraction | None, v: Fraction | None, tolerance: float) -> bool:
+    return u is not None and v is not None and abs(u - v) <= Fraction(tolerance) * max(1, abs(u), abs(v))
+
+
 def same_answer(a: str | None, b: str | None, tolerance: float = 1e-6) -> bool:
-    """Equal as normalised text, or as numbers within the tolerance."""
+    """Equal as normalised text, as numbers within the tolerance, or as expressions of the same symbols at all points."""
     x, y = normalise(boxed(a) or a), normalise(boxed(b) or b)
     if x == y:
         return True
-    u, v = number(x), number(y)
-    return u is not None and v is not None and abs(u - v) <= Fraction(tolerance) * max(1, abs(u), abs(v))
+    if close_numbers(number(x), number(y), tolerance):
+        return True
+    return bool(symbols(x)) and symbols(x) == symbols(y) and all(close_numbers(number(x, point=p), number(y, point=p), tolerance) for p in POINTS)
 
 
 _SIDE = r"[-+]?[\d(][\d\s.,+\-*/^()%$x×÷]*"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,35 @@ def latent_contracts(spark: SparkSession, n: int, alphas: Sequence[float], preva
     return at.select("alpha", "id", "s", *((F.col(c) > F.col(f"c_{c}")).cast("int").alias(n) for c, n in (("lz", "z"), ("lc", "z_comp"), ("ly", "y"))))
 
 
+#: The named cases: how score, proxy and its complement arise from the construct's latent q, others' a, v, m and fresh noise.
+CASES = ("valid", "containment", "mismatch", "spillover", "score_failure", "high_kappa", "mixed")
+
+
+def named_cases(spark: SparkSession, n: int, seed: int | str = 7) -> DataFrame:
+    """case, id, s, z, z_comp, y of the seven named cases, n rows each; thresholds at each case's median."""
+    grid = spark.range(n).crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in CASES], "case string")))
+    u = lambda k: normal(f"{seed}-{k}", F.col("case"), F.col("id"))
+    base = grid.select("case", "id", *(u(k).alias(k) for k in "qavm"), *(u(f"e{i}").alias(f"e{i}") for i in range(8)), uniform(f"{seed}-flip", F.col("case"), F.col("id")).alias("flip"))
+    q, a, v, m = (F.col(k) for k in "qavm")
+
+    def mix(latent: Column, w: float, noise: str) -> Column:
+        return w * latent + (max(1e-9, 1 - w * w) ** 0.5) * F.col(noise)
+
+    # The cases' weights.
+    t = base.select("case", "id", "q", "a", "v", "m", "flip", "e5", "e6", "e7", mix(q, 0.30, "e0").alias("qs"), mix(v, 0.80, "e1").alias("vs"), mix(v, 0.80, "e2").alias("vo"), mix(m, 0.80, "e3").alias("ms"), mix(m, 0.80, "e4").alias("mo"), mix(q, 0.7, "e6").alias("q1"), mix(q, 0.7, "e7").alias("q2"))
+    qs, vs, ms = F.col("qs"), F.col("vs"), F.col("ms")
+    y = (q > 0).cast("int")
+    merged = F.when(F.col("flip") < 0.20, 1 - y).otherwise(y)
+    pick = lambda d: reduce(lambda out, c: out.when(F.col("case") == c, d[c]), CASES[1:], F.when(F.col("case") == CASES[0], d[CASES[0]]))
+    s = pick({"valid": 0.7 * qs + 0.3 * F.col("e5"), "containment": 0.55 * a + 0.25 * qs, "mismatch": 0.35 * qs + 0.55 * ms, "spillover": 0.25 * qs + 0.55 * vs, "score_failure": 0.55 * a + 0.55 * vs, "high_kappa": merged + 0.05 * F.col("e5"), "mixed": 0.55 * a + 0.35 * qs + 0.4 * ms})
+    lz = pick({"valid": F.col("q1"), "containment": a, "mismatch": ms, "spillover": vs, "score_failure": a + vs, "high_kappa": merged.cast("double"), "mixed": 0.5 * a + 0.5 * ms})
+    lc = pick({"valid": F.col("q2"), "containment": F.col("e6"), "mismatch": F.col("mo"), "spillover": F.col("vo"), "score_failure": F.col("vo"), "high_kappa": merged.cast("double"), "mixed": F.col("mo")})
+    rows = t.select("case", "id", s.alias("s"), lz.alias("lz"), lc.alias("lc"), y.alias("y"))
+    cut = rows.groupBy("case").agg(F.percentile("lz", F.lit(0.5)).alias("cz"), F.percentile("lc", F.lit(0.5)).alias("cc"))
+    above = lambda latent, at: F.when(F.col("case") == "high_kappa", F.col(latent)).otherwise((F.col(latent) > F.col(at)).cast("double")).cast("int")
+    return rows.join(F.broadcast(cut), "case").select("case", "id", "s", above("lz", "cz").alias("z"), above("lc", "cc").alias("z_comp"), "y")  # one row a case
+
+
 def pair_kappa(spark: SparkSession, n: int, errors: Sequence[float], prevalence: float = 0.3, shared: float = 0.0, seed: int = 2) -> DataFrame:
     """error, side_kappa_rows: labels of two sides and their judges, flipped independently or with `shared` ambiguity; and the pair label from each."""
     grid = spark.range(n).crossJoin(F.broadcast(spark.createDataFrame([(float(e),) for e in errors], "error double")))

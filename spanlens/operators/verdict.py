@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CAUTION_BAND, KAPPA_MERGED, LEAST_CLASS, LOW_KAPPA, MISMATCH_BAND, MOST_EMPTY, MOST_MODAL, NEAR_CHANCE, RANKED
@@ -60,6 +60,7 @@ def bands(d: Column, mismatch: float = MISMATCH_BAND, caution: float = CAUTION_B
 def verdict_v2(blocked: Column, lo: Column, hi: Column, proxy_ranked: Column, kappa: Column, beats_null: Column, d: Column, mismatch: float = MISMATCH_BAND, caution: float = CAUTION_BAND, merged: float = KAPPA_MERGED) -> tuple[Column, Column]:
     """(verdict, reason) in the second rule's order."""
     near = (lo >= NEAR_CHANCE[0]) & (hi <= NEAR_CHANCE[1])
+    # The reasons as the rule's reports name them.
     steps = [
         (blocked, "UNDECIDABLE", "precondition"),
         (hi < 0.5, "SCORE NOT EVIDENCE", "ranks the construct backwards"),
@@ -74,8 +75,8 @@ def verdict_v2(blocked: Column, lo: Column, hi: Column, proxy_ranked: Column, ka
     return ladder(*((c, v) for c, v, _ in steps), otherwise="ALIGNED"), ladder(*((c, r) for c, _, r in steps), otherwise="no gap")
 
 
-def final_rule(underpowered: Column, complement_bad: Column, coarse: Column, degenerate: Column, tost: Column, auc_zc: Column, lo: Column, hi: Column, kappa: Column, beats_null: Column, d_dis: Column, d_auc: Column, use_power: bool = True, use_complement: bool = True, use_resolution: bool = True, use_kappa: bool = True) -> Column:
-    """The final rule, gates switchable."""
+def final_rule(underpowered: Column, complement_bad: Column, coarse: Column, degenerate: Column, tost: Column, auc_zc: Column, lo: Column, hi: Column, kappa: Column, beats_null: Column, d_dis: Column, d_same: Column, use_power: bool = True, use_complement: bool = True, use_resolution: bool = True, use_kappa: bool = True) -> Column:
+    """The final rule, gates switchable. `d_same`: the orientation-robust gap on the span itself."""
     off = F.lit(False)
     return ladder(
         (underpowered if use_power else off, "UNDECIDABLE (power)"),
@@ -86,54 +87,106 @@ def final_rule(underpowered: Column, complement_bad: Column, coarse: Column, deg
         (tost, "CONTAINMENT"),
         ((lo <= 0.5) & (hi >= 0.5), "UNDECIDABLE (equivalence)"),
         ((kappa >= KAPPA_MERGED) if use_kappa else off, "ALIGNED"),
-        (~beats_null & (d_auc >= MISMATCH_BAND), "CONTAINMENT"),
+        (~beats_null & (d_same >= MISMATCH_BAND), "CONTAINMENT"),
         (~beats_null, "ALIGNED"),
         *bands(d_dis),
         otherwise="ALIGNED",
     )
 
 
-def frozen_rule(underpowered: Column, complement_bad: Column, modal_share: Column, tost: Column, auc_zc: Column, lo: Column, hi: Column, beats_null: Column, d_dis: Column, d_auc: Column) -> Column:
-    """The frozen rule: no kappa exit, raw modal share, and an exit without signal."""
+def frozen_rule(few_positives: Column, complement_bad: Column, modal_share: Column, tost: Column, auc_zc: Column, lo: Column, hi: Column, beats_null: Column, d_dis: Column, d_same: Column) -> Column:
+    """The frozen rule: positives alone make the power gate, the modal share is raw, there is no kappa exit, and one more without signal."""
     return ladder(
-        (underpowered, "UNDECIDABLE (power)"),
+        (few_positives, "UNDECIDABLE (minimum-positive-count)"),
         (complement_bad, "UNDECIDABLE (complement)"),
         (modal_share > MOST_MODAL, "UNDECIDABLE (resolution)"),
         (tost & (F.abs(auc_zc - 0.5) >= RANKED), "SCORE FAILURE"),
-        (tost & (d_auc >= MISMATCH_BAND), "CONTAINMENT"),
+        (tost & (d_same >= MISMATCH_BAND), "CONTAINMENT"),
         (tost, "UNDECIDABLE (no signal)"),
         ((lo <= 0.5) & (hi >= 0.5), "UNDECIDABLE (equivalence)"),
-        (~beats_null & (d_auc >= MISMATCH_BAND), "CONTAINMENT"),
+        (~beats_null & (d_same >= MISMATCH_BAND), "CONTAINMENT"),
+        (~beats_null, "NO RESIDUAL FLAG"),
+        (d_dis >= MISMATCH_BAND, "DIVERGENCE"),
+        (d_dis >= CAUTION_BAND, "CAUTION"),
+        otherwise="NO RESIDUAL FLAG",
+    )
+
+
+def synthetic_rule(underpowered: Column, coarse: Column, tost: Column, auc_zc: Column, lo: Column, hi: Column, kappa: Column, beats_null: Column, d_dis: Column, d_same: Column, kappa_exit: bool = False) -> Column:
+    """The rule of the synthetic cases: no complement gate, the kappa exit by choice."""
+    return ladder(
+        (underpowered | coarse, "UNDECIDABLE"),
+        (tost & (F.abs(auc_zc - 0.5) >= RANKED), "SCORE FAILURE"),
+        (tost, "CONTAINMENT"),
+        ((lo <= 0.5) & (hi >= 0.5), "UNDECIDABLE"),
+        ((kappa >= KAPPA_MERGED) if kappa_exit else F.lit(False), "ALIGNED"),
+        (~beats_null & (d_same >= MISMATCH_BAND), "CONTAINMENT"),
         (~beats_null, "ALIGNED"),
-        *bands(d_dis),
+        (d_dis >= MISMATCH_BAND, "DIVERGENCE"),
+        (d_dis >= CAUTION_BAND, "CAUTION"),
         otherwise="ALIGNED",
     )
 
 
-def baseline(blocked: Column, auc_y: Column, lo: Column, hi: Column, kappa: Column) -> Column:
-    """AUC and kappa only, under the same preconditions."""
-    return ladder((blocked, "UNDECIDABLE"), ((lo <= 0.5) & (hi >= 0.5), "UNDECIDABLE"), (auc_y <= 0.5, "MISMATCH"), (kappa <= LOW_KAPPA, "CAUTION"), otherwise="ALIGNED")
+def baseline(underpowered: Column, complement_bad: Column, coarse: Column, tost: Column, lo: Column, hi: Column, kappa: Column) -> Column:
+    """The same preconditions, then only the score's interval and the agreement of proxy and construct on the span."""
+    return ladder(
+        (underpowered, "UNDECIDABLE (power)"),
+        (complement_bad, "UNDECIDABLE (complement)"),
+        (coarse, "UNDECIDABLE (resolution)"),
+        (tost, "FLAG: not evidence"),
+        ((lo <= 0.5) & (hi >= 0.5), "UNDECIDABLE (equivalence)"),
+        (kappa < KAPPA_MERGED, "FLAG: label"),
+        otherwise="NO FLAG",
+    )
+
+
+def baseline_power_only(underpowered: Column, tost: Column, lo: Column, hi: Column, kappa: Column) -> Column:
+    """The baseline of the synthetic cases: the power gate alone."""
+    return ladder((underpowered, "UNDECIDABLE"), (tost, "FLAG: not evidence"), ((lo <= 0.5) & (hi >= 0.5), "UNDECIDABLE"), (kappa < KAPPA_MERGED, "FLAG: label"), otherwise="NO FLAG")
+
+
+def cheap_rule(construct_ranked: Column, kappa: Column) -> Column:
+    """Whether the score ranks the construct, and whether the proxy agrees with it: no spans, no controls."""
+    return ladder((kappa.isNull(), "n/a"), (~construct_ranked & (kappa <= LOW_KAPPA), "MISMATCH"), (kappa <= LOW_KAPPA, "CAUTION"), otherwise="ALIGNED")
+
+
+def earlier_verdict(gap: Column, kappa: Column, construct_ranked: Column, proxy_ranked: Column) -> Column:
+    """The first form, with an exit for a score that ranks nothing."""
+    return ladder((~construct_ranked & ~proxy_ranked, "NULL"), (gap.isNull(), "UNDECIDABLE"), ((gap >= MISMATCH_BAND) & (kappa.isNull() | (kappa <= LOW_KAPPA)), "MISMATCH"), (gap >= CAUTION_BAND, "CAUTION"), otherwise="ALIGNED")
 
 
 def external(blocked: Column, survives_: Column, d: Column) -> Column:
     return ladder((blocked, "UNDECIDABLE"), (survives_ & (d >= MISMATCH_BAND), "MISMATCH"), (survives_ & (d >= CAUTION_BAND), "CAUTION"), otherwise="ALIGNED")
 
 
-def encoder_rule(blocked: Column, lo: Column, hi: Column, auc_zc: Column, kappa: Column, beats_null: Column, d: Column) -> Column:
-    """The final order with a score turned round where it is reversed, and `still ranked` above .05."""
-    turned = hi < 0.5
-    return F.concat(
-        ladder(
-            (blocked, "UNDECIDABLE"),
-            ((lo >= NEAR_CHANCE[0]) & (hi <= NEAR_CHANCE[1]) & (F.abs(auc_zc - 0.5) > 0.05), "SCORE FAILURE"),
-            ((lo <= 0.5) & (hi >= 0.5), "UNDECIDABLE"),
-            (kappa >= KAPPA_MERGED, "ALIGNED"),
-            (~beats_null, "ALIGNED"),
-            *bands(d),
-            otherwise="ALIGNED",
-        ),
-        F.when(turned, F.lit(" (turned)")).otherwise(F.lit("")),
+def regrade(cells: DataFrame, verdict: str, p: str, q: float = 0.05) -> DataFrame:
+    """Adds survives_bh and verdict_bh: Benjamini-Hochberg over the decided cells; a mismatch or caution that fails it is aligned after all. A small table of cells."""
+    from .multiplicity import benjamini_hochberg
+
+    decided = F.col(verdict).isin("MISMATCH", "CAUTION", "ALIGNED")
+    tested = benjamini_hochberg(cells.filter(decided), p, q).withColumnRenamed("rejected", "survives_bh").drop("rank", "adjusted")
+    out = tested.unionByName(cells.filter(~decided | F.col(p).isNull()).withColumn("survives_bh", F.lit(None).cast("boolean")))
+    fails = F.coalesce(~F.col("survives_bh"), F.lit(False)) & F.col(verdict).isin("MISMATCH", "CAUTION")
+    return out.withColumn("verdict_bh", F.when(fails, "ALIGNED (fails BH)").otherwise(F.col(verdict)))
+
+
+def encoder_rule(underpowered: Column, complement_bad: Column, coarse: Column, tost: Column, lo: Column, hi: Column, auc_zc: Column, kappa: Column, beats_null: Column, d: Column, d_same: Column) -> tuple[Column, Column]:
+    """(verdict, reoriented): the final order; a score at chance fails if the proxy is still ranked above .05, and a reversed score is turned round."""
+    verdict = ladder(
+        (underpowered, "UNDECIDABLE (power)"),
+        (complement_bad, "UNDECIDABLE (complement)"),
+        (coarse, "UNDECIDABLE (resolution)"),
+        (tost & (F.abs(auc_zc - 0.5) > 0.05), "SCORE FAILURE"),
+        (tost, "CONTAINMENT"),
+        ((lo <= 0.5) & (hi >= 0.5), "UNDECIDABLE (equivalence)"),
+        (kappa >= KAPPA_MERGED, "ALIGNED (proxy merged with construct)"),
+        (~beats_null & (d_same >= MISMATCH_BAND), "CONTAINMENT"),
+        (~beats_null, "ALIGNED"),
+        *bands(d),
+        otherwise="ALIGNED",
     )
+    return verdict, F.coalesce(hi < 0.5, F.lit(False))
 
 
 def judge_grade(acc: Column, kappa: Column, worst: Column, fpr: Column, fnr: Column) -> Column:
@@ -151,9 +204,16 @@ def screening(proxy_pos: Column, n: Column, d_auc: Column, kappa: Column) -> Col
     return ladder((underpowered(proxy_pos, n), "UNDERPOWERED"), ((d_auc >= MISMATCH_BAND) & (kappa <= LOW_KAPPA), "MISMATCH_CANDIDATE"), (d_auc >= CAUTION_BAND, "CAUTION"), otherwise="ALIGNED")
 
 
-def locus(query: Column, output: Column) -> Column:
-    """Where a score looks: QUERY, OUTPUT, BOTH or UNCLEAR."""
-    return ladder((query & output, "BOTH"), (query, "QUERY"), (output, "OUTPUT"), otherwise="UNCLEAR")
+def locus(query: Column, output: Column, override: Column | None = None) -> Column:
+    """Where a score looks: QUERY, OUTPUT, BOTH or UNCLEAR; an override, where there is one, stands before the evidence."""
+    out = ladder((query & output, "BOTH"), (query, "QUERY"), (output, "OUTPUT"), otherwise="UNCLEAR")
+    return out if override is None else F.coalesce(override, out)
+
+
+def release(hit: Column, reachable: Column, override: Column | None = None) -> Column:
+    """Whether generations are public: RELEASED, NOT RELEASED where a repository could be read, else UNDETERMINED."""
+    out = ladder((hit, "RELEASED"), (reachable, "NOT RELEASED"), otherwise="UNDETERMINED")
+    return out if override is None else F.coalesce(override, out)
 
 
 def pair_decision(a: Column, b: Column) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as tx
-from ..operators import agree, calibrate, multiplicity, rank
+from ..operators import agree, calibrate, multiplicity, rank, resample
 from ..operators import verdict as vd
 from ..sources import table
 from .contracts import auc_sql, kappa_sql, pairs, pairs_sql, r9
 from .registry import query
+from .resampling import _INTERVAL, MANY, _permuted, _weighted
 
 P = "WITH " + pairs_sql()
 
@@ -183,7 +184,8 @@ def _arms(spark: SparkSession, d: str, span: int = 50) -> DataFrame:
     p = pairs(spark, d, span)
     a = rank.auc(p, "s", ["z", "z_ext", "z_comp", "y"])
     side = p.agg(F.avg((F.col("len") <= span).cast("double")).alias("empty_share"), *(c.alias(n) for n, c in agree.cells("z_comp", "y").items()))
-    both = a.crossJoin(side).crossJoin(rank.modal(p, "s").select("modal_share"))  # single rows
+    on_span = agree.kappa(p, "z", "y").select(F.col("kappa").alias("kappa_z_y"))
+    both = a.crossJoin(side).crossJoin(on_span).crossJoin(rank.modal(p, "s").select("modal_share"))  # single rows
     gap = lambda z: stats.robust_gap(F.col(f"auc_{z}"), F.col("auc_y"))
     se, lo, hi = stats.hanley_mcneil(F.col("auc_y"), F.col("n_y"), F.col("n") - F.col("n_y"))
     return both.select(
@@ -195,12 +197,37 @@ def _arms(spark: SparkSession, d: str, span: int = 50) -> DataFrame:
 def _arms_sql(span: int = 50) -> str:
     hm = "(auc_y * (1 - auc_y) + (n_y - 1) * (auc_y / (2 - auc_y) - auc_y * auc_y) + (n - n_y - 1) * (2 * auc_y * auc_y / (1 + auc_y) - auc_y * auc_y)) / (CAST(n_y AS DOUBLE) * (n - n_y))"
     one = ", ".join(f"(SELECT n_pos FROM {auc_sql('pair', 's', z)}) AS n_{z}, (SELECT auc FROM {auc_sql('pair', 's', z)}) AS auc_{z}" for z in ("z", "z_ext", "z_comp", "y"))
-    return f"""WITH {pairs_sql(span)}, a AS (SELECT count(*) AS n, {one}, avg(CASE WHEN len <= {span} THEN 1.0 ELSE 0.0 END) AS empty_share, {kappa_sql('z_comp', 'y')} AS kappa_zc_y,
+    return f"""WITH {pairs_sql(span)}, a AS (SELECT count(*) AS n, {one}, avg(CASE WHEN len <= {span} THEN 1.0 ELSE 0.0 END) AS empty_share, {kappa_sql('z_comp', 'y')} AS kappa_zc_y, {kappa_sql('z', 'y')} AS kappa_z_y,
         (SELECT max(c) / CAST(sum(c) AS DOUBLE) FROM (SELECT count(*) AS c FROM pair GROUP BY s)) AS modal_share FROM pair),
         b AS (SELECT *, auc_z - auc_y AS d_auc, abs(auc_z - 0.5) - abs(auc_y - 0.5) AS d_same, abs(auc_z_ext - 0.5) - abs(auc_y - 0.5) AS d_ext, abs(auc_z_comp - 0.5) - abs(auc_y - 0.5) AS d_dis, sqrt({hm}) AS se_y FROM a),
         arms AS (SELECT *, auc_y - 1.96 * se_y AS lo_y, auc_y + 1.96 * se_y AS hi_y FROM b)"""
 
 
+def _chain(spark: SparkSession, d: str, span: int = 50) -> DataFrame:
+    """The contract row with bootstrap intervals of the construct's AUC (95 and 90 %) and of the off-span gap, and the null of that gap with z_comp permuted within the construct's strata."""
+    p = pairs(spark, d, span)
+    boot = resample.paired_gap(p, "id", "s", "z_comp", "y", MANY, "s")
+    q = lambda c, at, name: F.percentile(c, F.lit(at)).alias(name)
+    ends = boot.agg(q("auc_y", 0.025, "lo95"), q("auc_y", 0.975, "hi95"), q("auc_y", 0.05, "lo90"), q("auc_y", 0.95, "hi90"), q("robust_gap", 0.025, "d_lo"), q("robust_gap", 0.975, "d_hi"), F.count("robust_gap").alias("valid"), ((F.count_if(F.col("robust_gap") <= 0) + 1) / (F.count("robust_gap") + 1)).alias("p_boot"))
+    null = resample.stratified_null(p, "id", "s", "z_comp", "y", MANY, "n").select(F.abs(F.col("auc") - 0.5).alias("v"))
+    # Single rows throughout.
+    a = _arms(spark, d, span).crossJoin(ends)
+    both = a.crossJoin(null.agg(F.array_compact(F.collect_list("v")).alias("null"), q("v", 0.95, "n95")))
+    exceed = F.size(F.filter("null", lambda v: v - F.abs(F.col("auc_y") - 0.5) >= F.col("d_dis")))
+    return both.withColumn("null_p95", F.col("n95") - F.abs(F.col("auc_y") - 0.5)).withColumn("p_perm", (exceed + 1) / (F.size("null") + 1)).withColumn("beats", F.col("d_dis") > F.col("null_p95"))
+
+
+def _chain_sql(span: int = 50) -> str:
+    arms = _arms_sql(span).removeprefix("WITH ")
+    null = "pm AS" + _permuted("z_comp", "n", ", y", MANY).split("pm AS", 1)[1]  # the draws are there already
+    return f"""WITH {arms}, {_INTERVAL}, gy AS (SELECT * FROM {_weighted('x', 's', 'y')}), gz AS (SELECT * FROM {_weighted('x', 's', 'z_comp')}),
+        bt AS (SELECT gy.auc AS ay, abs(gz.auc - 0.5) - abs(gy.auc - 0.5) AS g FROM gy JOIN gz USING (draw)),
+        ends AS (SELECT quantile_cont(ay, 0.025) AS lo95, quantile_cont(ay, 0.975) AS hi95, quantile_cont(ay, 0.05) AS lo90, quantile_cont(ay, 0.95) AS hi90, quantile_cont(g, 0.025) AS d_lo, quantile_cont(g, 0.975) AS d_hi, count(g) AS valid, (count(*) FILTER (g <= 0) + 1) / CAST(count(g) + 1 AS DOUBLE) AS p_boot FROM bt),
+        {null}, nl AS (SELECT abs(auc - 0.5) AS v FROM {_weighted('pm', 's', 'zp')} WHERE auc IS NOT NULL),
+        chain AS (SELECT *, d_dis > null_p95 AS beats FROM (SELECT arms.*, ends.*, (SELECT quantile_cont(v, 0.95) FROM nl) - abs(auc_y - 0.5) AS null_p95,
+            ((SELECT count(*) FROM nl WHERE v - abs(auc_y - 0.5) >= d_dis) + 1) / CAST((SELECT count(*) FROM nl) + 1 AS DOUBLE) AS p_perm FROM arms, ends))"""
+
+
 _DOUBLES = ("auc_z", "auc_z_ext", "auc_z_comp", "auc_y", "d_auc", "d_same", "d_ext", "d_dis", "kappa_zc_y", "empty_share", "modal_share")
 
 
@@ -256,63 +283,107 @@ def resolution_gate(spark: SparkSession, d: str) -> DataFrame:
 _SCREEN = "CASE WHEN coalesce(d_auc >= 0.15 AND kappa <= 0.2, false) THEN 'FAIL' WHEN coalesce(d_auc >= 0.1, false) OR coalesce(d_ap >= 0.1, false) THEN 'WARN' ELSE 'PASS' END"
 
 
+def _ap_sql(y: str) -> str:
+    """(lang, ap)."""
+    return f"(SELECT lang, CASE WHEN sum(p) > 0 THEN sum(p * cp / CAST(cn AS DOUBLE)) / sum(p) END AS ap FROM (SELECT lang, n, p, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM (SELECT lang, s, count(*) AS n, sum({y}) AS p FROM pair GROUP BY lang, s) WINDOW w AS (PARTITION BY lang ORDER BY s DESC)) GROUP BY lang)"
+
+
 @query(
     f"{P}, a AS (SELECT lang, auc AS az FROM {auc_sql('pair', 's', 'z_ext', 'lang')}), b AS (SELECT lang, auc AS ay FROM {auc_sql('pair', 's', 'y', 'lang')}), k AS (SELECT lang, {kappa_sql('z_ext', 'y')} AS kappa FROM pair GROUP BY lang), "
-    f"g AS (SELECT lang, az - ay AS d_auc, CAST(NULL AS DOUBLE) AS d_ap, kappa FROM a JOIN b USING (lang) JOIN k USING (lang)) SELECT lang, round(d_auc, 9) AS d_auc, round(kappa, 9) AS kappa, {_SCREEN} AS status, CASE WHEN {_SCREEN} = 'FAIL' THEN 'MISMATCH' WHEN {_SCREEN} = 'WARN' THEN 'CAUTION' ELSE 'ALIGNED' END AS repair FROM g"
+    f"pz AS (SELECT lang, ap AS pz FROM {_ap_sql('z_ext')}), py AS (SELECT lang, ap AS py FROM {_ap_sql('y')}), g AS (SELECT lang, az - ay AS d_auc, pz - py AS d_ap, kappa FROM a JOIN b USING (lang) JOIN k USING (lang) JOIN pz USING (lang) JOIN py USING (lang)) "
+    f"SELECT lang, round(d_auc, 9) AS d_auc, round(d_ap, 9) AS d_ap, round(kappa, 9) AS kappa, {_SCREEN} AS status, CASE WHEN {_SCREEN} = 'FAIL' THEN 'MISMATCH' WHEN {_SCREEN} = 'WARN' THEN 'CAUTION' ELSE 'ALIGNED' END AS repair FROM g"
 )
 def cli_screen(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
     a = rank.auc(p, "s", ["z_ext", "y"], ["lang"]).join(agree.kappa(p, "z_ext", "y", ["lang"]).select("lang", "kappa"), "lang")
-    gap, none = F.col("auc_z_ext") - F.col("auc_y"), F.lit(None).cast("double")
-    return a.select("lang", r9(gap).alias("d_auc"), r9(F.col("kappa")).alias("kappa"), vd.screen(gap, none, F.col("kappa")).alias("status"), vd.repair(gap, none, F.col("kappa")).alias("repair"))
+    for y in ("z_ext", "y"):
+        a = a.join(rank.average_precision(p, "s", y, ["lang"]).select("lang", F.col("ap").alias(f"ap_{y}")), "lang")
+    gap, ap = F.col("auc_z_ext") - F.col("auc_y"), F.col("ap_z_ext") - F.col("ap_y")
+    return a.select("lang", r9(gap).alias("d_auc"), r9(ap).alias("d_ap"), r9(F.col("kappa")).alias("kappa"), vd.screen(gap, ap, F.col("kappa")).alias("status"), vd.repair(gap, ap, F.col("kappa")).alias("repair"))
 
 
-_BLOCKED = "(n_y < 10 OR n - n_y < 10 OR empty_share > 0.15 OR modal_share > 0.5)"
+_POWER, _COMPLEMENT, _COARSE = "(n_y < 10 OR n - n_y < 10)", "empty_share > 0.15", "modal_share > 0.5"
+_BLOCKED = f"({_POWER} OR {_COMPLEMENT} OR n_z_comp = 0 OR n_z_comp = n)"
 _V2 = """CASE WHEN {b} THEN 'UNDECIDABLE' WHEN hi_y < 0.5 THEN 'SCORE NOT EVIDENCE' WHEN lo_y >= 0.45 AND hi_y <= 0.55 AND abs(auc_z_comp - 0.5) >= 0.1 THEN 'SCORE NOT EVIDENCE'
-    WHEN lo_y >= 0.45 AND hi_y <= 0.55 THEN 'UNDECIDABLE' WHEN NOT (lo_y > 0.5) THEN 'UNDECIDABLE' WHEN coalesce(kappa_zc_y >= {k}, false) THEN 'ALIGNED' WHEN NOT (d_dis > 0) THEN 'ALIGNED'
+    WHEN lo_y >= 0.45 AND hi_y <= 0.55 THEN 'UNDECIDABLE' WHEN NOT (lo_y > 0.5) THEN 'UNDECIDABLE' WHEN coalesce(kappa_zc_y >= {k}, false) THEN 'ALIGNED' WHEN NOT beats THEN 'ALIGNED'
     WHEN d_dis >= {m} THEN 'MISMATCH' WHEN d_dis >= {c} THEN 'CAUTION' ELSE 'ALIGNED' END"""
 
 
-def _verdict(a: DataFrame, mismatch: float = 0.15, caution: float = 0.10) -> tuple:
-    blocked = vd.underpowered(F.col("n_y"), F.col("n")) | vd.degenerate_complement(F.col("empty_share")) | vd.coarse(F.col("modal_share"))
-    ranked = F.abs(F.col("auc_z_comp") - 0.5) >= 0.1
-    return vd.verdict_v2(blocked, F.col("lo_y"), F.col("hi_y"), ranked, F.col("kappa_zc_y"), F.col("d_dis") > 0, F.col("d_dis"), mismatch, caution)
+def _gates() -> tuple:
+    c = F.col
+    flat = (c("n_z_comp") == 0) | (c("n_z_comp") == c("n")) | (c("n_y") == 0) | (c("n_y") == c("n"))
+    return vd.underpowered(c("n_y"), c("n")), vd.degenerate_complement(c("empty_share")), vd.coarse(c("modal_share")), flat
+
+
+def _verdict_v2(mismatch: float = 0.15, caution: float = 0.10, gated: bool = True) -> tuple:
+    """By the Hanley-McNeil interval, as that rule has it, and the permutation null."""
+    power, complement, _, flat = _gates()
+    blocked = power | complement | flat if gated else F.lit(False)
+    return vd.verdict_v2(blocked, F.col("lo_y"), F.col("hi_y"), F.abs(F.col("auc_z_comp") - 0.5) >= 0.1, F.col("kappa_zc_y"), F.col("beats"), F.col("d_dis"), mismatch, caution)
+
 
+#: Contracts of the driver's tables: spans of the proxy.
+_CONTRACTS = (50, 200)
+
+
+def _each(spark: SparkSession, d: str, what) -> DataFrame:
+    a, b = (_chain(spark, d, span).select(F.lit(span).alias("span"), *what) for span in _CONTRACTS)
+    return a.union(b)
+
+
+def _each_sql(what: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({_chain_sql(span)} SELECT {span} AS span, {what} FROM chain)" for span in _CONTRACTS)
+
+
+_ENDS = ("d_dis", "lo95", "hi95", "lo90", "hi90", "d_lo", "d_hi", "null_p95", "p_perm", "p_boot")
+_REMOVED = {f"removed_by_{n}": (f"CASE WHEN d_auc > 0 THEN 1 - (auc_{z} - auc_y) / d_auc END", z) for n, z in (("ext", "z_ext"), ("comp", "z_comp"))}
+
+
+@query(_each_sql("n, n_y, n_z_comp, valid, beats, " + ", ".join(f"round({c}, 9) AS {c}" for c in _ENDS) + ", " + ", ".join(f"round({q}, 9) AS {n}" for n, (q, _) in _REMOVED.items()) + ", round(n_z_comp / CAST(n AS DOUBLE), 9) AS prevalence, d_lo > 0 AND NOT " + _BLOCKED + " AS survives, lo90 >= 0.45 AND hi90 <= 0.55 AS at_chance"))
+def contract_row(spark: SparkSession, d: str) -> DataFrame:
+    """Arms, intervals, null and gates of a contract: everything that the verdicts are read off."""
+    c = F.col
+    power, complement, _, flat = _gates()
+    removed = {n: F.when(c("d_auc") > 0, 1 - (c(f"auc_{z}") - c("auc_y")) / c("d_auc")) for n, (_, z) in _REMOVED.items()}
+    return _each(spark, d, ["n", "n_y", "n_z_comp", "valid", "beats", *(r9(c(x)).alias(x) for x in _ENDS), *(r9(v).alias(n) for n, v in removed.items()), r9(c("n_z_comp") / c("n")).alias("prevalence"), vd.survives(~power, ~flat, ~complement, c("d_lo")).alias("survives"), vd.equivalent(c("lo90"), c("hi90")).alias("at_chance")])
 
-@query(_arms_sql() + f" SELECT round(d_dis, 9) AS d_dis, {_V2.format(b=_BLOCKED, k=0.4, m=0.15, c=0.1)} AS verdict FROM arms")
+
+_REASON = "CASE WHEN {b} THEN 'precondition' WHEN hi_y < 0.5 THEN 'ranks the construct backwards' WHEN lo_y >= 0.45 AND hi_y <= 0.55 AND abs(auc_z_comp - 0.5) >= 0.1 THEN 'at chance, proxy ranked' WHEN lo_y >= 0.45 AND hi_y <= 0.55 THEN 'at chance, nothing ranked' WHEN NOT (lo_y > 0.5) THEN 'interval too wide to decide' WHEN coalesce(kappa_zc_y >= 0.4, false) THEN 'proxy has become the construct' WHEN NOT beats THEN 'within the null' WHEN d_dis >= 0.1 THEN 'gap' ELSE 'no gap' END".format(b=_BLOCKED)
+
+
+@query(_each_sql(f"round(d_dis, 9) AS d_dis, {_V2.format(b=_BLOCKED, k=0.4, m=0.15, c=0.1)} AS verdict, {_REASON} AS reason"))
 def verdict_v2(spark: SparkSession, d: str) -> DataFrame:
-    a = _arms(spark, d)
-    v, _ = _verdict(a)
-    return a.select(r9(F.col("d_dis")).alias("d_dis"), v.alias("verdict"))
+    v, reason = _verdict_v2()
+    return _each(spark, d, [r9(F.col("d_dis")).alias("d_dis"), v.alias("verdict"), reason.alias("reason")])
 
 
 _CUTS = [(0.05, 0.02), (0.10, 0.05), (0.15, 0.10), (0.20, 0.15)]
 
 
-@query(_arms_sql() + " " + " UNION ALL ".join(f"SELECT CAST({m} AS DOUBLE) AS mismatch, CAST({c} AS DOUBLE) AS caution, {_V2.format(b='false', k=0.4, m=m, c=c)} AS verdict FROM arms" for m, c in _CUTS))
+@query(_chain_sql() + " " + " UNION ALL ".join(f"SELECT CAST({m} AS DOUBLE) AS mismatch, CAST({c} AS DOUBLE) AS caution, {_V2.format(b='false', k=0.4, m=m, c=c)} AS verdict FROM chain" for m, c in _CUTS))
 def cutoff_sweep(spark: SparkSession, d: str) -> DataFrame:
-    a = _arms(spark, d)
-    blocked, ranked = F.lit(False), F.abs(F.col("auc_z_comp") - 0.5) >= 0.1
-    rows = [F.struct(F.lit(m).alias("mismatch"), F.lit(c).alias("caution"), vd.verdict_v2(blocked, F.col("lo_y"), F.col("hi_y"), ranked, F.col("kappa_zc_y"), F.col("d_dis") > 0, F.col("d_dis"), m, c)[0].alias("verdict")) for m, c in _CUTS]
-    return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    rows = [F.struct(F.lit(m).alias("mismatch"), F.lit(c).alias("caution"), _verdict_v2(m, c, gated=False)[0].alias("verdict")) for m, c in _CUTS]
+    return _chain(spark, d).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-_FINAL = """CASE WHEN {p} AND (n_y < 10 OR n - n_y < 10) THEN 'UNDECIDABLE (power)' WHEN {c} AND empty_share > 0.15 THEN 'UNDECIDABLE (complement)' WHEN {r} AND modal_share > 0.5 THEN 'UNDECIDABLE (resolution)'
-    WHEN n_z_comp = 0 OR n_z_comp = n OR n_y = 0 OR n_y = n THEN 'UNDECIDABLE (degenerate arm)' WHEN lo_y >= 0.45 AND hi_y <= 0.55 AND abs(auc_z_comp - 0.5) >= 0.1 THEN 'SCORE FAILURE' WHEN lo_y >= 0.45 AND hi_y <= 0.55 THEN 'CONTAINMENT'
-    WHEN lo_y <= 0.5 AND hi_y >= 0.5 THEN 'UNDECIDABLE (equivalence)' WHEN coalesce(kappa_zc_y >= 0.4, false) THEN 'ALIGNED' WHEN NOT (d_dis > 0) AND d_auc >= 0.15 THEN 'CONTAINMENT' WHEN NOT (d_dis > 0) THEN 'ALIGNED'
-    WHEN d_dis >= 0.15 THEN 'MISMATCH' WHEN d_dis >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END"""
+_TOST, _COVERS = "(lo90 >= 0.45 AND hi90 <= 0.55)", "(lo95 <= 0.5 AND hi95 >= 0.5)"
+_FLAT = "(n_z_comp = 0 OR n_z_comp = n OR n_y = 0 OR n_y = n)"
+_TAIL = "WHEN NOT beats AND d_same >= 0.15 THEN 'CONTAINMENT' WHEN NOT beats THEN '{a}' WHEN d_dis >= 0.15 THEN '{m}' WHEN d_dis >= 0.1 THEN 'CAUTION' ELSE '{a}' END"
+_FINAL = (
+    "CASE WHEN {p} AND " + _POWER + " THEN 'UNDECIDABLE (power)' WHEN {c} AND " + _COMPLEMENT + " THEN 'UNDECIDABLE (complement)' WHEN {r} AND " + _COARSE + " THEN 'UNDECIDABLE (resolution)' "
+    f"WHEN {_FLAT} THEN 'UNDECIDABLE (degenerate arm)' WHEN {_TOST} AND abs(auc_z_comp - 0.5) >= 0.1 THEN 'SCORE FAILURE' WHEN {_TOST} THEN 'CONTAINMENT' WHEN {_COVERS} THEN 'UNDECIDABLE (equivalence)' WHEN coalesce(kappa_zc_y >= 0.4, false) THEN 'ALIGNED' " + _TAIL.format(a="ALIGNED", m="MISMATCH")
+)
 _SWITCHES = [(True, True, True), (False, True, True), (True, False, True), (True, True, False), (False, False, False)]
 
 
-@query(_arms_sql() + " " + " UNION ALL ".join(f"SELECT {p} AS power, {c} AS complement, {r} AS resolution, {_FINAL.format(p=p, c=c, r=r)} AS verdict FROM arms" for p, c, r in _SWITCHES))
+@query(_chain_sql(200) + " " + " UNION ALL ".join(f"SELECT {p} AS power, {c} AS complement, {r} AS resolution, {_FINAL.format(p=p, c=c, r=r)} AS verdict FROM chain" for p, c, r in _SWITCHES))
 def gate_ablation(spark: SparkSession, d: str) -> DataFrame:
-    a = _arms(spark, d)
+    """The final rule with gates switched off."""
     col = F.col
-    gates = vd.underpowered(col("n_y"), col("n")), vd.degenerate_complement(col("empty_share")), vd.coarse(col("modal_share"))
-    flat = (col("n_z_comp") == 0) | (col("n_z_comp") == col("n")) | (col("n_y") == 0) | (col("n_y") == col("n"))
-    rule = lambda p, c, r: vd.final_rule(*gates, flat, vd.equivalent(col("lo_y"), col("hi_y")), col("auc_z_comp"), col("lo_y"), col("hi_y"), col("kappa_zc_y"), col("d_dis") > 0, col("d_dis"), col("d_auc"), p, c, r)
+    gates = _gates()
+    rule = lambda p, c, r: vd.final_rule(*gates, vd.equivalent(col("lo90"), col("hi90")), col("auc_z_comp"), col("lo95"), col("hi95"), col("kappa_zc_y"), col("beats"), col("d_dis"), col("d_same"), p, c, r)
     rows = [F.struct(F.lit(p).alias("power"), F.lit(c).alias("complement"), F.lit(r).alias("resolution"), rule(p, c, r).alias("verdict")) for p, c, r in _SWITCHES]
-    return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return _chain(spark, d, 200).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 @query(
@@ -411,36 +482,114 @@ def subset_four_cell(spark: SparkSession, d: str) -> DataFrame:
     return agree.contingency(pairs(spark, d), "z_ext", "y", ["lang"]).select("lang", F.col("n11").alias("both"), F.col("n10").alias("proxy_only"), F.col("n01").alias("construct_only"), F.col("n00").alias("neither"))
 
 
-@query(f"{P}, g AS (SELECT lang, count(*) AS n, avg(CASE WHEN z_ext = y THEN 1.0 ELSE 0.0 END) AS acc, {kappa_sql('z_ext', 'y')} AS k, count(*) FILTER (y = 0 AND z_ext = 1) / CAST(nullif(count(*) FILTER (y = 0), 0) AS DOUBLE) AS fpr, count(*) FILTER (y = 1 AND z_ext = 0) / CAST(nullif(count(*) FILTER (y = 1), 0) AS DOUBLE) AS fnr FROM pair GROUP BY lang HAVING count(*) >= 5) SELECT lang, n, round(acc, 9) AS accuracy, CASE WHEN acc >= 0.85 AND k >= 0.6 AND acc >= 0.7 AND fpr <= 0.1 AND fnr <= 0.15 THEN 'required or better' ELSE 'below_required' END AS grade FROM g")
-def judge_validation(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d)
-    c = agree.confusion(p, "y", "z_ext", ["lang"]).join(agree.kappa(p, "z_ext", "y", ["lang"], least=5).select("lang", "n", "kappa"), "lang")
-    grade = vd.judge_grade(F.col("accuracy"), F.col("kappa"), F.col("accuracy"), F.col("fpr"), F.col("fnr"))
-    return c.select("lang", "n", r9(F.col("accuracy")).alias("accuracy"), F.when(grade == "below_required", grade).otherwise("required or better").alias("grade"))
+_GRADES = (("strong", 0.92, 0.75, 0.80, 0.05, 0.07), ("defensive", 0.85, 0.65, 0.75, 0.07, 0.10), ("required", 0.85, 0.60, 0.70, 0.10, 0.15))
+_NOISY = "CASE WHEN CAST(('0x' || substring(md5('j-' || lang || '-' || id), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) < CASE lang WHEN 'en' THEN 0.03 WHEN 'fr' THEN 0.06 WHEN 'de' THEN 0.09 ELSE 0.3 END THEN 1 - q ELSE q END"
 
 
-_FROZEN = """CASE WHEN n_y < 10 OR n - n_y < 10 THEN 'UNDECIDABLE (power)' WHEN empty_share > 0.15 THEN 'UNDECIDABLE (complement)' WHEN modal_share > 0.5 THEN 'UNDECIDABLE (resolution)'
-    WHEN {t} AND abs(auc_z_comp - 0.5) >= 0.1 THEN 'SCORE FAILURE' WHEN {t} AND d_auc >= 0.15 THEN 'CONTAINMENT' WHEN {t} THEN 'UNDECIDABLE (no signal)' WHEN lo_y <= 0.5 AND hi_y >= 0.5 THEN 'UNDECIDABLE (equivalence)'
-    WHEN NOT (d_dis > 0) AND d_auc >= 0.15 THEN 'CONTAINMENT' WHEN NOT (d_dis > 0) THEN 'ALIGNED' WHEN d_dis >= 0.15 THEN 'MISMATCH' WHEN d_dis >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END""".format(t="(lo_y >= 0.45 AND hi_y <= 0.55)")
-_BASE = f"CASE WHEN {_BLOCKED} THEN 'UNDECIDABLE' WHEN lo_y <= 0.5 AND hi_y >= 0.5 THEN 'UNDECIDABLE' WHEN auc_y <= 0.5 THEN 'MISMATCH' WHEN kappa_zc_y <= 0.2 THEN 'CAUTION' ELSE 'ALIGNED' END"
-_ENC = f"CASE WHEN {_BLOCKED} THEN 'UNDECIDABLE' WHEN lo_y >= 0.45 AND hi_y <= 0.55 AND abs(auc_z_comp - 0.5) > 0.05 THEN 'SCORE FAILURE' WHEN lo_y <= 0.5 AND hi_y >= 0.5 THEN 'UNDECIDABLE' WHEN coalesce(kappa_zc_y >= 0.4, false) THEN 'ALIGNED' WHEN NOT (d_dis > 0) THEN 'ALIGNED' WHEN d_dis >= 0.15 THEN 'MISMATCH' WHEN d_dis >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END || CASE WHEN hi_y < 0.5 THEN ' (turned)' ELSE '' END"
-_EXT = f"CASE WHEN {_BLOCKED} THEN 'UNDECIDABLE' WHEN lo_y > 0.5 AND d_dis >= 0.15 THEN 'MISMATCH' WHEN lo_y > 0.5 AND d_dis >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END"
-
-
-@query(_arms_sql() + f" SELECT {_FROZEN} AS frozen, {_BASE} AS baseline, {_ENC} AS encoder, {_EXT} AS external FROM arms")
+@query(
+    f"{P}, j AS (SELECT lang, source, q, {_NOISY} AS said FROM pair), w AS (SELECT lang, min(acc) AS worst FROM (SELECT lang, source, avg(CASE WHEN said = q THEN 1.0 ELSE 0.0 END) AS acc FROM j GROUP BY lang, source HAVING count(*) >= 10) GROUP BY lang), "
+    f"g AS (SELECT lang, count(*) AS n, avg(CASE WHEN said = q THEN 1.0 ELSE 0.0 END) AS acc, {kappa_sql('said', 'q')} AS k, count(*) FILTER (q = 0 AND said = 1) / CAST(nullif(count(*) FILTER (q = 0), 0) AS DOUBLE) AS fpr, count(*) FILTER (q = 1 AND said = 0) / CAST(nullif(count(*) FILTER (q = 1), 0) AS DOUBLE) AS fnr FROM j GROUP BY lang HAVING count(*) >= 5) "
+    "SELECT lang, n, round(acc, 9) AS accuracy, round(k, 9) AS kappa, round(worst, 9) AS worst, CASE " + " ".join(f"WHEN acc >= {a} AND k >= {k} AND worst >= {w} AND fpr <= {fp} AND fnr <= {fn} THEN '{n}'" for n, a, k, w, fp, fn in _GRADES) + " ELSE 'below_required' END AS grade FROM g LEFT JOIN w USING (lang)"
+)
+def judge_validation(spark: SparkSession, d: str) -> DataFrame:
+    """A judge of quality whose errors differ by language, graded by accuracy, kappa, its worst source and its error rates."""
+    p = pairs(spark, d)
+    rate = F.when(F.col("lang") == "en", 0.03).when(F.col("lang") == "fr", 0.06).when(F.col("lang") == "de", 0.09).otherwise(0.3)
+    j = p.select("lang", "source", "q", F.when(resample.draw_hash("j", F.col("lang"), F.col("id")) / F.lit(4294967296.0) < rate, 1 - F.col("q")).otherwise(F.col("q")).alias("said"))
+    by = agree.confusion(j, "q", "said", ["lang", "source"]).filter("tp + fp + fn + tn >= 10").groupBy("lang").agg(F.min("accuracy").alias("worst"))
+    c = agree.confusion(j, "q", "said", ["lang"]).join(agree.kappa(j, "said", "q", ["lang"], least=5).select("lang", "n", "kappa"), "lang").join(by, "lang", "left")
+    grade = vd.judge_grade(F.col("accuracy"), F.col("kappa"), F.col("worst"), F.col("fpr"), F.col("fnr"))
+    return c.select("lang", "n", r9(F.col("accuracy")).alias("accuracy"), r9(F.col("kappa")).alias("kappa"), r9(F.col("worst")).alias("worst"), grade.alias("grade"))
+
+
+_EXITS = f"WHEN {_TOST} AND abs(auc_z_comp - 0.5) >= 0.1 THEN 'SCORE FAILURE' "
+_FAMILY = {
+    "frozen": f"CASE WHEN n_y < 10 THEN 'UNDECIDABLE (minimum-positive-count)' WHEN {_COMPLEMENT} THEN 'UNDECIDABLE (complement)' WHEN {_COARSE} THEN 'UNDECIDABLE (resolution)' {_EXITS} WHEN {_TOST} AND d_same >= 0.15 THEN 'CONTAINMENT' WHEN {_TOST} THEN 'UNDECIDABLE (no signal)' WHEN {_COVERS} THEN 'UNDECIDABLE (equivalence)' " + _TAIL.format(a="NO RESIDUAL FLAG", m="DIVERGENCE"),
+    "synthetic": f"CASE WHEN {_POWER} OR {_COARSE} THEN 'UNDECIDABLE' {_EXITS} WHEN {_TOST} THEN 'CONTAINMENT' WHEN {_COVERS} THEN 'UNDECIDABLE' WHEN coalesce(kappa_zc_y >= 0.4, false) THEN 'ALIGNED' " + _TAIL.format(a="ALIGNED", m="DIVERGENCE"),
+    "baseline": f"CASE WHEN {_POWER} THEN 'UNDECIDABLE (power)' WHEN {_COMPLEMENT} THEN 'UNDECIDABLE (complement)' WHEN {_COARSE} THEN 'UNDECIDABLE (resolution)' WHEN {_TOST} THEN 'FLAG: not evidence' WHEN {_COVERS} THEN 'UNDECIDABLE (equivalence)' WHEN kappa_z_y < 0.4 THEN 'FLAG: label' ELSE 'NO FLAG' END",
+    "baseline_short": f"CASE WHEN {_POWER} THEN 'UNDECIDABLE' WHEN {_TOST} THEN 'FLAG: not evidence' WHEN {_COVERS} THEN 'UNDECIDABLE' WHEN kappa_z_y < 0.4 THEN 'FLAG: label' ELSE 'NO FLAG' END",
+    "cheap": f"CASE WHEN kappa_z_y IS NULL THEN 'n/a' WHEN {_COVERS} AND kappa_z_y <= 0.2 THEN 'MISMATCH' WHEN kappa_z_y <= 0.2 THEN 'CAUTION' ELSE 'ALIGNED' END",
+    "earlier": f"CASE WHEN {_COVERS} AND abs(auc_z - 0.5) < 0.1 THEN 'NULL' WHEN d_auc >= 0.15 AND coalesce(kappa_z_y <= 0.2, true) THEN 'MISMATCH' WHEN d_auc >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END",
+    "encoder": f"CASE WHEN {_POWER} THEN 'UNDECIDABLE (power)' WHEN {_COMPLEMENT} THEN 'UNDECIDABLE (complement)' WHEN {_COARSE} THEN 'UNDECIDABLE (resolution)' WHEN {_TOST} AND abs(auc_z_comp - 0.5) > 0.05 THEN 'SCORE FAILURE' WHEN {_TOST} THEN 'CONTAINMENT' WHEN {_COVERS} THEN 'UNDECIDABLE (equivalence)' WHEN coalesce(kappa_zc_y >= 0.4, false) THEN 'ALIGNED (proxy merged with construct)' " + _TAIL.format(a="ALIGNED", m="MISMATCH"),
+    "reoriented": "hi95 < 0.5",
+    "external": f"CASE WHEN {_BLOCKED} OR {_COARSE} THEN 'UNDECIDABLE' WHEN d_lo > 0 AND d_dis >= 0.15 THEN 'MISMATCH' WHEN d_lo > 0 AND d_dis >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END",
+}
+
+
+@query(_each_sql(", ".join(f"{q} AS {n}" for n, q in _FAMILY.items())))
 def verdict_family(spark: SparkSession, d: str) -> DataFrame:
-    """The other rules on the same contract row."""
+    """The other rules on the same contract rows."""
     c = F.col
-    a = _arms(spark, d)
-    gates = vd.underpowered(c("n_y"), c("n")), vd.degenerate_complement(c("empty_share"))
-    blocked = gates[0] | gates[1] | vd.coarse(c("modal_share"))
-    tost, null = vd.equivalent(c("lo_y"), c("hi_y")), c("d_dis") > 0
-    return a.select(
-        vd.frozen_rule(*gates, c("modal_share"), tost, c("auc_z_comp"), c("lo_y"), c("hi_y"), null, c("d_dis"), c("d_auc")).alias("frozen"),
-        vd.baseline(blocked, c("auc_y"), c("lo_y"), c("hi_y"), c("kappa_zc_y")).alias("baseline"),
-        vd.encoder_rule(blocked, c("lo_y"), c("hi_y"), c("auc_z_comp"), c("kappa_zc_y"), null, c("d_dis")).alias("encoder"),
-        vd.external(blocked, vd.survives(~gates[0], ~vd.coarse(c("modal_share")), ~gates[1], c("lo_y") - 0.5), c("d_dis")).alias("external"),
-    )
+    power, complement, coarse, flat = _gates()
+    tost, ranked = vd.equivalent(c("lo90"), c("hi90")), (c("lo95") > 0.5) | (c("hi95") < 0.5)
+    encoder, reoriented = vd.encoder_rule(power, complement, coarse, tost, c("lo95"), c("hi95"), c("auc_z_comp"), c("kappa_zc_y"), c("beats"), c("d_dis"), c("d_same"))
+    rules = {
+        "frozen": vd.frozen_rule(c("n_y") < 10, complement, c("modal_share"), tost, c("auc_z_comp"), c("lo95"), c("hi95"), c("beats"), c("d_dis"), c("d_same")),
+        "synthetic": vd.synthetic_rule(power, coarse, tost, c("auc_z_comp"), c("lo95"), c("hi95"), c("kappa_zc_y"), c("beats"), c("d_dis"), c("d_same"), kappa_exit=True),
+        "baseline": vd.baseline(power, complement, coarse, tost, c("lo95"), c("hi95"), c("kappa_z_y")),
+        "baseline_short": vd.baseline_power_only(power, tost, c("lo95"), c("hi95"), c("kappa_z_y")),
+        "cheap": vd.cheap_rule(ranked, c("kappa_z_y")),
+        "earlier": vd.earlier_verdict(c("d_auc"), c("kappa_z_y"), ranked, F.abs(c("auc_z") - 0.5) >= 0.1),
+        "encoder": encoder,
+        "reoriented": reoriented,
+        "external": vd.external(power | complement | flat | coarse, vd.survives(~power, ~flat, ~complement, c("d_lo")), c("d_dis")),
+    }
+    return _each(spark, d, [v.alias(n) for n, v in rules.items()])
+
+
+@query(f"{P}, g AS (SELECT source, CASE WHEN n < 5 THEN 'UNDECIDABLE' WHEN k >= 0.15 THEN 'MISMATCH' WHEN k >= 0.05 THEN 'CAUTION' ELSE 'ALIGNED' END AS verdict, round(1 - k, 9) AS p FROM (SELECT source, count(*) AS n, avg(CAST(z_ext <> y AS INT)) AS k FROM pair GROUP BY source)), d AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r FROM g WHERE verdict <> 'UNDECIDABLE'), c AS (SELECT max(p) AS crit FROM d WHERE p <= 0.85 * r / m), a AS (SELECT source, verdict, p, coalesce(p <= crit, false) AS survives_bh FROM d, c UNION ALL SELECT source, verdict, p, NULL FROM g WHERE verdict = 'UNDECIDABLE') SELECT *, CASE WHEN survives_bh = false AND verdict IN ('MISMATCH', 'CAUTION') THEN 'ALIGNED (fails BH)' ELSE verdict END AS verdict_bh FROM a")
+def bh_regrade(spark: SparkSession, d: str) -> DataFrame:
+    """Cells (sources) with a verdict and a p-value, graded again under a false discovery rate."""
+    k = F.col("k")
+    t = pairs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("z_ext") != F.col("y")).cast("int")).alias("k"))
+    cells = t.select("source", vd.ladder((F.col("n") < 5, "UNDECIDABLE"), (k >= 0.15, "MISMATCH"), (k >= 0.05, "CAUTION"), otherwise="ALIGNED").alias("verdict"), r9(1 - k).alias("p"))
+    return vd.regrade(cells, "verdict", "p", 0.85)
+
+
+@query(_each_sql("round(d_lo, 9) AS bootstrap_lo, round(null_p95, 9) AS null_p95"))
+def bar_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The bootstrap's bar for a gap beside that of the permutation null."""
+    parts = []
+    for span in _CONTRACTS:
+        p = pairs(spark, d, span)
+        base = F.abs(rank.auc(p, "s", ["y"]).select("auc_y").first()[0] - F.lit(0.5))  # one number
+        null = resample.stratified_null(p, "id", "s", "z_comp", "y", MANY, "n").select((F.abs(F.col("auc") - 0.5) - base).alias("robust_gap"))
+        bars = resample.bar_comparison(resample.paired_gap(p, "id", "s", "z_comp", "y", MANY, "s"), null, "robust_gap")
+        parts.append(bars.select(F.lit(span).alias("span"), r9(F.col("bootstrap_lo")).alias("bootstrap_lo"), r9(F.col("null_p95")).alias("null_p95")))
+    return parts[0].union(parts[1])
+
+
+_KEPT = f"""{P}, dr AS (SELECT unnest(range(0, 30)) AS draw), k AS (SELECT *, row_number() OVER (PARTITION BY draw, y ORDER BY CAST(('0x' || substring(md5('v-' || CAST(draw AS VARCHAR) || '-' || id), 1, 8)) AS BIGINT), id) AS r FROM pair, dr), x AS (SELECT draw, s, y, z_comp FROM k WHERE y = 0 OR r <= 12),
+    v AS (SELECT a.draw AS draw, b.auc AS auc_y, abs(a.auc - 0.5) - abs(b.auc - 0.5) AS d, sqrt((b.auc * (1 - b.auc) + (b.n_pos - 1) * (b.auc / (2 - b.auc) - b.auc * b.auc) + (b.n - b.n_pos - 1) * (2 * b.auc * b.auc / (1 + b.auc) - b.auc * b.auc)) / (CAST(b.n_pos AS DOUBLE) * (b.n - b.n_pos))) AS se
+        FROM {auc_sql('x', 's', 'z_comp', 'draw')} a JOIN {auc_sql('x', 's', 'y', 'draw')} b USING (draw)),
+    w AS (SELECT CASE WHEN auc_y + 1.96 * se < 0.5 THEN 'SCORE NOT EVIDENCE' WHEN NOT coalesce(auc_y - 1.96 * se > 0.5, false) THEN 'UNDECIDABLE' WHEN d >= 0.15 THEN 'MISMATCH' WHEN d >= 0.1 THEN 'CAUTION' ELSE 'ALIGNED' END AS verdict FROM v)"""
+
+
+@query(f"{_KEPT} SELECT verdict, round(count(*) / CAST((SELECT count(*) FROM w) AS DOUBLE), 9) AS share FROM w GROUP BY verdict")
+def verdict_stability(spark: SparkSession, d: str) -> DataFrame:
+    """The verdict again on constructs thinned to twelve positives at random, and how often each comes out."""
+    p = pairs(spark, d).select("id", "s", "y", "z_comp")
+    ones = p.filter("y = 1").crossJoin(F.broadcast(resample.draws(spark, 30))).withColumn("h", resample.draw_hash("v", F.col("draw"), F.col("id")))
+    kept = rank.ranked(ones.withColumn("h", -F.col("h")), "h", "id", ["draw"], 12)
+    rows = kept.select("draw", "s", "y", "z_comp").union(p.filter("y = 0").crossJoin(F.broadcast(resample.draws(spark, 30))).select("draw", "s", "y", "z_comp"))
+    a = rank.auc(rows, "s", ["z_comp", "y"], ["draw"])
+    _, lo, hi = stats.hanley_mcneil(F.col("auc_y"), F.col("n_y"), F.col("n") - F.col("n_y"))
+    gap = stats.robust_gap(F.col("auc_z_comp"), F.col("auc_y"))
+    verdict = vd.ladder((hi < 0.5, "SCORE NOT EVIDENCE"), (~F.coalesce(lo > 0.5, F.lit(False)), "UNDECIDABLE"), *vd.bands(gap), otherwise="ALIGNED")
+    return resample.verdict_shares(a.select(verdict.alias("verdict"))).withColumn("share", r9(F.col("share")))
+
+
+_EVIDENCE = "SELECT doc_id, contains(coalesce(text, ''), 'license') AS q, contains(coalesce(text, ''), '@') AS o, CASE WHEN doc_id % 50 = 0 THEN 'BOTH' END AS fixed FROM documents"
+
+
+@query(f"WITH e AS ({_EVIDENCE}) SELECT doc_id, coalesce(fixed, CASE WHEN q AND o THEN 'BOTH' WHEN q THEN 'QUERY' WHEN o THEN 'OUTPUT' ELSE 'UNCLEAR' END) AS locus, CASE WHEN q THEN 'RELEASED' WHEN doc_id % 3 > 0 THEN 'NOT RELEASED' ELSE 'UNDETERMINED' END AS release FROM e")
+def coding_ladders(spark: SparkSession, d: str) -> DataFrame:
+    """Codes from evidence in a text, before which a table of overrides stands."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    overrides = t.filter("doc_id % 50 = 0").select("doc_id", F.lit("BOTH").alias("fixed"))
+    has = lambda x: F.contains(tx.body("text"), F.lit(x))
+    coded = t.join(overrides, "doc_id", "left")
+    return coded.select("doc_id", vd.locus(has("license"), has("@"), F.col("fixed")).alias("locus"), vd.release(has("license"), F.col("doc_id") % 3 > 0).alias("release"))
 
 
 _CELLS = [(z, k) for z in ("z", "z_comp", "z_ext") for k in ("s", "len")]

@@ -15,6 +15,7 @@ from .resampling import _permuted, _weighted
 from .texts import _COS, _VOC
 
 P = "WITH " + pairs_sql()
+_HASH = "CAST(('0x' || substring(md5({t}), 1, 8)) AS BIGINT)"
 
 _SHORT = """tok AS (SELECT pair, 0 AS side, lower(substring(a, 1, 40)) AS t FROM tp UNION ALL SELECT pair, 1, lower(substring(b, 1, 40)) FROM tp),
     g AS (SELECT pair, side, unnest(list_concat(string_split(t, ''), CASE WHEN length(t) > 1 THEN list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) ELSE [] END)) AS term FROM tok WHERE t <> ''),
@@ -53,6 +54,26 @@ def metric_summary(spark: SparkSession, d: str) -> DataFrame:
     return rank.summary(a, "metric", ["auc"]).withColumn("mean_auc", r9(F.col("mean_auc")))
 
 
+_BOOT = f"{P}, n AS (SELECT *, row_number() OVER (ORDER BY {_HASH.format(t=chr(39) + 'slot-' + chr(39) + ' || id')}, id) - 1 AS i, count(*) OVER () AS size FROM pair), w AS (SELECT draw, {_HASH.format(t=chr(39) + 'b-' + chr(39) + ' || CAST(draw AS VARCHAR) || ' + chr(39) + '-' + chr(39) + ' || CAST(i AS VARCHAR)')} % size AS i, count(*) AS w FROM n, (SELECT unnest(range(0, 50)) AS draw) GROUP BY ALL)"
+
+
+def _queue(s: str) -> str:
+    return f"SELECT draw, sum(greatest(least(w, 50 - before), 0) * y) AS hits FROM (SELECT w.draw AS draw, w, y, coalesce(sum(w) OVER (PARTITION BY w.draw ORDER BY {s} DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w JOIN n USING (i)) GROUP BY draw"
+
+
+@query(f"{_BOOT} SELECT a.draw AS draw, CAST(a.hits - b.hits AS BIGINT) AS diff FROM ({_queue('s')}) a JOIN ({_queue('len')}) b USING (draw)")
+def queue_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Positives among the first 50 by one score less those by another, in resamples."""
+    return resample.queue_bootstrap(pairs(spark, d), "id", "s", "len", "y", 50, 50, "b")
+
+
+@query(f"{_BOOT}, x AS (SELECT w.draw AS draw, w.w AS w, n.y AS y, n.s AS s, n.len AS c1, n.len * (1 + n.z_ext) AS c2 FROM w JOIN n USING (i)) SELECT a.draw AS draw, round((b.auc + c.auc) / 2 - a.auc, 9) AS change FROM {_weighted('x', 's', 'y')} a JOIN {_weighted('x', 'c1', 'y')} b USING (draw) JOIN {_weighted('x', 'c2', 'y')} c USING (draw)")
+def control_change(spark: SparkSession, d: str) -> DataFrame:
+    """The change to a matched control whose AUC is the mean over its seeds: here two."""
+    p = pairs(spark, d).withColumn("c2", F.col("len") * (1 + F.col("z_ext")))
+    return resample.paired_change(p, "id", "s", ["len", "c2"], "y", 50, "b").select("draw", r9(F.col("change")).alias("change"))
+
+
 @query(f"{P}, n AS (SELECT count(*) AS n FROM pair) SELECT f AS share, greatest(1, CAST(round_even(f * n, 0) AS INT)) AS half_even, CAST(floor(f * n) AS INT) AS down FROM n, (VALUES (0.001::DOUBLE), (0.05), (0.5)) AS v(f)")
 def budget_rounding(spark: SparkSession, d: str) -> DataFrame:
     """A share of the rows as a count, rounded half-even (one at least) and down."""
@@ -143,6 +164,28 @@ def synthetic_grid(spark: SparkSession, d: str) -> DataFrame:
     return a.select("alpha", "n", *(r9(F.col(f"auc_{c}")).alias(f"auc_{c}") for c in ("z", "z_comp", "y")), r9(stats.robust_gap(F.col("auc_z_comp"), F.col("auc_y"))).alias("d_dis"))
 
 
+def _case(k: str) -> str:
+    return _normal(f"7-{k}", "kase", "id")
+
+
+_CASES = (
+    "g AS (SELECT kase, i AS id FROM (SELECT unnest(['valid', 'containment', 'mismatch', 'spillover', 'score_failure', 'high_kappa', 'mixed']) AS kase), (SELECT unnest(range(0, 1500)) AS i)), "
+    "b AS (SELECT kase, id, " + ", ".join(f"{_case(k)} AS {k}" for k in ("q", "a", "v", "m", *(f"e{i}" for i in range(8)))) + f", {_uniform('7-flip', 'kase', 'id')} AS flip FROM g), "
+    "t AS (SELECT *, 0.30 * q + sqrt(1 - 0.09) * e0 AS qs, 0.80 * v + sqrt(1 - 0.64) * e1 AS vs, 0.80 * v + sqrt(1 - 0.64) * e2 AS vo, 0.80 * m + sqrt(1 - 0.64) * e3 AS ms, 0.80 * m + sqrt(1 - 0.64) * e4 AS mo, 0.7 * q + sqrt(1 - 0.49) * e6 AS q1, 0.7 * q + sqrt(1 - 0.49) * e7 AS q2, CAST(q > 0 AS INT) AS y, CASE WHEN flip < 0.20 THEN 1 - CAST(q > 0 AS INT) ELSE CAST(q > 0 AS INT) END AS merged FROM b), "
+    "r AS (SELECT kase, y, CASE kase WHEN 'valid' THEN 0.7 * qs + 0.3 * e5 WHEN 'containment' THEN 0.55 * a + 0.25 * qs WHEN 'mismatch' THEN 0.35 * qs + 0.55 * ms WHEN 'spillover' THEN 0.25 * qs + 0.55 * vs WHEN 'score_failure' THEN 0.55 * a + 0.55 * vs WHEN 'high_kappa' THEN merged + 0.05 * e5 ELSE 0.55 * a + 0.35 * qs + 0.4 * ms END AS s, "
+    "CASE kase WHEN 'valid' THEN q1 WHEN 'containment' THEN a WHEN 'mismatch' THEN ms WHEN 'spillover' THEN vs WHEN 'score_failure' THEN a + vs WHEN 'high_kappa' THEN merged ELSE 0.5 * a + 0.5 * ms END AS lz, CASE kase WHEN 'valid' THEN q2 WHEN 'containment' THEN e6 WHEN 'mismatch' THEN mo WHEN 'high_kappa' THEN merged WHEN 'mixed' THEN mo ELSE vo END AS lc FROM t), "
+    "c AS (SELECT kase, quantile_cont(lz, 0.5) AS cz, quantile_cont(lc, 0.5) AS cc FROM r GROUP BY kase), "
+    "x AS (SELECT r.kase AS kase, s, CASE WHEN r.kase = 'high_kappa' THEN CAST(lz AS INT) ELSE CAST(lz > cz AS INT) END AS z, CASE WHEN r.kase = 'high_kappa' THEN CAST(lc AS INT) ELSE CAST(lc > cc AS INT) END AS z_comp, y FROM r JOIN c USING (kase))"
+)
+
+
+@query(f'WITH {_CASES} SELECT a.kase AS "case", a.n AS n, round(a.auc, 6) AS auc_z, round(b.auc, 6) AS auc_z_comp, round(k.auc, 6) AS auc_y FROM {auc_sql("x", "s", "z", "kase")} a JOIN {auc_sql("x", "s", "z_comp", "kase")} b USING (kase) JOIN {auc_sql("x", "s", "y", "kase")} k USING (kase)')
+def named_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The seven named synthetic cases."""
+    a = rank.auc(simulate.named_cases(spark, 1500), "s", ["z", "z_comp", "y"], ["case"])
+    return a.select("case", "n", *(F.round(f"auc_{c}", 6).alias(f"auc_{c}") for c in ("z", "z_comp", "y")))
+
+
 _PAIR = (
     "g AS (SELECT i AS id, CAST(error AS DOUBLE) AS error FROM (SELECT unnest(range(0, 5000)) AS i), (VALUES (0.02), (0.05), (0.1), (0.2)) AS v(error)), "
     f"t AS (SELECT error, CAST({_uniform('2-a', 'id', 'error')} < 0.3 AS INT) AS a, CAST({_uniform('2-b', 'id', 'error')} < 0.3 AS INT) AS b, {_uniform('2-h', 'id', 'error')} < {{shared}} AS hard, {_uniform('2-fa', 'id', 'error')} AS fa, {_uniform('2-fb', 'id', 'error')} AS fb FROM g), "
@@ -164,7 +207,6 @@ def pair_kappa_sim(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PER = f"g AS (SELECT source, auc AS a FROM {auc_sql('pair', 's', 'z_ext', 'source')}), h AS (SELECT source, auc AS b FROM {auc_sql('pair', 's', 'y', 'source')}), per AS (SELECT source, a, b FROM g FULL JOIN h USING (source))"
-_HASH = "CAST(('0x' || substring(md5({t}), 1, 8)) AS BIGINT)"
 
 
 @query(

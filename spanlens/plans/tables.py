@@ -104,3 +104,18 @@ def streaming_contingency(spark: SparkSession, d: str) -> DataFrame:
     q = streaming.contingency_counts(rows, ["event_type"], "z", "y").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def streaming_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by hour and type of a file stream with a watermark, drained once into a table of the session."""
+    from .. import sources
+
+    events = table(spark, d, "events")
+    at = sources.scratch(spark, "windows")
+    events.select("ts", "event_type").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(f"{at}/in")
+    counts = streaming.windowed_counts(stream, "ts", "1 hour", "1 hour", ["event_type"])
+    q = counts.select(F.col("window.start").alias("hour"), "event_type", "n").writeStream.outputMode("complete").format("memory").queryName(f"w{at[-12:]}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(f"w{at[-12:]}")

@@ -222,16 +222,19 @@ def surface_rules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", s["has_list"].alias("has_list"), s["has_code"].alias("has_code"), s["long"].alias("long"), tx.incomplete("text").alias("incomplete"))
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, l_linenumber % 4 < 3 AS equal FROM lineitem")
 def math_equal(spark: SparkSession, d: str) -> DataFrame:
-    """Prices of an order's lines as fractions against decimals."""
+    """Lines' quantities as boxed fractions against decimals, as roots of squares, as sums of a symbol in another order, and with one too many."""
     ship(spark)
-    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("\\boxed{\\frac{"), F.col("l_quantity").cast("int").cast("string"), F.lit("}{4}}")).alias("a"), (F.col("l_quantity") / 4).cast("string").alias("b"))
-    return t.select("l_orderkey", "l_linenumber", mathtext.math_equal(F.col("a"), F.col("b")).alias("equal"))
+    q, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 4
+    a = F.when(k == 0, F.concat(F.lit("so \\boxed{\\frac{"), q, F.lit("}{4}}"))).when(k == 1, F.concat(F.lit("\\sqrt{"), q, F.lit("\\cdot "), q, F.lit("}"))).otherwise(F.concat(q, F.lit("x + 1")))
+    b = F.when(k == 0, (F.col("l_quantity") / 4).cast("string")).when(k == 1, q).when(k == 2, F.concat(F.lit("\\boxed 1+x*"), q)).otherwise(F.concat(q, F.lit("x + 2")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", mathtext.math_equal(a, b).alias("equal"))
 
 
-@query()
+@query("SELECT l_linenumber, count(*) AS n, count(*) FILTER (l_linenumber = 7) AS false_claims FROM lineitem GROUP BY l_linenumber")
 def arithmetic_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Sums that are right but for the seventh lines'."""
     ship(spark)
     claim = F.format_string("%d + %d = %d", F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_linenumber") + F.col("l_quantity").cast("int") + F.when(F.col("l_linenumber") == 7, 1).otherwise(0))
     t = table(spark, d, "lineitem").select("l_linenumber", mathtext.arithmetic_claim_false(claim).alias("f"))

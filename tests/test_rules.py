@@ -61,3 +61,27 @@ def test_nested_pairs(spark):
     assert resample.verdict_shares(spark.createDataFrame([("A",), ("A",), ("B",)], "verdict string")).orderBy("verdict").first().share == pytest.approx(2 / 3)
     null = resample.label_shuffle(spark.createDataFrame([(i, float(i), i % 2) for i in range(20)], "id int, s double, y int"), "id", "s", "y", 5, 1)
     assert null.count() == 5
+
+
+def test_math_answers():
+    from spanlens.functions.mathtext import boxed, same_answer
+
+    assert boxed(r"so \boxed 5 ends") == "5" and boxed(r"\boxed{a{b}}") == "a{b}" and boxed("none") is None
+    same = [(r"\sqrt{9}", "3"), (r"2\sqrt{2}", r"\sqrt 8"), (r"\frac{\pi}{2}", r"0.5\pi"), (r"\sqrt[3]{27}", "3"), ("x+1", "1+x"), ("2x", r"x\cdot 2"), ("(a+b)^2", "a^2+2*a*b+b^2"), (r"50\%", "0.5")]
+    other = [("x+1", "x+2"), ("x", "y"), ("north", "thorn"), ("2", "3"), (r"\sqrt{2}", "1.4")]
+    assert all(same_answer(a, b) for a, b in same)
+    assert not any(same_answer(a, b) for a, b in other)
+
+
+def test_pickled_frames(spark, tmp_path):
+    import pandas as pd
+
+    from spanlens import sources
+
+    pd.DataFrame({"a": [1, 2], "b": ["x", None]}).to_pickle(tmp_path / "f.pkl")
+    assert sorted((r.a, r.b or "") for r in sources.pickled(spark, str(tmp_path / "f.pkl"), "a long, b string").collect()) == [(1, "x"), (2, "")]
+
+
+def test_masked_words_and_lists(spark):
+    assert one(spark, tx.list_items(F.col("t")), t="['a, b', \"c\", 4]") == ["a, b", "c", "4"]
+    assert one(spark, tx.list_items(F.col("t")), t="[broken") == ["[broken"] and one(spark, tx.list_items(F.col("t")), t="[]") == []
