@@ -15,13 +15,15 @@ are shuffled by key, where a hot key is one candidate row and many text rows
 that adaptive execution can split.
 
 Null and empty texts have no secrets; repeated rows come out as often as they
-went in; clashing names are no matter, since all inner columns are built from
-`doc_id`-like keep columns under names of their own.
+went in; an input column named `secrets` is replaced, and inner columns have
+names of their own. Places of matches are prefix sums of lengths by blocks, so
+a text with many matches costs about its length and not the square of them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,8 @@ from .common import materialise, text_or_empty
 
 #: Most alternatives that a regex is expanded to, and members of a class that are expanded.
 ALTERNATIVES, MEMBERS = 256, 6
+#: Matches whose places are added up together.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -116,22 +120,40 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Array of (start, end) of the accepted matches, in code points."""
+def _blocks(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Folds of each BLOCK items. Arrays that a fold appends to stay short, so long lists cost no square."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    folds = F.transform(starts, lambda k: F.aggregate(F.slice(items, k * BLOCK + 1, F.lit(BLOCK)), zero, step))
+    return F.when(F.size(items) > 0, folds)
+
+
+def lengths(text: Column, rule: Rule) -> Column:
+    """For each match the characters before it since the last one, its own, and whether it is accepted; null without matches."""
     regex = F.lit(rule.regex)
     matches, between = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, rule.regex, -1)
-    none = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
 
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["b"])
-        end = start + F.length(pair["m"])
-        ok = F.length(F.regexp_extract(pair["m"], rule.regex, rule.group)) >= rule.least
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(start.alias("start"), end.alias("end"), ok.alias("ok")))).alias("all"))
+    def one(m: Column, b: Column) -> Column:
+        ok = F.length(F.regexp_extract(m, rule.regex, rule.group)) >= rule.least
+        return F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), ok.alias("ok"))
+
+    pairs = F.filter(F.zip_with(matches, between, one), lambda x: x["n"].isNotNull())  # what follows the last match has none
+    return F.when(F.regexp_like(text, regex), pairs)
+
+
+def _placed(acc: Column, x: Column) -> Column:
+    start = acc["at"] + x["gap"]
+    here = F.struct(start.alias("start"), (start + x["n"]).alias("end"))
+    return F.struct((start + x["n"]).alias("at"), F.when(x["ok"], F.array_append(acc["all"], here)).otherwise(acc["all"]).alias("all"))
+
+
+_SPANS = "array<struct<start:int,end:int>>"
+
 
-    pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("all")), add)["all"]
-    kept = F.transform(F.filter(walked, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return F.when(F.regexp_like(text, regex), kept).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+def spans(blocks: Column) -> Column:
+    """(start, end) of the accepted matches in code points, from the blocks' own places and the blocks' lengths."""
+    offsets = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")))["all"]
+    moved = F.zip_with(blocks, offsets, lambda b, o: F.transform(b["all"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"))))
+    return F.coalesce(F.flatten(moved), F.array().cast(_SPANS))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text") -> DataFrame:
@@ -144,16 +166,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "te
     kinds = materialise(candidates(keyed.select("key", body.alias("text")), indexed), "secret-candidates")
     found = keyed.join(kinds, "key", "left")
 
+    # Each step is a projection of its own: an expression that a lambda mentions would be evaluated for every element.
+    cut, folded = {}, {}
+    for rank, rule in enumerate(rules):
+        of = lengths(body, rule)
+        cut[f"m{rank}"] = F.when(F.array_contains("kinds", rule.kind), of) if rule in indexed else of
+        items = F.col(f"m{rank}")
+        folded[f"b{rank}"] = _blocks(items, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("all")), _placed)
+    found = found.select(*names, *(c.alias(n) for n, c in cut.items())).select(*names, *(c.alias(n) for n, c in folded.items()))
+
     def tagged(rank: int, kind: str):
         return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
-    each = []
-    for rank, rule in enumerate(rules):
-        of = spans(body, rule)
-        if rule in indexed:
-            of = F.when(F.array_contains("kinds", rule.kind), of).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        each.append(F.transform(of, tagged(rank, rule.kind)))
-    return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), F.array_sort(F.concat(*each)).alias("secrets"))
+    each = [F.transform(spans(F.col(f"b{rank}")), tagged(rank, rule.kind)) for rank, rule in enumerate(rules)]
+    own = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c != "secrets"]
+    return found.select(*own, F.array_sort(F.concat(*each)).alias("secrets"))
 
 
 def listed(secrets: Column) -> Column:
@@ -167,13 +194,27 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "
     at = names[docs.columns.index("text")]
     found = scan(docs.toDF(*names), rules, text=at)
 
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["to"]
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], F.substring(F.col(at), acc["to"] + 1, s["start"] - acc["to"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["to"], s["end"]).alias("to"),
-        )
+    def reached(acc: Column, s: Column) -> Column:
+        here = F.struct(s["start"].alias("start"), acc["to"].alias("before"))
+        return F.struct(F.greatest(acc["to"], s["end"]).alias("to"), F.array_append(acc["all"], here).alias("all"))
+
+    folds = _blocks(F.col("secrets"), F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<start:int,before:int>>").alias("all")), reached)
+    found = found.select("*", folds.alias("__b"))
+    reach = F.aggregate("__b", F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("all")), lambda acc, b: F.struct(F.greatest(acc["to"], b["to"]).alias("to"), F.array_append(acc["all"], acc["to"]).alias("all")))
+    found = found.select("*", reach.alias("__r"))
+
+    def pieces(b: Column, lo: Column) -> Column:
+        """A block's part of the text, cut once, and what stays of it: the text between where former spans end and a span begins."""
+
+        def of(part: Column) -> Column:
+            def keep(x: Column) -> Column:
+                before = F.greatest(x["before"], lo)
+                return F.when(x["start"] >= before, F.concat(F.substring(part, before - lo + 1, x["start"] - before), F.lit(mark))).otherwise(F.lit(""))
+
+            return F.array_join(F.transform(b["all"], keep), "")
+
+        return F.transform(F.array(F.substring(F.col(at), lo + 1, F.greatest(b["to"] - lo, F.lit(0)))), of)[0]
 
-    walked = F.aggregate("secrets", F.struct(F.lit("").alias("out"), F.lit(0).alias("to")), cut, lambda acc: F.concat(acc["out"], F.substring(F.col(at), acc["to"] + 1, F.length(at))))
-    text = F.when(F.size("secrets") > 0, walked).otherwise(F.col(at))
+    whole = F.concat(F.array_join(F.zip_with("__b", F.col("__r")["all"], pieces), ""), F.substring(F.col(at), F.col("__r")["to"] + 1, F.length(at)))
+    text = F.when(F.size("secrets") > 0, whole).otherwise(F.col(at))
     return found.select(*((text if n == at else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -100,6 +100,21 @@ def test_redaction(spark):
     assert secret_scan.redact(df).columns == df.columns and secret_scan.redact(df.limit(0)).count() == 0
 
 
+def test_many_secrets_in_one_text(spark):
+    """More matches than a block, some of them in one another, some too short."""
+    text = " ".join(f"é{i} token={'ab12' * (2 + i % 3)} {'0123456789abcdef' * (i % 2)}z secret: tiny" for i in range(700))
+    df = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string").withColumn("secrets", F.lit("clash"))
+    got = {r.doc_id: r for r in secret_scan.scan(df, secret_scan.BASE).collect()}
+    want = by_hand(text)
+    assert [tuple(s) for s in got[1].secrets] == want and len(want) > 700 and got[2].secrets == got[3].secrets == []
+    out, to = [], 0
+    for s, _, e, _ in want:
+        if s >= to:
+            out.append(text[to:s] + "[secret]")
+        to = max(to, e)
+    assert secret_scan.redact(df, secret_scan.BASE).filter("doc_id = 1").first().text == "".join(out) + text[to:]
+
+
 # 2
 
 
