@@ -2,13 +2,20 @@
 
 A transcript is the lines of a conversation's rows in order. States are the
 three roles, each at the beginning of a turn or in its continuation. A line's
-features are: whether it begins a row, the role that its row names, the role
-that a speaker marker at its start names ("User:", "### Assistant", "<|bot|>",
-...), whether it asks, and its length. Emissions score the features, transitions
-score who speaks after whom, and Viterbi finds the roles; a row may therefore
-hold several turns, and a wrong or missing marker can be overruled.
+features are: whether it begins a row, the role that a speaker marker at its
+start names ("User:", "### Assistant", "<|bot|>", ...), whether it asks, its
+length, and for the first line of a row without markers the length of the row
+and its number of lines. Emissions score the features, transitions score who
+speaks after whom, and Viterbi finds the roles; a row may therefore hold several
+turns, and a wrong or missing marker can be overruled.
 
-Rows are cut into blocks of BLOCK turn numbers. A block first becomes its
+The role that a row records is not looked at when roles are recovered
+(`trust=True` makes it one more feature of the row's first line). Recorded roles
+only give the shares of row sizes for each role, one count table of a few dozen
+rows over the whole input; without any the sizes say nothing.
+
+Rows are cut into blocks of BLOCK turn numbers; where a turn number has more than
+CROWD rows, its block is cut by turn and by a hash. A block first becomes its
 max-plus transfer matrix, the matrices of a conversation are combined to the
 state before each block, and each block is then decoded between its two known
 states. So no task needs a whole conversation's text, however long it is.
@@ -16,9 +23,10 @@ states. So no task needs a whole conversation's text, however long it is.
 Results: one row for each parsed turn of each row (part 1, 2, ...), with its
 text without marker and its canonical rendering; rows without text give one
 empty turn. Null turns come before turn 0; rows of one turn number are ordered
-by role and text; fully repeated rows are read once; rows with a null conv_id
-are conversations of their own. Of paths that score alike one is taken, the
-same in each run. Other columns are ignored.
+by role and text (crowded ones by a hash first); repeated rows are read once and
+come out as often as they went in; rows with a null conv_id are conversations of
+their own. Of paths that score alike one is taken, the same in each run. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship, text_or_empty
 
-BLOCK = 64
+BLOCK, CROWD = 64, 1024
+#: Row sizes: powers of two of the length (up to SIZES) by lines (1, 2, 3 and more).
+SIZES, LINES = 14, 3
 #: Rows of a task, about.
 TASK = 10_000
 ROLES = ("system", "user", "assistant")
@@ -65,14 +75,23 @@ def role_of(name: str | None) -> int:
     return _ROLE_OF.get((name or "").strip().lower(), NONE)
 
 
-def emissions(text: str, named: int) -> tuple[list[str], np.ndarray]:
+def size_of(text: str, lines: int) -> int:
+    return min((len(text) + 1).bit_length() - 1, SIZES - 1) * LINES + min(lines, LINES) - 1
+
+
+#: Log shares of row sizes for each role, where they say nothing.
+FLAT = np.zeros((3, SIZES * LINES))
+
+
+def emissions(text: str, named: int = NONE, sizes: np.ndarray = FLAT) -> tuple[list[str], np.ndarray]:
     """The lines of a row without their markers, and log-likelihood scores (lines x states)."""
     lines = re.split(r"\r\n|\r|\n", text)
     score = np.zeros((len(lines), 6))
-    plain = []
+    plain, marked = [], False
     for i, line in enumerate(lines):
         m = MARKER.match(line)
         marker = role_of(next(filter(None, m.groups()))) if m else NONE
+        marked |= marker != NONE
         plain.append(line[m.end() :] if m else line)
         e = score[i]
         if marker != NONE:  # a marked line begins a turn of that role
@@ -93,6 +112,8 @@ def emissions(text: str, named: int) -> tuple[list[str], np.ndarray]:
             e[[1, 4]] += _LOG(1.5)
         if len(line) > 400:
             e[[2, 5]] += _LOG(1.3)
+    if not marked:
+        score[0, :3] += sizes[:, size_of(text, len(lines))]
     return plain, score
 
 
@@ -122,7 +143,7 @@ def viterbi(score: np.ndarray, before: int, last: int) -> list[int]:
 
 def _blocks(table: pa.Table):
     """((conv, block), rows in order) of a task."""
-    rows = table.select(["conv", "block", "turn", "role", "text"]).to_pylist()
+    rows = table.select(["conv", "block", "turn", "role", "text", "copies"]).to_pylist()
     rows.sort(key=lambda r: (r["conv"], r["block"], r["turn"], r["role"] or "", r["text"]))
     lo = 0
     for i in range(1, len(rows) + 1):
@@ -131,15 +152,22 @@ def _blocks(table: pa.Table):
             lo = i
 
 
-def _matrices(table: pa.Table) -> pa.Table:
-    conv, block, first, matrix = [], [], [], []
-    for c, b, rows in _blocks(table):
-        score = np.concatenate([emissions(r["text"], role_of(r["role"]))[1] for r in rows])
-        conv.append(c)
-        block.append(b)
-        matrix.append(transfer(score).ravel().tolist())
-        first.append((transfer(score[1:])[:, :] + (_START + score[0])[:, None]).max(0).tolist())
-    return pa.table({"conv": pa.array(conv, pa.string()), "block": pa.array(block, pa.int64()), "matrix": pa.array(matrix, pa.list_(pa.float64())), "first": pa.array(first, pa.list_(pa.float64()))})
+def _emitter(sizes: np.ndarray, trust: bool):
+    return lambda r: emissions(r["text"], role_of(r["role"]) if trust else NONE, sizes)
+
+
+def _matrices(emit):
+    def run(table: pa.Table) -> pa.Table:
+        conv, block, first, matrix = [], [], [], []
+        for c, b, rows in _blocks(table):
+            score = np.concatenate([emit(r)[1] for r in rows])
+            conv.append(c)
+            block.append(b)
+            matrix.append(transfer(score).ravel().tolist())
+            first.append((transfer(score[1:])[:, :] + (_START + score[0])[:, None]).max(0).tolist())
+        return pa.table({"conv": pa.array(conv, pa.string()), "block": pa.array(block, pa.int64()), "matrix": pa.array(matrix, pa.list_(pa.float64())), "first": pa.array(first, pa.list_(pa.float64()))})
+
+    return run
 
 
 def _bounds(table: pa.Table) -> pa.Table:
@@ -171,38 +199,62 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text.strip()}\n<|end|>"
 
 
-def _decode(table: pa.Table, bounds: pa.Table) -> pa.Table:
-    known = {(c, b): (s, e) for c, b, s, e in zip(*(bounds.column(n).to_pylist() for n in ("conv", "block", "before", "last")), strict=True)}
-    out: dict[str, list] = {n: [] for n in ("conv", "turn", "part", "given_role", "role", "begins", "text", "rendered")}
-    for c, b, rows in _blocks(table):
-        parsed = [emissions(r["text"], role_of(r["role"])) for r in rows]
-        states = viterbi(np.concatenate([p[1] for p in parsed]), *known[c, b])
-        at = 0
-        for r, (plain, _) in zip(rows, parsed, strict=True):
-            own = states[at : at + len(plain)]
-            at += len(plain)
-            starts = [0, *(k for k in range(1, len(own)) if own[k] < 3), len(own)]
-            for part, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True), 1):
-                role, text = ROLES[own[s] % 3], "\n".join(plain[s:e])
-                for o, x in zip(out.values(), (c, None if r["turn"] == NO_TURN else r["turn"], part, r["role"], role, own[s] < 3, text.strip(), render(role, text)), strict=True):
-                    o.append(x)
-    kinds = {"turn": pa.int64(), "part": pa.int32(), "begins": pa.bool_()}
-    return pa.table({n: pa.array(v, kinds.get(n, pa.string())) for n, v in out.items()})
+def _decode(emit):
+    def run(table: pa.Table, bounds: pa.Table) -> pa.Table:
+        known = {(c, b): (s, e) for c, b, s, e in zip(*(bounds.column(n).to_pylist() for n in ("conv", "block", "before", "last")), strict=True)}
+        out: dict[str, list] = {n: [] for n in ("conv", "turn", "part", "given_role", "role", "begins", "text", "rendered", "copies")}
+        for c, b, rows in _blocks(table):
+            parsed = [emit(r) for r in rows]
+            states = viterbi(np.concatenate([p[1] for p in parsed]), *known[c, b])
+            at = 0
+            for r, (plain, _) in zip(rows, parsed, strict=True):
+                own = states[at : at + len(plain)]
+                at += len(plain)
+                starts = [0, *(k for k in range(1, len(own)) if own[k] < 3), len(own)]
+                for part, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True), 1):
+                    role, text = ROLES[own[s] % 3], "\n".join(plain[s:e])
+                    for o, x in zip(out.values(), (c, None if r["turn"] == NO_TURN else r["turn"], part, r["role"], role, own[s] < 3, text.strip(), render(role, text), r["copies"]), strict=True):
+                        o.append(x)
+        kinds = {"turn": pa.int64(), "part": pa.int32(), "begins": pa.bool_(), "copies": pa.int64()}
+        return pa.table({n: pa.array(v, kinds.get(n, pa.string())) for n, v in out.items()})
+
+    return run
+
+
+def row_sizes(rows: DataFrame) -> np.ndarray:
+    """Log shares of row sizes for each role by the recorded roles (each size once more than counted), as ratios to the shares of all rows."""
+    role = F.create_map(*(F.lit(x) for name, k in _ROLE_OF.items() for x in (name, k)))[F.lower(F.trim("role"))]
+    power = F.least(F.length(F.bin(F.length("text") + 1)) - 1, F.lit(SIZES - 1))
+    lines = F.least(F.size(F.split("text", r"\r\n|\r|\n")), F.lit(LINES))
+    counts = rows.select(role.alias("k"), (power * LINES + lines - 1).alias("size"), "copies").filter("k IS NOT NULL").groupBy("k", "size").agg(F.sum("copies").alias("n"))
+    n = np.ones((3, SIZES * LINES))
+    for r in counts.collect():  # at most 3 x SIZES x LINES
+        n[r.k, r.size] += r.n
+    return _LOG(n / n.sum(1, keepdims=True)) - _LOG(n.sum(0) / n.sum())
 
 
-def turns(conversations: DataFrame) -> DataFrame:
+def turns(conversations: DataFrame, trust: bool = False) -> DataFrame:
     """conv_id, turn, part, given_role, role, begins, text, rendered: each parsed turn (`begins` is false where it goes on with the turn before)."""
     ship(conversations.sparkSession)
     body = text_or_empty()
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN))
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("?"), F.xxhash64("turn", "role", body).cast("string")))
-    rows = conversations.select("conv_id", conv.alias("conv"), F.floor(turn / BLOCK).cast("long").alias("block"), turn.alias("turn"), F.col("role").cast("string").alias("role"), body.alias("text"))
-    rows = materialise(rows.distinct(), "transcripts")
+    conv = F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.concat(F.lit("n"), F.xxhash64("turn", "role", body).cast("string")))
+    rows = conversations.select(conv.alias("conv"), turn.alias("turn"), F.col("role").cast("string").alias("role"), body.alias("text"))
+    # Copies meet after each map task has counted its own.
+    rows = rows.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    rows = materialise(rows.withColumn("tb", F.floor(F.col("turn") / BLOCK).cast("long")), "transcripts")
+    crowded = rows.groupBy("conv", "tb", "turn").agg(F.count("*").alias("n")).groupBy("conv", "tb").agg(F.max("n").alias("n")).filter(F.col("n") > CROWD)
+    shifted = rows.join(crowded, ["conv", "tb"], "left")
+    sub = F.pmod(F.xxhash64("role", "text"), F.ceil(F.col("n") / CROWD))
+    block = F.when(F.col("n").isNull(), F.col("tb") * BLOCK * (1 << 20)).otherwise(F.col("turn") * (1 << 20) + sub)
+    rows = materialise(shifted.select("conv", block.alias("block"), "turn", "role", "text", "copies"), "transcript-blocks")
+    emit = _emitter(row_sizes(rows), trust)
     tasks = rows.count() // TASK + 1
     dealt = rows.withColumn("task", F.pmod(F.xxhash64("conv", "block"), F.lit(tasks)))
-    matrices = dealt.groupBy("task").applyInArrow(_matrices, "conv string, block bigint, matrix array<double>, first array<double>")
+    matrices = dealt.groupBy("task").applyInArrow(_matrices(emit), "conv string, block bigint, matrix array<double>, first array<double>")
     bounds = matrices.groupBy(F.pmod(F.xxhash64("conv"), F.lit(tasks))).applyInArrow(_bounds, "conv string, block bigint, before int, last int")
     bounds = materialise(bounds, "transcript-bounds").withColumn("task", F.pmod(F.xxhash64("conv", "block"), F.lit(tasks)))
-    out = dealt.groupBy("task").cogroup(bounds.groupBy("task")).applyInArrow(_decode, "conv string, turn bigint, part int, given_role string, role string, begins boolean, text string, rendered string")
+    out = dealt.groupBy("task").cogroup(bounds.groupBy("task")).applyInArrow(_decode(emit), "conv string, turn bigint, part int, given_role string, role string, begins boolean, text string, rendered string, copies bigint")
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
     kind = conversations.schema["conv_id"].dataType
-    return out.select(F.when(~F.startswith("conv", F.lit("?")), F.col("conv")).cast(kind).alias("conv_id"), "turn", "part", "given_role", "role", "begins", "text", "rendered")
+    return out.select(F.when(F.startswith("conv", F.lit("v")), F.substring("conv", F.lit(2), F.length("conv"))).cast(kind).alias("conv_id"), "turn", "part", "given_role", "role", "begins", "text", "rendered")

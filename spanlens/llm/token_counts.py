@@ -2,9 +2,10 @@
 
 The cache is a Parquet table in the shared folder with one row for each digest
 of a normalised text and tokenizer version: (text_digest, tokenizer_digest,
-n_tokens). A run digests every text, takes the digests that the cache lacks,
-encodes each of them once and appends the counts; then every row joins its
-digest to the cache. Normalising replaces null by the empty text and nothing
+n_tokens), at one place for all runs. A run digests every text, takes the digests
+that the cache lacks, encodes each of them once and appends the counts; then
+every row joins its digest to the cache. A run that meets no new text encodes
+none. Normalising replaces null by the empty text and nothing
 else, since any other change could change a count.
 
 Copies meet only after each map task has dropped its own repeats, so a text
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, ship, text_or_empty, tidy_batches
+from .common import shared_dir, ship, text_or_empty, tidy_batches
 from .words import batch_parts
 
 CACHE_SCHEMA = "text_digest binary, tokenizer_digest string, n_tokens bigint"
@@ -77,29 +79,39 @@ def _encode(path: str, version: str):
     return tidy_batches(run)
 
 
+def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """Counts of this tokenizer version; none where nothing has been written yet."""
+    try:
+        cache = spark.read.schema(CACHE_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        cache = spark.createDataFrame([], CACHE_SCHEMA)
+    return cache.filter(F.col("tokenizer_digest") == version).select("text_digest", "n_tokens")
+
+
 def add_missing(docs: DataFrame, cache_path: str, tokenizer_path: str, text: str = "text") -> DataFrame:
     """Encode the texts that the cache lacks, append their counts, and return the cache of this tokenizer version."""
     spark = docs.sparkSession
     ship(spark)
     version = version_digest(tokenizer_path)
     keyed = docs.select(F.unhex(F.sha2(text_or_empty(text), 256)).alias("text_digest"), text_or_empty(text).alias("text"))
-    # An empty append makes the first read of a new cache well defined.
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_digest") == version)
-    distinct = keyed.mapInArrow(_first_of_task, keyed.schema)
-    if not cache.isEmpty():
-        distinct = distinct.join(cache.select("text_digest"), "text_digest", "left_anti")
-    missing = distinct.repartition("text_digest").mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA)
-    missing.write.mode("append").parquet(cache_path)
+    missing = keyed.select("text_digest").distinct().join(read_cache(spark, cache_path, version), "text_digest", "left_anti")
+    # Merged whatever the size, so that all copies of a text meet in one task and are encoded once.
+    texts = keyed.mapInArrow(tidy_batches(_first_of_task), keyed.schema).join(missing.hint("merge"), "text_digest", "left_semi")
+    texts.mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     # Two runs may append one digest at the same time; either row is right.
-    return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_digest") == version)
+    return read_cache(spark, cache_path, version).groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def shared_cache(spark: SparkSession) -> str:
+    """The cache that all applications with this shared folder use."""
+    return f"{shared_dir(spark)}/spanlens/token-cache"
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 4096, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """`keep` columns, n_bytes, n_tokens and over_limit (n_tokens > limit) for each row."""
-    spark = docs.sparkSession
-    cache = add_missing(docs, cache_path or fresh_path(spark, "token-cache"), tokenizer_path, text)
-    counts = cache.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens")) if cache_path else cache.select("text_digest", "n_tokens")
+    """`keep` columns, n_bytes, n_tokens and over_limit (n_tokens > limit) for each row; by the shared cache unless another is named."""
+    counts = add_missing(docs, cache_path or shared_cache(docs.sparkSession), tokenizer_path, text)
     rows = docs.select(
         *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)),
         F.octet_length(text_or_empty(text)).cast("long").alias("n_bytes"),

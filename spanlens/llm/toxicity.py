@@ -1,24 +1,26 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 4).
 
-The confirmed toxic rows of the training folds are the positives; all labelled
-rows of those folds, their labels set aside, are the unlabelled text; the class
-prior is the share of toxic rows among them. Each of CLASSIFIERS linear
-classifiers over hashed words minimises
+The positives are the confirmed toxic rows of the training folds. The unlabelled
+text is a sample of all documents of those folds, whatever `labels` says of
+them; labels of rows that are not toxic are never looked at. The class prior is
+estimated from the two samples (`estimate_prior`) unless it is given. Each of
+CLASSIFIERS linear classifiers over hashed words minimises
 
     prior * E_pos[l(f)] + max(0, E_unl[l(-f)] - prior * E_pos[l(-f)]),
 
 stepping back along the second term whenever it turns negative, each with its
 own part of the unlabelled rows. A score is the mean of their probabilities.
 
-Only the fit is on a bounded sample: at most SAMPLE rows and FEATURES feature
-entries, first by a hash of doc_id. Scoring reads every whole text. The ids of
-the sample (at most SAMPLE) are broadcast; texts are not shuffled.
+Only the fit is on bounded samples: at most UNLABELLED documents and POSITIVES
+confirmed ones, and FEATURES feature entries of both, first by a hash of doc_id.
+Scoring reads every whole text. The ids of the samples are broadcast; texts are
+not shuffled.
 
 Null and empty texts get the score of no words; a null doc_id is in no held-out
-fold; rows of `labels` with a null id or label are unlabelled, and one toxic row
-makes an id toxic; without any positive row all scores are the prior (0 without
-labels). Repeated rows come out as often as they went in; other columns are
-ignored.
+fold and in no sample; rows of `labels` with a null id or label are unlabelled,
+and one toxic row makes an id toxic; without any positive row all scores are 0
+but for rounding. Repeated rows come out as often as they went in; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +36,14 @@ from pyspark.sql import functions as F
 from .common import materialise, ship, text_or_empty, tidy_batches
 from .words import Words, batch_parts, raw_texts
 
-#: Rows and feature entries that a fit may use.
-SAMPLE, FEATURES = 20_000, 12_000_000
+#: Documents, confirmed ones and feature entries that a fit may use.
+UNLABELLED, POSITIVES, FEATURES = 14_000, 6_000, 12_000_000
 #: Hash buckets, folds, classifiers.
 BUCKETS, FOLDS, CLASSIFIERS = 1 << 18, 5, 3
 #: Standard errors by which a bucket's share of the positives must leave its share of the unlabelled rows to be a feature.
 TELLING = 4.0
+#: Rounds of the prior's estimate, rows of either kind under which it is GUESS.
+ROUNDS, FEW, GUESS = 3, 80, 0.1
 #: Steps, rate and decay of the fit.
 STEPS, RATE, DECAY = 200, 0.2, 1e-5
 
@@ -67,41 +71,89 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(f, -40, 40)))).mean(0)
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, seed: int = 11) -> Model:
-    """rows: the buckets of each text of the sample; positive: the confirmed ones."""
-    n = len(rows)
-    if not positive.any():
+def frequencies(rows: list[np.ndarray]) -> np.ndarray:
+    """Share of the rows that have each bucket."""
+    return np.bincount(np.concatenate(rows), minlength=BUCKETS) / len(rows) if rows else np.zeros(BUCKETS)
+
+
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Buckets whose share of the positives leaves that of the unlabelled rows."""
+    p, u = frequencies(positive), frequencies(unlabelled)
+    spread = (u + 1 / len(unlabelled)) * (1 - u + 1 / len(unlabelled))
+    return np.flatnonzero(np.abs(p - u) >= TELLING * np.sqrt(spread * (1 / len(positive) + 1 / len(unlabelled))))
+
+
+def _ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The least ratio of the unlabelled rows' share to the positives' share above a threshold, over thresholds that half to 95 in a hundred of the positives pass.
+
+    Above any threshold the unlabelled rows hold at least prior times the
+    positives' share; where only positives score high, they hold no more.
+    """
+    positive, unlabelled = np.sort(positive), np.sort(unlabelled)
+    n = len(positive)
+    above = np.arange(n // 2, int(0.95 * n) + 1)
+    share = (len(unlabelled) - np.searchsorted(unlabelled, positive[n - above]) + 1) / len(unlabelled)
+    return float((share * n / above).min())
+
+
+def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> float:
+    """Share of positives in the unlabelled text. Scores are learned on every other row and measured on the rest, then the other way round: first log ratios of the telling buckets' shares, then ROUNDS times a classifier fitted with the prior found before."""
+    if len(positive) < FEW or len(unlabelled) < FEW:
+        return GUESS
+    prior = None
+    for _ in range(ROUNDS + 1):
+        found = []
+        for k in (0, 1):
+            p, u = positive[k::2], unlabelled[k::2]
+            if prior is None:
+                weight, kept = np.zeros(BUCKETS), telling(p, u)
+                weight[kept] = np.log((frequencies(p)[kept] + 1 / len(p)) / (frequencies(u)[kept] + 1 / len(u)))
+            else:
+                weight = fit(p, u, prior, 1).weights[0]
+            rest = [np.array([weight[r].sum() / (max(len(r), 1) if prior is None else 1) for r in rows[1 - k :: 2]]) for rows in (positive, unlabelled)]
+            found.append(_ratio(*rest))
+        prior = float(min(max(np.mean(found), 1e-4), 0.9))
+    return prior
+
+
+def risk(f_positive: np.ndarray, f_unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two terms of the risk, and the slopes by each score of what a step goes down: the risk, or the second term turned round where it is negative."""
+    up_p, up_u = (1 / (1 + np.exp(-np.clip(f, -40, 40))) for f in (f_positive, f_unlabelled))  # slope of l(-f); that of l(f) is one less
+    first = prior * np.logaddexp(0, -f_positive).mean()
+    second = np.logaddexp(0, f_unlabelled).mean() - prior * np.logaddexp(0, f_positive).mean()
+    slope_p, slope_u = -prior * up_p / len(f_positive), up_u / len(f_unlabelled)
+    if second < 0:
+        return first, second, -slope_p, -slope_u
+    return first, second, slope_p + prior * (up_p - 1) / len(f_positive), slope_u
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None = None, classifiers: int = CLASSIFIERS, seed: int = 11) -> Model:
+    """positive, unlabelled: the distinct buckets of each text."""
+    if not positive or not unlabelled:
         return Model(np.zeros((1, BUCKETS), np.float32), np.full(1, -40.0))
-    prior = min(max(positive.mean(), 1e-4), 0.9)
-    column = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    among = np.bincount(column, minlength=BUCKETS) / n
-    of_positive = np.bincount(column[positive[row]], minlength=BUCKETS) / positive.sum()
-    error = np.sqrt((among + 1 / n) * (1 - among + 1 / n) / positive.sum())
-    kept = np.flatnonzero(np.abs(of_positive - among) >= TELLING * error)
+    prior = estimate_prior(positive, unlabelled) if prior is None else prior
+    kept = telling(positive, unlabelled)
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
-    row, column = row[place[column] >= 0], place[column[place[column] >= 0]]
+
+    def entries(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        column = place[np.concatenate(rows)]
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        return row[column >= 0], column[column >= 0]
+
+    p_row, p_column = entries(positive)
     rng = np.random.default_rng(seed)
     weights, biases = [], []
-    for _ in range(CLASSIFIERS):
-        unlabelled = (rng.random(n) < 0.7).astype(float)
-        if not unlabelled.any():
-            unlabelled[:] = 1
-        p, u = positive / positive.sum(), unlabelled / unlabelled.sum()
+    for _ in range(classifiers):
+        some = np.flatnonzero(rng.random(len(unlabelled)) < 0.7)
+        mine = [unlabelled[i] for i in (some if len(some) else range(len(unlabelled)))]
+        u_row, u_column = entries(mine)
         w, b = np.zeros(len(kept)), np.log(prior / (1 - prior))
         moments = np.zeros((2, len(kept) + 1))
         for t in range(1, STEPS + 1):
-            f = np.bincount(row, w[column], n) + b
-            up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))  # slope of l(-f), and 1 + slope of l(f)
-            loss_up = np.logaddexp(0, f)
-            negative = (u * loss_up).sum() - prior * (p * loss_up).sum()
-            g = u * up - prior * p * up
-            if negative >= 0:
-                g = g + prior * p * (up - 1)
-            else:
-                g = -g
-            grad = np.append(np.bincount(column, g[row], len(kept)) + DECAY * w, g.sum())
+            _, _, g_p, g_u = risk(np.bincount(p_row, w[p_column], len(positive)) + b, np.bincount(u_row, w[u_column], len(mine)) + b, prior)
+            grad = np.bincount(p_column, g_p[p_row], len(kept)) + np.bincount(u_column, g_u[u_row], len(kept)) + DECAY * w
+            grad = np.append(grad, g_p.sum() + g_u.sum())
             moments = moments * [[0.9], [0.99]] + np.stack([0.1 * grad, 0.01 * grad**2])
             step = RATE * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-6)
             w, b = w - step[:-1], b - step[-1]
@@ -119,29 +171,33 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
             packed = bucket.astype("<i4")
             out = [packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["doc_id", "part", "buckets"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled rows of the training folds."""
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
+    """Fit on confirmed toxic rows and a sample of documents, both of the training folds."""
     ship(docs.sparkSession)
-    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     place = F.xxhash64("doc_id", F.lit(4))
-    ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(place, "doc_id").limit(SAMPLE)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
+    known = labels.filter(F.col("doc_id").isNotNull() & (F.col("toxic").cast("int") > 0) & ~held_out()).select("doc_id").distinct()
+    pool = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
+    # At most POSITIVES and UNLABELLED ids.
+    ids = known.orderBy(place, "doc_id").limit(POSITIVES).select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u")).union(pool.orderBy(place, "doc_id").limit(UNLABELLED).select("doc_id", F.lit(0), F.lit(1)))
+    ids = ids.groupBy("doc_id").agg((F.max("p") * 2 + F.max("u")).alias("part"))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "part", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    features = texts.mapInArrow(tidy_batches(_sample_features), f"doc_id {kind}, toxic int, buckets binary")
+    features = texts.mapInArrow(tidy_batches(_sample_features), f"doc_id {kind}, part int, buckets binary")
     # An id's rows with several texts count once, by the least features.
-    one = materialise(features.groupBy("doc_id").agg(F.min(F.struct("toxic", "buckets")).alias("x")).select(place.alias("place"), "x.*"), "toxicity-sample")
+    one = materialise(features.groupBy("doc_id").agg(F.min(F.struct("part", "buckets")).alias("x")).select(place.alias("place"), "x.*"), "toxicity-sample")
     size, last = 0, None
-    for r in one.select("place", (F.length("buckets") / 4).alias("n")).orderBy("place").collect():  # at most SAMPLE
+    for r in one.select("place", (F.length("buckets") / 4).alias("n")).orderBy("place").collect():  # at most the samples' ids
         size += r.n
         if size > FEATURES and last is not None:
             break
         last = r.place
     chosen = one.filter(F.col("place") <= F.lit(last)).collect() if last is not None else []
-    chosen.sort(key=lambda r: r.place)
-    return fit([np.frombuffer(bytes(r.buckets), "<i4").astype(np.int64) for r in chosen], np.array([r.toxic > 0 for r in chosen], bool))
+    chosen.sort(key=lambda r: (r.place, bytes(r.buckets)))
+    rows = [(r.part, np.frombuffer(bytes(r.buckets), "<i4").astype(np.int64)) for r in chosen]
+    return fit([x for part, x in rows if part & 2], [x for part, x in rows if part & 1], prior)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

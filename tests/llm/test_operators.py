@@ -195,6 +195,49 @@ def test_toxicity_held_out(spark):
     assert ((scored.score >= 0.5) & (scored.toxic == 0)).sum() <= 0.03 * len(scored)
 
 
+def test_toxicity_risk_and_its_slopes():
+    """The two terms by their definition, and the slopes by differences; a negative second term is stepped back along."""
+    rng = np.random.default_rng(1)
+    for prior, shift in ((0.2, 0.0), (0.8, -3.0)):
+        fp, fu = rng.normal(size=5) + (3 if shift else 0), rng.normal(size=7) + shift
+        first, second, gp, gu = toxicity.risk(fp, fu, prior)
+        assert first == pytest.approx(prior * np.mean([math.log(1 + math.exp(-x)) for x in fp]))
+        assert second == pytest.approx(np.mean([math.log(1 + math.exp(x)) for x in fu]) - prior * np.mean([math.log(1 + math.exp(x)) for x in fp]))
+        assert (second < 0) == (shift != 0)
+
+        def goal(p, u):
+            a, b, _, _ = toxicity.risk(p, u, prior)
+            return -b if shift else a + b
+
+        for k in range(5):
+            step = np.eye(5)[k] * 1e-6
+            assert gp[k] == pytest.approx((goal(fp + step, fu) - goal(fp - step, fu)) / 2e-6, abs=1e-6)
+        for k in range(7):
+            step = np.eye(7)[k] * 1e-6
+            assert gu[k] == pytest.approx((goal(fp, fu + step) - goal(fp, fu - step)) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_prior_and_negatives():
+    """The prior comes out of positives and unlabelled rows alone, near the truth."""
+    rng = np.random.default_rng(2)
+
+    def row(toxic):
+        return np.unique(np.concatenate([rng.integers(0, 300, 30), rng.integers(1000, 1010, 4) if toxic else rng.integers(2000, 2010, 4)]))
+
+    for prior in (0.05, 0.3):
+        unlabelled = [row(rng.random() < prior) for _ in range(3000)]
+        assert abs(toxicity.estimate_prior([row(True) for _ in range(400)], unlabelled) - prior) < 0.25 * prior
+    assert toxicity.estimate_prior([row(True)], [row(False)]) == toxicity.GUESS
+
+
+def test_toxicity_looks_at_no_negative(spark):
+    docs = small_docs(spark)
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    first = toxicity.train(docs, labels)
+    second = toxicity.train(docs, labels.filter("toxic = 1"))
+    assert (first.weights == second.weights).all() and (first.bias == second.bias).all()
+
+
 def test_toxicity_odd_rows(spark):
     df = odd_docs(spark)
     labels = spark.createDataFrame([(0, 1, None), (1, 1, 1), (1, 1, 0), (None, 1, 1), (2, 0, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
@@ -208,17 +251,50 @@ def test_toxicity_odd_rows(spark):
 
 
 def test_transcripts(spark):
-    schema = "conv_id long, turn long, role string, text string"
-    rows = [(1, 0, None, "You are a bot.\nUser: hi there?\nhow\nAssistant: fine.\nthanks"), (1, 1, "human", "ok"), (1, 2, None, "### Assistant\nlong"), (2, 100, "user", "x\ny"), (2, 100, "user", "x\ny"), (None, 3, "user", None), (1, None, "system", "sys")]
-    got = sorted(((r.conv_id or 0, r.turn if r.turn is not None else -1, r.part, r.role, r.text) for r in chat.turns(spark.createDataFrame(rows, schema)).collect()))
+    schema = "conv_id string, turn long, role string, text string"
+    rows = [("?a", 0, None, "You are a bot.\nUser: hi there?\nhow\nAssistant: fine.\nthanks"), ("?a", 1, None, "User: ok"), ("?a", 2, None, "### Assistant\nlong"), ("2", 100, "user", "x?\ny"), ("2", 100, "user", "x?\ny"), (None, 3, "user", None), (None, 3, "user", None), ("?a", None, "system", "System: sys")]
+    df = spark.createDataFrame(rows, schema).withColumn("copies", F.lit("clash"))
+    got = sorted(((r.conv_id or "", r.turn if r.turn is not None else -1, r.part, r.role, r.text) for r in chat.turns(df).collect()))
     assert got == [
-        (0, 3, 1, "user", ""), (1, -1, 1, "system", "sys"), (1, 0, 1, "assistant", "You are a bot."), (1, 0, 2, "user", "hi there?\nhow"), (1, 0, 3, "assistant", "fine.\nthanks"),
-        (1, 1, 1, "user", "ok"), (1, 2, 1, "assistant", "long"), (2, 100, 1, "user", "x\ny"),
+        ("", 3, 1, "user", ""), ("", 3, 1, "user", ""), ("2", 100, 1, "user", "x?\ny"), ("2", 100, 1, "user", "x?\ny"),
+        ("?a", -1, 1, "system", "sys"), ("?a", 0, 1, "assistant", "You are a bot."), ("?a", 0, 2, "user", "hi there?\nhow"), ("?a", 0, 3, "assistant", "fine.\nthanks"),
+        ("?a", 1, 1, "user", "ok"), ("?a", 2, 1, "assistant", "long"),
     ]
     assert chat.turns(spark.createDataFrame([], schema)).count() == 0
-    given = Q.op5_chat_turns(spark, D)
-    assert given.filter("role <> given_role").count() == 0
-    assert given.filter("NOT startswith(rendered, concat('<|', role, '|>'))").count() == 0
+    assert Q.op5_chat_turns(spark, D).filter("NOT startswith(rendered, concat('<|', role, '|>'))").count() == 0
+
+
+def test_roles_are_recovered_without_the_role_column(spark):
+    """Recorded roles give row sizes only: nearly all are found again, and rows whose role is hidden too."""
+    c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    got = chat.turns(c).filter("part = 1").selectExpr("avg(cast(role = given_role as int))").first()[0]
+    assert got > 0.97
+    hidden = c.withColumn("role", F.when(F.col("conv_id") % 2 == 0, F.col("role")))
+    found = chat.turns(hidden).filter("part = 1 AND given_role IS NULL").select("conv_id", "turn", F.col("role").alias("found")).join(c, ["conv_id", "turn"])
+    assert found.selectExpr("avg(cast(role = found as int))").first()[0] > 0.95
+    turned = c.withColumn("role", F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "user").otherwise(F.col("role")))
+    trusted = chat.turns(turned, trust=True)
+    assert trusted.filter("role = given_role").count() > 0.9 * trusted.count()
+
+
+def test_best_path_by_enumeration():
+    import itertools
+
+    _, score = chat.emissions("User: a?\nb\nAssistant: c\nd?")
+
+    def total(path):
+        return chat._START[path[0]] + score[0, path[0]] + sum(chat._NEXT[a, b] + score[i, b] for i, (a, b) in enumerate(zip(path[:-1], path[1:], strict=True), 1))
+
+    best = max(itertools.product(range(6), repeat=len(score)), key=total)
+    assert total(chat.viterbi(score, -1, -1)) == pytest.approx(total(best))
+
+
+@pytest.mark.parametrize("crowd", [2, 1024])
+def test_crowded_turns_are_cut(spark, monkeypatch, crowd):
+    monkeypatch.setattr(chat, "CROWD", crowd)
+    rows = [(1, t, None, f"{'User' if (t + k) % 2 else 'Assistant'}: text {k}") for t in (0, 5, 70) for k in range(9)]
+    got = chat.turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.turn, r.text) for r in got) == sorted((t, x.split(": ")[1]) for _, t, _, x in rows)
 
 
 @pytest.mark.parametrize("block", [1, 3, 8, 1000])
@@ -228,7 +304,7 @@ def test_blocks_decode_as_a_whole(block):
 
     random.seed(4)
     rows = [{"conv": "c", "block": i // block, "turn": i, "role": random.choice(["user", "assistant", None, None]), "text": random.choice(["a?", "User: x\nAssistant: y", "plain\nline", "bot: hm"])} for i in range(150)]
-    table = pa.Table.from_pylist(rows, pa.schema([("conv", pa.string()), ("block", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+    table = pa.Table.from_pylist(rows, pa.schema([("conv", pa.string()), ("block", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])).append_column("copies", pa.array([1] * len(rows)))
     score = {i: chat.emissions(r["text"], chat.role_of(r["role"]))[1] for i, r in enumerate(rows)}
     every = np.concatenate(list(score.values()))
 
@@ -236,7 +312,7 @@ def test_blocks_decode_as_a_whole(block):
         return chat._START[path[0]] + every[0, path[0]] + sum(chat._NEXT[a, b] + every[i, b] for i, (a, b) in enumerate(zip(path[:-1], path[1:], strict=True), 1))
 
     path = []
-    for r in chat._bounds(chat._matrices(table)).to_pylist():
+    for r in chat._bounds(chat._matrices(chat._emitter(chat.FLAT, True))(table)).to_pylist():
         own = np.concatenate([score[i] for i, x in enumerate(rows) if x["block"] == r["block"]])
         path += chat.viterbi(own, r["before"], r["last"])
     assert total(path) == pytest.approx(total(chat.viterbi(every, -1, -1)), abs=1e-6)
@@ -278,6 +354,21 @@ def test_quality_without_a_sample_is_an_error(spark, monkeypatch):
     assert quality.good(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_labellers_accuracies_on_a_hand_table():
+    """Three labellers over 1,000 texts: two that are right nine times in ten and one that is a coin."""
+    truth = {1: 700, 0: 300}
+    patterns, counts = [], []
+    for a in (0, 1):
+        for b in (0, 1):
+            for c in (0, 1):
+                patterns.append((a, b, c))
+                counts.append(sum(n * (0.9 if a == y else 0.1) * (0.9 if b == y else 0.1) * 0.5 for y, n in truth.items()))
+    good, table, prior = quality.posteriors(np.array(patterns), np.array(counts))
+    belief = dict(zip(patterns, good, strict=True))
+    assert min(belief[1, 1, 0], belief[1, 1, 1]) > 0.95 and max(belief[0, 0, 0], belief[0, 0, 1]) < 0.1
+    assert table[0, 1, 2] > 0.8 and table[0, 0, 1] > 0.7 and abs(table[2, 1, 2] - 0.5) < 0.15
+
+
 # 7
 
 
@@ -346,6 +437,15 @@ def test_token_counts(spark, tmp_path):
     assert token_counts.token_counts(df.limit(0), Q.PIECE_MODEL).count() == 0
 
 
+def test_the_query_meets_its_own_cache(spark, monkeypatch):
+    """A second call of the query encodes nothing."""
+    rows = {tuple(r) for r in Q.op8_token_counts(spark, D).collect()}
+    cache = spark.read.parquet(token_counts.shared_cache(spark))
+    n = cache.count()
+    assert {tuple(r) for r in Q.op8_token_counts(spark, D).collect()} == rows
+    assert spark.read.parquet(token_counts.shared_cache(spark)).count() == n >= len({r.text for r in small_docs(spark).collect()})
+
+
 # 9
 
 
