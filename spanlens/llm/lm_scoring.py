@@ -1,6 +1,8 @@
 """Stupid-backoff scores of every document under the whole corpus (operator 2).
 
-Documents are dealt to splits of about SPLIT bytes. A split counts its distinct
+Documents are dealt to splits of about SPLIT bytes by a hash of doc_id and text,
+so a task that runs again meets the same documents; rows alike in both travel as
+one with a number wherever a batch holds several. A split counts its distinct
 unigrams and bigrams and sends them to count tables partitioned by hash: one row
 of packed, sorted (n-gram, count) for each split and part. A part adds up what
 all splits sent and joins the totals back to each split's own n-grams, in the
@@ -20,13 +22,15 @@ their own. The first word is scored by its unigram. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_or_empty
-from .words import CHUNK, Words, mix, raw_texts
+from .common import ship, text_or_empty, tidy, tidy_batches
+from .words import CHUNK, Words, batch_parts, mix, raw_texts
 
 #: Bytes of text of a split, and the factor of a step back.
 SPLIT, BACKOFF = 8_000_000, 0.4
@@ -53,8 +57,13 @@ class Grams:
         pair[1:] = mix(self.word[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.word[1:])
         self.pair = pair[self.second]
 
-    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.word if n == 1 else self.pair, return_counts=True)
+    def distinct(self, n: int, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams and how often each occurs, a text as often as it has copies."""
+        grams, text = (self.word, self.text) if n == 1 else (self.pair, self.text[self.second])
+        grams, at, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        if (copies != 1).any():
+            counts = np.bincount(at, copies[text], len(grams)).astype(np.int64)
+        return grams, counts
 
 
 def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -95,12 +104,13 @@ def _request(parts: int):
         g = Grams(raw_texts(table.column("text").combine_chunks()))
         split = table.column("split")[0].as_py()
         out: dict[str, list] = {"split": [], "n": [], "part": [], "grams": [], "counts": [], "words": []}
+        copies = table.column("copies").to_numpy()
         for n in (1, 2):
-            grams, counts = g.distinct(n)
+            grams, counts = g.distinct(n, copies)
             bounds = _parts(grams, parts)
             for p in range(parts):
                 a, b = bounds[p], bounds[p + 1]
-                row = (split, n, p, pack(grams[a:b]), counts[a:b].astype("<u4").tobytes(), len(g.word))
+                row = (split, n, p, pack(grams[a:b]), _counts(counts[a:b]), int((g.size * copies).sum()))
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
         return pa.table(out, schema=_REQUEST)
@@ -114,7 +124,7 @@ _REQUEST = pa.schema([("split", pa.int32()), ("n", pa.int32()), ("part", pa.int3
 def _totals(table: pa.Table) -> pa.Table:
     """One part: for each split's row, the corpus-wide count of each of its n-grams."""
     grams = [unpack(x) for x in table.column("grams").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
+    counts = [np.frombuffer(x, "<u4" if len(x) == 4 * len(g) else "<u8") for x, g in zip(table.column("counts").to_pylist(), grams, strict=True)]
     _, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts)).astype("<u8") if len(at) else np.zeros(0, "<u8")
     back = np.split(total[at], np.cumsum([len(x) for x in grams])[:-1])
@@ -147,7 +157,7 @@ def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
     for n, occurrence, text in ((1, g.word, g.text), (2, g.pair, g.text[g.second])):
         parts = [np.frombuffer(x, "<u4" if len(x) == 4 * size else "<u8") for x, size, k in zip(*(totals.column(c).to_pylist() for c in ("totals", "size", "n")), strict=True) if k == n]
         total = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
-        at = np.searchsorted(g.distinct(n)[0], occurrence)
+        at = np.searchsorted(np.unique(occurrence), occurrence)
         own[n] = _own(text, at)
         rest[n] = total[at] - own[n] if len(at) else np.zeros(0, np.int64)
     others = np.maximum(totals.column("words")[0].as_py() - g.size, 1).astype(float)[g.text]
@@ -163,7 +173,7 @@ def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
     back[hit] = False
     back &= g.second
     score = np.bincount(g.text, log, many)
-    return pa.table(
+    out = pa.table(
         {
             "doc_id": docs.column("doc_id"),
             "n_words": pa.array(g.size, pa.int64()),
@@ -171,6 +181,23 @@ def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
             "n_backoff": pa.array(np.bincount(g.text[back], minlength=many), pa.int64()),
         }
     )
+    return out.take(pa.array(np.repeat(np.arange(many), docs.column("copies").to_numpy())))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows alike in doc_id and text once for each batch, with their number."""
+    for batch in batches:
+        for part in batch_parts(batch, 1):
+            first: dict[tuple, int] = {}
+            copies: list[int] = []
+            places = []
+            for n, row in enumerate(zip(part.column(0).to_pylist(), raw_texts(part.column(1)), strict=True)):
+                at = first.setdefault(row, len(copies))
+                if at == len(copies):
+                    copies.append(0)
+                    places.append(n)
+                copies[at] += 1
+            yield pa.RecordBatch.from_arrays([*part.take(pa.array(places, pa.int64())).columns, pa.array(copies, pa.int64())], ["doc_id", "text", "copies"])
 
 
 def score(docs: DataFrame, text: str = "text", split: int = SPLIT) -> DataFrame:
@@ -178,9 +205,9 @@ def score(docs: DataFrame, text: str = "text", split: int = SPLIT) -> DataFrame:
     ship(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text)) + 50).alias("b")).first().b or 0
     splits = max(1, -(-size // split))
-    # Dealt row by row, so that neither copies nor a hot source meet; file scans number their rows alike each time.
-    dealt = docs.select("doc_id", text_or_empty(text).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(splits)).cast("int").alias("split")).repartition(splits, "split")
-    kind = dealt.schema["doc_id"].dataType.simpleString()
-    requests = dealt.groupBy("split").applyInArrow(_request(splits), "split int, n int, part int, grams binary, counts binary, words bigint")
-    totals = requests.groupBy("n", "part").applyInArrow(_totals, "split int, n int, part int, totals binary, size bigint, words bigint")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = docs.select("doc_id", text_or_empty(text).alias("text")).mapInArrow(tidy_batches(_counted), f"doc_id {kind}, text string, copies bigint")
+    dealt = counted.withColumn("split", F.pmod(F.xxhash64("doc_id", "text"), F.lit(splits)).cast("int")).repartition(splits, "split")
+    requests = dealt.groupBy("split").applyInArrow(tidy(_request(splits)), "split int, n int, part int, grams binary, counts binary, words bigint")
+    totals = requests.groupBy("n", "part").applyInArrow(tidy(_totals), "split int, n int, part int, totals binary, size bigint, words bigint")
     return dealt.groupBy("split").cogroup(totals.groupBy("split")).applyInArrow(_score, f"doc_id {kind}, n_words bigint, log_score double, n_backoff bigint")

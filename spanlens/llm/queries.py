@@ -26,7 +26,36 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = lm_scoring.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.withColumn("log_score", F.round("log_score", 6))  # sums of logarithms differ in their last places by order
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _lm_oracle() -> str:
+    """Counts of words and pairs over all rows less a row's own; a sum of logarithms by row."""
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS ws FROM documents), t AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d), "
+        "b AS (SELECT id, i, w, lag(w) OVER (PARTITION BY id ORDER BY i) AS v FROM t), u AS (SELECT w, count(*) AS c FROM t GROUP BY w), ou AS (SELECT id, w, count(*) AS c FROM t GROUP BY ALL), "
+        "p AS (SELECT v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY ALL), op AS (SELECT id, v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY ALL), n AS (SELECT count(*) AS n FROM t), z AS (SELECT id, count(*) AS m FROM t GROUP BY id), "
+        "x AS (SELECT b.id AS id, b.v IS NOT NULL AS second, coalesce(p.c - op.c, 0) AS two, uv.c - ov.c AS one_v, u.c - ou.c AS one_w, greatest(n.n - z.m, 1) AS rest FROM b JOIN z ON z.id = b.id CROSS JOIN n JOIN u ON u.w = b.w JOIN ou ON ou.id = b.id AND ou.w = b.w "
+        "LEFT JOIN u uv ON uv.w = b.v LEFT JOIN ou ov ON ov.id = b.id AND ov.w = b.v LEFT JOIN p ON p.v = b.v AND p.w = b.w LEFT JOIN op ON op.id = b.id AND op.v = b.v AND op.w = b.w), "
+        "s AS (SELECT id, sum(CASE WHEN two > 0 THEN ln(two / CAST(one_v AS DOUBLE)) ELSE CASE WHEN second THEN ln(0.4) ELSE 0 END + ln(CASE WHEN one_w > 0 THEN one_w ELSE 0.4 END / CAST(rest AS DOUBLE)) END) AS score, count(*) FILTER (second AND two <= 0) AS back FROM x GROUP BY id) "
+        "SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(score, 6) AS log_score, coalesce(back, 0) AS n_backoff FROM d LEFT JOIN s ON s.id = d.id"
+    )
+
+
+def _contamination_oracle() -> str:
+    """Windows of items as texts, met by equally long runs of each document's words."""
+    return (
+        f"WITH it AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS ws FROM benchmark), st AS (SELECT item, ws, unnest(range(1, greatest(len(ws) - 12, CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END) + 1)) AS k FROM it), "
+        "wi AS (SELECT DISTINCT item, least(len(ws), 13) AS n, array_to_string(ws[k:k + 12], ' ') AS win FROM st), "
+        f"d AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS ws FROM documents), r AS (SELECT id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM d, (SELECT DISTINCT n FROM wi)), "
+        "h AS (SELECT r.id AS id, r.i AS i, r.n AS n, wi.item AS item FROM r JOIN wi ON wi.n = r.n AND wi.win = array_to_string(r.ws[r.i:r.i + r.n - 1], ' ')), "
+        "c AS (SELECT id, count(DISTINCT at_) AS hit FROM (SELECT id, unnest(range(i, i + n)) AS at_ FROM h) GROUP BY id), m AS (SELECT id, count(*) AS items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT id, item FROM h) GROUP BY id) "
+        "SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(hit, 0) > 0 AND 20 * coalesce(hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN c ON c.id = d.id LEFT JOIN m ON m.id = d.id"
+    )
 
 
 def _secret_oracle() -> str:
@@ -107,4 +136,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_nearest": op10_nearest,
 }
-ORACLES: dict[str, str] = {"op1_secret_scan": _secret_oracle()}
+ORACLES: dict[str, str] = {"op1_secret_scan": _secret_oracle(), "op2_lm_scoring": _lm_oracle(), "op7_decontamination": _contamination_oracle()}
