@@ -300,7 +300,7 @@ def surface(df: DataFrame, c: str, keep: Sequence[str]) -> DataFrame:
         F.col("__s").alias("sentences"),
         (n / F.greatest("__s", F.lit(1))).alias("mean_sentence"),
         F.size(F.regexp_extract_all(t, F.lit(r"(?m)^\s*([-*]|[0-9]+\.)\s"), F.lit(0))).alias("list_marks"),
-        share("[0-9]").alias("digit_share"),
+        F.when(chars > 0, (chars - F.length(F.translate(t, "0123456789", ""))) / chars).otherwise(F.lit(0.0)).alias("digit_share"),
         share(r"\p{Lu}").alias("upper_share"),
         F.regexp_like(t, F.lit(r"[.!?]\s*$")).cast("int").alias("ends_closed"),
         F.when(n > 1, 1 - F.col("__p") / (n - 1)).otherwise(F.lit(0.0)).alias("pair_repeats"),

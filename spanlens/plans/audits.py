@@ -203,15 +203,16 @@ def _arms_sql(span: int = 50) -> str:
         arms AS (SELECT *, auc_y - 1.96 * se_y AS lo_y, auc_y + 1.96 * se_y AS hi_y FROM b)"""
 
 
-def _chain(spark: SparkSession, d: str, span: int = 50) -> DataFrame:
-    """The contract row with bootstrap intervals of the construct's AUC (95 and 90 %) and of the off-span gap, and the null of that gap with z_comp permuted within the construct's strata."""
+def _chain(spark: SparkSession, d: str, span: int = 50, bootstrap: bool = True) -> DataFrame:
+    """The contract row with (for rules that read them) bootstrap intervals of the construct's AUC (95 and 90 %) and of the off-span gap, and the null of that gap with z_comp permuted within the construct's strata."""
     p = pairs(spark, d, span)
-    boot = resample.paired_gap(p, "id", "s", "z_comp", "y", MANY, "s")
     q = lambda c, at, name: F.percentile(c, F.lit(at)).alias(name)
+    boot = resample.paired_gap(p, "id", "s", "z_comp", "y", MANY, "s")
     ends = boot.agg(q("auc_y", 0.025, "lo95"), q("auc_y", 0.975, "hi95"), q("auc_y", 0.05, "lo90"), q("auc_y", 0.95, "hi90"), q("robust_gap", 0.025, "d_lo"), q("robust_gap", 0.975, "d_hi"), F.count("robust_gap").alias("valid"), ((F.count_if(F.col("robust_gap") <= 0) + 1) / (F.count("robust_gap") + 1)).alias("p_boot"))
     null = resample.stratified_null(p, "id", "s", "z_comp", "y", MANY, "n").select(F.abs(F.col("auc") - 0.5).alias("v"))
     # Single rows throughout.
-    a = _arms(spark, d, span).crossJoin(ends)
+    a = _arms(spark, d, span)
+    a = a.crossJoin(ends) if bootstrap else a
     both = a.crossJoin(null.agg(F.array_compact(F.collect_list("v")).alias("null"), q("v", 0.95, "n95")))
     exceed = F.size(F.filter("null", lambda v: v - F.abs(F.col("auc_y") - 0.5) >= F.col("d_dis")))
     return both.withColumn("null_p95", F.col("n95") - F.abs(F.col("auc_y") - 0.5)).withColumn("p_perm", (exceed + 1) / (F.size("null") + 1)).withColumn("beats", F.col("d_dis") > F.col("null_p95"))
@@ -326,8 +327,8 @@ def _verdict_v2(mismatch: float = 0.15, caution: float = 0.10, gated: bool = Tru
 _CONTRACTS = (50, 200)
 
 
-def _each(spark: SparkSession, d: str, what) -> DataFrame:
-    a, b = (_chain(spark, d, span).select(F.lit(span).alias("span"), *what) for span in _CONTRACTS)
+def _each(spark: SparkSession, d: str, what, bootstrap: bool = True) -> DataFrame:
+    a, b = (_chain(spark, d, span, bootstrap).select(F.lit(span).alias("span"), *what) for span in _CONTRACTS)
     return a.union(b)
 
 
@@ -354,7 +355,7 @@ _REASON = "CASE WHEN {b} THEN 'precondition' WHEN hi_y < 0.5 THEN 'ranks the con
 @query(_each_sql(f"round(d_dis, 9) AS d_dis, {_V2.format(b=_BLOCKED, k=0.4, m=0.15, c=0.1)} AS verdict, {_REASON} AS reason"))
 def verdict_v2(spark: SparkSession, d: str) -> DataFrame:
     v, reason = _verdict_v2()
-    return _each(spark, d, [r9(F.col("d_dis")).alias("d_dis"), v.alias("verdict"), reason.alias("reason")])
+    return _each(spark, d, [r9(F.col("d_dis")).alias("d_dis"), v.alias("verdict"), reason.alias("reason")], bootstrap=False)
 
 
 _CUTS = [(0.05, 0.02), (0.10, 0.05), (0.15, 0.10), (0.20, 0.15)]
@@ -363,7 +364,7 @@ _CUTS = [(0.05, 0.02), (0.10, 0.05), (0.15, 0.10), (0.20, 0.15)]
 @query(_chain_sql() + " " + " UNION ALL ".join(f"SELECT CAST({m} AS DOUBLE) AS mismatch, CAST({c} AS DOUBLE) AS caution, {_V2.format(b='false', k=0.4, m=m, c=c)} AS verdict FROM chain" for m, c in _CUTS))
 def cutoff_sweep(spark: SparkSession, d: str) -> DataFrame:
     rows = [F.struct(F.lit(m).alias("mismatch"), F.lit(c).alias("caution"), _verdict_v2(m, c, gated=False)[0].alias("verdict")) for m, c in _CUTS]
-    return _chain(spark, d).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return _chain(spark, d, bootstrap=False).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 _TOST, _COVERS = "(lo90 >= 0.45 AND hi90 <= 0.55)", "(lo95 <= 0.5 AND hi95 >= 0.5)"
