@@ -17,7 +17,7 @@ def test_query_equals_its_sql(spark, name):
     assert all(oracle.close(a, b) for a, b in zip(rows, expected, strict=True))
 
 
-@pytest.mark.parametrize("name", ["synthetic_grid", "pair_kappa_sim", "arithmetic_claims", "hashed_cosine", "template_energy"])
+@pytest.mark.parametrize("name", ["sequence_ratio", "projection", "platt_calibration", "oof_logistic"])
 def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, D).count() > 0
 
@@ -27,3 +27,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_learned_scorers_find_what_is_there(spark):
+    """Out-of-fold scores of a text that names its class, and a probe of features that give it away."""
+    from pyspark.sql import functions as F
+
+    from spanlens.operators import learned
+
+    rows = spark.range(120).select(F.col("id"), (F.col("id") % 2).alias("y"), F.when(F.col("id") % 2 == 1, F.lit("bad news today")).otherwise(F.lit("good news today")).alias("text"), (F.col("id") % 3).alias("kind"))
+    scored = learned.oof_text(rows, "id", "text", "y", k=3, vocabulary=50)
+    assert scored.count() == 120 and scored.filter("y = 1").agg(F.min("score")).first()[0] > scored.filter("y = 0").agg(F.max("score")).first()[0]
+    assert scored.groupBy("fold").count().count() == 3
+    named = rows.select("id", "kind", *((F.col("kind") == k).cast("double").alias(f"f{k}") for k in range(3)))
+    assert learned.probe(named, "id", ["f0", "f1", "f2"], "kind", k=2).first().balanced_accuracy == 1.0
+    both = learned.oof_targets(rows.select("id", "y", (1 - F.col("y")).alias("not_y"), F.col("y").cast("double").alias("f")), "id", ["f"], ["y", "not_y"], k=2)
+    assert {r.target: r.auc for r in both.collect()} == {"y": 1.0, "not_y": 1.0}

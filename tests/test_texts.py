@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from spanlens.functions import text as tx
 from spanlens.operators import distance
 from spanlens.plans import registry, texts
 from spanlens.plans.contracts import turn_pairs
@@ -49,7 +50,7 @@ def test_held_out_vocabulary_scores_every_pair_by_other_folds(spark):
     p = turn_pairs(spark, D)
     got = {r.pair: r.distance for r in registry.QUERIES["held_out_vocabulary"](spark, D).collect()}
     assert set(got) == {r.pair for r in p.collect()}
-    fold = F.pmod(F.xxhash64(F.floor(F.col("pair") / 1000)), F.lit(texts.FOLDS))
+    fold = F.pmod(tx.hashed(F.floor(F.col("pair") / 1000)), F.lit(texts.FOLDS))
     expected = {}
     for k in range(texts.FOLDS):
         expected |= {r.pair: r.distance for r in distance.tfidf(p.filter(fold == k), fit_on=p.filter(fold != k)).collect()}
