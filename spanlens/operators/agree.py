@@ -82,14 +82,19 @@ def separation(df: DataFrame, similarity: str, y: str, keys: Sequence[str] = ())
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, rho: correlation of the mid-ranks, each from the table of distinct values."""
+    """n, rho: correlation of the mid-ranks, each from the table of distinct values. Rows meet the ranks as counts of value pairs, so a frequent value is no hot key."""
     from .rank import running
 
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("k"))
+    ranked = pairs
     for c in ("a", "b"):
-        t = running(rows.groupBy(c).agg(F.count("*").alias("n")), c, ["n"])
-        rows = rows.join(t.select(c, (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias(f"rank_{c}")), c)
-    return rows.agg(F.count("*").alias("n"), F.corr("rank_a", "rank_b").alias("rho"))
+        t = running(pairs.groupBy(c).agg(F.sum("k").alias("n")), c, ["n"])
+        ranked = ranked.join(t.select(c, (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias(f"rank_{c}")), c)
+    x, y, k = F.col("rank_a"), F.col("rank_b"), F.col("k")
+    sums = ranked.agg(F.coalesce(F.sum(k), F.lit(0)).alias("n"), F.sum(k * x * y).alias("xy"), F.sum(k * x * x).alias("xx"), F.sum(k * y * y).alias("yy"))
+    off = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / F.lit(4.0)  # n times the squared mean of the ranks
+    spread = (F.col("xx") - off) * (F.col("yy") - off)
+    return sums.select("n", F.when(spread > 0, (F.col("xy") - off) / F.sqrt(spread)).alias("rho"))
 
 
 def zscore(df: DataFrame, s: str, keys: Sequence[str] = ()) -> DataFrame:

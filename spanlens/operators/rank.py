@@ -149,11 +149,11 @@ def within_auc(df: DataFrame, s: str, y: str, group: str) -> DataFrame:
 
 
 def exact_within_null(df: DataFrame, s: str, y: str, group: str) -> DataFrame:
-    """Mean pooled AUC if labels are permuted within groups: each group's positives at its mean rank."""
+    """Mean pooled AUC if labels are permuted within groups: each group's positives at its mean rank. Rows meet the ranks as counts by group and score, so a frequent score is a row a group."""
     t = score_table(df, s, [y])
     ranks = running(t, s, ["n"]).select(s, (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias("mid"))
-    rows = df.filter(usable(s)).join(ranks, s)
-    per = rows.groupBy(group).agg(F.avg("mid").alias("m"), F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("c"))
+    cells = df.filter(usable(s)).groupBy(group, s).agg(F.count("*").alias("k"), F.sum(F.col(y).cast("long")).alias("p"))
+    per = cells.join(ranks, s).groupBy(group).agg((F.sum(F.col("mid") * F.col("k")) / F.sum("k")).alias("m"), F.sum("p").alias("p"), F.sum("k").alias("c"))
     p, n = F.sum("p").cast("double"), F.sum("c")
     return per.agg(F.sum("c").alias("n"), ((F.sum(F.col("m") * F.col("p")) - p * (p + 1) / 2) / (p * (n - p))).alias("null_mean"))
 
