@@ -10,7 +10,7 @@ order they came. With those totals a split sums, for each document,
 
     log S(w | v), S = c(v w) / c(v) if c(v w) > 0, else BACKOFF * c(w) / N, else BACKOFF^2 / N,
 
-where c leaves out the document's own occurrences, so that a text is not known
+and so on for longer n-grams (`order`), where c leaves out the document's own occurrences, so that a text is not known
 from itself, and N counts the words of all other documents. A frequent n-gram
 is at most one entry for each split, never one for each document, so no part
 grows with it, and every number covers all documents.
@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from .common import ship, text_or_empty, tidy, tidy_batches
 from .words import CHUNK, Words, batch_parts, mix, raw_texts
 
-#: Bytes of text of a split, and the factor of a step back.
-SPLIT, BACKOFF = 8_000_000, 0.4
+#: Bytes of text of a split, the factor of a step back, and the words of the longest n-gram.
+SPLIT, BACKOFF, ORDER = 8_000_000, 0.4, 2
 
 
 class Grams:
-    """Words of the texts of a split: hash and text of each, hash of each bigram (by its second word; 0 before the first)."""
+    """Words of the texts of a split, and for each order n the hash of the n words that end at each word, where a text has as many."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], order: int):
         hashes, sizes, lo, held = [], [], 0, 0
         for i, t in enumerate(texts):
             held += len(t)
@@ -48,19 +48,20 @@ class Grams:
                 hashes.append(w.hash)
                 sizes.append(np.diff(w.bounds))
                 lo, held = i + 1, 0
-        self.word = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        word = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         self.text = np.repeat(np.arange(len(texts)), self.size)
-        self.second = np.zeros(len(self.word), bool)
-        self.second[1:] = self.text[1:] == self.text[:-1]
-        pair = np.zeros(len(self.word), np.uint64)
-        pair[1:] = mix(self.word[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.word[1:])
-        self.pair = pair[self.second]
+        place = np.arange(len(word)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.hash, self.valid = {1: word}, {1: np.ones(len(word), bool)}
+        for n in range(2, order + 1):
+            self.hash[n] = np.zeros(len(word), np.uint64)
+            self.hash[n][1:] = mix(self.hash[n - 1][:-1] * np.uint64(0xD6E8FEB86659FD93) + word[1:])
+            self.valid[n] = place >= n - 1
 
     def distinct(self, n: int, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams and how often each occurs, a text as often as it has copies."""
-        grams, text = (self.word, self.text) if n == 1 else (self.pair, self.text[self.second])
-        grams, at, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        text = self.text[self.valid[n]]
+        grams, at, counts = np.unique(self.hash[n][self.valid[n]], return_inverse=True, return_counts=True)
         if (copies != 1).any():
             counts = np.bincount(at, copies[text], len(grams)).astype(np.int64)
         return grams, counts
@@ -99,13 +100,13 @@ def _counts(values: np.ndarray) -> bytes:
     return values.astype("<u4" if not len(values) or int(values.max()) < 1 << 32 else "<u8").tobytes()
 
 
-def _request(parts: int):
+def _request(parts: int, order: int):
     def run(table: pa.Table) -> pa.Table:
-        g = Grams(raw_texts(table.column("text").combine_chunks()))
+        g = Grams(raw_texts(table.column("text").combine_chunks()), order)
         split = table.column("split")[0].as_py()
         out: dict[str, list] = {"split": [], "n": [], "part": [], "grams": [], "counts": [], "words": []}
         copies = table.column("copies").to_numpy()
-        for n in (1, 2):
+        for n in range(1, order + 1):
             grams, counts = g.distinct(n, copies)
             bounds = _parts(grams, parts)
             for p in range(parts):
@@ -147,41 +148,43 @@ def _own(text: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return n[at]
 
 
-def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
-    g = Grams(raw_texts(docs.column("text").combine_chunks()))
-    many = docs.num_rows
-    if not many:
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64()), "n_backoff": pa.array([], pa.int64())})
-    rest, own = {}, {}
-    totals = totals.sort_by([("n", "ascending"), ("part", "ascending")])
-    for n, occurrence, text in ((1, g.word, g.text), (2, g.pair, g.text[g.second])):
-        parts = [np.frombuffer(x, "<u4" if len(x) == 4 * size else "<u8") for x, size, k in zip(*(totals.column(c).to_pylist() for c in ("totals", "size", "n")), strict=True) if k == n]
-        total = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
-        at = np.searchsorted(np.unique(occurrence), occurrence)
-        own[n] = _own(text, at)
-        rest[n] = total[at] - own[n] if len(at) else np.zeros(0, np.int64)
-    others = np.maximum(totals.column("words")[0].as_py() - g.size, 1).astype(float)[g.text]
-    one = rest[1].astype(float)
-    log = np.where(one > 0, np.log(np.maximum(one, 1) / others), np.log(BACKOFF / others))
-    back = np.ones(len(g.word), bool)
-    second = np.flatnonzero(g.second)
-    known = rest[2] > 0
-    log[second] += np.log(BACKOFF)
-    hit = second[known]
-    # A known bigram's first word is known too: its count outside the text is at least the bigram's.
-    log[hit] = np.log(rest[2][known] / one[hit - 1])
-    back[hit] = False
-    back &= g.second
-    score = np.bincount(g.text, log, many)
-    out = pa.table(
-        {
-            "doc_id": docs.column("doc_id"),
-            "n_words": pa.array(g.size, pa.int64()),
-            "log_score": pa.array(score, pa.float64(), mask=g.size == 0),
-            "n_backoff": pa.array(np.bincount(g.text[back], minlength=many), pa.int64()),
-        }
-    )
-    return out.take(pa.array(np.repeat(np.arange(many), docs.column("copies").to_numpy())))
+def _score(order: int):
+    def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
+        g = Grams(raw_texts(docs.column("text").combine_chunks()), order)
+        many = docs.num_rows
+        if not many:
+            return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64()), "n_backoff": pa.array([], pa.int64())})
+        totals = totals.sort_by([("n", "ascending"), ("part", "ascending")])
+        rest = {}  # for each word, how often the n words that end there occur outside its text
+        for n in range(1, order + 1):
+            parts = [np.frombuffer(x, "<u4" if len(x) == 4 * size else "<u8") for x, size, k in zip(*(totals.column(c).to_pylist() for c in ("totals", "size", "n")), strict=True) if k == n]
+            total = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+            here = g.valid[n]
+            at = np.unique(g.hash[n][here], return_inverse=True)[1]
+            rest[n] = np.zeros(len(here), np.int64)
+            if len(at):
+                rest[n][here] = total[at] - _own(g.text[here], at)
+        others = np.maximum(totals.column("words")[0].as_py() - g.size, 1).astype(float)[g.text]
+        one = rest[1].astype(float)
+        log = np.where(one > 0, np.log(np.maximum(one, 1) / others), np.log(BACKOFF / others))
+        back = np.zeros(len(log), bool)
+        for n in range(2, order + 1):
+            back[g.valid[n]] = rest[n][g.valid[n]] <= 0
+            log[g.valid[n]] += np.log(BACKOFF)
+            hit = np.flatnonzero(rest[n] > 0)
+            # What comes before its last word is known too: outside the text it occurs at least as often.
+            log[hit] = np.log(rest[n][hit] / rest[n - 1][hit - 1])
+        out = pa.table(
+            {
+                "doc_id": docs.column("doc_id"),
+                "n_words": pa.array(g.size, pa.int64()),
+                "log_score": pa.array(np.bincount(g.text, log, many), pa.float64(), mask=g.size == 0),
+                "n_backoff": pa.array(np.bincount(g.text[back], minlength=many), pa.int64()),
+            }
+        )
+        return out.take(pa.array(np.repeat(np.arange(many), docs.column("copies").to_numpy())))
+
+    return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,14 +203,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.take(pa.array(places, pa.int64())).columns, pa.array(copies, pa.int64())], ["doc_id", "text", "copies"])
 
 
-def score(docs: DataFrame, text: str = "text", split: int = SPLIT) -> DataFrame:
-    """doc_id, n_words, log_score (sum of log S; null without words), n_backoff (words that stepped back) for each row."""
+def score(docs: DataFrame, text: str = "text", split: int = SPLIT, order: int = ORDER) -> DataFrame:
+    """doc_id, n_words, log_score (sum of log S; null without words), n_backoff (words whose longest n-gram is unknown) for each row."""
     ship(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text)) + 50).alias("b")).first().b or 0
     splits = max(1, -(-size // split))
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = docs.select("doc_id", text_or_empty(text).alias("text")).mapInArrow(tidy_batches(_counted), f"doc_id {kind}, text string, copies bigint")
     dealt = counted.withColumn("split", F.pmod(F.xxhash64("doc_id", "text"), F.lit(splits)).cast("int")).repartition(splits, "split")
-    requests = dealt.groupBy("split").applyInArrow(tidy(_request(splits)), "split int, n int, part int, grams binary, counts binary, words bigint")
+    requests = dealt.groupBy("split").applyInArrow(tidy(_request(splits, order)), "split int, n int, part int, grams binary, counts binary, words bigint")
     totals = requests.groupBy("n", "part").applyInArrow(tidy(_totals), "split int, n int, part int, totals binary, size bigint, words bigint")
-    return dealt.groupBy("split").cogroup(totals.groupBy("split")).applyInArrow(_score, f"doc_id {kind}, n_words bigint, log_score double, n_backoff bigint")
+    return dealt.groupBy("split").cogroup(totals.groupBy("split")).applyInArrow(_score(order), f"doc_id {kind}, n_words bigint, log_score double, n_backoff bigint")

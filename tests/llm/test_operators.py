@@ -121,26 +121,38 @@ def test_many_secrets_in_one_text(spark):
 # 2
 
 
-@pytest.mark.parametrize("split", [60, 10**7])
-def test_backoff_scores(spark, split):
-    texts = [*ODD, "a b c a b", "a b d", "c a b", "A, b! zz", *["repeated row of its own"] * 3]
+@pytest.mark.parametrize(("split", "order"), [(60, 2), (10**7, 2), (200, 3), (10**7, 4)])
+def test_backoff_scores(spark, split, order):
+    texts = [*ODD, "a b c a b", "a b d", "c a b", "A, b! zz", "a b c a b d", *["repeated row of its own"] * 3]
     df = spark.createDataFrame([(min(i, len(texts) - 3), x) for i, x in enumerate(texts)], "doc_id long, text string")
     t = [words(x) for x in texts]
-    one, two = Counter(w for x in t for w in x), Counter(p for x in t for p in zip(x, x[1:]))
-    total = sum(one.values())
-    rows = lm_scoring.score(df, split=split).collect()
+
+    def grams(x):
+        return Counter(tuple(x[k : k + n]) for n in range(1, order + 1) for k in range(len(x) - n + 1))
+
+    all_ = sum((grams(x) for x in t), Counter())
+    total = sum(map(len, t))
+    rows = lm_scoring.score(df, split=split, order=order).collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == len(texts)
     for i, x in enumerate(t[:-2]):
-        own1, own2, n, s, steps = Counter(x), Counter(zip(x, x[1:])), max(1, total - len(x)), 0.0, 0
-        for j, w in enumerate(x):
-            c = two[x[j - 1], w] - own2[x[j - 1], w] if j else 0
-            if c > 0:
-                s += math.log(c / (one[x[j - 1]] - own1[x[j - 1]]))
-            else:
-                c = one[w] - own1[w]
-                s += (math.log(0.4) if j else 0) + math.log((c or 0.4) / n)
-                steps += j > 0
+        own, rest, s, steps = grams(x), max(1, total - len(x)), 0.0, 0
+
+        def c(gram):
+            return all_[gram] - own[gram]
+
+        for j in range(len(x)):
+            longest = min(order, j + 1)
+            for n in range(longest, 0, -1):
+                gram = tuple(x[j - n + 1 : j + 1])
+                if n == 1:
+                    s += math.log((c(gram) or 0.4) / rest)
+                elif c(gram) > 0:
+                    s += math.log(c(gram) / c(gram[:-1]))
+                    break
+                else:
+                    s += math.log(0.4)
+            steps += longest > 1 and c(tuple(x[j - longest + 1 : j + 1])) <= 0
         assert (got[i].n_words, got[i].n_backoff) == (len(x), steps)
         assert got[i].log_score == (pytest.approx(s) if x else None)
     assert lm_scoring.score(df.limit(0)).count() == 0
