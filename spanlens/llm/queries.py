@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, lm_scoring, ngram_join, quality, secret_scan, token_counts, toxicity
-from .common import read
+from . import ann, bpe, chat, decontam, license_scan, lm_scoring, ngram_join, periodic, quality, secret_scan, token_counts, toxicity, vector_codes
+from .common import read, text_or_empty
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -124,6 +124,85 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("places", lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        license_scan.labels("places").alias("base_labels"),
+        license_scan.labels("places", "spans").alias("labels"),
+        "score",
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = periodic.runs(docs.select("doc_id", periodic.repeated_tail(text_or_empty(), F.col("doc_id")).alias("text")))
+    best = found.withColumn("best", periodic.strongest())
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(F.expr("1000 * best.length div best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _codes_oracle(rounds: int = 6) -> str:
+    """Each round as two tables: nearest entries, and entries at floored means. DuckDB divides towards 0, so the remainder is made positive first."""
+    far = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT p.id AS id, p.part AS part, min({far} * 16 + c.e) AS m FROM p JOIN c{r} c ON c.part = p.part GROUP BY ALL)")
+        if r < rounds:
+            steps.append(
+                f"s{r} AS (SELECT p.part AS part, a.m % 16 AS e, j, CAST(sum(p.x[j]) AS BIGINT) AS s, count(*) AS n FROM p JOIN a{r} a ON a.id = p.id AND a.part = p.part CROSS JOIN (SELECT unnest(range(1, w + 1)) AS j FROM w) GROUP BY ALL), "
+                f"m{r} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM s{r} GROUP BY part, e), "
+                f"c{r + 1} AS MATERIALIZED (SELECT c.part AS part, c.e AS e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.e = c.e)"
+            )
+    return (
+        "WITH k AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, label, embedding, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+        "w AS (SELECT max(len(v)) // 8 AS w FROM k), p AS MATERIALIZED (SELECT id, part, v[part * w + 1:part * w + w] AS x FROM k, w, (SELECT unnest(range(8)) AS part)), "
+        "f AS (SELECT id, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS e FROM k ORDER BY vec_id, embedding LIMIT 16), c0 AS MATERIALIZED (SELECT part, e, x FROM p JOIN f ON f.id = p.id), "
+        + ", ".join(steps)
+        + f", o AS (SELECT id, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY id), "
+        f"h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS books FROM c{rounds}) "
+        "SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books AS codebooks_sha256 FROM o JOIN k ON k.id = o.id CROSS JOIN h"
+    )
+
+
+def _runs_oracle() -> str:
+    """Equal words q apart as stretches of places; a stretch whose period a divisor's stretch covers has a smaller period. The checksum goes bit by bit: a byte, then seven zeros."""
+    space = r"[^\x20\x09-\x0D]+"
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, {bits}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))))"
+    return (
+        f"WITH t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '{space}') AS ws, {crc} AS h FROM documents), "
+        "g AS (SELECT id, doc_id, ws, len(ws) AS n, coalesce(h % 10 = 0, false) AND len(ws) > 0 AS dealt, (h // 10) % greatest(len(ws), 1) AS a, (h // 10) % 8 AS e FROM t), "
+        "d AS MATERIALIZED (SELECT id, doc_id, n, CASE WHEN dealt THEN list_concat(ws[1:a], list_transform(range(0, n - a), lambda i: ws[a + 1 + i % (1 + (n - a) // (3 + e))])) ELSE ws END AS ws FROM g), "
+        "x AS MATERIALIZED (SELECT id, n, unnest(range(n)) AS i, unnest(ws) AS w FROM d), m AS (SELECT x.id AS id, x.i AS i, y.i - x.i AS q FROM x JOIN x y ON y.id = x.id AND y.w = x.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n), "
+        "s AS MATERIALIZED (SELECT id, q, min(i) AS s, count(*) + q AS l FROM (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS o FROM m) GROUP BY id, q, o HAVING count(*) + q >= greatest(6, 4 * q)), "
+        "r AS MATERIALIZED (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.id = s.id AND b.q < s.q AND s.q % b.q = 0 AND b.s <= s.s AND b.s + b.l >= s.s + s.l)), "
+        "o AS (SELECT id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY id), "
+        "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CAST(l AS DECIMAL(18, 0)) / q DESC, s, q) AS k FROM r) WHERE k = 1), "
+        "c AS (SELECT id, string_agg(w, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = x.id AND x.i >= r.s + r.q AND x.i < r.s + r.l) GROUP BY id) "
+        "SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 "
+        "FROM d LEFT JOIN o ON o.id = d.id LEFT JOIN b ON b.id = d.id LEFT JOIN c ON c.id = d.id"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lm_scoring": op2_lm_scoring,
@@ -135,5 +214,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_nearest": op10_nearest,
+    "op11_license_scan": op11_license_scan,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op1_secret_scan": _secret_oracle(), "op2_lm_scoring": _lm_oracle(), "op7_decontamination": _contamination_oracle()}
+ORACLES: dict[str, str] = {"op1_secret_scan": _secret_oracle(), "op2_lm_scoring": _lm_oracle(), "op7_decontamination": _contamination_oracle(), "op12_vector_codes": _codes_oracle(), "op13_periodic_runs": _runs_oracle()}
