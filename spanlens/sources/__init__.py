@@ -87,6 +87,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/spanlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to a new folder that all machines reach, and read back: what follows starts from the table, also after an executor is lost."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def dataset(spark: SparkSession, root: str, split: str | None = None, column: str = "split") -> DataFrame:
     """A dataset folder partitioned by split; one split reads its own files only."""
     df = spark.read.parquet(root)
