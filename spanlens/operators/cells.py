@@ -27,7 +27,7 @@ from .rank import usable
 from .resample import draw_hash, draws
 
 #: Groups of cells: a task draws the cells of a group for one draw, and the groups of a key for one draw.
-GROUPS = 256
+GROUPS = 64
 #: Ranges of the score by which a draw's AUC is summed.
 RANGES = 64
 #: The part of a distribution that is walked: so many deviations and counts to either side of the mean. Hashes have 32 bits, and what is left out has a chance below 1e-11.

@@ -96,13 +96,13 @@ def fleiss_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return ends.select(F.col("draws_fleiss").cast("bigint").alias("draws_fleiss"), *(r9(F.col(f"{e}_{k}")).alias(f"{e}_{k}") for k in ("fleiss", "unanimous") for e in ("lo", "hi")))
 
 
-#: Spans of the walk, in characters, and the cues that are walked.
-SPANS, CUES = (1, 10, 25, 50, 80, 120, 160, 200, 250, 300, 400, 500, 600, 800, 1000, 1400, 2000, 4000), ("the", "ing", "de")
+#: Spans of the walk, in characters, and the cues that are walked, with the letter that the score counts.
+SPANS, CUES = (1, 10, 25, 50, 80, 120, 160, 200, 250, 300, 400, 500, 600, 800, 1000, 1400, 2000, 4000), (("ion", "o"), ("re", "r"), ("the", "h"), ("de", "d"))
 _WALK_DRAWS = 200
 _T = "coalesce(text, '')"
 _VALUES = ", ".join(f"({i}, {k})" for i, k in enumerate(SPANS))
 _WALK = (
-    f"WITH sp AS (SELECT * FROM (VALUES {_VALUES}) AS v(i, span)), t AS (SELECT doc_id, {_T} AS t, cue, CAST(length(substring({_T}, 1, 50)) - length(replace(substring({_T}, 1, 50), 'th', 't')) AS BIGINT) AS s, CAST(coalesce(lang = 'en', false) AS INT) AS y FROM documents, (VALUES " + ", ".join(f"('{c}')" for c in CUES) + ") AS c(cue)), "
+    f"WITH sp AS (SELECT * FROM (VALUES {_VALUES}) AS v(i, span)), t AS (SELECT doc_id, {_T} AS t, cue, CAST(length(substring({_T}, 1, 50)) - length(replace(substring({_T}, 1, 50), letter, '')) AS BIGINT) AS s, CAST(coalesce(lang = 'en', false) AS INT) AS y FROM documents, (VALUES " + ", ".join(f"('{c}', '{x}')" for c, x in CUES) + ") AS c(cue, letter)), "
     "b AS (SELECT cue, doc_id, s, y, CAST(count(*) FILTER (NOT contains(substring(t, 1, span), cue)) AS INT) AS b_in, CAST(count(*) FILTER (contains(substring(t, span + 1), cue)) AS INT) AS b_out FROM t, sp GROUP BY ALL), "
     "src AS MATERIALIZED (SELECT cue, s, y, b_in, b_out, count(*) AS c FROM b GROUP BY ALL), "
     f"{deal_sql('d', 'src', ['s', 'y', 'b_in', 'b_out'], _WALK_DRAWS, 'walk', ['cue'])}, "
@@ -120,22 +120,22 @@ _WALKED = ("coverage", "auc_z", "auc_z_comp", "auc_y", "gap", "lo", "hi")
 def _walk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("t", tx.body("text"))
     head = tx.prefix(F.col("t"), 50)
-    s = (F.length(head) - F.length(F.replace(head, F.lit("th"), F.lit("t")))).cast("bigint")
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("cue"), *spans.offset_index(F.col("t"), [c])) for c in CUES)))
-    rows = docs.select(s.alias("s"), F.coalesce(F.col("lang") == "en", F.lit(False)).cast("int").alias("y"), each.alias("x")).select("s", "y", "x.*")
+    score = lambda x: (F.length(head) - F.length(F.replace(head, F.lit(x), F.lit("")))).cast("bigint").alias("s")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("cue"), score(x), *spans.offset_index(F.col("t"), [c])) for c, x in CUES)))
+    rows = docs.select(F.coalesce(F.col("lang") == "en", F.lit(False)).cast("int").alias("y"), each.alias("x")).select("y", "x.*")
     return spans.walk(rows, "s", "y", SPANS, _WALK_DRAWS, "walk", ["cue"])
 
 
 @query(f"{_WALK} SELECT cue, span, n_z, " + ", ".join(f"round({c}, 9) AS {c}" for c in _WALKED) + ", status FROM wk")
 def span_walk(spark: SparkSession, d: str) -> DataFrame:
-    """The gap between proxy and construct at eighteen spans, with bootstrap intervals, from one read of the texts: each text gives where its first cue ends and its last one begins."""
+    """The gap between proxy and construct at eighteen spans, with bootstrap intervals, from one read of the texts: a score that counts a letter in fifty characters, the cue in the span as its proxy, English as the construct. Each text gives where its first cue ends and its last one begins."""
     return _walk(spark, d).select("cue", "span", "n_z", *(r9(F.col(c)).alias(c) for c in _WALKED), "status")
 
 
 @query(
     f"{_WALK}, u AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY i) AS k, lag(span) OVER w AS span0, lag(gap) OVER w AS gap0, lag(coverage) OVER w AS cov0 FROM wk WHERE status IN ('coupled', 'clear') WINDOW w AS (PARTITION BY cue ORDER BY i)), "
     "f AS (SELECT cue, min(k) AS k FROM u WHERE status = 'clear' GROUP BY cue), x AS (SELECT cue, arg_min(span0 + gap0 / (gap0 - gap) * (span - span0), k) AS crossing FROM u WHERE gap0 > 0 AND gap <= 0 GROUP BY cue) "
-    "SELECT c.cue AS cue, u.span0 AS last_coupled, u.span AS first_clear, round(0.5 * (u.span0 + u.span), 9) AS closure, round(0.5 * (u.cov0 + u.coverage), 9) AS coverage, round(CASE WHEN u.k IS NOT NULL THEN x.crossing END, 9) AS zero_crossing FROM (SELECT DISTINCT cue FROM wk) c LEFT JOIN f ON f.cue = c.cue AND f.k > 1 LEFT JOIN u ON u.cue = f.cue AND u.k = f.k LEFT JOIN x ON x.cue = c.cue"
+    "SELECT c.cue AS cue, u.span0 AS last_coupled, u.span AS first_clear, round((u.span0 + u.span) / CAST(2 AS DOUBLE), 9) AS closure, round((u.cov0 + u.coverage) / CAST(2 AS DOUBLE), 9) AS coverage, round(CASE WHEN u.k IS NOT NULL THEN x.crossing END, 9) AS zero_crossing FROM (SELECT DISTINCT cue FROM wk) c LEFT JOIN f ON f.cue = c.cue AND f.k > 1 LEFT JOIN u ON u.cue = f.cue AND u.k = f.k LEFT JOIN x ON x.cue = c.cue"
 )
 def span_closure_walk(spark: SparkSession, d: str) -> DataFrame:
     """Where the walked gap stops being clearly positive, halfway between the last coupled and the first clear span, and where it crosses zero."""

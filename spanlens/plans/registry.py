@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from . import audits, bootstraps, labels, records, resampling, scores, tables, texts  # noqa: E402, F401  the modules register themselves
+from . import audits, bootstraps, labels, ladders, records, resampling, scores, tables, texts  # noqa: E402, F401  the modules register themselves
