@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as tx
-from ..operators import cells, spans
-from ..sources import table
+from ..operators import cells, noise, rank, spans
+from ..sources import kept, table
 from .contracts import pairs, pairs_sql, r9
-from .draws_sql import auc_sql, deal_sql, order_ends_sql
+from .draws_sql import auc_sql, binomial_sql, deal_sql, hash_sql, order_ends_sql
 from .registry import query
 
 DRAWS = 400
@@ -20,8 +20,8 @@ def _cells_sql(a: str, b: str, src: str = "pair", keys: str = "") -> str:
     return f"SELECT {keys}{a} AS a, {b} AS b, count(*) AS c FROM {src} GROUP BY ALL"
 
 
-_N = {"n11": "CASE WHEN a = 1 AND b = 1 THEN w ELSE 0 END", "n10": "CASE WHEN a = 1 AND b = 0 THEN w ELSE 0 END", "n01": "CASE WHEN a = 0 AND b = 1 THEN w ELSE 0 END", "n00": "CASE WHEN a = 0 AND b = 0 THEN w ELSE 0 END"}
-_SUMS = ", ".join(f"CAST(sum({v}) AS DOUBLE) AS {k}" for k, v in _N.items())
+_COUNTS = {"n11": "CASE WHEN a = 1 AND b = 1 THEN w ELSE 0 END", "n10": "CASE WHEN a = 1 AND b = 0 THEN w ELSE 0 END", "n01": "CASE WHEN a = 0 AND b = 1 THEN w ELSE 0 END", "n00": "CASE WHEN a = 0 AND b = 0 THEN w ELSE 0 END"}
+_SUMS = ", ".join(f"CAST(sum({v}) AS DOUBLE) AS {k}" for k, v in _COUNTS.items())
 _PE = "((n11 + n10) * (n11 + n01) + (n00 + n01) * (n00 + n10)) / (n * n)"
 _MEASURES = {
     "accuracy": "(n11 + n00) / n",
@@ -140,3 +140,82 @@ def span_walk(spark: SparkSession, d: str) -> DataFrame:
 def span_closure_walk(spark: SparkSession, d: str) -> DataFrame:
     """Where the walked gap stops being clearly positive, halfway between the last coupled and the first clear span, and where it crosses zero."""
     return spans.closure(_walk(spark, d), ["cue"]).select("cue", "last_coupled", "first_clear", *(r9(F.col(c)).alias(c) for c in ("closure", "coverage", "zero_crossing")))
+
+
+_N = "s2 AS (SELECT -s AS s, y, z_ext, id FROM pair)"
+_SWAPS = (
+    f"WITH {pairs_sql()}, {_N}, o AS (SELECT *, CASE WHEN y = 1 THEN row_number() OVER (PARTITION BY y ORDER BY s, id) ELSE row_number() OVER (PARTITION BY y ORDER BY s DESC, id) END AS r FROM s2), "
+    "k AS (SELECT least(count(*) FILTER (y = 1), count(*) FILTER (y = 0)) AS most, count(*) AS n FROM s2), x AS (SELECT t, s, CASE WHEN r <= t THEN 1 - y ELSE y END AS y, 1 AS w FROM o, (SELECT unnest(range(0, most + 1)) AS t FROM k)), "
+    f"a AS (SELECT t, auc FROM {auc_sql('x', 's', 'y', ['t'])}), z AS (SELECT auc FROM {auc_sql('(SELECT s, z_ext, 1 AS w FROM s2)', 's', 'z_ext', [])}), y0 AS (SELECT auc FROM a WHERE t = 0)"
+)
+
+
+@query(
+    f"{_SWAPS}, g AS (SELECT auc AS surface, auc - m AS target FROM z, (VALUES (CAST(0.4 AS DOUBLE)), (0.3), (0.15), (-0.2)) AS v(m)), f AS (SELECT surface, target, min(t) AS t FROM g LEFT JOIN a ON a.auc >= target - 1e-9 GROUP BY ALL) "
+    "SELECT n, round(y0.auc, 9) AS auc, round(target, 9) AS target, most AS max_swaps, f.t AS min_swaps, 2 * f.t AS min_flips, round(2 * f.t / CAST(n AS DOUBLE), 9) AS flip_rate, round(a.auc, 9) AS auc_at FROM f CROSS JOIN k CROSS JOIN y0 LEFT JOIN a ON a.t = f.t"
+)
+def swap_target(spark: SparkSession, d: str) -> DataFrame:
+    """The least swaps of labels that lift the construct's AUC to within four margins of the proxy's; the SQL tries every number of swaps."""
+    p = pairs(spark, d).withColumn("s", -F.col("s"))
+    surface = rank.auc(p, "s", ["z_ext"]).select(F.col("auc_z_ext").alias("surface")).first()[0]  # one number
+    return noise.swap_targets(p, "s", "y", [surface - m for m in (0.4, 0.3, 0.15, -0.2)]).select("n", r9(F.col("auc")).alias("auc"), r9(F.col("target")).alias("target"), "max_swaps", "min_swaps", "min_flips", r9(F.col("flip_rate")).alias("flip_rate"), r9(F.col("auc_at")).alias("auc_at"))
+
+
+_BUDGETS = ((0, 0), (5, 0), (0, 5), (10, 20), (40, 100))
+
+
+@query(
+    f"WITH {pairs_sql()}, {_N}, r AS (SELECT *, CASE WHEN y = 1 THEN row_number() OVER (PARTITION BY y ORDER BY s DESC, id) ELSE row_number() OVER (PARTITION BY y ORDER BY s, id) END AS r FROM s2), "
+    f"x AS (SELECT down, up, s, CASE WHEN r <= CASE WHEN y = 1 THEN down ELSE up END THEN 1 - y ELSE y END AS y, 1 AS w FROM r, (VALUES {', '.join(f'({a}, {b})' for a, b in _BUDGETS)}) AS v(down, up)) SELECT down, up, round(auc, 9) AS auc FROM {auc_sql('x', 's', 'y', ['down', 'up'])}"
+)
+def worst_flips(spark: SparkSession, d: str) -> DataFrame:
+    """The AUC after the most harmful flips within budgets by class."""
+    return noise.worst_flips(pairs(spark, d).withColumn("s", -F.col("s")), "s", "y", _BUDGETS).withColumn("auc", r9(F.col("auc")))
+
+
+_MEASURED = 200
+#: Rates at which the two sides' labels are wrong, by the label: side a (the mark), side b (toxic).
+_RATES = {"a": {0: 0.02, 1: 0.15}, "b": {0: 0.04, 1: 0.1}}
+_P, _Q = ("CASE {c} WHEN 0 THEN {z} ELSE {o} END".format(c=c, z=_RATES[s][0], o=_RATES[s][1]) for s, c in (("a", "a"), ("b", "b")))
+_HOW = {"independent": f"(CAST({_P} AS DOUBLE) + {_Q} - 2 * CAST({_P} AS DOUBLE) * {_Q})", "opposed": f"(CAST({_P} AS DOUBLE) + {_Q} - 2 * greatest(CAST({_P} AS DOUBLE) + {_Q} - 1, 0.0))"}
+
+
+@query(
+    f"WITH {pairs_sql()}, q AS (SELECT -s AS s, z_ext AS a, y AS b, CAST(row_number() OVER (ORDER BY s, id) <= 55 AS INT) AS queued, CAST(z_ext <> y AS INT) AS y FROM pair), src AS (SELECT s, a, b, queued, y, count(*) AS c FROM q GROUP BY ALL), "
+    + ", ".join(
+        f"k_{h} AS MATERIALIZED (SELECT draw, s, a, b, queued, y, c, {binomial_sql('c', r, '((' + hash_sql(repr(h), 'draw', 's', 'a', 'b', 'queued', 'y') + ' + 0.5) / CAST(4294967296 AS DOUBLE))')} AS k FROM (SELECT *, {r} AS r FROM src), (SELECT unnest(range(0, {_MEASURED})) AS draw)), "
+        f"x_{h} AS (SELECT '{h}' AS errors, draw, s, queued, y, c - k AS w FROM k_{h} UNION ALL SELECT '{h}', draw, s, queued, 1 - y, k FROM k_{h})"
+        for h, r in _HOW.items()
+    )
+    + f", x AS (SELECT * FROM x_independent UNION ALL SELECT * FROM x_opposed), g AS (SELECT a.errors AS errors, a.draw AS draw, a.auc AS auc, sum(CASE WHEN x.queued = 1 AND x.y = 1 THEN x.w ELSE 0 END) AS routed FROM {auc_sql('x', 's', 'y', ['errors', 'draw'])} a JOIN x ON x.errors = a.errors AND x.draw = a.draw GROUP BY ALL) "
+    "SELECT errors, count(auc) AS draws, round(avg(auc), 9) AS mean, round(quantile_cont(auc, 0.025), 9) AS lo, round(quantile_cont(auc, 0.975), 9) AS hi, round(avg(CASE WHEN auc > 0.7 THEN 1.0 ELSE 0.0 END), 9) AS above, round(avg(routed), 9) AS routed FROM g GROUP BY errors"
+)
+def measured_flips(spark: SparkSession, d: str) -> DataFrame:
+    """The AUC and the queue of a disagreement of two labels that are wrong at given rates, independently, or on opposed sides."""
+    p = pairs(spark, d)
+    top = rank.ranked(p.withColumn("s", -F.col("s")), "s", "id", most=55).select("id", F.lit(1).alias("queued"))
+    rows = p.join(F.broadcast(top), "id", "left").select((-F.col("s")).alias("s"), F.col("z_ext").alias("a"), F.col("y").alias("b"), F.coalesce("queued", F.lit(0)).alias("queued"), (F.col("z_ext") != F.col("y")).cast("int").alias("y"))  # 55 rows
+    cols = ["s", "a", "b", "queued"]
+    table = kept(cells.cells(rows, [*cols, "y"]), "flip-cells")
+    rate = lambda side: F.when(F.col(side) == 0, F.lit(_RATES[side][0])).otherwise(F.lit(_RATES[side][1]))
+    ranges = cells.ranged(table.select("s").distinct(), "s").select("s", "range")
+    parts = []
+    for errors in _HOW:
+        drawn = noise.measured_flips(table, noise.change_rate(rate("a"), rate("b"), errors == "opposed"), _MEASURED, errors, cols, "y").join(ranges, "s")
+        a = cells.aucs(drawn, "s", ["y"], ["draw"]).join(drawn.groupBy("draw").agg(F.sum(F.when((F.col("queued") == 1) & (F.col("y") == 1), F.col("w")).otherwise(0)).alias("routed")), "draw")
+        v = F.col("auc_y")
+        parts.append(a.agg(F.lit(errors).alias("errors"), F.count(v).alias("draws"), r9(F.avg(v)).alias("mean"), r9(F.percentile(v, F.lit(0.025))).alias("lo"), r9(F.percentile(v, F.lit(0.975))).alias("hi"), r9(F.avg((v > 0.7).cast("double"))).alias("above"), r9(F.avg("routed")).alias("routed")))
+    return parts[0].union(parts[1])
+
+
+_SHUFFLES = 400
+
+
+@query(
+    f"WITH {pairs_sql()}, t AS (SELECT s, CAST(count(*) AS BIGINT) AS c, CAST(sum(q) AS BIGINT) AS p FROM pair GROUP BY s), src AS (SELECT s, c, (SELECT CAST(sum(p) AS BIGINT) FROM t) AS take FROM t), {deal_sql('d', 'src', ['s'], _SHUFFLES, 'shuffle', [], 'take')}, "
+    f"x AS (SELECT draw, s, 1 AS y, w FROM d UNION ALL SELECT draw, s, 0, -w FROM d UNION ALL SELECT draw, s, 0, c FROM t, (SELECT unnest(range(0, {_SHUFFLES})) AS draw)), n AS (SELECT auc AS v FROM {auc_sql('x', 's', 'y', ['draw'])}), o AS (SELECT auc FROM {auc_sql('(SELECT s, q AS y, 1 AS w FROM pair)', 's', 'y', [])}) "
+    "SELECT round(max(auc), 9) AS auc, round(avg(v), 9) AS null_mean, round(stddev_pop(v), 9) AS null_sd, round(quantile_cont(v, 0.99), 9) AS null_p99, round(avg(CASE WHEN round(v, 9) >= round(auc, 9) THEN 1.0 ELSE 0.0 END), 9) AS p_one, round(avg(CASE WHEN round(abs(round(v, 9) - 0.5), 9) >= round(abs(round(auc, 9) - 0.5), 9) THEN 1.0 ELSE 0.0 END), 9) AS p_two FROM n, o"
+)
+def shuffle_p(spark: SparkSession, d: str) -> DataFrame:
+    """One- and two-sided p-values of quality's AUC under shuffles of its labels."""
+    return noise.shuffle_p(pairs(spark, d), "s", "q", _SHUFFLES, "shuffle").select(*(r9(F.col(c)).alias(c) for c in ("auc", "null_mean", "null_sd", "null_p99", "p_one", "p_two")))

@@ -18,26 +18,26 @@ def _lf(x: str) -> str:
 
 
 def _walk(mean: str, variance: str, least: str, most: str, log_first: str, ratio: str, u: str) -> str:
-    """log_first uses b.x (the lower bound as a double), ratio uses k."""
+    """log_first uses at_.x (the lower bound as a double), ratio uses k_."""
     off = f"(sqrt(greatest({variance}, CAST(0 AS DOUBLE))) * {DEVIATIONS} + {MARGIN})"
     lo, hi = f"greatest({least}, CAST(floor({mean} - {off}) AS BIGINT))", f"least({most}, CAST(ceil({mean} + {off}) AS BIGINT))"
-    start = f"{{'t': exp({log_first}), 'f': CAST(0 AS DOUBLE), 'k': b.lo}}"
-    step = f"{{'t': i.t * {ratio}, 'f': i.f + i.t, 'k': i.k + CAST(i.f + i.t < {u} AS BIGINT)}}"
-    return f"list_transform([{{'lo': {lo}, 'hi': {hi}, 'x': CAST({lo} AS DOUBLE)}}], lambda b: least(list_reduce(range(b.lo, b.hi + 1), lambda i, k: {step}, {start}).k, b.hi))[1]"
+    start = f"{{'t': exp({log_first}), 'f': CAST(0 AS DOUBLE), 'k': at_.lo}}"
+    step = f"{{'t': sum_.t * {ratio}, 'f': sum_.f + sum_.t, 'k': sum_.k + CAST(sum_.f + sum_.t < {u} AS BIGINT)}}"
+    return f"list_transform([{{'lo': {lo}, 'hi': {hi}, 'x': CAST({lo} AS DOUBLE)}}], lambda at_: least(list_reduce(range(at_.lo, at_.hi + 1), lambda sum_, k_: {step}, {start}).k, at_.hi))[1]"
 
 
 def binomial_sql(n: str, p: str, u: str) -> str:
     x, p, r = f"CAST({n} AS DOUBLE)", f"({p})", f"greatest(1 - ({p}), 1e-300)"
-    first = f"{_lf(x)} - {_lf('b.x')} - {_lf(f'({x} - b.x)')} + b.x * ln(greatest({p}, 1e-300)) + ({x} - b.x) * ln({r})"
-    inner = _walk(f"{x} * {p}", f"{x} * {p} * (1 - {p})", "CAST(0 AS BIGINT)", n, first, f"({x} - k) / (k + 1) * ({p} / {r})", u)
+    first = f"{_lf(x)} - {_lf('at_.x')} - {_lf(f'({x} - at_.x)')} + at_.x * ln(greatest({p}, 1e-300)) + ({x} - at_.x) * ln({r})"
+    inner = _walk(f"{x} * {p}", f"{x} * {p} * (1 - {p})", "CAST(0 AS BIGINT)", n, first, f"({x} - k_) / (k_ + 1) * ({p} / {r})", u)
     return f"CASE WHEN {n} <= 0 OR {p} <= 0 THEN CAST(0 AS BIGINT) WHEN {p} >= 1 THEN {n} ELSE {inner} END"
 
 
 def hypergeometric_sql(size: str, ones: str, taken: str, u: str) -> str:
     n, c, t = (f"CAST({v} AS DOUBLE)" for v in (size, ones, taken))
-    first = f"{_lf(c)} - {_lf('b.x')} - {_lf(f'({c} - b.x)')} + {_lf(f'({n} - {c})')} - {_lf(f'({t} - b.x)')} - {_lf(f'({n} - {c} - {t} + b.x)')} - {_lf(n)} + {_lf(t)} + {_lf(f'({n} - {t})')}"
+    first = f"{_lf(c)} - {_lf('at_.x')} - {_lf(f'({c} - at_.x)')} + {_lf(f'({n} - {c})')} - {_lf(f'({t} - at_.x)')} - {_lf(f'({n} - {c} - {t} + at_.x)')} - {_lf(n)} + {_lf(t)} + {_lf(f'({n} - {t})')}"
     least, most = f"greatest(CAST(0 AS BIGINT), {taken} - ({size} - {ones}))", f"least({taken}, {ones})"
-    inner = _walk(f"{t} * {c} / {n}", f"{t} * ({c} / {n}) * (1 - {c} / {n}) * ({n} - {t}) / greatest({n} - 1, 1.0)", least, most, first, f"({c} - k) * ({t} - k) / ((k + 1) * ({n} - {c} - {t} + k + 1))", u)
+    inner = _walk(f"{t} * {c} / {n}", f"{t} * ({c} / {n}) * (1 - {c} / {n}) * ({n} - {t}) / greatest({n} - 1, 1.0)", least, most, first, f"({c} - k_) * ({t} - k_) / ((k_ + 1) * ({n} - {c} - {t} + k_ + 1))", u)
     return f"CASE WHEN {least} = {most} THEN {least} ELSE {inner} END"
 
 
