@@ -112,6 +112,22 @@ def frozen_rule(few_positives: Column, complement_bad: Column, modal_share: Colu
     )
 
 
+def thinned_rule(few_positives: Column, tost: Column, auc_zc: Column, lo: Column, hi: Column, beats_null: Column, d_dis: Column, d_same: Column) -> Column:
+    """The whole rule as it runs on each thinned construct: positives make the power gate, and nothing else gates."""
+    return ladder(
+        (few_positives, "UNDECIDABLE (power)"),
+        (tost & (F.abs(auc_zc - 0.5) >= RANKED), "SCORE FAILURE"),
+        (tost & (d_same >= MISMATCH_BAND), "CONTAINMENT"),
+        (tost, "UNDECIDABLE (no signal)"),
+        ((lo <= 0.5) & (hi >= 0.5), "UNDECIDABLE (equivalence)"),
+        (~beats_null & (d_same >= MISMATCH_BAND), "CONTAINMENT"),
+        (~beats_null, "ALIGNED"),
+        (d_dis >= MISMATCH_BAND, "DIVERGENCE"),
+        (d_dis >= CAUTION_BAND, "CAUTION"),
+        otherwise="ALIGNED",
+    )
+
+
 def synthetic_rule(underpowered: Column, coarse: Column, tost: Column, auc_zc: Column, lo: Column, hi: Column, kappa: Column, beats_null: Column, d_dis: Column, d_same: Column, kappa_exit: bool = False) -> Column:
     """The rule of the synthetic cases: no complement gate, the kappa exit by choice."""
     return ladder(

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import stats
 from ..functions import text as tx
 from ..operators import cells, contracts
 from ..operators import verdict as vd
-from ..sources import table
+from ..sources import kept, table
 from .contracts import r9
 from .draws_sql import auc_sql, deal_sql
 from .registry import query
@@ -215,3 +215,28 @@ def bh_contracts(spark: SparkSession, d: str) -> DataFrame:
     """The external rule's verdicts graded again: Benjamini-Hochberg at 0.05 over the permutation p-values of all decided contracts."""
     chain = contracts.chain(grid(spark, d), ["contract"], DRAWS)
     return vd.regrade(chain.select("contract", rules()["external"].alias("verdict"), r9(F.col("p_perm")).alias("p")), "verdict", "p", 0.05)
+
+
+#: Positives that an outer draw keeps, outer and inner draws, and the contracts that are thinned.
+KEEP, OUTER, INNER, THINNED = 40, 24, 60, ("shared", "gap")
+_INSIDE = ["s", "z", "z_comp", "z_ext", "empty"]
+_LABELS_OF = ", ".join(_INSIDE)
+_THIN = _case([("n_y < 10", "UNDECIDABLE (power)"), (f"{_TOST} AND abs(auc_z_comp - 0.5) >= 0.1", "SCORE FAILURE"), (f"{_TOST} AND d_same >= 0.15", "CONTAINMENT"), (_TOST, "UNDECIDABLE (no signal)"), (_COVERS, "UNDECIDABLE (equivalence)"), *_tail("ALIGNED", "DIVERGENCE")], "ALIGNED")
+
+
+@query(
+    f"WITH {_cells_sql()}, few AS (SELECT * FROM src WHERE contract IN {THINNED}), tk AS (SELECT contract, {_LABELS_OF}, c, {KEEP} AS take FROM few WHERE y = 1), {deal_sql('td', 'tk', _INSIDE, OUTER, 'outer', ['contract'], 'take')}, "
+    f"th AS MATERIALIZED (SELECT contract, outer_, {_LABELS_OF}, y, CAST(sum(c) AS BIGINT) AS c FROM (SELECT contract, draw AS outer_, {_LABELS_OF}, 1 AS y, w AS c FROM td UNION ALL SELECT contract, draw, {_LABELS_OF}, 0, -w FROM td UNION ALL SELECT contract, outer_, {_LABELS_OF}, 0, c FROM few, (SELECT unnest(range(0, {OUTER})) AS outer_)) GROUP BY ALL HAVING sum(c) > 0), "
+    f"{chain_sql(('contract', 'outer_'), INNER, 'th')}, v AS (SELECT contract, {_THIN} AS verdict, d_dis FROM chain) "
+    "SELECT contract, verdict, count(*) AS draws, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY contract) AS DOUBLE), 9) AS share, round(min(d_dis), 9) AS d_least, round(max(d_dis), 9) AS d_most FROM v GROUP BY contract, verdict"
+)
+def nested_stability(spark: SparkSession, d: str) -> DataFrame:
+    """The whole rule again on constructs thinned to forty positives, each with its own bootstrap and null: two levels of draws on one table of cells."""
+    few = kept(grid(spark, d).filter(F.col("contract").isin(*THINNED)), "thinned-cells")
+    thin = contracts.thinned(few, ["contract"], KEEP, OUTER, "outer").withColumnRenamed("draw", "outer_")
+    c = F.col
+    chain = contracts.chain(thin, ["contract", "outer_"], INNER)
+    rule = vd.thinned_rule(c("n_y") < 10, vd.equivalent(c("lo90"), c("hi90")), c("auc_z_comp"), c("lo95"), c("hi95"), c("beats"), c("d_dis"), c("d_same"))
+    by = chain.select("contract", rule.alias("verdict"), "d_dis").groupBy("contract", "verdict").agg(F.count("*").alias("draws"), r9(F.min("d_dis")).alias("d_least"), r9(F.max("d_dis")).alias("d_most"))
+    # A row a verdict.
+    return by.select("contract", "verdict", "draws", r9(F.col("draws") / F.sum("draws").over(W.partitionBy("contract"))).alias("share"), "d_least", "d_most")
