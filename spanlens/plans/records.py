@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import text as tx
 from ..operators import align, rank
-from ..sources import table
+from ..sources import table, wrapped
 from .contracts import pairs, pairs_sql
 from .registry import query
 
@@ -79,11 +79,34 @@ def dataset_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey")
 def parsed_group_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Groups parsed once and kept: the second call reads what the first wrote."""
+    """Groups parsed once and kept: the second call finds the inputs unchanged and reads what the first wrote."""
     at = sources.scratch(spark, "groups") + "/cache"
     groups = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    sources.cached(groups, at)
-    return sources.cached(groups.filter("false"), at, least=1)
+    sources.cached(groups, at, [f"{d}/lineitem.parquet"])
+    return sources.cached(groups.filter("false"), at, [f"{d}/lineitem.parquet"])
+
+
+@query("SELECT version, l_returnflag AS flag, count(*) AS n FROM lineitem, (VALUES (1), (2)) AS v(version) WHERE version = 2 OR l_linenumber = 1 GROUP BY ALL")
+def published_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A table published twice: a reader of the first version keeps it, and a new one sees the second, whatever a write that never reached its pointer left."""
+    at = sources.scratch(spark, "published") + "/flags"
+    lines = table(spark, d, "lineitem")
+    counts = lambda t, v: t.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), "flag", "n")
+    sources.publish(counts(lines.filter("l_linenumber = 1"), 1), at)
+    early = sources.published(spark, at)
+    sources.publish(counts(lines, 2), at)
+    counts(lines.limit(1), 3).write.parquet(f"{at}/versions/unfinished")
+    return early.union(sources.published(spark, at))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text, n_chars AS chars FROM documents")
+def wrapped_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts in one wrapped JSON file, read by as many tasks as it has splits."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.col("n_chars").alias("chars"), F.lit('a "}" in a string').alias("note")).alias("meta"))
+    at = sources.scratch(spark, "wrapped") + "/a.json"
+    sources.write_wrapped(docs, at, "records", {"phase": "one {", "model": "m"})
+    read = wrapped.records(spark, at, "doc_id bigint, text string, meta struct<chars bigint, note string>", "records")
+    return read.select("doc_id", "text", F.col("meta.chars").alias("chars"))
 
 
 @query("SELECT c_name AS name, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END, '') AS segment FROM customer")

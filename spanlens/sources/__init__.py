@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import hashed
 
@@ -18,7 +21,7 @@ JUDGEMENT = "id string, refusal_judge boolean, rationale string, raw string, err
 
 
 def read_rows(spark: SparkSession, path: str, schema: str | None = None, tolerant: bool = False) -> DataFrame:
-    """Rows of .jsonl, .json (an array or a wrapped one), .csv, .parquet or .orc; another ending is an error. Without a schema JSON is inferred."""
+    """Rows of .jsonl, .json (an array or a wrapped one), .csv, .parquet or .orc; another ending is an error. Without a schema JSON is inferred, and a .json file is read whole by one task; `wrapped.records` reads a large one by many."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.option("mode", "DROPMALFORMED" if tolerant else "FAILFAST")
     if kind == "jsonl":
@@ -100,19 +103,63 @@ def dataset(spark: SparkSession, root: str, split: str | None = None, column: st
     return df if split is None else df.filter(F.col(column) == split)
 
 
-def cached(df: DataFrame, path: str, least: int = 1) -> DataFrame:
-    """The table at `path` if it is there with `least` rows or more; else `df`, written there."""
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A digest of the files below `paths`: their names, lengths and times of change. Files are listed by Spark and not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "length", "modificationTime")
+    h = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))  # whatever the order
+    r = files.agg(F.count("*").alias("n"), F.coalesce(h, F.lit(0)).alias("h")).first()  # one row
+    return f"{r.n}:{r.h}"
+
+
+def publish(df: DataFrame, path: str, mark: str = "") -> DataFrame:
+    """`df` as the new version of the table at `path`; its rows.
+
+    A version is written to a folder of its own and becomes the table by a pointer,
+    one small row that Spark commits after it. Whatever dies before that leaves the old version
+    in place; a reader sees one whole version or another, and one that has begun keeps its files.
+    Versions stay until they are deleted by hand.
+    """
     spark = df.sparkSession
+    last = manifest(spark, path)
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{path}/versions/{name}")
+    written = spark.read.schema(df.schema).parquet(f"{path}/versions/{name}")
+    row = spark.range(1).select(F.lit(name).alias("version"), F.lit((last.number if last else 0) + 1).cast("long").alias("number"), F.lit(written.count()).cast("long").alias("rows"), F.lit(mark).alias("mark"), F.lit(df.schema.json()).alias("fields"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/pointers")
+    return written
+
+
+def manifest(spark: SparkSession, path: str) -> Row | None:
+    """version, number, rows, mark and fields of the table's newest version; None where nothing has been published. Of two with one number, written at the same time, the greater name holds for all readers."""
     try:
-        kept = spark.read.parquet(path)
+        rows = spark.read.schema("version string, number bigint, rows bigint, mark string, fields string").parquet(f"{path}/pointers")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        kept = None
-    if kept is None or kept.limit(least).count() < least:
-        df.write.mode("overwrite").parquet(path)
-        kept = spark.read.parquet(path)
-    return kept
+        return None
+    return rows.orderBy(F.desc("number"), F.desc("version")).first()
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path` as it was last published."""
+    m = manifest(spark, path)
+    return None if m is None else spark.read.schema(StructType.fromJson(json.loads(m.fields))).parquet(f"{path}/versions/{m.version}")
+
+
+def cached(df: DataFrame, path: str, inputs: Sequence[str], least: int = 1) -> DataFrame:
+    """The table kept at `path` if it was made from the files below `inputs` as they are now and still has its rows, `least` or more; else `df`, kept there with their fingerprint."""
+    spark = df.sparkSession
+    mark = fingerprint(spark, inputs)
+    m = manifest(spark, path)
+    if m is not None and m.mark == mark and m.rows >= least:
+        kept_rows = published(spark, path)
+        try:
+            if kept_rows.count() == m.rows:  # from the files' footers
+                return kept_rows
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return publish(df, path, mark)
 
 
 def pickled(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -156,14 +203,14 @@ def latex_row(*cells: Column | str) -> Column:
 
 
 def write_rows(df: DataFrame, path: str, kind: str, fields: list[str] | None = None) -> None:
-    """CSV (fields in order, nulls blank), JSON lines or Parquet through Spark's commit protocol: all or nothing."""
+    """CSV (fields in order, nulls blank), JSON lines or Parquet through Spark's commit protocol, to a new folder: all or nothing. `publish` replaces a table."""
     out = df.select(*fields) if fields else df
     if kind == "csv":
-        out.na.fill("").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        out.na.fill("").write.option("header", True).option("escape", '"').csv(path)
     elif kind == "json":
-        out.write.mode("overwrite").json(path)
+        out.write.json(path)
     elif kind == "parquet":
-        out.write.mode("overwrite").parquet(path)
+        out.write.parquet(path)
     else:
         raise ValueError(f"unknown kind {kind}")
 
