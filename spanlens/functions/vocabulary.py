@@ -53,6 +53,16 @@ REFUSAL_OPENINGS = (
     r"sorry,?\s+[^\.]*\.?\s*",
 )
 OPENINGS = THINKING_OPENINGS + REFUSAL_OPENINGS
+# Openings of answers from passages and of restated requests, case ignored.
+CITED_OPENINGS = (
+    r"based on the (provided )?passages( provided)?,?\s*(there is \*{0,2}no information\*{0,2}\s*)?",
+    r"the provided passages\s+(do not|does not)?\s*",
+    r"there is (\*\*)?no information(\*\*)? in the provided passages\s*",
+)
+RESTATED_OPENINGS = (
+    r"thinking process:\s*\n+\s*1\.\s*\*\*analyze the request:\*\*\s*",
+    r"the user wants to (know|identify|find|determine|compare|answer|confirm|verify|understand|figure out)\s+",
+)
 # Markers of answers, doubt and cited passages, case ignored.
 ANSWER_MARKER = r"(?i)\b(final answer|answer is|therefore|thus|so the answer|final output)\b"
 UNCERTAINTY = r"(?i)\b(unknown|unclear|not enough|not specified|cannot determine|can't determine|not sure|ambiguous)\b"

@@ -152,12 +152,12 @@ def fixed_sample(spark: SparkSession, d: str) -> DataFrame:
     return sources.fixed_sample(table(spark, d, "orders"), "o_orderkey", 100).select("o_orderkey")
 
 
-@query(f"{P} SELECT p.id AS id, p.lang AS lang, p.y AS y, p.z AS z FROM pair p WHERE p.len > 0 AND p.q = 1 AND (p.z = 1 OR p.z_ext = 1)")
+@query(f"{P} SELECT p.id AS id, p.lang AS lang, p.y AS y, p.z AS z FROM pair p WHERE p.len > 0 AND (p.q = 1 OR p.y = 0) AND (p.z = 1 OR p.z_ext = 1)")
 def six_way_join(spark: SparkSession, d: str) -> DataFrame:
     """Records, two judges and prompts of two sides by id, filtered after the join."""
     p = pairs(spark, d)
     tables = [p.select("id", *c) for c in (["lang"], ["y"], ["q"], ["z"], ["z_ext"], ["len"])]
-    return align.inner(tables, "id", must=False).filter("len > 0 AND q = 1 AND (z = 1 OR z_ext = 1)").select("id", "lang", "y", "z")
+    return align.inner(tables, "id", must=False).filter("len > 0 AND (q = 1 OR y = 0) AND (z = 1 OR z_ext = 1)").select("id", "lang", "y", "z")
 
 
 @query("SELECT o_orderkey, coalesce(c_name, '') AS name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")

@@ -119,3 +119,19 @@ def streaming_windows(spark: SparkSession, d: str) -> DataFrame:
     q = counts.select(F.col("window.start").alias("hour"), "event_type", "n").writeStream.outputMode("complete").format("memory").queryName(f"w{at[-12:]}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(f"w{at[-12:]}")
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_id % 4 > 0 OR user_id % 2 = 0 THEN value > 50 END AS label FROM events")
+def judged_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Events judged as three files come in, one of them twice; where a judgement failed a second run tries again."""
+    from .. import sources
+
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id", "value")
+    at = sources.scratch(spark, "judged")
+    for k in (0, 1, 2, 1):
+        events.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{at}/in")
+    verdict = F.col("value") > 50
+    for checkpoint, label in (("one", F.when(F.col("event_id") % 4 > 0, verdict)), ("two", F.when((F.col("event_id") % 4 > 0) | (F.col("user_id") % 2 == 0), verdict))):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{at}/in")
+        streaming.judge_once(stream, "event_id", f"{at}/out", f"{at}/{checkpoint}", lambda batch, label=label: batch.select("event_id", "event_type", label.alias("label"))).awaitTermination()
+    return streaming.judged(spark, f"{at}/out", "event_id")

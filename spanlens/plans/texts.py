@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mathtext, rules
 from ..functions import text as tx
-from ..functions.vocabulary import CUES, CUES_11, OPENINGS, WIDE_CUES
+from ..functions.vocabulary import CITED_OPENINGS, CUES, CUES_11, OPENINGS, RESTATED_OPENINGS, WIDE_CUES
 from ..operators import distance
 from ..shipping import ship
 from ..sources import table
@@ -77,14 +77,23 @@ def opening_strip_eight(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", rest.alias("text"), n.alias("stripped"))
 
 
-_FIRST = (r"based on the (provided )?passages( provided)?,?\s*", r"the provided passages\s+(do not|does not)?\s*", r"idiot\s", r"[a-z]+\s")
+_OPENED = (
+    "Based on the passages, the provided passages do not ",
+    "Based on the provided passages, there is **no information** about ",
+    "There is **no information** in the provided passages ",
+    "Thinking Process:\n\n1.  **Analyze the Request:** the user wants to know ",
+    "The user wants to figure out if ",
+    "",
+)
+_ONCE = CITED_OPENINGS + RESTATED_OPENINGS
+_OPENED_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_OPENED)) + " END || coalesce(text, '')"
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '(?i)^(?:{p})') THEN regexp_replace(t, '(?i)^(?:{p})', '')" for p in _FIRST) + " ELSE t END AS text FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Based on the passages, the provided passages do not ' ELSE '' END || coalesce(text, '') AS t FROM documents)")
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '(?i)^(?:{p})') THEN regexp_replace(t, '(?i)^(?:{p})', '')" for p in _ONCE) + f" ELSE t END AS text FROM (SELECT doc_id, {_OPENED_SQL} AS t FROM documents)")
 def opening_strip_once(spark: SparkSession, d: str) -> DataFrame:
     """A single pass: of two openings on end the first goes."""
-    said = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("Based on the passages, the provided passages do not ")).otherwise(F.lit("")), tx.body("text"))
-    return table(spark, d, "documents").select("doc_id", tx.strip_once(said, _FIRST).alias("text"))
+    said = F.concat(F.element_at(F.array(*map(F.lit, _OPENED)), (F.col("doc_id") % 6 + 1).cast("int")), tx.body("text"))
+    return table(spark, d, "documents").select("doc_id", tx.strip_once(said, _ONCE).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN strpos(coalesce(text, ''), chr(10)) > 0 THEN substring(text, strpos(text, chr(10)) + 1) ELSE '' END AS text FROM documents")

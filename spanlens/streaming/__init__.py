@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,17 +22,37 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, late: str, keys: lis
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"))
 
 
-def judge_once(stream: DataFrame, key: str, done_path: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Judge each key once: a batch leaves out keys already in the table at `done_path` and appends the rest. A batch that is run again adds nothing."""
-
-    def step(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        try:
-            done = batch.sparkSession.read.parquet(done_path).select(key)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = None
-        judge(fresh if done is None else fresh.join(done, key, "left_anti")).write.mode("append").parquet(done_path)
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def judge_once(stream: DataFrame, key: str, out: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame], label: str = "label") -> StreamingQuery:
+    """Judge each key once, into the table at `out`, one folder for each run (checkpoint) and batch.
+
+    Within a run the stream's state knows the keys it has met, so no batch reads
+    what others wrote. A batch replaces its own folder: run again after a failure
+    between its write and its checkpoint, it leaves the same rows. Keys with a
+    label from earlier runs are left out; those whose label is null are judged again.
+    """
+    spark = stream.sparkSession
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    before = judged(spark, out, key, label, other_than=run)
+    fresh = stream.dropDuplicates([key])
+    if before is not None:
+        fresh = fresh.join(before.filter(F.col(label).isNotNull()).select(key), key, "left_anti")
+    writer = fresh.writeStream.foreachBatch(lambda batch, number: write_batch(judge(batch), out, run, number))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_batch(rows: DataFrame, out: str, run: str, number: int) -> None:
+    """A batch's rows in its own folder, in place of any that it wrote before."""
+    rows.write.mode("overwrite").parquet(f"{out}/run={run}/batch={number}")
+
+
+def judged(spark: SparkSession, out: str, key: str, label: str = "label", other_than: str | None = None) -> DataFrame | None:
+    """The table that runs have written, a row for each key: with a label if any run gave one, else the last try. None where there is none."""
+    try:
+        rows = spark.read.option("basePath", out).parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    rows = rows.filter(F.col("run") != other_than) if other_than else rows
+    own = [c for c in rows.columns if c not in ("run", "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*own), F.struct(F.col(label).isNotNull(), "run", "batch")).alias("r")).select("r.*")
