@@ -130,15 +130,10 @@ def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def rank_moves(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
-    """rows, moved: how many stand at another rank by `b` than by `a` (ties by `tie`).
-
-    Ranks come from the distinct scores' running counts, and only rows of one
-    score are ordered among themselves, so no task holds the table.
-    """
-    from .rank import running
+    """rows, moved: how many stand at another rank by `b` than by `a` (ties by `tie`). Ranks come from ranges of the whole order, so a frequent score is no hot key."""
+    from .rank import numbered
 
     rows = df.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(tie).alias("k"))
     for c in ("a", "b"):
-        t = running(rows.groupBy(c).agg(F.count("*").alias("n")), c, ["n"], descending=True).select(c, F.col("before_n").alias(f"o_{c}"))
-        rows = rows.join(t, c).withColumn(f"r_{c}", F.col(f"o_{c}") + F.row_number().over(W.partitionBy(c).orderBy("k")))
+        rows = numbered(rows, [F.desc(c), F.asc("k")], f"r_{c}")
     return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("r_a") != F.col("r_b")).alias("moved"))

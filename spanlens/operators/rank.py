@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import kept
+
 #: Score ranges of the two-level prefix sums.
 RANGES = 64
 
@@ -108,13 +110,22 @@ def summary(df: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(values)).groupBy(name).agg(F.count("*").alias("settings"), *(F.avg(v).alias(f"mean_{v}") for v in values))
 
 
+def numbered(df: DataFrame, orders: Sequence[Column], name: str = "rk") -> DataFrame:
+    """Adds 1, 2, ... in an order of all rows, which must leave no ties: ranges of the whole order are written, counted and numbered apart, so no task holds the table, and half the rows on one score are as many ranges as any other half."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written with its range, so that counts and rows are of one and the same cut.
+    cut = kept(df.repartitionByRange(tasks, *orders).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))  # a row a range
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    place = F.row_number().over(W.partitionBy("__range").orderBy(*orders))
+    return cut.join(F.broadcast(before), "__range").withColumn(name, (F.col("__o") + place).cast("long")).drop("__range", "__o")
+
+
 def cases(df: DataFrame, s: str, tie: str, most: int | None = None) -> DataFrame:
-    """Adds rk = 1, 2, ... by falling score: ranges of scores are ordered apart, or only the first `most` rows kept."""
+    """Adds rk = 1, 2, ... by falling score, equal ones by `tie`; or only the first `most` rows are kept."""
     if most is not None:
         return ranked(df, s, tie, most=most)
-    t = running(df.filter(usable(s)).groupBy(s).agg(F.count("*").alias("n")), s, ["n"], descending=True)
-    joined = df.join(t.select(s, "before_n"), s)
-    return joined.withColumn("rk", (F.col("before_n") + F.row_number().over(W.partitionBy(s).orderBy(tie))).cast("int")).drop("before_n").select("rk", *df.columns)
+    return numbered(df.filter(usable(s)), [F.desc(s), F.asc(tie)]).withColumn("rk", F.col("rk").cast("int")).select("rk", *df.columns)
 
 
 def composition(df: DataFrame, s: str, tie: str, states: Sequence[str], sizes: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:

@@ -186,16 +186,19 @@ def tail_p(df: DataFrame, value: str, observed: float | Column, plus_one: bool =
 
 def downsample(df: DataFrame, key: str, s: str, y: str, keep: int, how: str, seed: int | str = 0) -> DataFrame:
     """Rows with at most `keep` positives: random, adversarial (the lowest scores) or favourable (the highest)."""
-    order = {"random": [draw_hash(seed, F.col(key)), F.col(key)], "adversarial": [F.asc(s), F.col(key)], "favourable": [F.desc(s), F.col(key)]}[how]
-    kept = df.filter(F.col(y).cast("int") == 1).orderBy(*order).limit(keep)
-    return df.filter(F.col(y).cast("int") == 0).unionByName(kept)
+    from .rank import numbered
 
+    order = {"random": [draw_hash(seed, F.col(key)).asc(), F.asc(key)], "adversarial": [F.asc(s), F.asc(key)], "favourable": [F.desc(s), F.asc(key)]}[how]
+    # A share of all positives may stay: they are numbered by ranges, not sorted in one task.
+    stay = numbered(df.filter(F.col(y).cast("int") == 1), order, "__rk").filter(F.col("__rk") <= keep).drop("__rk")
+    return df.filter(F.col(y).cast("int") == 0).unionByName(stay.select(*df.columns))
 
-def at_rate(df: DataFrame, key: str, s: str, y: str, rate: float, how: str = "random", seed: int | str = 0, least: int = 5) -> DataFrame | None:
-    """Rows whose positives are thinned to a share of `rate` (half-even); None if fewer than `least` would stay. One number is read ahead."""
+
+def at_rate(df: DataFrame, key: str, s: str, y: str, rate: float, how: str = "random", seed: int | str = 0, least: int = 5) -> DataFrame:
+    """Rows whose positives are thinned to a share of `rate` (half-even); no rows if fewer than `least` would stay. One number is read ahead."""
     n = df.agg(F.count_if(F.col(y).cast("int") == 0).alias("zero"), F.count_if(F.col(y).cast("int") == 1).alias("one")).first()
     keep = min(round(rate * n.zero / max(1 - rate, 1e-6)), n.one)
-    return downsample(df, key, s, y, keep, how, seed) if keep >= least else None
+    return downsample(df, key, s, y, keep, how, seed) if keep >= least else df.filter(F.lit(False))
 
 
 def inject_at_rate(df: DataFrame, key: str, pool: Column, rate: float, seed: int | str) -> DataFrame:
@@ -278,15 +281,16 @@ def queue_bootstrap(df: DataFrame, key: str, a: str, b: str, y: str, size: int,
     return both.select("draw", F.when(F.col("least") >= min(size, n), F.col("hits")).alias("diff"))
 
 
-def tie_draws(df: DataFrame, key: str, s: str, y: str, size: int, n_draws: int, seed: int | str) -> DataFrame:
-    """(draw, hits): positives among the first `size` rows when ties fall by the draw's hash. Only rows that tie at the cut are ordered anew."""
+def tie_draws(df: DataFrame, s: str, y: str, size: int, n_draws: int, seed: int | str) -> DataFrame:
+    """(draw, hits): positives among the first `size` rows when ties at the cut fall at random. How many of the tied positives get in is one hypergeometric number, so no row is ordered, whatever the tie."""
+    from .cells import hypergeometric
     from .rank import tie_exposure
 
-    cut = F.broadcast(tie_exposure(df, s, y, size).select("cut", "places", F.col("pos_in")))  # one row
-    tied = df.select(F.col(key).alias("k"), F.col(s).alias("s"), F.col(y).cast("int").alias("y")).join(cut, F.col("s") == F.col("cut"))
-    spread = tied.crossJoin(F.broadcast(draws(df.sparkSession, n_draws)))
-    place = F.row_number().over(W.partitionBy("draw").orderBy(draw_hash(seed, F.col("draw"), F.col("k")), "k"))
-    return spread.withColumn("o", place).groupBy("draw").agg((F.max("pos_in") + F.sum(F.when(F.col("o") <= F.col("places"), F.col("y")).otherwise(0))).alias("hits"))
+    at = tie_exposure(df, s, y, size)  # one row
+    spread = at.crossJoin(F.broadcast(draws(df.sparkSession, n_draws)))
+    u = (draw_hash(seed, F.col("draw")) + F.lit(0.5)) / F.lit(4294967296.0)
+    luck = hypergeometric(F.col("tied").cast("bigint"), F.col("pos_tied").cast("bigint"), F.col("places").cast("bigint"), u)
+    return spread.select("draw", (F.col("pos_in") + luck).cast("bigint").alias("hits"))
 
 
 def paired_change(df: DataFrame, key: str, before: str, after: str | Sequence[str], y: str, n_draws: int, seed: int | str) -> DataFrame:

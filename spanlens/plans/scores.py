@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..operators import agree, calibrate, distance, learned, multiplicity, rank, resample, simulate
 from ..sources import table
 from .contracts import TURNS_SQL, auc_sql, kappa_sql, pairs, pairs_sql, r9, turn_pairs
+from .draws_sql import hash_sql, hypergeometric_sql
 from .registry import query
 from .resampling import _permuted, _weighted
 from .texts import _COS, _VOC
@@ -111,10 +112,10 @@ def positive_cases(spark: SparkSession, d: str) -> DataFrame:
 _EXACT = "t AS (SELECT s, count(*) AS n, sum(y) AS p FROM pair GROUP BY s), c AS (SELECT s, n, p, coalesce(sum(n) OVER o, 0) AS bn, coalesce(sum(p) OVER o, 0) AS bp FROM t WINDOW o AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), k AS (SELECT s, bp, 40 - bn AS places FROM c WHERE bn < 40 AND bn + n >= 40)"
 
 
-@query(f"{P}, {_EXACT}, dr AS (SELECT unnest(range(0, 50)) AS draw), x AS (SELECT draw, y, places, bp, row_number() OVER (PARTITION BY draw ORDER BY CAST(('0x' || substring(md5('t-' || CAST(draw AS VARCHAR) || '-' || id), 1, 8)) AS BIGINT), id) AS o FROM pair JOIN k USING (s), dr) SELECT draw, CAST(max(bp) + sum(CASE WHEN o <= places THEN y ELSE 0 END) AS BIGINT) AS hits FROM x GROUP BY draw")
+@query(f"{P}, {_EXACT}, x AS (SELECT draw, bp, places, CAST(n AS BIGINT) AS tied, CAST(p AS BIGINT) AS pos FROM c JOIN k USING (s, bp), (SELECT unnest(range(0, 50)) AS draw)) SELECT draw, CAST(bp + {hypergeometric_sql('tied', 'pos', 'CAST(places AS BIGINT)', '((' + hash_sql(repr('t'), 'draw') + ' + 0.5) / CAST(4294967296 AS DOUBLE))')} AS BIGINT) AS hits FROM x")
 def tie_draws(spark: SparkSession, d: str) -> DataFrame:
     """Positives among the first 40 when ties at the cut fall at random."""
-    return resample.tie_draws(pairs(spark, d), "id", "s", "y", 40, 50, "t")
+    return resample.tie_draws(pairs(spark, d), "s", "y", 40, 50, "t")
 
 
 _AUCS = f"WITH {pairs_sql()}, a AS (SELECT lang, auc, n, n_pos FROM {auc_sql('pair', 's', 'y', 'lang')})"
