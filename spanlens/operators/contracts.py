@@ -48,14 +48,14 @@ def arms(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def interval_ends(grid: DataFrame, keys: Sequence[str], n_draws: int, seed: int | str = "boot") -> DataFrame:
-    """keys, lo95, hi95, lo90, hi90 of the construct's AUC, d_lo and d_hi (95 %) of the off-span gap, valid draws."""
+    """keys, lo95, hi95, lo90, hi90 of the construct's AUC, d_lo and d_hi (95 %) of the off-span gap, valid draws, and p_boot, the share of them at or below zero (one added to both counts)."""
     keys = list(keys)
     some = cells.ranged(grid.groupBy(*keys, "s", "y", "z_comp").agg(F.sum("c").alias("c")), "s", keys)
     drawn = cells.deal(some.drop("range"), ["s", "y", "z_comp"], n_draws, seed, keys).join(some.select(*keys, "s", "range").distinct(), [*keys, "s"])
     each = cells.aucs(drawn, "s", ["y", "z_comp"], [*keys, "draw"]).withColumn("g", stats.robust_gap(F.col("auc_z_comp"), F.col("auc_y")))
-    y = F.when(F.col("g").isNotNull() | F.col("auc_y").isNotNull(), F.col("auc_y"))
+    y = F.col("auc_y")
     at = lambda c, p, name: F.percentile(c, F.lit(p)).alias(name)
-    return each.groupBy(*keys).agg(at(y, 0.025, "lo95"), at(y, 0.975, "hi95"), at(y, 0.05, "lo90"), at(y, 0.95, "hi90"), at("g", 0.025, "d_lo"), at("g", 0.975, "d_hi"), F.count("g").alias("valid"))
+    return each.groupBy(*keys).agg(at(y, 0.025, "lo95"), at(y, 0.975, "hi95"), at(y, 0.05, "lo90"), at(y, 0.95, "hi90"), at("g", 0.025, "d_lo"), at("g", 0.975, "d_hi"), F.count("g").alias("valid"), ((F.count_if(F.col("g") <= 0) + 1) / (F.count("g") + 1)).alias("p_boot"))
 
 
 def null(grid: DataFrame, keys: Sequence[str], n_draws: int, seed: int | str = "null") -> DataFrame:
@@ -70,13 +70,14 @@ def null(grid: DataFrame, keys: Sequence[str], n_draws: int, seed: int | str = "
     return cells.aucs(placed.union(rest).join(ranges, [*keys, "s"]), "s", ["zp"], [*keys, "draw"]).select(*keys, "draw", F.col("auc_zp").alias("auc"))
 
 
-def chain(grid: DataFrame, keys: Sequence[str], n_draws: int) -> DataFrame:
-    """A row for each key: arms, gaps, the Hanley-McNeil interval, bootstrap ends, the null's 95 % point, whether the gap beats it, and its p-value (one added to both counts; null where the null has no AUC)."""
+def chain(grid: DataFrame, keys: Sequence[str], n_draws: int, ends: bool = True) -> DataFrame:
+    """A row for each key: arms, gaps, the Hanley-McNeil interval, bootstrap ends, the null's 95 % point, whether the gap beats it, and its p-value (one added to both counts; null where the null has no AUC). Without `ends`, for rules that read none of them, no bootstrap."""
     keys = list(keys)
     grid = kept(grid, "contract-cells")
     nulls = null(grid, keys, n_draws).select(*keys, F.abs(F.col("auc") - 0.5).alias("v")).groupBy(*keys).agg(F.percentile("v", F.lit(0.95)).alias("n95"), F.array_compact(F.collect_list("v")).alias("vs"))
     # One row for each key.
-    a = arms(grid, keys).join(interval_ends(grid, keys, n_draws), keys, "left").join(nulls, keys, "left")
+    a = arms(grid, keys).join(nulls, keys, "left")
+    a = a.join(interval_ends(grid, keys, n_draws), keys, "left") if ends else a
     c = F.col
     own = F.abs(c("auc_y") - 0.5)
     _, lo, hi = stats.hanley_mcneil(c("auc_y"), c("n_y"), c("n") - c("n_y"))

@@ -309,9 +309,3 @@ def verdict_shares(draw_verdicts: DataFrame) -> DataFrame:
     """verdict, share of draws: how stable a verdict is under resampling."""
     n = draw_verdicts.agg(F.count("*").alias("__n"))
     return draw_verdicts.groupBy("verdict").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).select("verdict", (F.col("c") / F.col("__n")).alias("share"))
-
-
-def bar_comparison(boot: DataFrame, null: DataFrame, value: str) -> DataFrame:
-    """bootstrap_lo, null_p95: the two bars that a gap can be held against."""
-    a = boot.agg(F.percentile(value, F.lit(0.025)).alias("bootstrap_lo"))
-    return a.crossJoin(null.agg(F.percentile(value, F.lit(0.95)).alias("null_p95")))  # single rows

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as tx
-from ..operators import agree, calibrate, multiplicity, rank, resample
+from ..operators import agree, calibrate, cells, contracts, multiplicity, rank, resample
 from ..operators import verdict as vd
 from ..sources import table
 from .contracts import auc_sql, kappa_sql, pairs, pairs_sql, r9
+from .ladders import chain_sql
 from .registry import query
-from .resampling import _INTERVAL, MANY, _permuted, _weighted
+from .resampling import MANY
 
 P = "WITH " + pairs_sql()
 
@@ -203,30 +206,20 @@ def _arms_sql(span: int = 50) -> str:
         arms AS (SELECT *, auc_y - 1.96 * se_y AS lo_y, auc_y + 1.96 * se_y AS hi_y FROM b)"""
 
 
-def _chain(spark: SparkSession, d: str, span: int = 50, bootstrap: bool = True) -> DataFrame:
-    """The contract row with (for rules that read them) bootstrap intervals of the construct's AUC (95 and 90 %) and of the off-span gap, and the null of that gap with z_comp permuted within the construct's strata."""
-    p = pairs(spark, d, span)
-    q = lambda c, at, name: F.percentile(c, F.lit(at)).alias(name)
-    boot = resample.paired_gap(p, "id", "s", "z_comp", "y", MANY, "s")
-    ends = boot.agg(q("auc_y", 0.025, "lo95"), q("auc_y", 0.975, "hi95"), q("auc_y", 0.05, "lo90"), q("auc_y", 0.95, "hi90"), q("robust_gap", 0.025, "d_lo"), q("robust_gap", 0.975, "d_hi"), F.count("robust_gap").alias("valid"), ((F.count_if(F.col("robust_gap") <= 0) + 1) / (F.count("robust_gap") + 1)).alias("p_boot"))
-    null = resample.stratified_null(p, "id", "s", "z_comp", "y", MANY, "n").select(F.abs(F.col("auc") - 0.5).alias("v"))
-    # Single rows throughout.
-    a = _arms(spark, d, span)
-    a = a.crossJoin(ends) if bootstrap else a
-    both = a.crossJoin(null.agg(F.array_compact(F.collect_list("v")).alias("null"), q("v", 0.95, "n95")))
-    exceed = F.size(F.filter("null", lambda v: v - F.abs(F.col("auc_y") - 0.5) >= F.col("d_dis")))
-    return both.withColumn("null_p95", F.col("n95") - F.abs(F.col("auc_y") - 0.5)).withColumn("p_perm", (exceed + 1) / (F.size("null") + 1)).withColumn("beats", F.col("d_dis") > F.col("null_p95"))
-
-
-def _chain_sql(span: int = 50) -> str:
-    arms = _arms_sql(span).removeprefix("WITH ")
-    null = "pm AS" + _permuted("z_comp", "n", ", y", MANY).split("pm AS", 1)[1]  # the draws are there already
-    return f"""WITH {arms}, {_INTERVAL}, gy AS (SELECT * FROM {_weighted('x', 's', 'y')}), gz AS (SELECT * FROM {_weighted('x', 's', 'z_comp')}),
-        bt AS (SELECT gy.auc AS ay, abs(gz.auc - 0.5) - abs(gy.auc - 0.5) AS g FROM gy JOIN gz USING (draw)),
-        ends AS (SELECT quantile_cont(ay, 0.025) AS lo95, quantile_cont(ay, 0.975) AS hi95, quantile_cont(ay, 0.05) AS lo90, quantile_cont(ay, 0.95) AS hi90, quantile_cont(g, 0.025) AS d_lo, quantile_cont(g, 0.975) AS d_hi, count(g) AS valid, (count(*) FILTER (g <= 0) + 1) / CAST(count(g) + 1 AS DOUBLE) AS p_boot FROM bt),
-        {null}, nl AS (SELECT abs(auc - 0.5) AS v FROM {_weighted('pm', 's', 'zp')} WHERE auc IS NOT NULL),
-        chain AS (SELECT *, d_dis > null_p95 AS beats FROM (SELECT arms.*, ends.*, (SELECT quantile_cont(v, 0.95) FROM nl) - abs(auc_y - 0.5) AS null_p95,
-            ((SELECT count(*) FROM nl WHERE v - abs(auc_y - 0.5) >= d_dis) + 1) / CAST((SELECT count(*) FROM nl) + 1 AS DOUBLE) AS p_perm FROM arms, ends))"""
+#: Contracts of the driver's tables: spans of the proxy.
+_CONTRACTS = (50, 200)
+_CELL = ["s", "y", "z", "z_comp", "z_ext", "empty"]
+
+
+def _chain(spark: SparkSession, d: str, spans: tuple[int, ...] = (50,), ends: bool = True) -> DataFrame:
+    """Contract rows of spans, with (for rules that read them) bootstrap intervals of the construct's AUC and of the off-span gap, and the null of that gap with z_comp permuted within the construct's strata: all from one table of cells."""
+    rows = [pairs(spark, d, k).select(F.lit(k).alias("span"), "s", "y", "z", "z_comp", "z_ext", (F.col("len") <= k).cast("int").alias("empty")) for k in spans]
+    return contracts.chain(cells.cells(reduce(DataFrame.union, rows), _CELL, ["span"]), ["span"], MANY, ends)
+
+
+def _chain_sql(spans: tuple[int, ...] = (50,)) -> str:
+    rows = " UNION ALL ".join(f"SELECT * FROM (WITH {pairs_sql(k)} SELECT {k} AS span, CAST(s AS BIGINT) AS s, y, z, z_comp, z_ext, CAST(len <= {k} AS INT) AS empty FROM pair)" for k in spans)
+    return f"WITH src AS MATERIALIZED (SELECT *, count(*) AS c FROM ({rows}) GROUP BY ALL), {chain_sql(('span',), MANY)}"
 
 
 _DOUBLES = ("auc_z", "auc_z_ext", "auc_z_comp", "auc_y", "d_auc", "d_same", "d_ext", "d_dis", "kappa_zc_y", "empty_share", "modal_share")
@@ -323,17 +316,12 @@ def _verdict_v2(mismatch: float = 0.15, caution: float = 0.10, gated: bool = Tru
     return vd.verdict_v2(blocked, F.col("lo_y"), F.col("hi_y"), F.abs(F.col("auc_z_comp") - 0.5) >= 0.1, F.col("kappa_zc_y"), F.col("beats"), F.col("d_dis"), mismatch, caution)
 
 
-#: Contracts of the driver's tables: spans of the proxy.
-_CONTRACTS = (50, 200)
-
-
-def _each(spark: SparkSession, d: str, what, bootstrap: bool = True) -> DataFrame:
-    a, b = (_chain(spark, d, span, bootstrap).select(F.lit(span).alias("span"), *what) for span in _CONTRACTS)
-    return a.union(b)
+def _each(spark: SparkSession, d: str, what, ends: bool = True) -> DataFrame:
+    return _chain(spark, d, _CONTRACTS, ends).select("span", *what)
 
 
 def _each_sql(what: str) -> str:
-    return " UNION ALL ".join(f"SELECT * FROM ({_chain_sql(span)} SELECT {span} AS span, {what} FROM chain)" for span in _CONTRACTS)
+    return f"{_chain_sql(_CONTRACTS)} SELECT span, {what} FROM chain"
 
 
 _ENDS = ("d_dis", "lo95", "hi95", "lo90", "hi90", "d_lo", "d_hi", "null_p95", "p_perm", "p_boot")
@@ -355,7 +343,7 @@ _REASON = "CASE WHEN {b} THEN 'precondition' WHEN hi_y < 0.5 THEN 'ranks the con
 @query(_each_sql(f"round(d_dis, 9) AS d_dis, {_V2.format(b=_BLOCKED, k=0.4, m=0.15, c=0.1)} AS verdict, {_REASON} AS reason"))
 def verdict_v2(spark: SparkSession, d: str) -> DataFrame:
     v, reason = _verdict_v2()
-    return _each(spark, d, [r9(F.col("d_dis")).alias("d_dis"), v.alias("verdict"), reason.alias("reason")], bootstrap=False)
+    return _each(spark, d, [r9(F.col("d_dis")).alias("d_dis"), v.alias("verdict"), reason.alias("reason")], ends=False)
 
 
 _CUTS = [(0.05, 0.02), (0.10, 0.05), (0.15, 0.10), (0.20, 0.15)]
@@ -364,7 +352,7 @@ _CUTS = [(0.05, 0.02), (0.10, 0.05), (0.15, 0.10), (0.20, 0.15)]
 @query(_chain_sql() + " " + " UNION ALL ".join(f"SELECT CAST({m} AS DOUBLE) AS mismatch, CAST({c} AS DOUBLE) AS caution, {_V2.format(b='false', k=0.4, m=m, c=c)} AS verdict FROM chain" for m, c in _CUTS))
 def cutoff_sweep(spark: SparkSession, d: str) -> DataFrame:
     rows = [F.struct(F.lit(m).alias("mismatch"), F.lit(c).alias("caution"), _verdict_v2(m, c, gated=False)[0].alias("verdict")) for m, c in _CUTS]
-    return _chain(spark, d, bootstrap=False).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return _chain(spark, d, ends=False).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 _TOST, _COVERS = "(lo90 >= 0.45 AND hi90 <= 0.55)", "(lo95 <= 0.5 AND hi95 >= 0.5)"
@@ -377,14 +365,14 @@ _FINAL = (
 _SWITCHES = [(True, True, True), (False, True, True), (True, False, True), (True, True, False), (False, False, False)]
 
 
-@query(_chain_sql(200) + " " + " UNION ALL ".join(f"SELECT {p} AS power, {c} AS complement, {r} AS resolution, {_FINAL.format(p=p, c=c, r=r)} AS verdict FROM chain" for p, c, r in _SWITCHES))
+@query(_chain_sql((200,)) + " " + " UNION ALL ".join(f"SELECT {p} AS power, {c} AS complement, {r} AS resolution, {_FINAL.format(p=p, c=c, r=r)} AS verdict FROM chain" for p, c, r in _SWITCHES))
 def gate_ablation(spark: SparkSession, d: str) -> DataFrame:
     """The final rule with gates switched off."""
     col = F.col
     gates = _gates()
     rule = lambda p, c, r: vd.final_rule(*gates, vd.equivalent(col("lo90"), col("hi90")), col("auc_z_comp"), col("lo95"), col("hi95"), col("kappa_zc_y"), col("beats"), col("d_dis"), col("d_same"), p, c, r)
     rows = [F.struct(F.lit(p).alias("power"), F.lit(c).alias("complement"), F.lit(r).alias("resolution"), rule(p, c, r).alias("verdict")) for p, c, r in _SWITCHES]
-    return _chain(spark, d, 200).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return _chain(spark, d, (200,)).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 @query(
@@ -550,14 +538,7 @@ def bh_regrade(spark: SparkSession, d: str) -> DataFrame:
 @query(_each_sql("round(d_lo, 9) AS bootstrap_lo, round(null_p95, 9) AS null_p95"))
 def bar_comparison(spark: SparkSession, d: str) -> DataFrame:
     """The bootstrap's bar for a gap beside that of the permutation null."""
-    parts = []
-    for span in _CONTRACTS:
-        p = pairs(spark, d, span)
-        base = F.abs(rank.auc(p, "s", ["y"]).select("auc_y").first()[0] - F.lit(0.5))  # one number
-        null = resample.stratified_null(p, "id", "s", "z_comp", "y", MANY, "n").select((F.abs(F.col("auc") - 0.5) - base).alias("robust_gap"))
-        bars = resample.bar_comparison(resample.paired_gap(p, "id", "s", "z_comp", "y", MANY, "s"), null, "robust_gap")
-        parts.append(bars.select(F.lit(span).alias("span"), r9(F.col("bootstrap_lo")).alias("bootstrap_lo"), r9(F.col("null_p95")).alias("null_p95")))
-    return parts[0].union(parts[1])
+    return _each(spark, d, [r9(F.col("d_lo")).alias("bootstrap_lo"), r9(F.col("null_p95")).alias("null_p95")])
 
 
 _KEPT = f"""{P}, dr AS (SELECT unnest(range(0, 30)) AS draw), k AS (SELECT *, row_number() OVER (PARTITION BY draw, y ORDER BY CAST(('0x' || substring(md5('v-' || CAST(draw AS VARCHAR) || '-' || id), 1, 8)) AS BIGINT), id) AS r FROM pair, dr), x AS (SELECT draw, s, y, z_comp FROM k WHERE y = 0 OR r <= 12),

@@ -91,7 +91,7 @@ def chain_sql(keys: tuple[str, ...] = ("contract",), draws: int = DRAWS, src: st
         f"ar AS MATERIALIZED (SELECT m.*, md.modal_share, " + ", ".join(f"a_{z}.auc AS auc_{z}" for z in ("y", "z", "z_comp", "z_ext")) + f" FROM m JOIN md ON {on('md', 'm')} {aucs}), "
         f"bs AS (SELECT {ks}, s, y, z_comp, CAST(sum(c) AS BIGINT) AS c FROM {src} GROUP BY ALL), {deal_sql('bd', 'bs', ['s', 'y', 'z_comp'], draws, 'boot', k)}, "
         f"bg AS (SELECT {', '.join(f'a.{x} AS {x}' for x in keys)}, a.auc AS ay, abs(b.auc - 0.5) - abs(a.auc - 0.5) AS g FROM {auc_sql('bd', 's', 'y', [*k, 'draw'])} a JOIN {auc_sql('bd', 's', 'z_comp', [*k, 'draw'])} b ON {on('a', 'b')} AND a.draw = b.draw), "
-        f"en AS (SELECT {ks}, quantile_cont(ay, 0.025) AS lo95, quantile_cont(ay, 0.975) AS hi95, quantile_cont(ay, 0.05) AS lo90, quantile_cont(ay, 0.95) AS hi90, quantile_cont(g, 0.025) AS d_lo, quantile_cont(g, 0.975) AS d_hi, count(g) AS valid FROM bg GROUP BY {ks}), "
+        f"en AS (SELECT {ks}, quantile_cont(ay, 0.025) AS lo95, quantile_cont(ay, 0.975) AS hi95, quantile_cont(ay, 0.05) AS lo90, quantile_cont(ay, 0.95) AS hi90, quantile_cont(g, 0.025) AS d_lo, quantile_cont(g, 0.975) AS d_hi, count(g) AS valid, (count(*) FILTER (g <= 0) + 1) / CAST(count(g) + 1 AS DOUBLE) AS p_boot FROM bg GROUP BY {ks}), "
         f"ns AS (SELECT *, sum(ones) OVER (PARTITION BY {ks}, y) AS take FROM (SELECT {ks}, y, s, CAST(sum(c) AS BIGINT) AS c, CAST(sum(c * z_comp) AS BIGINT) AS ones FROM {src} GROUP BY ALL)), {deal_sql('nd', 'ns', ['s'], draws, 'null', [*k, 'y'], 'take')}, "
         f"nu AS (SELECT {ks}, draw, s, 1 AS zp, w FROM nd UNION ALL SELECT {ks}, draw, s, 0, -w FROM nd UNION ALL SELECT {ks}, draw, s, 0, c FROM ns, (SELECT unnest(range(0, {draws})) AS draw)), "
         f"nl AS (SELECT {ks}, abs(auc - 0.5) AS v FROM {auc_sql('nu', 's', 'zp', [*k, 'draw'])} WHERE auc IS NOT NULL), "
