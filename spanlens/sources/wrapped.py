@@ -9,9 +9,9 @@ the splits of a file. A brace that brings the depth back to that of the array's
 elements ends a record, and the pieces of a record meet again by its number.
 
 A backslash never stands before a piece's end (`\\}` is no JSON), so no escape is
-cut in two. Elements are objects. A wrapper's other fields are plain values or
-objects; another array of objects beside the wrapped one isn't told apart. Bytes
-are UTF-8; compressed files are read whole by one task, as everywhere in Spark.
+cut in two. Elements are objects. A wrapper may have other fields before and
+after its array, which is the first one of that name. Bytes are UTF-8; compressed
+files are read whole by one task, as everywhere in Spark.
 """
 
 from __future__ import annotations
@@ -53,22 +53,31 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     own, before = W.partitionBy("file", "block").orderBy("place"), W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     per = counted.groupBy("file", "block").agg(F.sum("quotes").alias("__q"))
     per = per.select("file", "block", F.coalesce(F.sum("__q").over(before), F.lit(0)).alias("__before"))
-    odd = counted.join(F.broadcast(per), ["file", "block"]).withColumn("__so_far", F.col("__before") + F.coalesce(F.sum("quotes").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    odd = counted.join(per, ["file", "block"]).withColumn("__so_far", F.col("__before") + F.coalesce(F.sum("quotes").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     known = odd.withColumn("inside", F.col("__so_far") % 2 == 1).withColumn("ends_inside", (F.col("__so_far") + F.col("quotes")) % 2 == 1)
     out = _outside(F.col("text"), F.col("inside"))
     turned = known.withColumn("closes", ~F.col("ends_inside")).withColumn("__d", _count(out, "{[") - _count(out, "}]") - F.col("closes").cast("int"))
     sums = turned.groupBy("file", "block").agg(F.sum("__d").alias("__t")).select("file", "block", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
     depth = F.col("__base") + F.sum("__d").over(own.rowsBetween(W.unboundedPreceding, 0))
-    return turned.join(F.broadcast(sums), ["file", "block"]).select("file", "block", "place", "text", "inside", depth.alias("depth"), "closes")
+    return turned.join(sums, ["file", "block"]).select("file", "block", "place", "text", "inside", depth.alias("depth"), "closes")
 
 
 def records(spark: SparkSession, path: str, schema: str, wrapper: str | None = None) -> DataFrame:
     """The elements of a file's array, or of the array in field `wrapper`, by `schema`; a record that doesn't parse is an error."""
     at = 1 if wrapper is None else 2
-    p = pieces(spark, path).withColumn("ends", F.col("closes") & (F.col("depth") == at))
+    p = pieces(spark, path).withColumn("at", F.struct("block", "place"))
+    ends = F.col("closes") & (F.col("depth") == at)
+    if wrapper is not None:
+        # Between the piece that opens the array and the one that leaves it; a row a file.
+        opens = p.groupBy("file").agg(F.min(F.when(F.col("text").rlike(rf'"{wrapper}"\s*:\s*\['), F.col("at"))).alias("__start"))
+        p = p.join(opens, "file")
+        stops = p.groupBy("file").agg(F.min(F.when((F.col("at") >= F.col("__start")) & (F.col("depth") < at), F.col("at"))).alias("__stop"))
+        p = p.join(stops, "file")
+        ends = ends & (F.col("at") >= F.col("__start")) & (F.col("__stop").isNull() | (F.col("at") < F.col("__stop")))
+    p = p.withColumn("ends", F.coalesce(ends, F.lit(False)))
     own, before = W.partitionBy("file", "block").orderBy("place").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     per = p.groupBy("file", "block").agg(F.count_if("ends").alias("__n")).select("file", "block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))  # a row a split
-    numbered = p.join(F.broadcast(per), ["file", "block"]).withColumn("record", F.col("__first") + F.coalesce(F.sum(F.col("ends").cast("long")).over(own), F.lit(0)))
+    numbered = p.join(per, ["file", "block"]).withColumn("record", F.col("__first") + F.coalesce(F.sum(F.col("ends").cast("long")).over(own), F.lit(0)))
     whole = numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "place", "text"))).alias("ps"), F.max("ends").alias("done")).filter("done")
     text = F.concat(F.array_join(F.transform("ps", lambda x: x["text"]), "}"), F.lit("}"))
     # The first record's text begins with what opens the array, any other with a comma.
