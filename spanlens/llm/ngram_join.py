@@ -11,9 +11,9 @@ copies are never paired. The steps:
    BLOCK texts or WEIGHT shingles, so a task holds two blocks at most and no pair
    is a row. A component of more than WIDE blocks (texts that a chain of chance
    meetings joins) is not compared as a whole: each band list in it is a group
-   of its own, cut in blocks likewise, and a pair is compared in the first list
-   that it shares. So a text is copied at most once for each of its band lists,
-   however large its component is.
+   of its own, cut in blocks likewise, and a link counts in the first list that
+   its pair shares. So in each of its band lists a text is copied once for each
+   block of the list, and a pair is compared in every list that it shares.
 3. In a task, MinHash values are compared ROW at a time over all pairs still
    open. With a uniform prior the posterior of similarity s after m of n matches
    is Beta(m + 1, n - m + 1); a pair is dropped as soon as P(s >= 0.8) falls
