@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import sources
+from .. import audit, sources
 from ..functions import text as tx
 from ..operators import align, rank
 from ..sources import table, wrapped
-from .contracts import pairs, pairs_sql
+from .contracts import auc_sql, kappa_sql, pairs, pairs_sql, r9
 from .registry import query
 
 P = "WITH " + pairs_sql()
@@ -214,3 +214,28 @@ def side_summary(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     t = table(spark, d, "orders").select(F.col("o_orderstatus").alias("side"), F.col("o_orderpriority").alias("status"), F.when(k % 9 == 0, F.lit("  ")).otherwise("text").alias("text"), F.when(k % 10 == 0, F.lit("e")).when(k % 3 == 0, F.lit("")).alias("error"))
     return rank.side_summary(t, "side", "text", "status", "error")
+
+
+_AP = "(SELECT sum(p * cp / CAST(cn AS DOUBLE)) / sum(p) AS ap FROM (SELECT n, p, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM (SELECT m, count(*) AS n, sum({y}) AS p FROM a GROUP BY m) WINDOW w AS (ORDER BY m DESC)))"
+
+
+@query(
+    f"{P}, a AS (SELECT id, -s AS m, CAST(z <> z_comp AS INT) AS sf, CAST(y <> q AS INT) AS sm, z, z_comp, y, q FROM pair), k AS (SELECT {kappa_sql('sf', 'sm')} AS kp, {kappa_sql('z', 'y')} AS ka, {kappa_sql('z_comp', 'q')} AS kb, count(*) AS n, sum(sm) AS p FROM a), "
+    f"v AS (SELECT k.*, x.auc AS xs, y.auc AS ys, ps.ap AS ps, pm.ap AS pm FROM k, {auc_sql('a', 'm', 'sf')} x, {auc_sql('a', 'm', 'sm')} y, {_AP.format(y='sf')} ps, {_AP.format(y='sm')} pm), b AS (SELECT DISTINCT unnest([10, CAST(round_even(0.05 * n, 0) AS BIGINT), p]) AS b FROM k), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, id) AS rk FROM a) "
+    "SELECT b AS budget, count(*) AS routed, CAST(sum(sm) AS BIGINT) AS n_semantic, CAST(sum(sf) AS BIGINT) AS n_surface, count(*) FILTER (y = 1 AND q = 1) AS n_both, count(*) FILTER (y = 0 AND q = 0) AS n_neither, round(avg(m), 9) AS mean_metric, round(max(xs), 9) AS auc_surface, round(max(ys), 9) AS auc_semantic, round(max(ps - pm), 9) AS ap_gap, round(max(kp), 9) AS kappa_pair, round(max(CASE WHEN ka IS NULL THEN kb WHEN kb IS NULL THEN ka ELSE (ka + kb) / 2 END), 9) AS kappa_sides, "
+    "max(CASE WHEN xs - ys >= 0.15 AND coalesce(CASE WHEN ka IS NULL THEN kb WHEN kb IS NULL THEN ka ELSE (ka + kb) / 2 END, kp) <= 0.2 THEN 'FAIL' WHEN xs - ys >= 0.1 OR ps - pm >= 0.1 THEN 'WARN' ELSE 'PASS' END) AS status FROM r, b, v WHERE rk <= b GROUP BY b"
+)
+def audit_files(spark: SparkSession, d: str) -> DataFrame:
+    """The whole audit from four files of different kinds and field names to its report, read back."""
+    p = pairs(spark, d)
+    at = sources.scratch(spark, "audit-files")
+    word = lambda c, yes, no: F.when(F.col(c) == 1, yes).otherwise(no)
+    sources.write_rows(p.select("id", F.lit("x").alias("output")), f"{at}/outputs.jsonl", "json")
+    sources.write_rows(p.select("id", word("z", "Yes", "no").alias("label_a"), word("z_comp", "refusal", "comply").alias("label_b")), f"{at}/surface.csv", "csv")
+    sources.write_wrapped(p.select("id", F.col("y").alias("semantic_a"), (F.col("q") == 1).alias("semantic_b")), f"{at}/semantic.json", "records")
+    sources.write_rows(p.select("id", F.col("s").cast("double").alias("distance")), f"{at}/scores.parquet", "parquet")
+    audit.audit(spark, f"{at}/outputs.jsonl", f"{at}/surface.csv", f"{at}/semantic.json", f"{at}/scores.parquet", f"{at}/report", lower=True)
+    one, many = (sources.read_rows(spark, f"{at}/report/{part}.json") for part in ("summary", "routed"))
+    shown = [r9(F.col(c)).alias(c) for c in ("auc_surface", "auc_semantic", "ap_gap", "kappa_pair", "kappa_sides")]
+    both = many.drop("audit").crossJoin(F.broadcast(one.select(*shown, "status")))  # one row
+    return both.select("budget", "routed", "n_semantic", "n_surface", "n_both", "n_neither", r9(F.col("mean_metric")).alias("mean_metric"), *(F.col(c) for c in ("auc_surface", "auc_semantic", "ap_gap", "kappa_pair", "kappa_sides")), "status")
