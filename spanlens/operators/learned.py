@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import kept
 from .resample import numbered
 
 
@@ -48,7 +49,7 @@ def oof_logistic(df: DataFrame, key: str, features: Sequence[str], y: str, k: in
     k = min(k, least.m or 0) if least.c == 2 else 0
     if k < 2:
         return df.select(key, y, F.lit(None).cast("int").alias("fold"), F.lit(None).cast("double").alias("score"))
-    rows = folds(df.select(key, y, *features), key, y, k, seed).persist()
+    rows = kept(folds(df.select(key, y, *features), key, y, k, seed), "folds")
     parts = []
     for f in range(k):
         model = fit_logistic(rows.filter(F.col("fold") != f), features, y)
@@ -60,7 +61,7 @@ def oof_targets(df: DataFrame, key: str, features: Sequence[str], targets: Seque
     """target, n, n_pos, auc of out-of-fold scores for several targets, all on the folds of the first."""
     from .rank import auc
 
-    rows = folds(df.select(key, *targets, *features), key, targets[0], k, seed).persist()
+    rows = kept(folds(df.select(key, *targets, *features), key, targets[0], k, seed), "folds")
     parts = []
     for t in targets:
         scored = [predict(fit_logistic(rows.filter(F.col("fold") != f), features, t), rows.filter(F.col("fold") == f), features).select(F.col(t).alias("y"), F.col("__p").alias("s")) for f in range(k)]
@@ -70,7 +71,7 @@ def oof_targets(df: DataFrame, key: str, features: Sequence[str], targets: Seque
 
 def oof_text(df: DataFrame, key: str, text: str, y: str, k: int = 5, vocabulary: int = 10_000, seed: int = 0) -> DataFrame:
     """key, y, fold, score of TF-IDF unigrams and bigrams into a logistic regression, out of fold."""
-    rows = folds(df.select(key, y, F.coalesce(text, F.lit("")).alias("text")), key, y, k, seed).withColumn("__y", F.col(y).cast("double")).persist()
+    rows = kept(folds(df.select(key, y, F.coalesce(text, F.lit("")).alias("text")), key, y, k, seed).withColumn("__y", F.col(y).cast("double")), "folds")
     parts = []
     for f in range(k):
         stages = [
@@ -90,9 +91,9 @@ def oof_text(df: DataFrame, key: str, text: str, y: str, k: int = 5, vocabulary:
 
 def probe(df: DataFrame, key: str, features: Sequence[str], label: str, k: int = 5, least: int = 5, seed: int = 0) -> DataFrame:
     """rows, classes, balanced_accuracy of an out-of-fold one-vs-rest probe; classes under `least` rows are left out."""
-    kept = df.groupBy(label).agg(F.count("*").alias("c")).filter(F.col("c") >= least).orderBy(label).collect()  # one row a class
-    place = F.create_map(*(F.lit(x) for i, r in enumerate(kept) for x in (r[0], float(i))))
-    rows = folds(df.select(key, label, *features).withColumn("__y", place[F.col(label)]).dropna(subset=["__y"]), key, "__y", k, seed).persist()
+    classes = df.groupBy(label).agg(F.count("*").alias("c")).filter(F.col("c") >= least).orderBy(label).collect()  # one row a class
+    place = F.create_map(*(F.lit(x) for i, r in enumerate(classes) for x in (r[0], float(i))))
+    rows = kept(folds(df.select(key, label, *features).withColumn("__y", place[F.col(label)]).dropna(subset=["__y"]), key, "__y", k, seed), "folds")
     parts = []
     for f in range(k):
         stages = [VectorAssembler(inputCols=list(features), outputCol="__v"), StandardScaler(inputCol="__v", outputCol="features", withMean=True), OneVsRest(classifier=LogisticRegression(maxIter=50, regParam=1e-3), labelCol="__y", predictionCol="__said")]
