@@ -216,7 +216,7 @@ def side_summary(spark: SparkSession, d: str) -> DataFrame:
     return rank.side_summary(t, "side", "text", "status", "error")
 
 
-_AP = "(SELECT sum(p * cp / CAST(cn AS DOUBLE)) / sum(p) AS ap FROM (SELECT n, p, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM (SELECT m, count(*) AS n, sum({y}) AS p FROM a GROUP BY m) WINDOW w AS (ORDER BY m DESC)))"
+_AP = "(SELECT CASE WHEN sum(p) > 0 THEN sum(p * cp / CAST(cn AS DOUBLE)) / sum(p) END AS ap FROM (SELECT n, p, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM (SELECT m, count(*) AS n, sum({y}) AS p FROM a GROUP BY m) WINDOW w AS (ORDER BY m DESC)))"
 
 
 @query(

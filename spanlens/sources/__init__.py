@@ -175,10 +175,10 @@ def pickled(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_wrapped(df: DataFrame, path: str, name: str, head: dict[str, str] | None = None) -> None:
-    """One JSON document {head, name: [rows]}: for reports and small record files, since its rows meet in one task."""
+    """One JSON document {head, name: [rows]}, nulls kept: for reports and small record files, since its rows meet in one task."""
     rows = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
     out = rows.select(*(F.lit(v).alias(k) for k, v in (head or {}).items()), name)
-    out.select(F.to_json(F.struct(*out.columns), {"pretty": "true"}).alias("value")).coalesce(1).write.text(path)
+    out.select(F.to_json(F.struct(*out.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
 
 
 def write_report(df: DataFrame, path: str, head: dict[str, str] | None = None) -> None:
