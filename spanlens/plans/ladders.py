@@ -189,7 +189,7 @@ _CUTS = ((0.05, 0.02), (0.10, 0.05), (0.15, 0.10), (0.20, 0.15), (0.40, 0.30))
 
 @query(
     f"WITH {_cells_sql()}, {chain_sql()}, r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, {_switched(*s)} AS verdict FROM chain" for n, s in _SWITCHES.items()) + " UNION ALL "
-    + " UNION ALL ".join(f"SELECT 'cut {m:.2f}' AS rule, {_case([(c.replace('0.15', str(m)).replace('>= 0.1', f'>= {x}') if c.startswith('d_dis') else c, v) for c, v, _ in _REASONS[1:]], 'ALIGNED')} AS verdict FROM chain" for m, x in _CUTS)
+    + " UNION ALL ".join(f"SELECT 'cut {m:.2f}' AS rule, {_case([*((c, v) for c, v, _ in _REASONS[1:] if not c.startswith('d_dis')), (f'd_dis >= {m}', 'MISMATCH'), (f'd_dis >= {x}', 'CAUTION')], 'ALIGNED')} AS verdict FROM chain" for m, x in _CUTS)
     + ") SELECT rule, verdict, count(*) AS contracts FROM r GROUP BY ALL"
 )
 def verdict_tally(spark: SparkSession, d: str) -> DataFrame:
