@@ -8,14 +8,21 @@ instead of a self-join.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import body, hashed, tokens
+from ..sources import kept
+
+#: Characters of a task that counts terms; terms of a vocabulary that is broadcast, and of one with its deviates.
+CHARS_A_TASK, BROADCAST_TERMS, PROJECTED_TERMS = 1 << 21, 1_000_000, 20_000
 
 
 def word_grams(text: Column, two: bool = True) -> Column:
@@ -53,15 +60,25 @@ def _grams(w: Column, n: int, many: Column) -> Column:
 
 
 def term_counts(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams) -> DataFrame:
-    """pair, term, ta, tb: counts on either side."""
-    sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("t")), F.struct(F.lit(1).alias("side"), F.col("b").alias("t")))).alias("x")).select("pair", "x.side", "x.t")
+    """pair, term, ta, tb: counts on either side, partitioned by pair.
+
+    Texts are dealt by pair before they are cut into terms, so that the counts
+    and whatever is summed by pair from them need no shuffle of (pair, term) rows.
+    As many tasks as keep a task's terms in memory: one number is read ahead.
+    """
+    chars = pairs.agg(F.sum(F.length(body("a")) + F.length(body("b"))).alias("n")).first().n or 0
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHARS_A_TASK))
+    sides = pairs.repartition(tasks, "pair").select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("t")), F.struct(F.lit(1).alias("side"), F.col("b").alias("t")))).alias("x")).select("pair", "x.side", "x.t")
     terms = sides.select("pair", "side", F.explode(grams(F.col("t"))).alias("term"))
     return terms.groupBy("pair", "term").agg(F.count_if(F.col("side") == 0).alias("ta"), F.count_if(F.col("side") == 1).alias("tb"))
 
 
 def cosine(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
     """pair, distance: 1 - cosine of (wa, wb) by pair; 1 if a side has no weight."""
-    sums = weighted.groupBy("pair").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wa") * F.col("wa")).alias("aa"), F.sum(F.col("wb") * F.col("wb")).alias("bb"))
+    return _distance(pairs, weighted.groupBy("pair").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wa") * F.col("wa")).alias("aa"), F.sum(F.col("wb") * F.col("wb")).alias("bb")))
+
+
+def _distance(pairs: DataFrame, sums: DataFrame) -> DataFrame:
     near = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("dot") / F.sqrt(F.col("aa")) / F.sqrt(F.col("bb"))).otherwise(F.lit(0.0))
     return pairs.select("pair").join(sums.select("pair", near.alias("near")), "pair", "left").select("pair", (1 - F.coalesce("near", F.lit(0.0))).alias("distance"))
 
@@ -77,18 +94,28 @@ def tfidf_weights(pairs: DataFrame, grams: Callable[[Column], Column] = word_gra
     """pair, term, wa, wb by idf = ln((1 + N) / (1 + df)) + 1 and, if sublinear, 1 + ln(tf). `fit_on`: other pairs to learn terms from."""
     counts = term_counts(pairs, grams)
     fitted = counts if fit_on is None else term_counts(fit_on, grams)
-    n = (pairs if fit_on is None else fit_on).agg((F.count("*") * 2).alias("docs"))
-    vocab = vocabulary(fitted, most, min_df).crossJoin(F.broadcast(n))  # one row
+    return _weighted(counts, _idf(fitted, pairs if fit_on is None else fit_on, most, min_df), sublinear)
+
+
+def _idf(counts: DataFrame, pairs: DataFrame, most: int | None, min_df: int) -> DataFrame:
+    """term, idf of the vocabulary, written once."""
+    n = pairs.agg((F.count("*") * 2).alias("docs"))
+    vocab = vocabulary(counts, most, min_df).crossJoin(F.broadcast(n))  # one row
     idf = F.log((1 + F.col("docs")) / (1 + F.col("df")).cast("double")) + 1
-    vocab = vocab.select("term", idf.alias("idf"))
-    if most and most <= 50_000:
-        vocab = F.broadcast(vocab)  # at most `most` rows
+    return kept(vocab.select("term", idf.alias("idf")), "vocabulary")
+
+
+def _weighted(counts: DataFrame, vocab: DataFrame, sublinear: bool) -> DataFrame:
+    """The counts' columns by pair and term of the vocabulary, weighted; vocabularies of up to BROADCAST_TERMS terms go to the counts, beyond that both are shuffled by term."""
+    if vocab.count() <= BROADCAST_TERMS:
+        vocab = F.broadcast(vocab)
 
     def weight(t: str) -> Column:
         tf = 1 + F.log(F.col(t).cast("double")) if sublinear else F.col(t).cast("double")
         return F.when(F.col(t) > 0, tf * F.col("idf")).otherwise(F.lit(0.0))
 
-    return counts.join(vocab, "term").select("pair", "term", weight("ta").alias("wa"), weight("tb").alias("wb"))
+    rest = [c for c in vocab.columns if c not in ("term", "idf")]
+    return counts.join(vocab, "term").select("pair", "term", weight("ta").alias("wa"), weight("tb").alias("wb"), *rest)
 
 
 def tfidf(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams, most: int | None = 10_000, min_df: int = 1, sublinear: bool = True, fit_on: DataFrame | None = None) -> DataFrame:
@@ -146,14 +173,52 @@ def embedding_distance(a: Column, b: Column) -> Column:
 def projected_distance(pairs: DataFrame, seed: int | str, width: int = 384, grams: Callable[[Column], Column] = word_grams, most: int | None = 10_000) -> DataFrame:
     """Cosine distance after a random projection of the TF-IDF weights to `width` coordinates by normal deviates, which come from a hash of (term, coordinate).
 
-    The deviates of the vocabulary (at most `most` terms) are made once and
-    summed by pair and coordinate before anything is shuffled.
+    The deviates of a vocabulary of up to PROJECTED_TERMS terms are one matrix that
+    all tasks read; a task sums its pairs' terms, in the order of pairs, batch by
+    batch. Without such a bound they are rows by term and coordinate.
     """
-    weighted = tfidf_weights(pairs, grams, most)
-    deviates = weighted.select("term").distinct().select("term", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("slot")).withColumn("r", normal_deviate(seed, F.col("term"), F.col("slot")))
-    spread = weighted.join(deviates, "term").select("pair", "slot", "wa", "wb", "r")
-    low = spread.groupBy("pair", "slot").agg(F.sum(F.col("r") * F.col("wa")).alias("wa"), F.sum(F.col("r") * F.col("wb")).alias("wb"))
-    return cosine(pairs, low)
+    counts = term_counts(pairs, grams)
+    vocab = _idf(counts, pairs, most, 1)
+    if most is None or most > PROJECTED_TERMS:
+        weighted = _weighted(counts, vocab, True)
+        deviates = vocab.select("term", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("slot")).withColumn("r", normal_deviate(seed, F.col("term"), F.col("slot")))
+        spread = weighted.join(deviates, "term").select("pair", "slot", "wa", "wb", "r")
+        low = spread.groupBy("pair", "slot").agg(F.sum(F.col("r") * F.col("wa")).alias("wa"), F.sum(F.col("r") * F.col("wb")).alias("wb"))
+        return cosine(pairs, low)
+    spark = pairs.sparkSession
+    placed = kept(vocab.withColumn("place", F.row_number().over(W.orderBy("term")) - 1), "places")  # at most `most` rows
+    made = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("place", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda slot: normal_deviate(seed, F.col("term"), slot)).alias("r")).toArrow()
+    matrix = np.zeros((made.num_rows, width))
+    matrix[made["place"].to_numpy()] = made["r"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+    shared = spark.sparkContext.broadcast(matrix)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deviates, open_pair, open_sums = shared.value, None, None
+
+        def closed(ids: list, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"pair": pa.array(ids, pa.int64()), "dot": (a * b).sum(1), "aa": (a * a).sum(1), "bb": (b * b).sum(1)})
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ids, place, wa, wb = (part.column(c).to_numpy() for c in ("pair", "place", "wa", "wb"))
+                starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                r = deviates[place]
+                a, b, ids = np.add.reduceat(r * wa[:, None], starts), np.add.reduceat(r * wb[:, None], starts), ids[starts]
+                if open_pair == ids[0]:
+                    a[0] += open_sums[0]
+                    b[0] += open_sums[1]
+                elif open_pair is not None:
+                    yield closed([open_pair], *(x[None] for x in open_sums))
+                if len(ids) > 1:
+                    yield closed(list(ids[:-1]), a[:-1], b[:-1])
+                open_pair, open_sums = ids[-1], (a[-1], b[-1])
+        if open_pair is not None:
+            yield closed([open_pair], *(x[None] for x in open_sums))
+
+    # Terms without weight on a side count as zeros there.
+    rows = _weighted(counts, placed, True).select(F.col("pair").cast("long").alias("pair"), "place", "wa", "wb").sortWithinPartitions("pair")
+    return _distance(pairs, rows.mapInArrow(sums, "pair long, dot double, aa double, bb double"))
 
 
 def normal_deviate(seed: int | str, *parts: Column) -> Column:

@@ -67,3 +67,28 @@ def test_held_out_cut_and_folds(spark):
         for k in range(3):
             expected |= {r.pair: r.distance for r in distance.tfidf(p.filter(fold == k), fit_on=p.filter(fold != k), most=most).collect()}
         assert got == pytest.approx(expected) and len(got) == 3
+
+
+def test_counts_of_terms_are_not_shuffled(spark):
+    p = spark.createDataFrame([(1, "a bb ccc", "bb dd"), (2, "ccc bb", ""), (3, None, None)], "pair int, a string, b string")
+    plan = distance.tfidf(p, lambda c: distance.char_grams(c, 3, 5), most=None, min_df=2)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning(pair" in x and "term" in x]
+
+
+def test_projection_sums_pairs_across_batches(spark):
+    """A pair of more terms than a batch of sums has, empty pairs and one-sided ones; no rows by coordinate."""
+    import numpy as np
+
+    many = " ".join(f"w{i}" for i in range(2600))
+    rows = [(1, many, many + " zz"), (2, "w1 w2 zz", "w3 zz"), (3, "", ""), (4, "w5 w6", None), (5, "w1 w2", "w1 w2")]
+    p = spark.createDataFrame(rows, "pair int, a string, b string")
+    out = distance.projected_distance(p, 5, width=16)
+    assert "slot" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.pair: r.distance for r in out.collect()}
+    w = distance.tfidf_weights(p).withColumn("r", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda s: distance.normal_deviate(5, F.col("term"), s))).toPandas()
+    for k in (1, 2, 5):
+        t = w[w.pair == k]
+        r = np.stack(t.r)
+        a, b = t.wa.to_numpy() @ r, t.wb.to_numpy() @ r
+        assert abs(got[k] - (1 - a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))) < 1e-9
+    assert got[3] == got[4] == 1
