@@ -101,10 +101,10 @@ def published_versions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, coalesce(text, '') AS text, n_chars AS chars FROM documents")
 def wrapped_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Whole texts in one wrapped JSON file, read by as many tasks as it has splits."""
+    """Whole texts in wrapped JSON files, one for each partition of the table, each read by as many tasks as it has splits."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.col("n_chars").alias("chars"), F.lit('a "}" in a string').alias("note")).alias("meta"))
     at = sources.scratch(spark, "wrapped") + "/a.json"
-    sources.write_wrapped(docs, at, "records", {"phase": "one {", "model": "m"})
+    sources.write_wrapped_parts(docs, at, "records", {"phase": "one {", "model": "m"})
     read = wrapped.records(spark, at, "doc_id bigint, text string, meta struct<chars bigint, note string>", "records")
     return read.select("doc_id", "text", F.col("meta.chars").alias("chars"))
 
@@ -232,7 +232,7 @@ def audit_files(spark: SparkSession, d: str) -> DataFrame:
     word = lambda c, yes, no: F.when(F.col(c) == 1, yes).otherwise(no)
     sources.write_rows(p.select("id", F.lit("x").alias("output")), f"{at}/outputs.jsonl", "json")
     sources.write_rows(p.select("id", word("z", "Yes", "no").alias("label_a"), word("z_comp", "refusal", "comply").alias("label_b")), f"{at}/surface.csv", "csv")
-    sources.write_wrapped(p.select("id", F.col("y").alias("semantic_a"), (F.col("q") == 1).alias("semantic_b")), f"{at}/semantic.json", "records")
+    sources.write_wrapped_parts(p.select("id", F.col("y").alias("semantic_a"), (F.col("q") == 1).alias("semantic_b")), f"{at}/semantic.json", "records")
     sources.write_rows(p.select("id", F.col("s").cast("double").alias("distance")), f"{at}/scores.parquet", "parquet")
     audit.audit(spark, f"{at}/outputs.jsonl", f"{at}/surface.csv", f"{at}/semantic.json", f"{at}/scores.parquet", f"{at}/report", lower=True)
     one, many = (sources.read_rows(spark, f"{at}/report/{part}.json") for part in ("summary", "routed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -181,6 +181,22 @@ def write_wrapped(df: DataFrame, path: str, name: str, head: dict[str, str] | No
     out.select(F.to_json(F.struct(*out.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
 
 
+def write_wrapped_parts(df: DataFrame, path: str, name: str, head: dict[str, str] | None = None) -> None:
+    """JSON documents {head, name: [rows]}, nulls kept: a file for each partition of `df`, written as its rows come, so no cell, task or group holds the table."""
+    lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).rdd
+    opening = json.dumps(head or {})[:-1] + (", " if head else "") + json.dumps(name) + ": ["
+
+    def document(rows: Iterator[Row]) -> Iterator[tuple[str]]:
+        yield (opening,)
+        comma = ""
+        for r in rows:
+            yield (comma + r.value,)
+            comma = ","
+        yield ("]}",)
+
+    df.sparkSession.createDataFrame(lines.mapPartitions(document), "value string").write.text(path)
+
+
 def write_report(df: DataFrame, path: str, head: dict[str, str] | None = None) -> None:
     """The rows of a report as one indented JSON document."""
     write_wrapped(df, path, "rows", head)

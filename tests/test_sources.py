@@ -103,3 +103,15 @@ def test_batches_judged_once(spark, tmp_path):
     for _ in range(2):  # a batch that is run again replaces itself
         streaming.write_batch(rows, out, "r", 7)
     assert spark.read.option("basePath", out).parquet(out).filter("id = 'z'").count() == 1
+
+
+def test_large_wrapped_tables_are_written_row_by_row(spark, tmp_path):
+    """A document for each partition, an empty one among them; null fields stay, and what a string holds is no end of a record."""
+    rows = [(i, None if i % 3 == 0 else f'a "}}, {{" {i}\n') for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3).union(spark.createDataFrame([], "id int, text string"))
+    at = str(tmp_path / "w.json")
+    sources.write_wrapped_parts(df, at, "records", {"phase": "one {"})
+    documents = [json.loads(f.read_text()) for f in (tmp_path / "w.json").glob("part-*")]
+    assert len(documents) >= 3 and {d["phase"] for d in documents} == {"one {"}
+    assert sorted((r["id"], r["text"]) for d in documents for r in d["records"]) == rows
+    assert sorted(tuple(r) for r in wrapped.records(spark, at, "id int, text string", "records").collect()) == rows
