@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import FALSE_WORDS, TRUE_WORDS
 
+#: Rows of a frequent key that stand in a block of one side of a join; links of a task.
+BLOCK, LINKS_A_TASK = 4096, 1 << 22
+
 
 def parse_bool(c: Column | str, strict: bool = True) -> Column:
     """Word or number to boolean; unknown words and NaN raise, or are null if not strict. Null stays null."""
@@ -63,9 +66,26 @@ def lookup(df: DataFrame, found: DataFrame, key: str, fallback: dict[str, object
 
 
 def join_on(a: DataFrame, b: DataFrame, left: Column, right: Column) -> DataFrame:
-    """Inner join on an expression of either side, such as a text without its marks or white space; empty keys meet nothing."""
-    x, y = a.withColumn("__k", left), b.withColumn("__k", right)
-    return x.filter(F.col("__k") != "").join(y.filter(F.col("__k") != ""), "__k").drop("__k")
+    """Inner join on an expression of either side, such as a text without its marks or white space; empty keys meet nothing.
+
+    A frequent key is no hot one: its rows go by a hash to blocks of about BLOCK
+    rows on either side, and each pair of blocks is a key of its own. There are as
+    many tasks as the links need; their number is read ahead.
+    """
+    x, y = a.withColumn("__k", left).filter(F.col("__k") != ""), b.withColumn("__k", right).filter(F.col("__k") != "")
+    n, m = (t.groupBy("__k").agg(F.count("*").alias(c)) for t, c in ((x, "__n"), (y, "__m")))
+    met = n.join(m, "__k").select("__k", (F.col("__n") * F.col("__m")).alias("__links"), F.ceil(F.col("__n") / BLOCK).alias("__ni"), F.ceil(F.col("__m") / BLOCK).alias("__nj"))
+    links = met.agg(F.sum("__links").alias("n")).first().n or 0
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links // LINKS_A_TASK))
+    cut = met.filter((F.col("__ni") > 1) | (F.col("__nj") > 1)).select("__k", "__ni", "__nj")
+
+    def dealt(t: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows in one block of their own side, once for each block of the other."""
+        block = F.pmod(F.xxhash64(*(c for c, kind in t.dtypes if "map<" not in kind)), F.coalesce(f"__n{own}", F.lit(1)))
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"__n{other}", F.lit(1)) - 1))
+        return t.join(cut, "__k", "left").withColumn(f"__{own}", block).withColumn(f"__{other}", others).drop("__ni", "__nj").repartition(tasks, "__k", "__i", "__j")
+
+    return dealt(x, "i", "j").join(dealt(y, "j", "i"), ["__k", "__i", "__j"]).drop("__k", "__i", "__j")
 
 
 def join_with_reasons(df: DataFrame, other: DataFrame, keys: Sequence[str], reasons: Sequence[tuple[Column, str]], kept: str = "kept") -> DataFrame:

@@ -1,6 +1,7 @@
 """Fixtures with known values, and properties."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -206,3 +207,15 @@ def test_sources(spark, tmp_path):
     j = spark.createDataFrame([(1, True, None), (2, None, None), (3, False, "e")], "id int, refusal_judge boolean, error string")
     assert sources.judgements(j).count() == 2 and sources.judgements(j, null_policy="zero").count() == 3 and sources.judgements(j, errors=True).count() == 1
     assert "| 0.500 | - |" in sources.markdown(spark.createDataFrame([(0.5, None)], "a double, b string"))
+
+
+def test_a_frequent_join_key_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(align, "BLOCK", 4)
+    monkeypatch.setattr(align, "LINKS_A_TASK", 20)
+    a = spark.createDataFrame([(i, "A b" if i < 30 else f"k{i}") for i in range(40)] + [(0, "A b"), (99, "")], "x int, s string")
+    b = spark.createDataFrame([(i, "a-B" if i < 9 else f"K {i + 22}") for i in range(14)] + [(98, None)], "y int, t string")
+    out = align.join_on(a, b, tx.plain("s"), tx.plain("t"))
+    expected = [(x, y) for x, s in [(r.x, r.s) for r in a.collect()] for y, t in [(r.y, r.t) for r in b.collect()] if (s, t) == ("A b", "a-B") or (t and s[1:] == t[2:] and s[0] == "k")]
+    assert out.columns == ["x", "s", "y", "t"]
+    assert sorted((r.x, r.y) for r in out.collect()) == sorted(expected)
+    assert out.filter("t = 'a-B'").select(F.spark_partition_id()).distinct().count() > 1
