@@ -92,3 +92,23 @@ def test_projection_sums_pairs_across_batches(spark):
         a, b = t.wa.to_numpy() @ r, t.wb.to_numpy() @ r
         assert abs(got[k] - (1 - a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))) < 1e-9
     assert got[3] == got[4] == 1
+
+
+def test_judgements_of_repeated_texts_are_made_once(monkeypatch):
+    import pandas as pd
+
+    from spanlens.functions import mathtext
+
+    calls = []
+
+    def judge(a, b):
+        calls.append((a, b))
+        return None if a is None else a == b
+
+    batch = (pd.Series(["1", "2", "1", None], dtype=object), pd.Series(["1", "3", "1", "x"], dtype=object))
+    got = [list(s) for s in mathtext.judged_once(judge)(iter([batch, batch]))]
+    assert got[0] == got[1] and got[0][:3] == [True, False, True] and got[0][3] is pd.NA
+    assert len(calls) == 3
+    monkeypatch.setattr(mathtext, "KEPT_TEXTS", 1)
+    again = [list(s) for s in mathtext.judged_once(judge)(iter([batch, batch]))]
+    assert [x[:3] for x in again] == [x[:3] for x in got] and len(calls) > 6
