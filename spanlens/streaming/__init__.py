@@ -35,7 +35,8 @@ def judge_once(stream: DataFrame, key: str, out: str, checkpoint: str, judge: Ca
     before = judged(spark, out, key, label, other_than=run)
     fresh = stream.dropDuplicates([key])
     if before is not None:
-        fresh = fresh.join(before.filter(F.col(label).isNotNull()).select(key), key, "left_anti")
+        # Both sides are shuffled: the keys of earlier runs grow with the table and go to no driver.
+        fresh = fresh.join(before.filter(F.col(label).isNotNull()).select(key).hint("merge"), key, "left_anti")
     writer = fresh.writeStream.foreachBatch(lambda batch, number: write_batch(judge(batch), out, run, number))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

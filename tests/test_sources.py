@@ -115,3 +115,16 @@ def test_large_wrapped_tables_are_written_row_by_row(spark, tmp_path):
     assert len(documents) >= 3 and {d["phase"] for d in documents} == {"one {"}
     assert sorted((r["id"], r["text"]) for d in documents for r in d["records"]) == rows
     assert sorted(tuple(r) for r in wrapped.records(spark, at, "id int, text string", "records").collect()) == rows
+
+
+def test_keys_of_earlier_runs_are_not_sent_to_the_driver(spark, tmp_path):
+    for k in range(2):
+        spark.createDataFrame([(k, "a"), (2, "b")], "id int, v string").write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for run in ("one", "two"):
+        stream = spark.readStream.schema("id int, v string").parquet(str(tmp_path / "in"))
+        q = streaming.judge_once(stream, "id", out, str(tmp_path / run), lambda b: b.withColumn("label", F.when(F.col("v") == "a", True)))
+        q.awaitTermination()
+    plan = q._jsq.explainInternal(False)
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert sorted((r.id, r.label) for r in streaming.judged(spark, out, "id").collect()) == [(0, True), (1, True), (2, None)]
