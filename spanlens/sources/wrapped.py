@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import kept
+
 #: A character of a string, plain or escaped.
 _CHAR = r'(?:[^"\\]|\\.)'
 
@@ -45,31 +47,47 @@ def _count(text: Column, marks: str) -> Column:
     return F.length(text) - F.length(F.translate(text, marks, ""))
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, place, text, inside, depth, closes: pieces in the order of the file, whether each begins inside a string, the depth at its end, and whether a brace outside of strings ends it."""
-    raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
-    counted = raw.withColumn("quotes", _quotes(F.col("text")))
+def _raw(spark: SparkSession, path: str, opening: str | None = None) -> DataFrame:
+    """file, block, place, text and counts of a piece, written once: how a file is split may differ between two readings."""
+    raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+    text = F.col("text")
+    level = lambda out: _count(out, "{[") - _count(out, "}]")
+    return kept(raw.select("file", "block", "place", "text", _quotes(text).alias("quotes"), level(_outside(text, F.lit(False))).alias("__free"), level(_outside(text, F.lit(True))).alias("__held"), (text.rlike(opening) if opening else F.lit(False)).alias("opens")), "pieces")
+
+
+def _marks(raw: DataFrame) -> DataFrame:
+    """file, block, place, inside, depth, closes, opens (the piece has the opening): windows over the pieces' numbers, without their texts."""
+    counted = raw.drop("text")
     # A row a split.
     own, before = W.partitionBy("file", "block").orderBy("place"), W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     per = counted.groupBy("file", "block").agg(F.sum("quotes").alias("__q"))
     per = per.select("file", "block", F.coalesce(F.sum("__q").over(before), F.lit(0)).alias("__before"))
     odd = counted.join(per, ["file", "block"]).withColumn("__so_far", F.col("__before") + F.coalesce(F.sum("quotes").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    known = odd.withColumn("inside", F.col("__so_far") % 2 == 1).withColumn("ends_inside", (F.col("__so_far") + F.col("quotes")) % 2 == 1)
-    out = _outside(F.col("text"), F.col("inside"))
-    turned = known.withColumn("closes", ~F.col("ends_inside")).withColumn("__d", _count(out, "{[") - _count(out, "}]") - F.col("closes").cast("int"))
+    known = odd.withColumn("inside", F.col("__so_far") % 2 == 1).withColumn("closes", (F.col("__so_far") + F.col("quotes")) % 2 == 0)
+    turned = known.withColumn("__d", F.when(F.col("inside"), F.col("__held")).otherwise(F.col("__free")) - F.col("closes").cast("int"))
     sums = turned.groupBy("file", "block").agg(F.sum("__d").alias("__t")).select("file", "block", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
     depth = F.col("__base") + F.sum("__d").over(own.rowsBetween(W.unboundedPreceding, 0))
-    return turned.join(sums, ["file", "block"]).select("file", "block", "place", "text", "inside", depth.alias("depth"), "closes")
+    return turned.join(sums, ["file", "block"]).select("file", "block", "place", "inside", depth.alias("depth"), "closes", "opens")
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, place, text, inside, depth, closes: pieces in the order of the file, whether each begins inside a string, the depth at its end, and whether a brace outside of strings ends it."""
+    raw = _raw(spark, path)
+    return raw.select("file", "block", "place", "text").join(_marks(raw).drop("opens"), ["file", "block", "place"])
 
 
 def records(spark: SparkSession, path: str, schema: str, wrapper: str | None = None) -> DataFrame:
-    """The elements of a file's array, or of the array in field `wrapper`, by `schema`; a record that doesn't parse is an error."""
+    """The elements of a file's array, or of the array in field `wrapper`, by `schema`; a record that doesn't parse is an error.
+
+    Texts are shuffled twice: to the numbers of their records, and to each other.
+    """
     at = 1 if wrapper is None else 2
-    p = pieces(spark, path).withColumn("at", F.struct("block", "place"))
+    raw = _raw(spark, path, None if wrapper is None else rf'"{wrapper}"\s*:\s*\[')
+    p = kept(_marks(raw).withColumn("at", F.struct("block", "place")), "marks")
     ends = F.col("closes") & (F.col("depth") == at)
     if wrapper is not None:
         # Between the piece that opens the array and the one that leaves it; a row a file.
-        opens = p.groupBy("file").agg(F.min(F.when(F.col("text").rlike(rf'"{wrapper}"\s*:\s*\['), F.col("at"))).alias("__start"))
+        opens = p.groupBy("file").agg(F.min(F.when(F.col("opens"), F.col("at"))).alias("__start"))
         p = p.join(opens, "file")
         stops = p.groupBy("file").agg(F.min(F.when((F.col("at") >= F.col("__start")) & (F.col("depth") < at), F.col("at"))).alias("__stop"))
         p = p.join(stops, "file")
@@ -78,6 +96,7 @@ def records(spark: SparkSession, path: str, schema: str, wrapper: str | None = N
     own, before = W.partitionBy("file", "block").orderBy("place").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     per = p.groupBy("file", "block").agg(F.count_if("ends").alias("__n")).select("file", "block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))  # a row a split
     numbered = p.join(per, ["file", "block"]).withColumn("record", F.col("__first") + F.coalesce(F.sum(F.col("ends").cast("long")).over(own), F.lit(0)))
+    numbered = raw.select("file", "block", "place", "text").join(kept(numbered.select("file", "block", "place", "record", "ends"), "numbers"), ["file", "block", "place"])
     whole = numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "place", "text"))).alias("ps"), F.max("ends").alias("done")).filter("done")
     text = F.concat(F.array_join(F.transform("ps", lambda x: x["text"]), "}"), F.lit("}"))
     # The first record's text begins with what opens the array, any other with a comma.
