@@ -14,15 +14,19 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import body, hashed, tokens
+from ..shipping import ship
 from ..sources import kept
 
 #: Characters of a task that counts terms; terms of a vocabulary that is broadcast, and of one with its deviates.
 CHARS_A_TASK, BROADCAST_TERMS, PROJECTED_TERMS = 1 << 21, 1_000_000, 20_000
+#: Characters of the words that are cut into n-grams together.
+CHARS_A_BLOCK = 1 << 20
 
 
 def word_grams(text: Column, two: bool = True) -> Column:
@@ -35,10 +39,14 @@ def word_grams(text: Column, two: bool = True) -> Column:
     return F.concat(t, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
+def spaced_words(text: Column) -> Column:
+    """Lower-case words between white space."""
+    return F.filter(F.split(F.lower(body(text)), r"\s+"), lambda w: w != "")
+
+
 def char_grams(text: Column, lo: int, hi: int, in_words: bool = True) -> Column:
     """Character n-grams, within words padded by a space on each side, or over the whole text."""
-    t = F.lower(body(text))
-    words = F.transform(F.filter(F.split(t, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" "))) if in_words else F.array(t)
+    words = F.transform(spaced_words(text), lambda w: F.concat(F.lit(" "), w, F.lit(" "))) if in_words else F.array(F.lower(body(text)))
 
     def of(w: Column) -> Column:
         parts = []
@@ -86,7 +94,11 @@ def _distance(pairs: DataFrame, sums: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, most: int | None = 10_000, min_df: int = 1) -> DataFrame:
     """term, df: documents with the term (a side is a document); the `most` terms of largest count, ties by term."""
     t = counts.groupBy("term").agg(F.sum(F.col("ta") + F.col("tb")).alias("tf"), F.sum((F.col("ta") > 0).cast("int") + (F.col("tb") > 0).cast("int")).alias("df"))
-    t = t.filter(F.col("df") >= min_df)
+    return _most_frequent(t, most, min_df)
+
+
+def _most_frequent(terms: DataFrame, most: int | None, min_df: int) -> DataFrame:
+    t = terms.filter(F.col("df") >= min_df)
     return t.orderBy(F.desc("tf"), "term").limit(most) if most else t
 
 
@@ -99,8 +111,12 @@ def tfidf_weights(pairs: DataFrame, grams: Callable[[Column], Column] = word_gra
 
 def _idf(counts: DataFrame, pairs: DataFrame, most: int | None, min_df: int) -> DataFrame:
     """term, idf of the vocabulary, written once."""
+    return _with_idf(vocabulary(counts, most, min_df), pairs)
+
+
+def _with_idf(vocab: DataFrame, pairs: DataFrame) -> DataFrame:
     n = pairs.agg((F.count("*") * 2).alias("docs"))
-    vocab = vocabulary(counts, most, min_df).crossJoin(F.broadcast(n))  # one row
+    vocab = vocab.crossJoin(F.broadcast(n))  # one row
     idf = F.log((1 + F.col("docs")) / (1 + F.col("df")).cast("double")) + 1
     return kept(vocab.select("term", idf.alias("idf")), "vocabulary")
 
@@ -123,6 +139,132 @@ def tfidf(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams, most
     return cosine(pairs, tfidf_weights(pairs, grams, most, min_df, sublinear, fit_on))
 
 
+def char_tfidf(pairs: DataFrame, lo: int, hi: int, most: int | None = 10_000, min_df: int = 1, sublinear: bool = True) -> DataFrame:
+    """pair, distance as `tfidf` gives it with `char_grams(text, lo, hi)`.
+
+    Spark counts the words of a pair, some twelve times fewer rows than its n-grams;
+    tasks cut each different word of a block of pairs once and add up the n-grams of
+    a pair in arrays. What is shuffled is a row a task and n-gram for the vocabulary.
+    A pair is held whole. Vocabularies of up to BROADCAST_TERMS terms go to all tasks;
+    beyond that counts by pair and n-gram become rows and meet them in a join.
+    """
+    spark, kind = pairs.sparkSession, pairs.schema["pair"].dataType.simpleString()
+    ship(spark)
+    words = term_counts(pairs, spaced_words).sortWithinPartitions("pair")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _whole_pairs(batches):
+            _, terms, _, term, ta, tb = _gram_counts(block, lo, hi)
+            count = lambda n: np.bincount(term, n, len(terms)).astype("int64")
+            yield pa.RecordBatch.from_pydict({"term": terms, "tf": count(ta + tb), "df": count((ta > 0) + (tb > 0).astype("int64"))})
+
+    terms = words.mapInArrow(found, "term string, tf bigint, df bigint").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    vocab = _with_idf(_most_frequent(terms, most, min_df), pairs)
+    if vocab.count() > BROADCAST_TERMS:
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _whole_pairs(batches):
+                ids, terms, pair, term, ta, tb = _gram_counts(block, lo, hi)
+                yield pa.RecordBatch.from_pydict({"pair": ids.take(pa.array(pair)), "term": terms.take(pa.array(term)), "ta": ta, "tb": tb})
+
+        return cosine(pairs, _weighted(words.mapInArrow(rows, f"pair {kind}, term string, ta bigint, tb bigint"), vocab, sublinear))
+    shared = spark.sparkContext.broadcast(vocab.toArrow())
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = shared.value["term"].combine_chunks(), shared.value["idf"].to_numpy()
+        for block in _whole_pairs(batches):
+            ids, _, pair, term, ta, tb = _gram_counts(block, lo, hi, known)
+            a, b = (np.where(n > 0, 1 + np.log(np.maximum(n, 1)) if sublinear else n, 0.0) * idf[term] for n in (ta, tb))
+            starts = np.flatnonzero(np.diff(pair, prepend=-1))
+            yield pa.RecordBatch.from_pydict({"pair": ids.take(pa.array(pair[starts])), **{c: np.add.reduceat(x, starts) for c, x in (("dot", a * b), ("aa", a * a), ("bb", b * b))}})
+
+    return _distance(pairs, words.mapInArrow(sums, f"pair {kind}, dot double, aa double, bb double"))
+
+
+def _whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by pair in blocks of some CHARS_A_BLOCK characters of terms; no pair is divided."""
+    held, chars, limit = [], 0, CHARS_A_BLOCK
+    for batch in batches:
+        held.append(batch)
+        chars += pc.sum(pc.utf8_length(batch["term"])).as_py() or 0
+        if chars >= limit:
+            block = pa.Table.from_batches(held)
+            pair = _coded(block, "pair").indices.to_numpy()
+            last = int(np.searchsorted(pair, pair[-1]))
+            if last:
+                yield block.slice(0, last)
+            held, block = block.slice(last).to_batches(), None
+            chars = sum(pc.sum(pc.utf8_length(b["term"])).as_py() for b in held)
+            limit = max(CHARS_A_BLOCK, 2 * chars)  # a pair beyond a block is not put together at each batch
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _coded(block: pa.Table, column: str) -> pa.DictionaryArray:
+    return block[column].combine_chunks().dictionary_encode("encode")
+
+
+def _gram_counts(block: pa.Table, lo: int, hi: int, known: pa.Array | None = None) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs and n-grams, then by different (pair, n-gram) in the order of pairs: their places and ta, tb. `known`: the n-grams that count, else all of the block."""
+    pairs, words = _coded(block, "pair"), _coded(block, "term")
+    terms, word, term = _cut(words.dictionary.to_pylist(), lo, hi)
+    if known is not None:
+        place = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy()[term]
+        terms, word, term = known, word[place >= 0], place[place >= 0]
+    term = term[np.argsort(word, kind="stable")].astype("int64")
+    size = np.bincount(word, minlength=len(words.dictionary))
+    of = words.indices.to_numpy()
+    row = np.repeat(np.arange(len(of)), size[of])
+    at = np.arange(len(row)) + np.repeat((np.cumsum(size) - size)[of] - (np.cumsum(size[of]) - size[of]), size[of])
+    key, order = _ordered(pairs.indices.to_numpy()[row].astype("int64") * len(terms) + term[at])
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    ta, tb = (np.add.reduceat(block[c].to_numpy()[row[order]], starts) for c in ("ta", "tb"))
+    return pairs.dictionary, terms, key[starts] // max(len(terms), 1), key[starts] % max(len(terms), 1), ta, tb
+
+
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys from 0 on in order, and where each stood; key and place are sorted as one number if they fit."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)) >> (63 - bits):
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort(key << bits | np.arange(len(key)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the different keys, and the number of each key among them."""
+    ordered, order = _ordered(key)
+    new = np.diff(ordered, prepend=-1) != 0
+    number = np.empty(len(key), "int64")
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _cut(words: list[str], lo: int, hi: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different n-grams of different words, padded by a space on each side; for each place of one, its word and which it is.
+
+    An n-gram is numbered by the number of the one that it lengthens and its last character. Words below `lo` are their own.
+    """
+    text = "".join(f" {w} " for w in words)
+    size = np.fromiter(map(len, words), "int64", len(words)) + 2
+    letter = np.frombuffer(text.encode("utf-32-le"), "<u4").astype("int64")
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.cumsum(size)[word] - np.arange(len(word))
+    number, terms, words_of, terms_of = np.zeros(len(word), "int64"), [], [], []
+    for n in range(1, hi + 1):
+        at = np.flatnonzero(left >= n)
+        first, number[at] = _numbered((number[at] << 21) + letter[at + n - 1])
+        kinds = number[at]
+        if n < lo:
+            at = at[size[word[at]] == n]
+            first, kinds = _numbered(number[at])
+        words_of.append(word[at])
+        terms_of.append(kinds + len(terms))
+        terms += [text[p : p + n] for p in at[first].tolist()]
+    return pa.array(terms, pa.string()), np.concatenate(words_of), np.concatenate(terms_of)
+
+
 def held_out_tfidf(pairs: DataFrame, fold: Column, folds: int, grams: Callable[[Column], Column] = word_grams, most: int = 10_000, min_df: int = 1) -> DataFrame:
     """pair, distance of every pair, by terms and idf of the pairs in other folds; 1 where these have none of its terms. `fold`: 0 to `folds` - 1, from `pair`."""
     counts = term_counts(pairs, grams).withColumn("fold", fold.cast("int"))

@@ -152,7 +152,7 @@ _CHARS = """side AS (SELECT pair, 0 AS side, lower(a) AS t FROM tp UNION ALL SEL
 @query(f"WITH {TURNS_SQL}, {_CHARS}, {_VOC.format(having='HAVING sum(CASE WHEN ta > 0 THEN 1 ELSE 0 END + CASE WHEN tb > 0 THEN 1 ELSE 0 END) >= 2', most=20000)}, w AS (SELECT pair, ta * idf AS wa, tb * idf AS wb FROM tc JOIN i USING (term)), {_COS}")
 def char_tfidf_distance(spark: SparkSession, d: str) -> DataFrame:
     """N-grams of 3 and 4 characters only, as its SQL; the reference's forms are the next two queries."""
-    out = distance.tfidf(turn_pairs(spark, d), lambda c: distance.char_grams(c, 3, 4), most=20_000, min_df=2, sublinear=False)
+    out = distance.char_tfidf(turn_pairs(spark, d), 3, 4, most=20_000, min_df=2, sublinear=False)
     return out.withColumn("distance", r9(F.col("distance")))
 
 
@@ -163,14 +163,14 @@ _CHARS_TO_FIVE = _CHARS.replace("substring(w, i, 4))))", f"substring(w, i, 4)),
 @query(f"WITH {TURNS_SQL}, {_CHARS_TO_FIVE}, {_VOC.format(having='HAVING sum(CASE WHEN ta > 0 THEN 1 ELSE 0 END + CASE WHEN tb > 0 THEN 1 ELSE 0 END) >= 2', most='ALL')}, w AS (SELECT pair, ta * idf AS wa, tb * idf AS wb FROM tc JOIN i USING (term)), {_COS}")
 def char_tfidf_all_terms(spark: SparkSession, d: str) -> DataFrame:
     """The reference's span form: n-grams of 3 to 5 characters in two documents or more, plain counts, no cut of terms."""
-    out = distance.tfidf(turn_pairs(spark, d), lambda c: distance.char_grams(c, 3, 5), most=None, min_df=2, sublinear=False)
+    out = distance.char_tfidf(turn_pairs(spark, d), 3, 5, most=None, min_df=2, sublinear=False)
     return out.withColumn("distance", r9(F.col("distance")))
 
 
 @query(f"WITH {TURNS_SQL}, {_CHARS_TO_FIVE}, {_VOC.format(having='', most=20000)}, w AS (SELECT pair, CASE WHEN ta > 0 THEN (1 + ln(ta)) * idf ELSE 0 END AS wa, CASE WHEN tb > 0 THEN (1 + ln(tb)) * idf ELSE 0 END AS wb FROM tc JOIN i USING (term)), {_COS}")
 def char_tfidf_sublinear(spark: SparkSession, d: str) -> DataFrame:
     """The reference's metric-family form: n-grams of 3 to 5 characters, the 20,000 most frequent terms, 1 + ln(tf)."""
-    out = distance.tfidf(turn_pairs(spark, d), lambda c: distance.char_grams(c, 3, 5), most=20_000)
+    out = distance.char_tfidf(turn_pairs(spark, d), 3, 5, most=20_000)
     return out.withColumn("distance", r9(F.col("distance")))
 
 

@@ -75,6 +75,46 @@ def test_counts_of_terms_are_not_shuffled(spark):
     assert not [x for x in plan.splitlines() if "hashpartitioning(pair" in x and "term" in x]
 
 
+@pytest.mark.parametrize(("lo", "hi", "most", "min_df", "sublinear"), [(3, 5, None, 2, False), (3, 4, 6, 1, True), (4, 6, 40, 1, True)])
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_grams_of_words_are_those_of_texts(spark, monkeypatch, lo, hi, most, min_df, sublinear, broadcast):
+    """Repeated and empty pairs, one-letter words, letters beyond 16 bits, white space of all kinds; a vocabulary too large to send."""
+    monkeypatch.setattr(distance, "BROADCAST_TERMS", broadcast)
+    rows = [(1, "A bb\tCCC ccc", "bb\u00a0dd \U0001f600\U0001f601x"), (2, "ccc bb bb", ""), (2, "dd", "bb ccc"), (3, None, None), (4, " \n", "a"), (5, "\u4e2d\u6587\u5b57 ccc a", "\u4e2d\u6587 ccc"), (6, "aaaa " * 40, "aaaaaaa" * 30)]
+    p = spark.createDataFrame(rows, "pair int, a string, b string")
+    got = sorted(map(tuple, distance.char_tfidf(p, lo, hi, most, min_df, sublinear).collect()))
+    expected = sorted(map(tuple, distance.tfidf(p, lambda c: distance.char_grams(c, lo, hi), most, min_df, sublinear).collect()))
+    assert [x for x, _ in got] == [x for x, _ in expected] and [x for _, x in got] == pytest.approx([x for _, x in expected], abs=1e-12)
+
+
+def test_blocks_hold_whole_pairs(monkeypatch):
+    import pyarrow as pa
+
+    ids = [1] * 3 + [2] + [3] * 9 + [4, 5, 5, 5]
+    rows = pa.table({"pair": ids, "term": [f"w{i}" for i in range(len(ids))]})
+    for chars, size in ((1, 1), (1, 4), (7, 2), (1 << 20, 3)):
+        monkeypatch.setattr(distance, "CHARS_A_BLOCK", chars)
+        blocks = list(distance._whole_pairs(iter(rows.to_batches(max_chunksize=size))))
+        assert pa.concat_tables(blocks).equals(rows)
+        assert sum(len(set(b["pair"].to_pylist())) for b in blocks) == 5 and (len(blocks) > 1) == (chars < 1 << 20)
+    assert not list(distance._whole_pairs(iter([])))
+
+
+def test_keys_and_places_too_large_for_one_number():
+    import numpy as np
+
+    for key in ([], [5, 3, 5, 0], [1 << 62, 3, 1 << 62, 0, 3]):
+        first, number = distance._numbered(np.array(key, "int64"))
+        _, expected, numbers = np.unique(np.array(key, "int64"), return_index=True, return_inverse=True)
+        assert first.tolist() == expected.tolist() and number.tolist() == numbers.tolist()
+
+
+@pytest.mark.parametrize("name", ["char_tfidf_distance", "char_tfidf_all_terms", "char_tfidf_sublinear"])
+def test_no_row_is_made_of_an_n_gram_of_a_text(spark, name):
+    plan = registry.QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "sequence(" not in plan
+
+
 def test_projection_sums_pairs_across_batches(spark):
     """A pair of more terms than a batch of sums has, empty pairs and one-sided ones; no rows by coordinate."""
     import numpy as np
