@@ -70,22 +70,28 @@ def oof_targets(df: DataFrame, key: str, features: Sequence[str], targets: Seque
 
 
 def oof_text(df: DataFrame, key: str, text: str, y: str, k: int = 5, vocabulary: int = 10_000, seed: int = 0) -> DataFrame:
-    """key, y, fold, score of TF-IDF unigrams and bigrams into a logistic regression, out of fold."""
-    rows = kept(folds(df.select(key, y, F.coalesce(text, F.lit("")).alias("text")), key, y, k, seed).withColumn("__y", F.col(y).cast("double")), "folds")
+    """key, y, fold, score of TF-IDF unigrams and bigrams into a logistic regression, out of fold.
+
+    Texts are cut once for all folds. A fold reads the words to choose each of its vocabularies and to count their terms;
+    the counts are written, and whatever is fitted or scored after that reads these.
+    """
+    cut = RegexTokenizer(inputCol="text", outputCol="__one", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
+    rows = folds(df.select(key, y, F.coalesce(text, F.lit("")).alias("text")), key, y, k, seed).withColumn("__y", F.col(y).cast("double"))
+    rows = NGram(n=2, inputCol="__one", outputCol="__two").transform(kept(cut.transform(rows).drop("text"), "folds"))
     parts = []
     for f in range(k):
+        counted = rows
+        for terms, counts in (("__one", "__c1"), ("__two", "__c2")):
+            counted = CountVectorizer(inputCol=terms, outputCol=counts, vocabSize=vocabulary).fit(rows.filter(F.col("fold") != f)).transform(counted)
+        counted = kept(counted.drop("__one", "__two"), "counts")
         stages = [
-            RegexTokenizer(inputCol="text", outputCol="__one", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-            NGram(n=2, inputCol="__one", outputCol="__two"),
-            CountVectorizer(inputCol="__one", outputCol="__c1", vocabSize=vocabulary),
-            CountVectorizer(inputCol="__two", outputCol="__c2", vocabSize=vocabulary),
             IDF(inputCol="__c1", outputCol="__i1"),
             IDF(inputCol="__c2", outputCol="__i2"),
             VectorAssembler(inputCols=["__i1", "__i2"], outputCol="__x"),
             LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__prob", regParam=1e-3, maxIter=50),
         ]
-        model = Pipeline(stages=stages).fit(rows.filter(F.col("fold") != f))
-        parts.append(model.transform(rows.filter(F.col("fold") == f)).select(key, y, "fold", vector_to_array("__prob")[1].alias("score")))
+        model = Pipeline(stages=stages).fit(counted.filter(F.col("fold") != f))
+        parts.append(model.transform(counted.filter(F.col("fold") == f)).select(key, y, "fold", vector_to_array("__prob")[1].alias("score")))
     return reduce(DataFrame.union, parts)
 
 

@@ -43,3 +43,21 @@ def test_learned_scorers_find_what_is_there(spark):
     assert learned.probe(named, "id", ["f0", "f1", "f2"], "kind", k=2).first().balanced_accuracy == 1.0
     both = learned.oof_targets(rows.select("id", "y", (1 - F.col("y")).alias("not_y"), F.col("y").cast("double").alias("f")), "id", ["f"], ["y", "not_y"], k=2)
     assert {r.target: r.auc for r in both.collect()} == {"y": 1.0, "not_y": 1.0}
+
+
+def test_texts_are_cut_once_for_all_folds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from spanlens.operators import learned
+
+    written, keep = [], learned.kept
+
+    def noted(df, name):
+        written.append((name, set(df.columns)))
+        return keep(df, name)
+
+    monkeypatch.setattr(learned, "kept", noted)
+    rows = spark.range(24).select("id", (F.col("id") % 2).alias("y"), F.when(F.col("id") % 2 == 1, F.lit("bad news")).otherwise(F.lit("good news")).alias("text"))
+    scored = learned.oof_text(rows, "id", "text", "y", k=2, vocabulary=9)
+    assert [n for n, _ in written] == ["folds", "counts", "counts"] and not any("text" in c for _, c in written)
+    assert scored.filter("y = 1").agg(F.min("score")).first()[0] > scored.filter("y = 0").agg(F.max("score")).first()[0]
