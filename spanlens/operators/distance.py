@@ -87,8 +87,11 @@ def cosine(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
 
 
 def _distance(pairs: DataFrame, sums: DataFrame) -> DataFrame:
-    near = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("dot") / F.sqrt(F.col("aa")) / F.sqrt(F.col("bb"))).otherwise(F.lit(0.0))
-    return pairs.select("pair").join(sums.select("pair", near.alias("near")), "pair", "left").select("pair", (1 - F.coalesce("near", F.lit(0.0))).alias("distance"))
+    return pairs.select("pair").join(sums.select("pair", _near().alias("near")), "pair", "left").select("pair", (1 - F.coalesce("near", F.lit(0.0))).alias("distance"))
+
+
+def _near() -> Column:
+    return F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("dot") / F.sqrt(F.col("aa")) / F.sqrt(F.col("bb"))).otherwise(F.lit(0.0))
 
 
 def vocabulary(counts: DataFrame, most: int | None = 10_000, min_df: int = 1) -> DataFrame:
@@ -142,15 +145,24 @@ def tfidf(pairs: DataFrame, grams: Callable[[Column], Column] = word_grams, most
 def char_tfidf(pairs: DataFrame, lo: int, hi: int, most: int | None = 10_000, min_df: int = 1, sublinear: bool = True) -> DataFrame:
     """pair, distance as `tfidf` gives it with `char_grams(text, lo, hi)`.
 
-    Spark counts the words of a pair, some twelve times fewer rows than its n-grams;
-    tasks cut each different word of a block of pairs once and add up the n-grams of
-    a pair in arrays. What is shuffled is a row a task and n-gram for the vocabulary.
+    The pairs are written once and read twice, for the vocabulary and for the sums; a row
+    has both texts of its pair, so neither reading deals them anew. Only rows of a pair that
+    has several meet by pair, as counts of words. Tasks count the words of a block of pairs,
+    cut each different one into n-grams once and add up the n-grams of a pair in arrays.
+    What is shuffled is a row a task and n-gram for the vocabulary, and the numbers of pairs.
     A pair is held whole. Vocabularies of up to BROADCAST_TERMS terms go to all tasks;
     beyond that counts by pair and n-gram become rows and meet them in a join.
     """
     spark, kind = pairs.sparkSession, pairs.schema["pair"].dataType.simpleString()
     ship(spark)
-    words = term_counts(pairs, spaced_words).sortWithinPartitions("pair")
+    pairs = kept(pairs.select("pair", body("a").alias("a"), body("b").alias("b")), "pairs")
+    repeated = kept(pairs.groupBy("pair").count().filter("count > 1").select("pair"), "repeated")
+    several = not repeated.isEmpty()
+    if several:
+        one, more = pairs.join(repeated, "pair", "left_anti"), pairs.join(repeated, "pair", "left_semi")
+        words = _words(one).unionByName(term_counts(more, spaced_words).sortWithinPartitions("pair"))
+    else:
+        words = _words(pairs)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _whole_pairs(batches):
@@ -175,18 +187,28 @@ def char_tfidf(pairs: DataFrame, lo: int, hi: int, most: int | None = 10_000, mi
         for block in _whole_pairs(batches):
             ids, _, pair, term, ta, tb = _gram_counts(block, lo, hi, known)
             a, b = (np.where(n > 0, 1 + np.log(np.maximum(n, 1)) if sublinear else n, 0.0) * idf[term] for n in (ta, tb))
-            starts = np.flatnonzero(np.diff(pair, prepend=-1))
-            yield pa.RecordBatch.from_pydict({"pair": ids.take(pa.array(pair[starts])), **{c: np.add.reduceat(x, starts) for c, x in (("dot", a * b), ("aa", a * a), ("bb", b * b))}})
+            yield pa.RecordBatch.from_pydict({"pair": ids, **{c: np.bincount(pair, x, len(ids)).astype("float64") for c, x in (("dot", a * b), ("aa", a * a), ("bb", b * b))}})
+
+    near = words.mapInArrow(sums, f"pair {kind}, dot double, aa double, bb double")
+    return _distance(pairs, near) if several else near.select("pair", (1 - _near()).alias("distance"))
+
 
-    return _distance(pairs, words.mapInArrow(sums, f"pair {kind}, dot double, aa double, bb double"))
+def _words(texts: DataFrame) -> DataFrame:
+    """pair, term, ta, tb: a row a word of either side, and one without a term for a side that has none; the rows of a pair follow each other."""
+    sides = texts.select("pair", F.explode(F.array(F.struct(F.lit(1).alias("ta"), F.lit(0).alias("tb"), F.col("a").alias("t")), F.struct(F.lit(0).alias("ta"), F.lit(1).alias("tb"), F.col("b").alias("t")))).alias("x"))
+    return sides.select("pair", F.explode_outer(spaced_words(F.col("x.t"))).alias("term"), F.col("x.ta").cast("bigint").alias("ta"), F.col("x.tb").cast("bigint").alias("tb"))
 
 
 def _whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by pair in blocks of some CHARS_A_BLOCK characters of terms; no pair is divided."""
+    """Rows, those of a pair together, in blocks of some CHARS_A_BLOCK characters of terms and their ends; no pair is divided."""
+
+    def size(batch: pa.RecordBatch) -> int:
+        return batch.num_rows + (pc.sum(pc.utf8_length(batch["term"])).as_py() or 0)
+
     held, chars, limit = [], 0, CHARS_A_BLOCK
     for batch in batches:
         held.append(batch)
-        chars += pc.sum(pc.utf8_length(batch["term"])).as_py() or 0
+        chars += size(batch)
         if chars >= limit:
             block = pa.Table.from_batches(held)
             pair = _coded(block, "pair").indices.to_numpy()
@@ -194,7 +216,7 @@ def _whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             if last:
                 yield block.slice(0, last)
             held, block = block.slice(last).to_batches(), None
-            chars = sum(pc.sum(pc.utf8_length(b["term"])).as_py() for b in held)
+            chars = sum(map(size, held))
             limit = max(CHARS_A_BLOCK, 2 * chars)  # a pair beyond a block is not put together at each batch
     if sum(b.num_rows for b in held):
         yield pa.Table.from_batches(held)
@@ -206,19 +228,25 @@ def _coded(block: pa.Table, column: str) -> pa.DictionaryArray:
 
 def _gram_counts(block: pa.Table, lo: int, hi: int, known: pa.Array | None = None) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs and n-grams, then by different (pair, n-gram) in the order of pairs: their places and ta, tb. `known`: the n-grams that count, else all of the block."""
-    pairs, words = _coded(block, "pair"), _coded(block, "term")
+    pairs, said = _coded(block, "pair"), pc.is_valid(block["term"])
+    some = said.to_numpy()
+    words = _coded(block.filter(said), "term")
+    many = max(len(words.dictionary), 1)
+    key, order = _ordered(pairs.indices.to_numpy()[some].astype("int64") * many + words.indices.to_numpy())
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    na, nb = (np.add.reduceat(block[c].to_numpy()[some][order], starts) for c in ("ta", "tb"))
+    own, of = key[starts] // many, key[starts] % many  # a row a different (pair, word)
     terms, word, term = _cut(words.dictionary.to_pylist(), lo, hi)
     if known is not None:
         place = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy()[term]
         terms, word, term = known, word[place >= 0], place[place >= 0]
     term = term[np.argsort(word, kind="stable")].astype("int64")
     size = np.bincount(word, minlength=len(words.dictionary))
-    of = words.indices.to_numpy()
     row = np.repeat(np.arange(len(of)), size[of])
     at = np.arange(len(row)) + np.repeat((np.cumsum(size) - size)[of] - (np.cumsum(size[of]) - size[of]), size[of])
-    key, order = _ordered(pairs.indices.to_numpy()[row].astype("int64") * len(terms) + term[at])
+    key, order = _ordered(own[row] * len(terms) + term[at])
     starts = np.flatnonzero(np.diff(key, prepend=-1))
-    ta, tb = (np.add.reduceat(block[c].to_numpy()[row[order]], starts) for c in ("ta", "tb"))
+    ta, tb = (np.add.reduceat(n[row[order]], starts) for n in (na, nb))
     return pairs.dictionary, terms, key[starts] // max(len(terms), 1), key[starts] % max(len(terms), 1), ta, tb
 
 

@@ -115,6 +115,21 @@ def test_no_row_is_made_of_an_n_gram_of_a_text(spark, name):
     assert "MapInArrow" in plan and "sequence(" not in plan
 
 
+@pytest.mark.parametrize("name", ["char_tfidf_distance", "char_tfidf_all_terms", "char_tfidf_sublinear"])
+def test_texts_of_pairs_are_not_dealt_anew(spark, name):
+    """Written pairs are whole rows: their words go to the sums without an exchange or a join."""
+    plan = registry.QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("rows", [[(1, "", None), (2, " ", "\n")], [(1, "aa bb aa", "bb"), (2, None, "aa")], [(1, "aa bb", "bb"), (2, "", ""), (1, "", "bb aa"), (3, "bb", "aa bb"), (2, None, " "), (1, "aa", "aa")]])
+def test_pairs_without_words_and_of_several_rows(spark, rows):
+    p = spark.createDataFrame(rows, "pair int, a string, b string")
+    got = sorted(map(tuple, distance.char_tfidf(p, 3, 5, None, 1, False).collect()))
+    expected = sorted(map(tuple, distance.tfidf(p, lambda c: distance.char_grams(c, 3, 5), None, 1, False).collect()))
+    assert len(got) == len(rows) and [x for x, _ in got] == [x for x, _ in expected] and [x for _, x in got] == pytest.approx([x for _, x in expected], abs=1e-12)
+
+
 def test_projection_sums_pairs_across_batches(spark):
     """A pair of more terms than a batch of sums has, empty pairs and one-sided ones; no rows by coordinate."""
     import numpy as np
