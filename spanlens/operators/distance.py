@@ -155,7 +155,7 @@ def char_tfidf(pairs: DataFrame, lo: int, hi: int, most: int | None = 10_000, mi
     """
     spark, kind = pairs.sparkSession, pairs.schema["pair"].dataType.simpleString()
     ship(spark)
-    pairs = kept(pairs.select("pair", body("a").alias("a"), body("b").alias("b")), "pairs")
+    pairs = kept(pairs.select("pair", body("a").alias("a"), body("b").alias("b")), "pairs", compression="zstd")
     repeated = kept(pairs.groupBy("pair").count().filter("count > 1").select("pair"), "repeated")
     several = not repeated.isEmpty()
     if several:

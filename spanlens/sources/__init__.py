@@ -90,10 +90,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/spanlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to a new folder that all machines reach, and read back: what follows starts from the table, also after an executor is lost."""
+def kept(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """`df` written once to a new folder that all machines reach, and read back: what follows starts from the table, also after an executor is lost. `options` of the writer."""
     at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

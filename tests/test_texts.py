@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from spanlens import sources
 from spanlens.functions import text as tx
 from spanlens.operators import distance
 from spanlens.plans import registry, texts
@@ -130,6 +131,23 @@ def test_pairs_without_words_and_of_several_rows(spark, rows):
     assert len(got) == len(rows) and [x for x, _ in got] == [x for x, _ in expected] and [x for _, x in got] == pytest.approx([x for _, x in expected], abs=1e-12)
 
 
+def test_pairs_are_written_once_and_tightly(spark, monkeypatch):
+    """One table of texts, in zstd files; both readings are of it."""
+    written = []
+
+    def kept(df, name, **how):
+        out = sources.kept(df, name, **how)
+        written.append((name, out))
+        return out
+
+    monkeypatch.setattr(distance, "kept", kept)
+    p = spark.createDataFrame([(i, f"aa bb{i} cc", f"bb{i} dd") for i in range(40)], "pair int, a string, b string")
+    out = distance.char_tfidf(p, 3, 4, 20, 2, False)
+    texts_of = [t for name, t in written if "a" in t.columns]
+    assert len(texts_of) == 1 and texts_of[0].count() == out.count() == 40
+    assert set(out.inputFiles()) == set(texts_of[0].inputFiles()) and all(f.endswith(".zstd.parquet") for f in out.inputFiles())
+
+
 def test_projection_sums_pairs_across_batches(spark):
     """A pair of more terms than a batch of sums has, empty pairs and one-sided ones; no rows by coordinate."""
     import numpy as np
