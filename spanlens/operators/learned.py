@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRest
-from pyspark.ml.feature import PCA, CountVectorizer, IDF, NGram, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, ElementwiseProduct, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from ..shipping import ship
 from ..sources import kept
 from .resample import numbered
 
@@ -69,29 +76,119 @@ def oof_targets(df: DataFrame, key: str, features: Sequence[str], targets: Seque
     return reduce(DataFrame.union, parts)
 
 
+#: Words that a task counts at a time; a longer text is counted alone.
+BLOCK_WORDS = 1 << 20
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Runs of rows of up to BLOCK_WORDS words, the words, and the row of each word."""
+    for batch in batches:
+        n = pc.list_value_length(batch.column("__one")).to_numpy(zero_copy_only=False).astype("int64")
+        ends, at = np.cumsum(n), 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + BLOCK_WORDS, "right")))
+            part = batch.slice(at, to - at)
+            yield part, part.column("__one").flatten(), np.repeat(np.arange(to - at), n[at:to])
+            at = to
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of `keys` in order, and how often each is there."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[starts], np.diff(np.r_[starts, len(keys)])
+
+
+def _term_counts(rows: DataFrame, k: int) -> DataFrame:
+    """a, b, c0 ... c(k-1): words (b is empty) and pairs of neighbours, and how often each is in the texts of a fold."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words, row in _blocks(batches):
+            coded = words.dictionary_encode()
+            code, many, fold = coded.indices.to_numpy().astype("int64"), len(coded.dictionary), part.column("fold").to_numpy()[row]
+            near = row[1:] == row[:-1]
+            for two, term in ((False, code), (True, (code[:-1] * many + code[1:])[near])):
+                found, n = _runs(term * k + (fold[1:][near] if two else fold))
+                terms, place = np.unique(found // k, return_inverse=True)
+                counts = np.zeros((k, len(terms)), "int64")
+                counts[found % k, place] = n
+                a, b = (coded.dictionary.take(pa.array(terms // many)), coded.dictionary.take(pa.array(terms % many))) if two else (coded.dictionary.take(pa.array(terms)), pa.array([""] * len(terms), pa.string()))
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b} | {f"c{f}": counts[f] for f in range(k)})
+
+    made = rows.select("fold", "__one").mapInArrow(counted, "a string, b string, " + ", ".join(f"c{f} bigint" for f in range(k)))
+    return made.groupBy("a", "b").agg(*(F.sum(f"c{f}").alias(f"c{f}") for f in range(k)))
+
+
+def _vocabularies(rows: DataFrame, k: int, most: int) -> list[set[tuple[str, str]]]:
+    """For each fold the `most` words and the `most` pairs of neighbours that are most frequent in the other folds, of equally frequent ones the first in the alphabet."""
+    counts = _term_counts(rows, k).persist(StorageLevel.DISK_ONLY)
+    try:
+        tops = []
+        for f in range(k):
+            n = reduce(Column.__add__, (F.col(f"c{g}") for g in range(k) if g != f), F.lit(0))
+            for kind in (F.col("b") == "", F.col("b") != ""):
+                tops.append(counts.filter(kind & (n > 0)).orderBy(n.desc(), "a", "b").limit(most).select(F.lit(f).alias("fold"), "a", "b"))
+        best = reduce(DataFrame.union, tops).collect()  # at most 2 * k * most rows
+    finally:
+        counts.unpersist()
+    return [{(r.a, r.b) for r in best if r.fold == f} for f in range(k)]
+
+
+def _vectors(rows: DataFrame, terms: Sequence[tuple[str, str]]) -> DataFrame:
+    """`rows` with __c, how often each of `terms` is in a text, for its words."""
+    names = [c for c in rows.columns if c != "__one"]
+    known = sorted({w for t in terms for w in t if w})
+    place, width, size = {w: i for i, w in enumerate(known)}, len(known), max(1, len(terms))
+    alone = np.full(width + 1, -1)
+    for slot, (a, b) in enumerate(terms):
+        if not b:
+            alone[place[a]] = slot
+    pairs = sorted((place[a] * width + place[b], slot) for slot, (a, b) in enumerate(terms) if b)
+    codes, slots = np.array([(-1, -1), *pairs], "int64").T
+    shared = rows.sparkSession.sparkContext.broadcast((pa.array(known, pa.string()), alone, codes, slots))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, alone, codes, slots = shared.value
+        for part, words, row in _blocks(batches):
+            word = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype("int64")
+            both = np.flatnonzero((row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
+            code = word[both] * width + word[both + 1]
+            at = np.searchsorted(codes, code, "right") - 1
+            slot = np.r_[alone[word], np.where(codes[at] == code, slots[at], -1)]
+            found, n = _runs((np.r_[row, row[both]] * size + slot)[slot >= 0])
+            ends = pa.array(np.searchsorted(found, np.arange(part.num_rows + 1) * size).astype("int32"))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((found % size).astype("int32"), n.astype("float64")))
+            sparse = pa.StructArray.from_arrays([pa.array(np.full(part.num_rows, x, kind)) for x, kind in ((0, "int8"), (size, "int32"))] + list(lists), names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sparse], names=[*names, "__c"])
+
+    return rows.mapInArrow(counted, StructType([*(rows.schema[c] for c in names), StructField("__c", VectorUDT())]))
+
+
 def oof_text(df: DataFrame, key: str, text: str, y: str, k: int = 5, vocabulary: int = 10_000, seed: int = 0) -> DataFrame:
-    """key, y, fold, score of TF-IDF unigrams and bigrams into a logistic regression, out of fold.
+    """key, y, fold, score of TF-IDF unigrams and bigrams into a logistic regression, out of fold; score is null where the other folds have no word.
 
-    Texts are cut once for all folds. A fold reads the words to choose each of its vocabularies and to count their terms;
-    the counts are written, and whatever is fitted or scored after that reads these.
+    Texts are cut once for all folds. Their terms are counted by fold in one reading, from which come the vocabularies
+    of all folds. A second one counts in each row the terms that any fold knows; a fold's rows are written apart,
+    and its fit reads the other folds' rows, with a weight of 0 for the terms that it does not know.
     """
+    ship(df.sparkSession)
     cut = RegexTokenizer(inputCol="text", outputCol="__one", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
     rows = folds(df.select(key, y, F.coalesce(text, F.lit("")).alias("text")), key, y, k, seed).withColumn("__y", F.col(y).cast("double"))
-    rows = NGram(n=2, inputCol="__one", outputCol="__two").transform(kept(cut.transform(rows).drop("text"), "folds"))
+    rows = kept(cut.transform(rows).drop("text"), "folds")
+    known = _vocabularies(rows, k, vocabulary)
+    terms = sorted(set().union(*known))
+    held = [kept(_vectors(rows.filter(F.col("fold") == f), terms), "counts") for f in range(k)]
     parts = []
     for f in range(k):
-        counted = rows
-        for terms, counts in (("__one", "__c1"), ("__two", "__c2")):
-            counted = CountVectorizer(inputCol=terms, outputCol=counts, vocabSize=vocabulary).fit(rows.filter(F.col("fold") != f)).transform(counted)
-        counted = kept(counted.drop("__one", "__two"), "counts")
-        stages = [
-            IDF(inputCol="__c1", outputCol="__i1"),
-            IDF(inputCol="__c2", outputCol="__i2"),
-            VectorAssembler(inputCols=["__i1", "__i2"], outputCol="__x"),
-            LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__prob", regParam=1e-3, maxIter=50),
-        ]
-        model = Pipeline(stages=stages).fit(counted.filter(F.col("fold") != f))
-        parts.append(model.transform(counted.filter(F.col("fold") == f)).select(key, y, "fold", vector_to_array("__prob")[1].alias("score")))
+        if not known[f]:
+            parts.append(held[f].select(key, y, "fold", F.lit(None).cast("double").alias("score")))
+            continue
+        others = reduce(DataFrame.union, (held[g] for g in range(k) if g != f))
+        idf = IDF(inputCol="__c", outputCol="__i").fit(others).idf.toArray()
+        weigh = ElementwiseProduct(scalingVec=Vectors.dense(np.where([t in known[f] for t in terms], idf, 0.0)), inputCol="__c", outputCol="__x")
+        learn = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__prob", regParam=1e-3, maxIter=50)
+        model = Pipeline(stages=[weigh, learn]).fit(others)
+        parts.append(model.transform(held[f]).select(key, y, "fold", vector_to_array("__prob")[1].alias("score")))
     return reduce(DataFrame.union, parts)
 
 

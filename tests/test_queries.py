@@ -61,3 +61,45 @@ def test_texts_are_cut_once_for_all_folds(spark, monkeypatch):
     scored = learned.oof_text(rows, "id", "text", "y", k=2, vocabulary=9)
     assert [n for n, _ in written] == ["folds", "counts", "counts"] and not any("text" in c for _, c in written)
     assert scored.filter("y = 1").agg(F.min("score")).first()[0] > scored.filter("y = 0").agg(F.max("score")).first()[0]
+
+
+def test_rows_are_counted_once_for_all_folds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from spanlens.operators import learned
+
+    written, keep = [], learned.kept
+
+    def noted(df, name):
+        written.append((name, keep(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(learned, "kept", noted)
+    rows = spark.range(24).select("id", (F.col("id") % 2).alias("y"), F.when(F.col("id") % 2 == 1, F.lit("bad news")).otherwise(F.lit("good news")).alias("text"))
+    assert learned.oof_text(rows, "id", "text", "y", k=3, vocabulary=9).count() == 24
+    assert sum(df.count() for name, df in written if name == "counts") == 24
+
+
+def test_text_scores_do_not_depend_on_how_rows_lie(spark):
+    """Of equally frequent terms at the cut the first in the alphabet stay."""
+    from pyspark.sql import functions as F
+
+    from spanlens.operators import learned
+
+    texts = [(i, i % 2, f"{'red' if i % 2 else 'blue'}{i % 7} {chr(97 + i % 13)}{chr(97 + i % 5)} tail{i % 11}") for i in range(60)]
+    lie = [spark.createDataFrame(t, "id int, y int, text string").repartition(n) for t, n in ((texts, 1), (texts[::-1], 7))]
+    one, other = ({r.id: r.score for r in learned.oof_text(df, "id", "text", "y", k=2, vocabulary=5).collect()} for df in lie)
+    assert len(one) == 60 and all(abs(one[i] - other[i]) < 1e-6 for i in one)
+    rows = spark.createDataFrame([(0, ["bb", "aa", "cc"]), (1, ["bb", "dd"]), (1, ["aa"]), (1, [])], "fold int, __one array<string>")
+    assert learned._vocabularies(rows, 2, 2) == [{("aa", ""), ("bb", ""), ("bb", "dd")}, {("aa", ""), ("bb", ""), ("aa", "cc"), ("bb", "aa")}]
+    counts = {r.fold: r["__c"].toArray().tolist() for r in learned._vectors(rows.filter("size(__one) > 1"), [("aa", ""), ("bb", ""), ("bb", "aa")]).collect()}
+    assert counts == {0: [1.0, 1.0, 1.0], 1: [0.0, 1.0, 0.0]}
+
+
+def test_text_scores_without_words(spark):
+    from pyspark.sql import functions as F
+
+    from spanlens.operators import learned
+
+    rows = spark.range(6).select("id", (F.col("id") % 2).alias("y"), F.lit(None).cast("string").alias("text"))
+    assert [r.score for r in learned.oof_text(rows, "id", "text", "y", k=2, vocabulary=9).collect()] == [None] * 6
