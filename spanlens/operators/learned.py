@@ -78,15 +78,19 @@ def oof_targets(df: DataFrame, key: str, features: Sequence[str], targets: Seque
 
 #: Words that a task counts at a time; a longer text is counted alone.
 BLOCK_WORDS = 1 << 20
+#: Of such a block, the terms that are reported for each one of a vocabulary; terms beyond that have a bound.
+REPORTED = 4
+#: Terms that are counted again, at most.
+AGAIN = 200_000
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
-    """Runs of rows of up to BLOCK_WORDS words, the words, and the row of each word."""
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Runs of rows of up to `most` words, the words, and the row of each word."""
     for batch in batches:
         n = pc.list_value_length(batch.column("__one")).to_numpy(zero_copy_only=False).astype("int64")
         ends, at = np.cumsum(n), 0
         while at < len(n):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + BLOCK_WORDS, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + most, "right")))
             part = batch.slice(at, to - at)
             yield part, part.column("__one").flatten(), np.repeat(np.arange(to - at), n[at:to])
             at = to
@@ -99,63 +103,123 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.diff(np.r_[starts, len(keys)])
 
 
-def _term_counts(rows: DataFrame, k: int) -> DataFrame:
-    """a, b, c0 ... c(k-1): words (b is empty) and pairs of neighbours, and how often each is in the texts of a fold."""
+def _reported(rows: DataFrame, k: int, most: int | None) -> DataFrame:
+    """a, b, c0 ... c(k-1), cut: words (b is empty) and pairs of neighbours, and how often each is in the texts of a fold.
+
+    A block reports about its `most` most frequent words and pairs; the others are not more frequent there than its cut.
+    cut sums the cuts of the blocks that report a term; those of all blocks are in two rows more, whose a is empty.
+    """
+    block = BLOCK_WORDS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words, row in _blocks(batches):
+        for part, words, row in _blocks(batches, block):
             coded = words.dictionary_encode()
-            code, many, fold = coded.indices.to_numpy().astype("int64"), len(coded.dictionary), part.column("fold").to_numpy()[row]
+            code, known, fold = coded.indices.to_numpy().astype("int64"), coded.dictionary, part.column("fold").to_numpy()[row]
             near = row[1:] == row[:-1]
-            for two, term in ((False, code), (True, (code[:-1] * many + code[1:])[near])):
+            for two, term in ((False, code), (True, (code[:-1] * len(known) + code[1:])[near])):
                 found, n = _runs(term * k + (fold[1:][near] if two else fold))
                 terms, place = np.unique(found // k, return_inverse=True)
                 counts = np.zeros((k, len(terms)), "int64")
                 counts[found % k, place] = n
-                a, b = (coded.dictionary.take(pa.array(terms // many)), coded.dictionary.take(pa.array(terms % many))) if two else (coded.dictionary.take(pa.array(terms)), pa.array([""] * len(terms), pa.string()))
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b} | {f"c{f}": counts[f] for f in range(k)})
+                total, cut = counts.sum(0), 0
+                if most is not None and len(terms) > most:
+                    cut = int(np.partition(total, -most)[-most])
+                    terms, counts = terms[total > cut], counts[:, total > cut]
+                a, b = (known.take(pa.array(terms // len(known))), known.take(pa.array(terms % len(known)))) if two else (known.take(pa.array(terms)), pa.array([""] * len(terms), pa.string()))
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b} | {f"c{f}": counts[f] for f in range(k)} | {"cut": np.full(len(terms), cut, "int64")})
+                yield pa.RecordBatch.from_pydict({"a": pa.array([""]), "b": pa.array(["*" if two else ""])} | {f"c{f}": pa.array([0]) for f in range(k)} | {"cut": pa.array([cut])})
 
-    made = rows.select("fold", "__one").mapInArrow(counted, "a string, b string, " + ", ".join(f"c{f} bigint" for f in range(k)))
-    return made.groupBy("a", "b").agg(*(F.sum(f"c{f}").alias(f"c{f}") for f in range(k)))
+    sums = [*(f"c{f}" for f in range(k)), "cut"]
+    made = rows.select("fold", "__one").mapInArrow(counted, "a string, b string, " + ", ".join(f"{c} bigint" for c in sums))
+    return made.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in sums))
 
 
-def _vocabularies(rows: DataFrame, k: int, most: int) -> list[set[tuple[str, str]]]:
-    """For each fold the `most` words and the `most` pairs of neighbours that are most frequent in the other folds, of equally frequent ones the first in the alphabet."""
-    counts = _term_counts(rows, k).persist(StorageLevel.DISK_ONLY)
+def _lookup(terms: Sequence[tuple[str, str]]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of `terms`, the place in `terms` of each or -1, the pairs' codes in order and their places."""
+    known = sorted({w for t in terms for w in t if w})
+    place, alone = {w: i for i, w in enumerate(known)}, np.full(len(known) + 1, -1)
+    for slot, (a, b) in enumerate(terms):
+        if not b:
+            alone[place[a]] = slot
+    pairs = sorted((place[a] * len(known) + place[b], slot) for slot, (a, b) in enumerate(terms) if b)
+    codes, slots = np.array([(-1, -1), *pairs], "int64").T
+    return pa.array(known, pa.string()), alone, codes, slots
+
+
+def _places(words: pa.Array, row: np.ndarray, lookup: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the place of each word and pair of neighbours that the lookup knows."""
+    known, alone, codes, slots = lookup
+    word = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype("int64")
+    both = np.flatnonzero((row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
+    code = word[both] * len(known) + word[both + 1]
+    at = np.searchsorted(codes, code, "right") - 1
+    slot = np.r_[alone[word], np.where(codes[at] == code, slots[at], -1)]
+    return np.r_[row, row[both]][slot >= 0], slot[slot >= 0]
+
+
+def _counts(rows: DataFrame, terms: Sequence[tuple[str, str]], k: int) -> np.ndarray:
+    """How often each of `terms` is in the texts of each fold."""
+    block, size, shared = BLOCK_WORDS, len(terms), rows.sparkSession.sparkContext.broadcast(_lookup(terms))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size * k, "int64")
+        for part, words, row in _blocks(batches, block):
+            row, slot = _places(words, row, shared.value)
+            sums += np.bincount(slot * k + part.column("fold").to_numpy()[row], minlength=size * k)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"at": found, "n": sums[found]})
+
+    found = rows.select("fold", "__one").mapInArrow(counted, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most k * AGAIN rows
+    sums = np.zeros(size * k, "int64")
+    sums[found["at"].to_numpy()] = found["n"].to_numpy()
+    return sums.reshape(size, k)
+
+
+def _vocabularies(rows: DataFrame, k: int, most: int, reported: int | None = REPORTED) -> list[set[tuple[str, str]]]:
+    """For each fold the `most` words and the `most` pairs of neighbours that are most frequent in the other folds, of equally frequent ones the first in the alphabet.
+
+    Blocks report their frequent terms. The sums are at most a term's count, and with the cuts of the blocks that did not
+    report it at least that; terms that can be among the most frequent ones by these bounds are counted again. Where the
+    bounds leave too many terms open, blocks report all, and the sums are the counts.
+    """
+    counts = _reported(rows, k, reported and reported * most).persist(StorageLevel.DISK_ONLY)
     try:
-        tops = []
-        for f in range(k):
-            n = reduce(Column.__add__, (F.col(f"c{g}") for g in range(k) if g != f), F.lit(0))
-            for kind in (F.col("b") == "", F.col("b") != ""):
-                tops.append(counts.filter(kind & (n > 0)).orderBy(n.desc(), "a", "b").limit(most).select(F.lit(f).alias("fold"), "a", "b"))
+        of = [reduce(Column.__add__, (F.col(f"c{g}") for g in range(k) if g != f), F.lit(0)) for f in range(k)]
+        kinds = [(F.col("a") != "") & (F.col("b") == ""), (F.col("a") != "") & (F.col("b") != "")]
+        tops = [counts.filter(kind & (n > 0)).orderBy(n.desc(), "a", "b").limit(most).select(F.lit(f).alias("fold"), "a", "b", n.alias("n")) for kind in kinds for f, n in enumerate(of)]
         best = reduce(DataFrame.union, tops).collect()  # at most 2 * k * most rows
+        cuts = {r.b != "": r.cut for r in counts.filter("a = ''").collect()}  # two rows
+        bounded, maybe, again = True, F.lit(False), []
+        for two, cut in cuts.items():
+            for f in range(k if cut else 0):
+                n = [r.n for r in best if r.fold == f and (r.b != "") == two]
+                bounded &= len(n) == most and min(n) > cut  # else a term that no block reports may belong there
+                maybe |= kinds[two] & (of[f] + cut - F.col("cut") >= min(n, default=0))
+        if bounded and any(cuts.values()):
+            again = sorted((r.a, r.b) for r in counts.filter(maybe).select("a", "b").limit(AGAIN + 1).collect())
     finally:
         counts.unpersist()
-    return [{(r.a, r.b) for r in best if r.fold == f} for f in range(k)]
+    if not bounded or len(again) > AGAIN:
+        return _vocabularies(rows, k, most, None)
+    out = [{(r.a, r.b) for r in best if r.fold == f and not cuts[r.b != ""]} for f in range(k)]
+    if again:
+        n = _counts(rows, again, k)
+        for f in range(k):
+            order = np.argsort(n[:, f] - n.sum(1), kind="stable")
+            for two in (two for two, cut in cuts.items() if cut):
+                out[f].update([t for t in (again[i] for i in order) if (t[1] != "") == two][:most])
+    return out
 
 
 def _vectors(rows: DataFrame, terms: Sequence[tuple[str, str]]) -> DataFrame:
     """`rows` with __c, how often each of `terms` is in a text, for its words."""
     names = [c for c in rows.columns if c != "__one"]
-    known = sorted({w for t in terms for w in t if w})
-    place, width, size = {w: i for i, w in enumerate(known)}, len(known), max(1, len(terms))
-    alone = np.full(width + 1, -1)
-    for slot, (a, b) in enumerate(terms):
-        if not b:
-            alone[place[a]] = slot
-    pairs = sorted((place[a] * width + place[b], slot) for slot, (a, b) in enumerate(terms) if b)
-    codes, slots = np.array([(-1, -1), *pairs], "int64").T
-    shared = rows.sparkSession.sparkContext.broadcast((pa.array(known, pa.string()), alone, codes, slots))
+    block, size, shared = BLOCK_WORDS, max(1, len(terms)), rows.sparkSession.sparkContext.broadcast(_lookup(terms))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, alone, codes, slots = shared.value
-        for part, words, row in _blocks(batches):
-            word = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype("int64")
-            both = np.flatnonzero((row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
-            code = word[both] * width + word[both + 1]
-            at = np.searchsorted(codes, code, "right") - 1
-            slot = np.r_[alone[word], np.where(codes[at] == code, slots[at], -1)]
-            found, n = _runs((np.r_[row, row[both]] * size + slot)[slot >= 0])
+        for part, words, row in _blocks(batches, block):
+            row, slot = _places(words, row, shared.value)
+            found, n = _runs(row * size + slot)
             ends = pa.array(np.searchsorted(found, np.arange(part.num_rows + 1) * size).astype("int32"))
             lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((found % size).astype("int32"), n.astype("float64")))
             sparse = pa.StructArray.from_arrays([pa.array(np.full(part.num_rows, x, kind)) for x, kind in ((0, "int8"), (size, "int32"))] + list(lists), names=["type", "size", "indices", "values"])
@@ -167,9 +231,9 @@ def _vectors(rows: DataFrame, terms: Sequence[tuple[str, str]]) -> DataFrame:
 def oof_text(df: DataFrame, key: str, text: str, y: str, k: int = 5, vocabulary: int = 10_000, seed: int = 0) -> DataFrame:
     """key, y, fold, score of TF-IDF unigrams and bigrams into a logistic regression, out of fold; score is null where the other folds have no word.
 
-    Texts are cut once for all folds. Their terms are counted by fold in one reading, from which come the vocabularies
-    of all folds. A second one counts in each row the terms that any fold knows; a fold's rows are written apart,
-    and its fit reads the other folds' rows, with a weight of 0 for the terms that it does not know.
+    Texts are cut once for all folds, and the vocabularies of all folds come from the same counts by fold. Then the terms
+    that any fold knows are counted in each row, once; a fold's rows are written apart, and its fit reads the other
+    folds' rows, with a weight of 0 for the terms that it does not know.
     """
     ship(df.sparkSession)
     cut = RegexTokenizer(inputCol="text", outputCol="__one", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)

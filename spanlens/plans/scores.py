@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, stats
 from ..functions import text as tx
 from ..operators import agree, calibrate, distance, learned, multiplicity, rank, resample, simulate
-from ..sources import table
+from ..sources import kept, table
 from .contracts import TURNS_SQL, auc_sql, kappa_sql, pairs, pairs_sql, r9, turn_pairs
 from .draws_sql import hash_sql, hypergeometric_sql
 from .registry import query
@@ -264,8 +264,9 @@ def oof_two_targets(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def oof_text(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d).select("id", "y").join(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"), "id")
-    return rank.auc(learned.oof_text(p, "id", "text", "y", k=3, vocabulary=2000), "score", ["y"]).select("n", F.col("n_y").alias("n_pos"), F.round("auc_y", 3).alias("auc"))
+    p = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").alias("y"), "text")
+    scored = kept(learned.oof_text(p, "id", "text", "y", k=3, vocabulary=2000), "scores")  # read several times
+    return rank.auc(scored, "score", ["y"]).select("n", F.col("n_y").alias("n_pos"), F.round("auc_y", 3).alias("auc"))
 
 
 @query()

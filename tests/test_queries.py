@@ -103,3 +103,33 @@ def test_text_scores_without_words(spark):
 
     rows = spark.range(6).select("id", (F.col("id") % 2).alias("y"), F.lit(None).cast("string").alias("text"))
     assert [r.score for r in learned.oof_text(rows, "id", "text", "y", k=2, vocabulary=9).collect()] == [None] * 6
+
+
+def test_vocabularies_by_bounds_are_those_of_all_counts(spark, monkeypatch):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from spanlens.operators import learned
+
+    def vocabularies(texts, most):
+        counted, counts, found = [], learned._counts, [Counter() for _ in range(3)]
+        monkeypatch.setattr(learned, "_counts", lambda rows, terms, k: counted.append(len(terms)) or counts(rows, terms, k))
+        rows = spark.createDataFrame(texts, "fold int, text string").repartition(3).select("fold", F.split("text", " ").alias("__one"))
+        for fold, text in texts:
+            w = text.split(" ")
+            found[fold].update([*((x, "") for x in w), *zip(w, w[1:])])
+        want = []
+        for f in range(3):
+            n = sum((found[g] for g in range(3) if g != f), Counter())
+            want.append({t for two in (False, True) for t in sorted((t for t in n if (t[1] != "") == two), key=lambda t: (-n[t], t))[:most]})
+        assert learned._vocabularies(rows, 3, most) == want
+        monkeypatch.setattr(learned, "_counts", counts)
+        return counted, sum(map(len, found)) / 3
+
+    monkeypatch.setattr(learned, "BLOCK_WORDS", 400)
+    skewed = [(i % 3, " ".join(f"w{int(300 / (1 + (i * 37 + j * 101 + i * j * 7) % 299))}x{(i * j) % 2}" for j in range(60))) for i in range(300)]
+    counted, there = vocabularies(skewed, 4)
+    assert len(counted) == 1 and counted[0] < there  # some terms were counted again, not all
+    flat = [(i % 3, " ".join(f"f{(i * 61 + j * 17) % 997}" for j in range(40))) for i in range(150)]
+    assert vocabularies(flat, 5)[0] == []  # the bounds are too weak: all terms were reported
